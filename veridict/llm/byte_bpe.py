@@ -2,9 +2,9 @@
 
 Every match of the split pattern (a pre-token) is encoded by itself.  The
 merges of a pre-token run over a doubly linked list of symbols; a rank queue
-says which merge comes next.  The queue is a bitmap over merge ranks with
-summary levels above it, so the smallest waiting rank is found by a
-find-first-set on one machine word a level, whatever the pre-token's length.
+says which merge comes next.  The queue is a bitmap over merge ranks with a
+summary level above it, so the smallest waiting rank is found by two
+find-first-sets, whatever the pre-token's length.
 A bucket per rank holds the list positions whose pair has that rank; entries
 that a merge has made stale are skipped when they come up.  A pre-token of n
 bytes takes O(n log n) steps (a bucket is a heap, as positions of one rank
@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,56 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_BITS = 64
-#: Pre-tokens that a worker remembers; longer ones than LONGEST_KEPT bytes are never kept.
-REMEMBERED, LONGEST_KEPT = 200_000, 48
-
-
-class RankQueue:
-    """Waiting merges, smallest rank first, then leftmost position."""
-
-    def __init__(self, ranks: int) -> None:
-        self.levels = []
-        while True:
-            ranks = -(-ranks // _BITS)
-            self.levels.append([0] * max(1, ranks))
-            if ranks <= 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = divmod(rank, _BITS)
-            before = level[word]
-            level[word] = before | 1 << bit
-            if before:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank * _BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, _BITS)
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+#: Pre-tokens that a worker remembers; longer ones than LONGEST_KEPT characters are never kept.
+REMEMBERED, LONGEST_KEPT = 800_000, 40
 
 
 class ByteBpe:
@@ -89,69 +42,98 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         size = max(ranks.values(), default=-1) + 1
+        self.bits = max(1, size.bit_length() + 1 >> 1)
+        self.mask = (1 << self.bits) - 1
+        self.low = [0] * ((size >> self.bits) + 1)
         pieces = [b""] * size
         for piece, rank in ranks.items():
             pieces[rank] = piece
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        """Ids of one pre-token.
+
+        The rank queue has two bitmap levels: bit w of ``top`` says that word w
+        of ``low`` is not zero, and bit b of that word that rank (w << bits) + b
+        has a bucket.  Words are as wide as the square root of the number of
+        ranks, so either level is searched by one find-first-set.
+        """
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return (whole,)
-        n = len(piece)
-        ends = list(range(1, n + 1))  # ends[i]: where the symbol that begins at i ends; 0 if none begins there
-        before = list(range(-1, n))
+        bits, mask, low = self.bits, self.mask, self.low  # all of low is 0 between calls
+        top, buckets, n = 0, {}, len(piece)
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = rank_of(piece[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise, so the list is a heap
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> bits] |= 1 << (rank & mask)
+                    top |= 1 << (rank >> bits)
+        ends = list(range(1, n + 2))  # ends[i]: where the symbol that begins at i ends; 0 if none begins there
+        before = list(range(-1, n))
+        while top:
+            word = (top & -top).bit_length() - 1
+            row = low[word]
+            rank = (word << bits) + (row & -row).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = row = row & (row - 1)
+                if not row:
+                    top &= top - 1
             middle = ends[i]
             if not middle or middle == n:
                 continue
             to = ends[middle]
-            if ranks.get(piece[i:to]) != rank:
+            if rank_of(piece[i:to]) != rank:
                 continue  # stale: one of the two symbols has changed
             ends[i], ends[middle] = to, 0
+            left = before[i]
             if to < n:
                 before[to] = i
-                rank = ranks.get(piece[i : ends[to]])
-                if rank is not None:
-                    queue.push(rank, i)
-            left = before[i]
-            if left >= 0:
-                rank = ranks.get(piece[left:to])
-                if rank is not None:
-                    queue.push(rank, left)
-        out, i = [], 0
+            for first, last in ((i, ends[to] if to < n else 0), (left, to if left >= 0 else 0)):
+                rank = rank_of(piece[first:last]) if last else None
+                if rank is None:
+                    continue
+                if rank in buckets:
+                    heappush(buckets[rank], first)
+                else:
+                    buckets[rank] = [first]
+                    low[rank >> bits] |= 1 << (rank & mask)
+                    top |= 1 << (rank >> bits)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+            to = ends[i]
+            out.append(ranks[piece[i:to]])
+            i = to
         return tuple(out)
 
-    def ids_of(self, pretoken: str) -> tuple[int, ...]:
+    def _new(self, pretoken: str) -> tuple[tuple[int, ...], str]:
         ids = self.merge(pretoken.encode("utf-8", "replace"))
+        entry = ids, ",".join(map(str, ids))
         if len(pretoken) <= LONGEST_KEPT:
             if len(self.kept) >= REMEMBERED:
                 self.kept.clear()
-            self.kept[pretoken] = ids
-        return ids
+            self.kept[pretoken] = entry
+        return entry
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as int64."""
-        kept, ids_of, out = self.kept.get, self.ids_of, []
-        extend = out.extend
-        for match in self.split.findall(text):
-            extend(kept(match) or ids_of(match))
-        return np.array(out, dtype=np.int64)
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        """Ids of a text, as int64, and in decimal, joined by commas."""
+        kept, new = self.kept.get, self._new
+        entries = [kept(match) or new(match) for match in self.split.findall(text)]
+        ids = np.fromiter(chain.from_iterable([e[0] for e in entries]), dtype=np.int64)
+        return ids, ",".join([e[1] for e in entries])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
@@ -207,7 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """
 
     def row(value: str | None) -> tuple[list[int], int]:
-        ids = model(path, pattern).encode(value or "")
+        ids, _ = model(path, pattern).encode(value or "")
         return ids, len(ids)
 
     return _map_text(docs, text, "ids array<bigint>, n_tokens bigint", row)
@@ -232,8 +214,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     def row(value: str | None) -> tuple[int, str, str]:
         bpe = model(path, pattern)
-        ids = bpe.encode(value or "")
-        digest = hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+        ids, decimal = bpe.encode(value or "")
+        digest = hashlib.sha256(decimal.encode()).hexdigest()
         return len(ids), digest, hashlib.sha256(bpe.decode(ids)).hexdigest()
 
     return _map_text(docs, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
