@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from veridict.llm.words import mix64, seeded, words
 
@@ -176,13 +178,14 @@ def overlaps(
     kind = dict(slim.dtypes)["doc_id"]
     item_kind = dict(benchmark.select(F.col(item).alias("i")).dtypes)["i"]
     schema = f"doc_id {kind}, item_id {item_kind}, first_word bigint, n_words bigint, n_agree bigint"
+    item_type = to_arrow_type(StructType.fromDDL(f"x {item_kind}")["x"].dataType)
     parts = []
     for block in blocks(benchmark, item, item_text, block_words):
 
         def out(batch: pa.RecordBatch, hits: list, ids=block.ids) -> pa.RecordBatch:
             rows = pa.array([h[0] for h in hits], pa.int64())
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), pa.array([ids[h[1]] for h in hits], _arrow_type(item_kind))]
+                [batch.column("doc_id").take(rows), pa.array([ids[h[1]] for h in hits], item_type)]
                 + [pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)],
                 names=["doc_id", "item_id", "first_word", "n_words", "n_agree"],
             )
@@ -193,13 +196,6 @@ def overlaps(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    return to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     block_words: int = BLOCK_WORDS,

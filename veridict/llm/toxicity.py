@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from veridict.llm.words import chunks, spans, text_buffer
 
@@ -290,7 +291,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     nothing.  A column of that name is replaced; rows are never dropped.
     """
     docs = docs.drop("toxicity")
-    schema = docs.schema.add("toxicity", "double")
+    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
