@@ -33,7 +33,9 @@ DECAY = 0.6
 #: (second, third) letter's distance from the first, at most three letters skipped.
 PATTERNS = tuple((i, i + j) for i in range(1, 5) for j in range(1, 5) if i + j <= 5)
 #: Bounds of the training sample: labelled documents of each class, words of each class, landmarks of each class.
-DOCUMENTS, POSITIVE, NEGATIVE, LANDMARKS = 4000, 1500, 4500, 64
+DOCUMENTS, POSITIVE, NEGATIVE, LANDMARKS = 4000, 1500, 4500, 96
+#: Times that the machine is trained again with words it wrongly rejects.
+ROUNDS = 2
 #: A word is an example of toxicity if its documents would be toxic by chance with a probability below this.
 CHANCE = 1e-6
 #: Words of single letters in a row that are read as one.
@@ -119,19 +121,36 @@ def _codes(s: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield word[:n] == word[third:], code, DECAY ** (third - 2)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Used codes, and a dense word-by-code matrix of normalised features (for the bounded training sample)."""
-    s = spell_words(words)
-    word = np.repeat(np.arange(len(s.size)), s.size)
-    rows, codes, weights = [], [], []
-    for inside, code, weight in _codes(s):
-        rows.append(word[: len(code)][inside])
-        codes.append(code[inside])
-        weights.append(np.full(int(inside.sum()), weight))
-    used, column = np.unique(np.concatenate(codes), return_inverse=True)
-    out = np.zeros((len(s.size), len(used)), dtype=np.float32)
-    np.add.at(out, (np.concatenate(rows), column), np.concatenate(weights))
-    return used, out / _norms(s.size)[:, None].astype(np.float32)
+class Features:
+    """Normalised subsequence features of the example words, dense a few hundred words at a time."""
+
+    def __init__(self, words: list[str]) -> None:
+        s = spell_words(words)
+        word = np.repeat(np.arange(len(s.size)), s.size)
+        rows, codes, weights = [], [], []
+        for inside, code, weight in _codes(s):
+            rows.append(word[: len(code)][inside])
+            codes.append(code[inside])
+            weights.append(np.full(int(inside.sum()), weight))
+        self.rows = np.concatenate(rows)
+        order = np.argsort(self.rows, kind="stable")
+        self.rows = self.rows[order]
+        self.used, self.columns = np.unique(np.concatenate(codes)[order], return_inverse=True)
+        self.weights = np.concatenate(weights)[order] / _norms(s.size)[self.rows]
+        self.count = len(s.size)
+
+    def dense(self, first: int, last: int) -> np.ndarray:
+        a, b = np.searchsorted(self.rows, [first, last])
+        out = np.zeros((last - first, len(self.used)))
+        np.add.at(out, (self.rows[a:b] - first, self.columns[a:b]), self.weights[a:b])
+        return out
+
+    def pick(self, words: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.dense(int(w), int(w) + 1) for w in words])
+
+    def kernel(self, landmarks: np.ndarray) -> np.ndarray:
+        """Kernel of every word with each landmark."""
+        return np.concatenate([self.dense(a, min(a + 256, self.count)) @ landmarks.T for a in range(0, self.count, 256)])
 
 
 @dataclass
@@ -163,47 +182,41 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -30, 30)))
 
 
-def _spread(kernel: np.ndarray, count: int) -> np.ndarray:
-    """Rows far from one another: each next one is the least like those chosen."""
-    chosen = [0]
-    nearest = kernel[0].copy()
-    while len(chosen) < min(count, len(kernel)):
-        k = int(np.argmin(nearest))
-        chosen.append(k)
-        nearest = np.maximum(nearest, kernel[k])
-    return np.array(chosen)
-
+def train_words(toxic: list[str], clean: list[str], penalty: float = 200.0, steps: int = 40) -> Machine:
+    """A squared-hinge machine on Nystroem features of example words, by Newton steps.
 
-def train_words(toxic: list[str], clean: list[str], penalty: float = 20.0, steps: int = 30) -> Machine:
-    """A squared-hinge machine on Nystroem features of example words, by Newton steps."""
-    used, x = features([*toxic, *clean])
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    if not len(toxic) or not len(clean):
+    Landmarks are taken evenly from either list.
+    """
+    if not toxic or not clean:
         return Machine(np.zeros(1 << 18, np.float32), 1.0 if toxic else -1.0)
-    own = [_spread(part @ part.T, LANDMARKS) for part in (x[: len(toxic)], x[len(toxic) :])]
-    landmarks = x[np.concatenate([own[0], own[1] + len(toxic)])].astype(np.float64)
+    x = Features([*toxic, *clean])
+    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+    even = lambda n: np.unique(np.linspace(0, n - 1, min(n, LANDMARKS)).astype(int))
+    landmarks = x.pick(np.concatenate([even(len(toxic)), len(toxic) + even(len(clean))]))
     value, vector = np.linalg.eigh(landmarks @ landmarks.T)
     good = value > 1e-6 * value.max()
     half = vector[:, good] / np.sqrt(value[good])
-    phi = np.hstack([(x @ landmarks.T) @ half, np.ones((len(x), 1))])
-    share = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean)))
+    phi = np.hstack([x.kernel(landmarks) @ half, np.ones((x.count, 1))])
+    # either class weighs as much as the other, and `penalty` does not depend on the number of words
+    cost = penalty * np.where(y > 0, 50 / len(toxic), 50 / len(clean))
     w = np.zeros(phi.shape[1])
     for _ in range(steps):
         inside = y * (phi @ w) < 1
-        own_phi, c = phi[inside], penalty * share[inside] / len(y) * 100
-        hessian = np.eye(len(w)) + own_phi.T @ (own_phi * c[:, None])
-        step = np.linalg.solve(hessian, own_phi.T @ (c * y[inside]))
+        own, c = phi[inside], cost[inside]
+        step = np.linalg.solve(np.eye(len(w)) + own.T @ (own * c[:, None]), own.T @ (c * y[inside]))
         if np.abs(step - w).max() < 1e-6:
             break
         w = step
     table = np.zeros(1 << 18, dtype=np.float32)
-    table[used] = (half @ w[:-1]) @ landmarks
+    table[x.used] = (half @ w[:-1]) @ landmarks
     return Machine(table, float(w[-1]))
 
 
-def _calibrate(machine: Machine, margins: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> None:
-    """Fit the logistic to documents, the two classes weighing the same."""
-    share = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 0.5 / max(1, (labels <= 0).sum()))
+def _calibrate(machine: Machine, margins: np.ndarray, labels: np.ndarray, toxic_share: float, ridge: float = 1e-5) -> None:
+    """Fit the logistic to sampled documents; the classes weigh as among all labelled ones."""
+    share = np.where(
+        labels > 0, toxic_share / max(1, (labels > 0).sum()), (1 - toxic_share) / max(1, (labels <= 0).sum())
+    )
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
@@ -228,7 +241,7 @@ def train(
 
     Learns from a sample of at most 4,000 labelled documents of each class,
     those with the least hash of their id; texts that repeat count once.  All
-    counting runs on the cluster; the driver gets at most 6,000 words and as
+    counting runs on the cluster; the driver gets at most 9,000 words and as
     many margins as there are sampled documents.  Rows with a null id or label
     are left out, null texts have no words; an id with several labels is taken
     with each.  Without examples of both classes every document gets the same
@@ -245,23 +258,29 @@ def train(
     if len(sizes) < 2:
         own.unpersist()
         return train_words(["x"] * (1 in sizes), ["x"] * (1 not in sizes))
-    tokens = F.array_distinct(F.split(F.lower(F.regexp_replace("text", _CLEAN, "")), r"\s+"))
-    counts = own.select(F.explode(tokens).alias("w"), "_toxic").where("w <> ''").groupBy("w")
-    counts = counts.agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c")).persist()
+    found = own.withColumn("words", F.split(F.trim(F.lower(F.regexp_replace("text", _CLEAN, ""))), r"\s+"))
+    # a word counts once for each word before it: a copied passage shows it in one place only
+    before = F.expr("explode(transform(words, (w, i) -> struct(w, coalesce(get(words, i - 1), '') as p))) as e")
+    places = found.select("_toxic", before).select("_toxic", "e.w", "e.p").where("w <> ''").distinct()
+    counts = places.groupBy("w").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c")).persist()
     odds = float(np.log(sizes[1] / (sizes[0] + sizes[1])))
     surprise = F.col("t") * -odds - F.col("c") * 10
-    strong = counts.where(surprise > float(-np.log(CHANCE))).orderBy(F.desc(surprise), "w").limit(POSITIVE)
+    strong = counts.where(surprise > float(-np.log(CHANCE))).orderBy(F.desc("t"), "w").limit(POSITIVE)
     bad = [r["w"] for r in strong.select("w").collect()]
     fine = counts.where("c > 0")
     frequent = [r["w"] for r in fine.orderBy(F.desc("c"), "w").limit(NEGATIVE // 3).select("w").collect()]
     others = [r["w"] for r in fine.orderBy(F.xxhash64("w"), "w").limit(NEGATIVE - NEGATIVE // 3).select("w").collect()]
-    machine = train_words(bad, sorted({*frequent, *others} - {*bad}))
-    # once more, with the words of documents that are not toxic which the machine would reject
-    suspects = [r["w"] for r in _rejected(machine, fine.select("w")).limit(NEGATIVE).collect()]
-    if suspects:
-        machine = train_words(bad, sorted({*frequent, *others, *suspects} - {*bad}))
+    clean = sorted({*frequent, *others} - {*bad})
+    machine = train_words(bad, clean)
+    for _ in range(ROUNDS):  # once more, with the words of documents that are not toxic which the machine would reject
+        suspects = {r["w"] for r in _rejected(machine, fine.select("w")).limit(NEGATIVE // 3).collect()} - {*bad}
+        if suspects <= {*clean}:
+            break
+        clean = sorted({*clean, *suspects})
+        machine = train_words(bad, clean)
     seen = _margins(machine, own, "text", ["_toxic"]).toPandas()
-    _calibrate(machine, seen["_margin"].to_numpy(), seen["_toxic"].to_numpy().astype(float))
+    toxic_share = slim.agg(F.avg("_toxic")).first()[0]
+    _calibrate(machine, seen["_margin"].to_numpy(), seen["_toxic"].to_numpy().astype(float), toxic_share)
     own.unpersist()
     counts.unpersist()
     return machine
