@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from veridict.llm import oracles
 from veridict.llm.byte_bpe import op3_byte_bpe
 from veridict.llm.chat import op6_chat_format
 from veridict.llm.decontamination import op10_decontamination
+from veridict.llm.line_dedup import op1_line_dedup
 from veridict.llm.lm_scoring import op7_lm_scoring
 from veridict.llm.ngram_join import op2_ngram_jaccard
 from veridict.llm.passages import op4_substring_dedup
@@ -15,8 +17,8 @@ from veridict.llm.toxicity import op9_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_ngram_jaccard, op3_byte_bpe, op4_substring_dedup, op5_sharding, op6_chat_format, op7_lm_scoring,
+        op1_line_dedup, op2_ngram_jaccard, op3_byte_bpe, op4_substring_dedup, op5_sharding, op6_chat_format, op7_lm_scoring,
         op8_quality_rules, op9_toxicity, op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": oracles.LINE_DEDUP}
