@@ -1,6 +1,7 @@
-"""Registered queries over the driver tables, with their DuckDB counterparts."""
+"""All registered queries over the driver's tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, reliability, statistics, subsets
+
+__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "reliability", "statistics", "subsets"]

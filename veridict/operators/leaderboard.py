@@ -1,0 +1,20 @@
+"""Leaderboard tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def leaderboard(accuracy: DataFrame, cost: DataFrame, validity: DataFrame) -> DataFrame:
+    """Models by falling accuracy (then name), with cost and validity where known, rank and top-three mark."""
+    joined = accuracy.join(cost, "model", "left").join(validity, "model", "left")
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_acc"), F.lower("model"), "model"))
+    return joined.withColumn("rank", rank).withColumn("medal", F.when(F.col("rank") <= 3, F.col("rank")))
+
+
+def pareto_frontier(rows: DataFrame, cost: str = "cost", accuracy: str = "acc", eps: float = 1e-9) -> DataFrame:
+    """Rows that beat every row of no greater cost; ties in cost go to the better accuracy, then the name."""
+    over = Window.orderBy(cost, F.desc(accuracy), "model").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max(accuracy).over(over)
+    return rows.withColumn("_best", best).where(F.col("_best").isNull() | (F.col(accuracy) > F.col("_best") + eps)).drop("_best")
