@@ -31,7 +31,11 @@ def read_tree(spark: SparkSession, root: str, pattern: str, schema: str) -> Data
     """
     reader = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True)
     found = reader.option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", "_corrupt").json(root)
-    found = found.select("*", *(F.col(v).alias(k) for k, v in _META.items())).where("_corrupt is null").drop("_corrupt")
+    found = found.select("*", *(F.col(v).alias(k) for k, v in _META.items()))
+    # a row of which nothing could be read is no object; looking at its columns, not at the corrupt text alone,
+    # keeps Spark's column pruning legal whatever is selected later
+    names = [c for c in found.columns if c != "_corrupt" and c not in _META]
+    found = found.where(F.col("_corrupt").isNull() & F.coalesce(*(F.col(c).isNotNull() for c in names))).drop("_corrupt")
     return found.withColumns({"run_dir": F.regexp_replace("file_path", "/[^/]*$", ""), "run": _part(2), "generator": _part(3)})
 
 
@@ -219,7 +223,7 @@ def count_quiz_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def target_topics(spark: SparkSession, root: str) -> DataFrame:
     """file_path, line (from 0) and target_topic of every line of the quizzes, in order."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     each = files.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(lines).alias("line", "value"))
     return each.select("file_path", "line", F.get_json_object("value", "$.target_topic").alias("target_topic"))
@@ -269,7 +273,7 @@ def read_targets(spark: SparkSession, path: str, category: str = "Specialty", nu
     A targets file is a short list: it is read as one text, so that the order
     of its lines counts.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split(F.replace("value", F.lit("﻿"), F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
     cells = text.select(F.posexplode(lines).alias("ord", "line")).withColumn("c", F.from_csv("line", "a string, b string"))
     header = cells.where("ord = 0").select(F.trim("c.a").alias("a"), F.trim("c.b").alias("b")).first()
