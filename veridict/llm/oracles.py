@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veridict.llm import quality
+
 LINE_DEDUP = r"""
 WITH raw AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
@@ -43,3 +45,138 @@ SELECT d.doc_id,
        coalesce(k.n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents
+), gram AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+        FROM worded)
+), size AS (
+    SELECT doc_id, count(*) AS n FROM gram GROUP BY 1
+), pair AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM gram a JOIN gram b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+    SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+    SELECT doc_id AS node, doc_id AS r FROM documents UNION SELECT reach.node, link.y FROM reach JOIN link ON reach.r = link.x
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN size USING (doc_id) GROUP BY d.doc_id
+"""
+
+SHARDING = """
+WITH crc AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i))
+), coded AS (
+    SELECT doc_id, coalesce(source, chr(0)) AS source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+           hex(encode(coalesce(text, ''))) AS h, md5('17:' || doc_id) AS mix FROM documents
+), summed AS (
+    SELECT c.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 8), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM coded c, crc
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS total FROM summed
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2.0::DOUBLE * total), source, mix, doc_id) - 1 AS pos, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard,
+       (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
+
+LM_SCORING = """
+WITH bytes AS (
+    SELECT doc_id, '00000000' || hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), gram AS (
+    SELECT doc_id, substr(h, (2 * i + 1)::BIGINT, 10) AS g FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM bytes)
+), good AS (
+    SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), counts AS (
+    SELECT g, count(*) AS n, count(good.doc_id) AS t FROM gram LEFT JOIN good USING (doc_id) GROUP BY 1
+), model AS (
+    SELECT g, -ln((t + 1.0::DOUBLE / 256) / (sum(t) OVER h + 1)) AS target, -ln((n + 1.0::DOUBLE / 256) / (sum(n) OVER h + 1)) AS background
+    FROM counts WINDOW h AS (PARTITION BY substr(g, 1, 8))
+), mean AS (
+    SELECT doc_id, count(*) AS n, avg(target) AS target, avg(background) AS background FROM gram JOIN model USING (g) GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(target, 0), 6) AS target_loss,
+       round(coalesce(background, 0), 6) AS background_loss, round(coalesce(target - background, 0), 6) AS score
+FROM documents LEFT JOIN mean USING (doc_id)
+"""
+
+
+def quality_rules() -> str:
+    """Counts, votes and expectation-maximisation, an iteration a table."""
+    votes = quality.VOTES
+    right, belief = quality.RIGHT, quality.BELIEF
+
+    def logit(p: str) -> str:
+        terms = [
+            f"CASE {v} WHEN 1 THEN ln({p}.{v}_good / (1 - {p}.{v}_bad)) WHEN 0 THEN ln((1 - {p}.{v}_good) / {p}.{v}_bad) ELSE 0 END"
+            for v in votes
+        ]
+        return f"1 / (1 + exp(-(ln({p}.good / (1 - {p}.good)) + {' + '.join(terms)})))"
+
+    start = ", ".join(f"{right}::DOUBLE AS {v}_{k}" for v in votes for k in ("good", "bad"))
+    steps = [f"m0 AS MATERIALIZED (SELECT {right}::DOUBLE AS good, {start})"]
+    for k in range(quality.ITERATIONS):
+        sums = [f"(sum(n * q) + {belief * right}) / (sum(n) + {belief}) AS good"]
+        for v in votes:
+            for side, weight, vote in (("good", "q", 1), ("bad", "(1 - q)", 0)):
+                hit = f"coalesce(sum(n * {weight}) FILTER ({v} = {vote}), 0)"
+                every = f"coalesce(sum(n * {weight}) FILTER ({v} IS NOT NULL), 0)"
+                sums.append(f"({hit} + {belief * right}) / ({every} + {belief}) AS {v}_{side}")
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT c.*, {logit(f'm{k}')} AS q FROM cases c, m{k}))")
+    vote = "CASE WHEN {0} IS NULL THEN NULL WHEN {2} THEN 0 WHEN {1} THEN 1 END AS {3}".format
+    rules = ", ".join([
+        vote("n_words", "n_words >= 40", "n_words < 20", "v_length"),
+        vote("wl", "wl BETWEEN 3 AND 10", "wl < 2 OR wl > 15", "v_word_length"),
+        vote("sy", "sy <= 0.02", "sy > 0.1", "v_symbols"),
+        vote("dl", "dl <= 0.1", "dl > 0.3", "v_dup_lines"),
+        vote("rp", "rp <= 0.1", "rp > 0.2", "v_repeats"),
+        vote("up", "up <= 0.2", "up > 0.4", "v_upper"),
+        vote("le", "le >= 0.85", "le < 0.7", "v_letters"),
+        vote("va", "va >= 0.4 OR n_words >= 2000", "va < 0.2 AND n_words < 2000", "v_variety"),
+        vote("ma", "ma <= 0.1", "ma > 0.5", "v_marks"),
+    ])
+    share = lambda a, b: f"{a}::DOUBLE / nullif({b}, 0)"
+    names = ", ".join(votes)
+    return rf"""
+WITH raw AS (
+    SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ 	-
+]+', '', 'g') <> '') AS ls FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM raw)
+), twice AS (
+    SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1
+), counts AS (
+    SELECT r.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls)::BIGINT AS n_lines,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+           len(list_distinct(w)) AS n_distinct, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
+           length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks
+    FROM raw r LEFT JOIN covered USING (doc_id)
+), shares AS (
+    SELECT *, {share("word_chars", "n_words")} AS wl, {share("n_symbols", "n_words")} AS sy, {share("n_dup_lines", "n_lines")} AS dl,
+           {share("n_repeat_words", "n_words")} AS rp, {share("n_upper", "n_letters")} AS up, {share("n_letters", "word_chars")} AS le,
+           {share("n_distinct", "n_words")} AS va, {share("n_marks", "n_words")} AS ma FROM counts
+), voted AS MATERIALIZED (SELECT *, {rules} FROM shares),
+cases AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY {names}),
+{", ".join(steps)}
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {logit("p")} >= {quality.THRESHOLD} AS kept
+FROM voted, m{quality.ITERATIONS} p
+"""

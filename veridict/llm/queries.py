@@ -21,4 +21,12 @@ QUERIES = {
         op8_quality_rules, op9_toxicity, op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": oracles.LINE_DEDUP}
+#: No SQL for the others: a trained tokenizer's merges, windows of min-hashes, a dynamic program over turns,
+#: a kernel machine and spaced seeds are tested against brute force, exact round trips and held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op2_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op5_sharding": oracles.SHARDING,
+    "op7_lm_scoring": oracles.LM_SCORING,
+    "op8_quality_rules": oracles.quality_rules(),
+}
