@@ -333,7 +333,8 @@ def test_quality_em_learns_rules(spark):
             right = rng.random() < (0.95 if k % 2 else 0.7)
             row.append(None if rng.random() < 0.2 else int(good if right else not good))
         rows.append(tuple(row))
-    model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{v} int" for v in quality.VOTES)))
+    votes = spark.createDataFrame(rows, ", ".join(f"{v} int" for v in quality.VOTES))
+    model = quality.fit(votes, belief=0.002)
     assert model["good"] == pytest.approx(0.7, abs=0.04)
     for k, v in enumerate(quality.VOTES):
         for side in ("good", "bad"):

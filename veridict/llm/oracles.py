@@ -125,27 +125,28 @@ def quality_rules() -> str:
         ]
         return f"1 / (1 + exp(-(ln({p}.good / (1 - {p}.good)) + {' + '.join(terms)})))"
 
-    start = ", ".join(f"{right}::DOUBLE AS {v}_{k}" for v in votes for k in ("good", "bad"))
-    steps = [f"m0 AS MATERIALIZED (SELECT {right}::DOUBLE AS good, {start})"]
+    start = ", ".join(f"{right[k]}::DOUBLE AS {v}_{k}" for v in votes for k in ("good", "bad"))
+    steps = [f"m0 AS MATERIALIZED (SELECT {quality.GOOD}::DOUBLE AS good, {start})"]
     for k in range(quality.ITERATIONS):
-        sums = [f"(sum(n * q) + {belief * right}) / (sum(n) + {belief}) AS good"]
+        sums = [f"(sum(n * q) + {belief * quality.GOOD} * sum(n)) / ((1 + {belief}) * sum(n)) AS good"]
         for v in votes:
             for side, weight, vote in (("good", "q", 1), ("bad", "(1 - q)", 0)):
                 hit = f"coalesce(sum(n * {weight}) FILTER ({v} = {vote}), 0)"
                 every = f"coalesce(sum(n * {weight}) FILTER ({v} IS NOT NULL), 0)"
-                sums.append(f"({hit} + {belief * right}) / ({every} + {belief}) AS {v}_{side}")
+                sums.append(f"({hit} + {belief * right[side]} * sum(n)) / ({every} + {belief} * sum(n)) AS {v}_{side}")
         steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT c.*, {logit(f'm{k}')} AS q FROM cases c, m{k}))")
     vote = "CASE WHEN {0} IS NULL THEN NULL WHEN {2} THEN 0 WHEN {1} THEN 1 END AS {3}".format
     rules = ", ".join([
         vote("n_words", "n_words >= 40", "n_words < 20", "v_length"),
         vote("wl", "wl BETWEEN 3 AND 10", "wl < 2 OR wl > 15", "v_word_length"),
         vote("sy", "sy <= 0.02", "sy > 0.1", "v_symbols"),
-        vote("dl", "dl <= 0.1", "dl > 0.3", "v_dup_lines"),
-        vote("rp", "rp <= 0.1", "rp > 0.2", "v_repeats"),
+        vote("dl", "dl <= 0.1", "dl > 0.4", "v_dup_lines"),
+        vote("rp", "rp <= 0.1", "rp > 0.3", "v_repeats"),
         vote("up", "up <= 0.2", "up > 0.4", "v_upper"),
         vote("le", "le >= 0.85", "le < 0.7", "v_letters"),
         vote("va", "va >= 0.4 OR n_words >= 2000", "va < 0.2 AND n_words < 2000", "v_variety"),
         vote("ma", "ma <= 0.1", "ma > 0.5", "v_marks"),
+        vote("ba", "ba <= 0.05", "ba > 0.15", "v_bare"),
     ])
     share = lambda a, b: f"{a}::DOUBLE / nullif({b}, 0)"
     names = ", ".join(votes)
@@ -166,12 +167,13 @@ WITH raw AS (
            length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls)::BIGINT AS n_lines,
            (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
            len(list_distinct(w)) AS n_distinct, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
-           length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks
+           length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks,
+           len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n_bare
     FROM raw r LEFT JOIN covered USING (doc_id)
 ), shares AS (
     SELECT *, {share("word_chars", "n_words")} AS wl, {share("n_symbols", "n_words")} AS sy, {share("n_dup_lines", "n_lines")} AS dl,
            {share("n_repeat_words", "n_words")} AS rp, {share("n_upper", "n_letters")} AS up, {share("n_letters", "word_chars")} AS le,
-           {share("n_distinct", "n_words")} AS va, {share("n_marks", "n_words")} AS ma FROM counts
+           {share("n_distinct", "n_words")} AS va, {share("n_marks", "n_words")} AS ma, {share("n_bare", "n_words")} AS ba FROM counts
 ), voted AS MATERIALIZED (SELECT *, {rules} FROM shares),
 cases AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY {names}),
 {", ".join(steps)}

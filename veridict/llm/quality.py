@@ -23,8 +23,10 @@ SPACES, SIGNS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 8
 #: Iterations at most, and the change of any parameter at which they end.
 ITERATIONS, SETTLED = 40, 1e-6
-#: Weight of the prior belief that a rule is right four times of five, in documents.
-BELIEF, RIGHT = 20.0, 0.8
+#: Prior belief: four of five documents are good; a rule rarely votes against a good one, and finds one kind of
+#: bad ones, so about a seventh of them.  It weighs as much as all documents do, at every size: without it the
+#: most frequent kind of bad document would be the only one that counts as bad.
+BELIEF, GOOD, RIGHT = 1.0, 0.8, {"good": 0.97, "bad": 0.15}
 THRESHOLD = 0.5
 
 
@@ -43,23 +45,26 @@ def rules() -> dict[str, Column]:
     lines, repeats = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words")
     upper, letters = _share("n_upper", "n_letters"), _share("n_letters", "word_chars")
     variety, marks = _share("n_distinct_words", "n_words"), _share("n_marks", "n_words")
+    bare = _share("n_bare_words", "n_words")
     words = F.col("n_words")
     return {
         "v_length": _vote(words, words >= 40, words < 20),
         "v_word_length": _vote(length, length.between(3, 10), (length < 2) | (length > 15)),
         "v_symbols": _vote(signs, signs <= 0.02, signs > 0.1),
-        "v_dup_lines": _vote(lines, lines <= 0.1, lines > 0.3),
-        "v_repeats": _vote(repeats, repeats <= 0.1, repeats > 0.2),
+        "v_dup_lines": _vote(lines, lines <= 0.1, lines > 0.4),
+        "v_repeats": _vote(repeats, repeats <= 0.1, repeats > 0.3),
         "v_upper": _vote(upper, upper <= 0.2, upper > 0.4),
         "v_letters": _vote(letters, letters >= 0.85, letters < 0.7),
         "v_variety": _vote(variety, (variety >= 0.4) | (words >= 2000), (variety < 0.2) & (words < 2000)),
         "v_marks": _vote(marks, marks <= 0.1, marks > 0.5),
+        "v_bare": _vote(bare, bare <= 0.05, bare > 0.15),
     }
 
 
 #: Names of the votes, in the order of ``rules``.
 VOTES = (
     "v_length", "v_word_length", "v_symbols", "v_dup_lines", "v_repeats", "v_upper", "v_letters", "v_variety", "v_marks",
+    "v_bare",
 )
 
 _HASHES = f"transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW})))"
@@ -80,11 +85,11 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars (code points in words), n_symbols, n_lines (lines with
     a word), n_dup_lines (those equal to an earlier line), n_repeat_words
     (words in 8-word windows found twice or more), n_distinct_words, n_letters,
-    n_upper, n_marks ("!" and "?").  Columns of these names are replaced.
+    n_upper, n_marks ("!" and "?"), n_bare_words (without a letter or digit).  Columns of these names are replaced.
     """
     names = (
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words",
-        "n_letters", "n_upper", "n_marks", "words", "lines", "hashes",
+        "n_letters", "n_upper", "n_marks", "n_bare_words", "words", "lines", "hashes",
     )
     whole = F.coalesce(F.col(text), F.lit(""))
     plain = F.translate(whole, SPACES[1:], " " * 5)
@@ -109,6 +114,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
+        F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare_words"),
         F.when(repeated, F.expr(_COVERED)).otherwise(0).cast("long").alias("n_repeat_words"),
     )
 
@@ -123,15 +129,16 @@ def posterior(model: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def fit(votes: DataFrame) -> dict[str, float]:
+def fit(votes: DataFrame, belief: float = BELIEF) -> dict[str, float]:
     """Estimated share of good documents ("good") and, for each rule, how often
     it is right about good ones ("<rule>_good") and bad ones ("<rule>_bad").
 
-    ``votes`` has the columns VOTES; every row counts.  With no rows, or for a
+    ``votes`` has the columns VOTES; every row counts.  ``belief`` is the weight
+    of the prior belief, in numbers of all documents.  With no rows, or for a
     rule that never votes, the prior belief stands.
     """
     cases = written(votes.groupBy(*VOTES).agg(F.count("*").alias("n")).coalesce(1))
-    model = {"good": RIGHT} | {f"{v}_{k}": RIGHT for v in VOTES for k in ("good", "bad")}
+    model = {"good": GOOD} | {f"{v}_{k}": RIGHT[k] for v in VOTES for k in RIGHT}
     for _ in range(ITERATIONS):
         q = F.col("q")
         sums = [F.sum(F.col("n") * q).alias("good"), F.sum(F.col("n").cast("double")).alias("all")]
@@ -141,10 +148,11 @@ def fit(votes: DataFrame) -> dict[str, float]:
                 sums += [F.sum(voted).alias(f"{v}_{k}_all"), F.sum(F.when(F.col(v) == right, F.col("n") * weight)).alias(f"{v}_{k}")]
         row = cases.withColumn("q", posterior(model)).agg(*sums).first().asDict()
         seen = lambda name, row=row: row[name] or 0.0
-        after = {"good": (seen("good") + BELIEF * RIGHT) / (seen("all") + BELIEF)}
+        weight = belief * seen("all") or 1.0
+        after = {"good": (seen("good") + weight * GOOD) / (seen("all") + weight)}
         for v in VOTES:
-            for k in ("good", "bad"):
-                after[f"{v}_{k}"] = (seen(f"{v}_{k}") + BELIEF * RIGHT) / (seen(f"{v}_{k}_all") + BELIEF)
+            for k, right in RIGHT.items():
+                after[f"{v}_{k}"] = (seen(f"{v}_{k}") + weight * right) / (seen(f"{v}_{k}_all") + weight)
         change = max(abs(after[k] - model[k]) for k in model)
         model = after
         if change < SETTLED:
