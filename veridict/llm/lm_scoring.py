@@ -32,7 +32,7 @@ ORDER = 5
 VOCABULARY = 256
 #: Weight of the uniform distribution, in counts.
 SMOOTHING = 1.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def grams(column: pa.Array, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -141,4 +141,5 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's closeness to the documents labelled as of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return scores(docs, good)
+    found = scores(docs, good)
+    return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
