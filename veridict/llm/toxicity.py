@@ -122,7 +122,7 @@ def _codes(s: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
 
 
 class Features:
-    """Normalised subsequence features of the example words, dense a few hundred words at a time."""
+    """Normalised subsequence features of the example words, dense a few dozen words at a time."""
 
     def __init__(self, words: list[str]) -> None:
         s = spell_words(words)
@@ -150,7 +150,8 @@ class Features:
 
     def kernel(self, landmarks: np.ndarray) -> np.ndarray:
         """Kernel of every word with each landmark."""
-        return np.concatenate([self.dense(a, min(a + 256, self.count)) @ landmarks.T for a in range(0, self.count, 256)])
+        step = 64
+        return np.concatenate([self.dense(a, min(a + step, self.count)) @ landmarks.T for a in range(0, self.count, step)])
 
 
 @dataclass
