@@ -1,19 +1,22 @@
 """Exact Jaccard join of documents by word n-grams.
 
-The document by n-gram incidence matrix is multiplied with its transpose block
-by block.  N-gram space is cut by hash into as many column blocks as documents
-of a size class may differ in n-grams, plus a few: two documents that reach
-the similarity then have an identical, non-empty sub-row in some block, since
-their difference is too small to touch every block.  Only such pairs can have
-an entry that matters in the product; for them overlaps are counted exactly
-over all n-grams, and pairs below the bound that their sizes give are dropped.
+The document by n-gram incidence matrix is multiplied with its transpose in
+blocks, and only where an entry can matter.  N-gram space is cut by hash into
+as many column blocks as documents of a size class may differ in n-grams, plus
+a few: two documents that reach the similarity then have an identical,
+non-empty sub-row in some column block, since their difference is too small to
+touch every one.  Documents connected by equal sub-rows are a family; only
+within families can documents link.
+
+A family's rows are cut into row blocks of bounded size, and every two row
+blocks are one task: it accumulates the overlap of all their pairs (columns
+with many documents as a dense product, the others by their postings),
+discards pairs below the bound that the two sizes give, and returns the
+connected groups of what is left as stars.  So no task holds more than two row
+blocks, however large a family is, and pairs are never rows.
 
 Documents with equal n-gram sets are one class, represented by the smallest
-id.  Within a block, documents with the same sub-row are compared with one of
-them (the hub) first; whatever is thereby connected needs no further test, and
-the rest is tried with other hubs until no block holds two unconnected,
-untested classes.  So a group of copies costs about as many comparisons as it
-has members, though no link between different components can be missed.
+id, and take part once.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridict.llm.tables import connected_components, forget, written
+from veridict.llm.tables import connected_components, written
 from veridict.llm.words import mix64, seeded, shingles, signed
 
-#: Rounds in which the blocks' members are compared with a hub before all remaining pairs are listed.
-HUB_ROUNDS = 4
+#: Bounds of a row block: documents, and n-grams of all of them (a longer document is a block of its own).
+BLOCK_ROWS, BLOCK_GRAMS = 1000, 250_000
+#: Share of the possible differences that is added in sub-rows which may go unused.
+SPARE_PERCENT = 18
+#: Columns with more documents than this are multiplied as a dense matrix.
+DENSE = 24
 
 
 def _floor_sum(total: int, percent: int) -> int:
@@ -46,14 +53,20 @@ def size_classes(limit: int, percent: int) -> np.ndarray:
 
 
 def _blocks_of(upper: int, percent: int) -> tuple[int, int]:
-    """Column blocks for documents of at most ``upper`` n-grams, and how many may be empty."""
+    """Column blocks for documents of at most ``upper`` n-grams, and how many sub-rows may go unused."""
     differ = _floor_sum(2 * upper, percent)
-    spare = 0 if differ == 0 else 2 + differ // 32
+    spare = differ * SPARE_PERCENT // 100
     return differ + 1 + spare, spare
 
 
 def signatures(values: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """Keys of the sub-rows of one document; ``values`` are its distinct n-gram hashes."""
+    """Keys of the sub-rows of one document; ``values`` are its distinct n-gram hashes, sorted.
+
+    Two similar documents agree in more sub-rows than may go unused, so each
+    may leave out its shortest ones, which documents that merely share a
+    passage would have in common.  Both keep every sub-row that is as long as
+    the longer of their two limits, and of those they agree in one at least.
+    """
     size = len(values)
     own = int(np.searchsorted(classes, size, "right")) - 1
     mixed, keys = mix64(values ^ seeded(77)), []
@@ -63,9 +76,8 @@ def signatures(values: np.ndarray, percent: int, classes: np.ndarray) -> np.ndar
         filled = np.bincount(at.astype(np.int64), minlength=blocks)
         total = np.zeros(blocks, dtype=np.uint64)  # values are sorted, so a block's values are a run
         total[filled > 0] = np.add.reduceat(mixed, (np.cumsum(filled) - filled)[filled > 0])
-        which = np.arange(blocks)
-        if blocks - np.count_nonzero(filled) <= spare:
-            which = which[filled > 0]
+        shortest = int(np.partition(filled, spare)[spare])  # no more than `spare` sub-rows are shorter
+        which = np.flatnonzero(filled >= shortest)
         salt = (which.astype(np.uint64) << np.uint64(20)) + np.uint64(scheme + 1)
         keys.append(mix64(total[which] + filled[which].astype(np.uint64) * seeded(78) + salt * seeded(79)))
     return np.concatenate(keys)
@@ -75,12 +87,6 @@ def _distinct(part, i: int) -> np.ndarray:
     return np.unique(part.hashes[part.bounds[i] : part.bounds[i + 1]])
 
 
-def _list(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate([*values, np.zeros(0, np.uint64)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat)))
-
-
 def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, and a 128-bit digest of the n-gram set (null if empty)."""
 
@@ -123,115 +129,151 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             for part in shingles(batch.column("text"), size, short=True):
                 own = [_distinct(part, i) for i in range(len(part))]
                 ids = batch.column("doc_id").slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([ids, _list(own)], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "grams"])
 
-    return docs.mapInArrow(run, "doc_id bigint, grams array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, grams binary")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc_id), sorted by key in each partition, whose key stands in two at least.
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): each row's document beside the first of the same key; rows come sorted by key in each partition.
 
-    A run of one key is never held: only its first row waits for the next.
+    Only the first row of the current key is held, so a key may have any
+    number of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key = held_doc = None
-        written_last = True
+        key_held, head_held = None, None
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False)
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             if not len(key):
                 continue
-            if held_key is not None:
-                key, doc = np.concatenate([[held_key], key]), np.concatenate([[held_doc], doc])
-            same = key[1:] == key[:-1]
-            keep = np.zeros(len(key), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            first_done = held_key is not None and written_last
-            if first_done:
-                keep[0] = False
-            held_key, held_doc, written_last = key[-1], doc[-1], bool(keep[-1]) or (first_done and len(key) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep])], names=["key", "doc_id"])
-
-    return rows.mapInArrow(run, "key bigint, doc_id bigint")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose n-gram sets reach the similarity."""
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
+            begins = np.concatenate([[key[0] != key_held or key_held is None], key[1:] != key[:-1]])
+            starts = np.flatnonzero(begins)
+            run_of = np.cumsum(begins) - 1
+            head = doc[starts[run_of]] if len(starts) else np.full(len(doc), head_held)
+            if len(starts):
+                head = np.where(run_of < 0, head_held if head_held is not None else 0, head)
+            keep = head != doc
+            key_held, head_held = key[-1], head[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(head[keep]), pa.array(doc[keep])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common n-grams of every row of ``left`` with every row of ``right`` (indices into ``sets``)."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    number = np.diff(np.concatenate([starts, [len(flat)]]))
+    heavy = np.flatnonzero(number > DENSE)
+    column = np.repeat(np.arange(len(heavy)), number[heavy])
+    dense = np.zeros((n, len(heavy)), dtype=np.float32)
+    dense[row[np.isin(np.repeat(np.arange(len(starts)), number), heavy)], column] = 1
+    total = (dense[left] @ dense[right].T).astype(np.int64)
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for size in np.unique(number[(number > 1) & (number <= DENSE)]):
+        columns = starts[number == size]
+        for at in range(0, len(columns), 2_000_000 // (size * size)):
+            members = row[columns[at : at + 2_000_000 // (size * size), None] + np.arange(size)]
+            x, y = place[0, members][:, :, None], place[1, members][:, None, :]
+            both = (x >= 0) & (y >= 0) & (members[:, :, None] != members[:, None, :])
+            total += np.bincount((x * len(right) + y)[both], minlength=total.size).reshape(total.shape)
+    return total
+
+
+def linked_groups(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Stars that connect the rows which links between the two sides connect.
+
+    ``side`` is 0 or 1 for each row, or 0 for all if the rows are to be
+    compared with one another.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    if not len(left) or not len(right):
+        return []
+    common = overlaps(sets, left, right)
+    union = size[left][:, None] + size[right][None, :] - common
+    link = 100 * common >= percent * union
+    link[left[:, None] == right[None, :]] = False
+    out, fresh = [], np.ones(len(sets), dtype=bool)
+    for root in range(len(sets)):
+        if not fresh[root]:
+            continue
+        fresh[root], front = False, np.array([root])
+        while len(front):
+            near = np.concatenate(
+                [right[link[np.isin(left, front)].any(axis=0)], left[link[:, np.isin(right, front)].any(axis=1)]]
+            )
+            front = np.unique(near)
+            front = front[fresh[front]]
+            fresh[front] = False
+            out += [(root, int(x)) for x in front]
+    return out
+
+
+def _product(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of every task; rows (task, side, doc_id, grams) come sorted by task in each partition."""
+
+    def solve(ids: np.ndarray, side: np.ndarray, grams: list[bytes]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(g, dtype=np.uint64) for g in grams]
+        return [(int(ids[a]), int(ids[b])) for a, b in linked_groups(sets, side, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), [])
+        out: list[tuple[int, int]] = []
+
+        def emit() -> pa.RecordBatch:
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            x, y = batch.column("x"), batch.column("y")
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
-def _links(docs: DataFrame, only: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Component of every document of ``only`` that shares a sub-row with another of them."""
-    spark = docs.sparkSession
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "doc_id", "side")]
+            task, ids, side = (np.concatenate([h, o]) for h, o in zip(held, own, strict=False))
+            grams = held[3] + batch.column("grams").to_pylist()
+            cuts = np.flatnonzero(task[1:] != task[:-1]) + 1
+            at = 0
+            for to in cuts:
+                out += solve(ids[at:to], side[at:to], grams[at:to])
+                at = to
+            held = (task[at:], ids[at:], side[at:], grams[at:])  # one task's rows at most
+            yield emit()
+        if len(held[0]):
+            out += solve(held[1], held[2], held[3])
+        yield emit()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """doc_id and component of every document of ``reps`` that links with another; reps has doc_id and n_shingles."""
     rows = _sub_rows(docs, size, percent)
-    found = _shared(rows.repartition("key").sortWithinPartitions("key", "doc_id"))
-    found = written(found.join(only, "doc_id", "left_semi"))
-    if found.isEmpty():
+    stars = written(_stars(rows.repartition("key").sortWithinPartitions("key", "doc_id")).distinct())
+    if stars.isEmpty():
         return None
-    # blocks with the same members are one group: keep one key of each
-    members = found.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("lo"),
-        F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))).alias("s"),
-        F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).alias("t"),
+    family = connected_components(stars).withColumnRenamed("node", "doc_id")
+    family = written(family.join(reps, "doc_id"))
+    sizes = family.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    members = family.join(sizes.where("rows > 1").select("component", parts.alias("parts")), "component")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    # a row block meets every row block of its family: as many copies of a row as the family has blocks
+    tasks = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = tasks.select(
+        "doc_id", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"),
+        (F.col("i") > F.col("j")).cast("tinyint").alias("side"),
     )
-    distinct = members.where("n > 1").groupBy("n", "lo", "s", "t").agg(F.min("key").alias("key")).select("key")
-    groups = written(found.join(distinct, "key"))
-    forget(found)
-    sets = written(_sets(docs.join(groups.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), size))
-    schema = "a bigint, b bigint"
-    links, tested = spark.createDataFrame([], schema), spark.createDataFrame([], schema)
-    component = groups.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("component"))
-    live = groups
-    for turn in range(HUB_ROUNDS + 1):
-        labelled = live.join(component, "doc_id")
-        spread = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-        live = written(labelled.join(spread.where("p < q").select("key"), "key"))
-        if live.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
-            rank = F.struct(
-                (F.coalesce(F.col("d"), F.lit(0)) * (1 if turn % 2 else 0)).alias("d"),
-                F.xxhash64(F.lit(turn), F.col("doc_id")).alias("r"), F.col("doc_id").alias("h"), F.col("component").alias("c"),
-            )
-            hubs = live.join(degree, "doc_id", "left").groupBy("key").agg(F.max(rank).alias("hub"))
-            pairs = live.join(hubs, "key").where("component <> hub.c").select("doc_id", F.col("hub.h").alias("o"))
-        else:  # what no hub has settled: all pairs of different components in a block
-            other = live.select("key", F.col("doc_id").alias("o"), F.col("component").alias("c"))
-            pairs = live.join(other, "key").where("component < c").select("doc_id", "o")
-        pairs = pairs.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = written(_linked(pairs, sets, percent))
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-        component = component.select("doc_id").join(
-            connected_components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left"
-        ).select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        component = written(component)
-        live = live.select("key", "doc_id")
-    forget(sets)
-    return component
+    sets = _sets(docs.join(members.select("doc_id"), "doc_id", "left_semi"), size)
+    joined = tasks.join(sets, "doc_id").repartition("task").sortWithinPartitions("task")
+    links = _product(joined, percent)
+    return connected_components(links).withColumnRenamed("node", "doc_id")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +293,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "do
     profiles = written(_profiles(slim, size))
     classes = profiles.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = written(classes)
-    linked = _links(slim, classes.select(F.col("rep").alias("doc_id")), size, percent)
+    linked = _links(slim, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), size, percent)
     if linked is not None:
         named = classes.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left")
         classes = named.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("rep"))
