@@ -270,7 +270,9 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
         "doc_id", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"),
         (F.col("i") > F.col("j")).cast("tinyint").alias("side"),
     )
-    sets = _sets(docs.join(members.select("doc_id"), "doc_id", "left_semi"), size)
+    # shuffled at every size: nothing bounds the number of ids, and what runs on little data should be what runs on much
+    wanted = members.select("doc_id").hint("merge")
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), size)
     joined = tasks.join(sets, "doc_id").repartition("task").sortWithinPartitions("task")
     links = _product(joined, percent)
     return connected_components(links).withColumnRenamed("node", "doc_id")
