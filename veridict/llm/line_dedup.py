@@ -7,10 +7,12 @@ earliest line stays.
 
 All variants of a line with one word left out are hashed and joined.  Equal
 variants with the same place left out are lines with one word replaced; a
-whole line equal to another's variant is that line with one word inserted.
-Edit distance is then verified on the words.  Only lines that can have a
-neighbour emit variants: one edit leaves the first or the last half of a line
-as it is, so a line none of whose halves occurs in another line is done.
+whole line equal to another's variant is that line with one word inserted (a
+variant is hashed as what is before and after the gap, so the whole line
+stands with a gap at each place).  Edit distance is then verified on the
+words.  One edit leaves the first or the last half of a line as it is: a line
+none of whose halves occurs in another line has no neighbour and emits
+nothing, and others emit variants of the other half only.
 
 Every group is reduced to its earliest member by an aggregation with map-side
 combining and joined back, so a line that makes up a third of all lines is
@@ -34,23 +36,34 @@ def _words(line: str) -> str:
     return f"array_remove(split(translate({line}, '\\t\\u000b\\u000c\\r', '    '), ' '), '')"
 
 
-def _half(scheme: str, first: bool) -> str:
-    """SQL for the key of a line's first or last half, as if the line had ``scheme`` words."""
-    part = f"slice(_words, 1, ({scheme}) div 2)" if first else f"slice(_words, div_from, n - div_from + 1)"
-    part = part.replace("div_from", f"(n - (({scheme}) - ({scheme}) div 2) + 1)")
-    return f"if({scheme} >= {MIN_WORDS}, xxhash64({scheme}, {first}, {part}), null)"
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_doc, _line, n, h1, h2, k1..k4) of every line with words."""
+    """(_doc, _line, h1, h2, k1..k4) of every line with words.
+
+    A line of n words is cut as a line of n words and as one of n - 1 words
+    that has got one more; the four keys name the cut and the half.  Of the
+    four halves one is in both cuts, so three are hashed.  The halves of the
+    first cut also tell lines apart (h1, h2).
+    """
     split = docs.select("_doc", F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
     split = split.select("_doc", "_line", F.expr(_words("_words")).alias("_words"))
     split = split.withColumn("n", F.size("_words")).where("n > 0")
-    return split.select(
+    odd, long = F.col("n") % 2 == 1, F.col("n") >= MIN_WORDS
+    halves = split.select(
         "_doc", "_line", "n",
-        F.expr("xxhash64(_words)").alias("h1"), F.expr("xxhash64(1, _words)").alias("h2"),
-        F.expr(_half("n", True)).alias("k1"), F.expr(_half("n", False)).alias("k2"),
-        F.expr(_half("n - 1", True)).alias("k3"), F.expr(_half("n - 1", False)).alias("k4"),
+        F.expr("xxhash64(slice(_words, 1, n div 2))").alias("a"),
+        F.expr("xxhash64(slice(_words, n div 2 + 1, n))").alias("b"),
+        F.when(F.col("n") <= MIN_WORDS, None).when(odd, F.expr("xxhash64(slice(_words, n div 2 + 2, n))"))
+        .otherwise(F.expr("xxhash64(slice(_words, 1, n div 2 - 1))")).alias("c"),
+    )
+    first = lambda scheme, half: F.xxhash64(scheme, F.lit("first"), half)
+    last = lambda scheme, half: F.xxhash64(scheme, F.lit("last"), half)
+    n, less, a, b, c = F.col("n"), F.col("n") - 1, F.col("a"), F.col("b"), F.col("c")
+    shorter = F.col("n") > MIN_WORDS
+    return halves.select(
+        "_doc", "_line", F.xxhash64(n, a).alias("h1"), F.xxhash64(n, b).alias("h2"),
+        F.when(long, first(n, a)).alias("k1"), F.when(long, last(n, b)).alias("k2"),
+        F.when(shorter, first(less, F.when(odd, a).otherwise(c))).alias("k3"),
+        F.when(shorter, last(less, F.when(odd, c).otherwise(b))).alias("k4"),
     )
 
 
@@ -60,24 +73,33 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ``distinct`` has one row for each different line: its first place
     (_place, _doc, _line) and the keys of its halves.
     """
-    keys = F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("k")
-    halves = distinct.select("_place", "_doc", "_line", keys).where("k is not null")
+    keys = F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("w", "k")
+    halves = distinct.select("_doc", "_line", keys).where("k is not null")
     met = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    alive = halves.join(met, "k").select("_doc", "_line").distinct()
-    wanted = alive.groupBy("_doc").agg(F.collect_list("_line").alias("_wanted"))
+    alive = halves.join(met, "k").groupBy("_doc", "_line").agg(*(F.bool_or(F.col("w") == i).alias(f"f{i + 1}") for i in range(4)))
+    wanted = alive.groupBy("_doc").agg(F.collect_list(F.struct("_line", "f1", "f2", "f3", "f4")).alias("_wanted"))
     # at most the lines of one document in an array
     lines = docs.join(wanted, "_doc").withColumn("_all", F.split("_text", "\n"))
-    lines = lines.select("_doc", F.explode("_wanted").alias("_line"), F.col("_all"))
-    lines = lines.select("_doc", "_line", F.expr(_words("get(_all, _line)")).alias("_words"))
+    lines = lines.select("_doc", F.explode("_wanted").alias("e"), F.col("_all")).select("_doc", "e.*", "_all")
+    lines = lines.select("_doc", "_line", "f1", "f2", "f3", "f4", F.expr(_words("get(_all, _line)")).alias("_words"))
     lines = written(lines.withColumn("_place", F.expr(_PLACE)))
-    variant = "xxhash64(concat(slice(_words, 1, i), slice(_words, i + 2, size(_words))))"
-    variants = f"transform(sequence(0, size(_words) - 1), i -> struct(i, {variant} as v))"
-    deleted = lines.select("_place", F.explode(F.expr(variants)).alias("e")).select("_place", "e.i", "e.v")
-    rows = (
-        deleted.select("_place", F.expr("xxhash64('replaced', i, v)").alias("k"), F.lit("replaced").alias("kind"))
-        .unionByName(deleted.select("_place", F.expr("xxhash64('inserted', v)").alias("k"), F.lit("longer").alias("kind")))
-        .unionByName(lines.select("_place", F.expr("xxhash64('inserted', xxhash64(_words))").alias("k"), F.lit("shorter").alias("kind")))
-    )
+    # p[i] is the hash of the first i words, s[i] of the last i: a variant's hash takes one step
+    chain = "aggregate({0}, array(42L), (a, w) -> concat(a, array(xxhash64(element_at(a, -1), w))))"
+    ends = lines.select(
+        "_place", "f1", "f2", "f3", "f4", F.size("_words").alias("n"),
+        F.expr(chain.format("_words")).alias("p"), F.expr(chain.format("reverse(_words)")).alias("s"),
+    )
+    # only places in the half that the lines met do not have in common
+    several = [
+        ("n - 1", "f1 and i >= n div 2 or f2 and i < n div 2", "'replaced', i, p[i], s[n - 1 - i]", "replaced"),
+        ("n - 1", "f3 and i >= (n - 1) div 2 or f4 and i <= (n - 1) div 2", "'inserted', p[i], s[n - 1 - i]", "longer"),
+        ("n", "f1 and i >= n div 2 or f2 and i <= n div 2", "'inserted', p[i], s[n - i]", "shorter"),
+    ]
+    emitted = [
+        f"transform(filter(sequence(0, {last}), i -> {where}), i -> struct(xxhash64({key}) as k, '{kind}' as kind))"
+        for last, where, key, kind in several
+    ]
+    rows = ends.select("_place", F.explode(F.expr(f"concat({', '.join(emitted)})")).alias("e")).select("_place", "e.k", "e.kind")
     lowest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("_place")))
     groups = rows.groupBy("k").agg(
         F.count("*").alias("c"), lowest("replaced").alias("replaced"), lowest("longer").alias("longer"), lowest("shorter").alias("shorter")
