@@ -178,6 +178,42 @@ def test_passages(docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def tokens_of(*texts):
+    import numpy as np
+
+    number = collections.defaultdict(itertools.count().__next__)
+    return [np.array([number[tuple(w[k : k + 5])] for k in range(len(w) - 4)], dtype=np.uint32) for w in texts]
+
+
+def test_common_stretches_in_parts():
+    """An exact passage inside a loosely edited copy, and a passage with words inserted in its middle."""
+    w = [f"w{i}" for i in range(160)]
+    loose = [f"e{i}" if i >= 60 and i % 8 == 4 else t for i, t in enumerate(w)]
+    x, y = tokens_of(loose, w)
+    found = passages.common_stretches(x, y, 46, 0.8)
+    assert any(first == 0 and last >= 55 for first, last in found)
+    x, y = tokens_of(w[:45] + ["new"] * 7 + w[45:90], w[:90])
+    assert passages.common_stretches(x, y, 46, 0.8) == [(0, 92)]
+
+
+def test_common_stretches_against_brute_force():
+    """Every exact run of 46 tokens, also where tokens stand earlier in the other text; no stretch under the similarity."""
+    rng = random.Random(11)
+    for trial in range(25):
+        base = [f"w{i}" for i in range(400)]
+        other = base[100:130] + ["q"] + base[90:140] + ["r"] + base if trial % 2 else base
+        own = [f"e{i}" if rng.random() < 0.03 else t for i, t in enumerate(base)]
+        x, y = tokens_of(own, other)
+        found = passages.common_stretches(x, y, 46, 0.8)
+        runs = {tuple(y[k : k + 46]) for k in range(len(y) - 45)}
+        for k in range(len(x) - 45):
+            if tuple(x[k : k + 46]) in runs:
+                assert any(first <= k and k + 45 <= last for first, last in found), (trial, k)
+        for first, last in found:
+            part = set(x[first : last + 1].tolist())
+            assert last - first >= 45 and len(part & set(y.tolist())) >= 0.8 * len(part)
+
+
 def test_compact_windows():
     import numpy as np
 
