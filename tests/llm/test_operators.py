@@ -214,6 +214,29 @@ def test_common_stretches_against_brute_force():
             assert last - first >= 45 and len(part & set(y.tolist())) >= 0.8 * len(part)
 
 
+def test_passages_behind_an_earlier_fragment(spark):
+    """Every repeated run of 50 words is found although earlier documents hold fragments or edited variants of it."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for trial in range(24):
+        p = [word() for _ in range(55 + trial % 3)]
+        cut = p[:49] if trial % 3 == 0 else p[5:45] if trial % 3 == 1 else [t if k not in (18, 40) else "edited" for k, t in enumerate(p)]
+        variants = [cut, p, p, p[2:]] if trial % 4 else [cut + [word() for _ in range(70)] + p, p, cut, p]
+        rows += [(10 * trial + k, " ".join([word() for _ in range(30)] + v + [word() for _ in range(30)])) for k, v in enumerate(variants)]
+    got = collections.defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r.first_doc < r.doc_id
+        got[r.doc_id].append((r.first_word, r.first_word + r.n_words))
+    seen = {}
+    for i, text in rows:
+        w = text.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, run in enumerate(runs):
+            if seen.setdefault(run, i) < i:
+                assert any(first <= k and k + 50 <= end for first, end in got[i]), (i, k)
+
+
 def test_compact_windows():
     import numpy as np
 
