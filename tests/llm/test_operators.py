@@ -478,6 +478,27 @@ def test_masks_are_lossless():
         assert any(not {o + j for j in m} & {*gone} for m in decontamination.MASKS for o in range(13 - m[-1]))
 
 
+@pytest.mark.parametrize("n,k", [(n, n // 5) for n in range(9, 26)])
+def test_no_replacement_hides_an_overlap(n, k):
+    """Every placing of as many replaced words as 4 of 5 allows; a longer stretch holds one of these with no larger share."""
+    masks = [sum(1 << j for j in m) for m in decontamination.MASKS + (() if n >= decontamination.MIN_WORDS else (decontamination.SHORT_MASK,))]
+    seen = [m << o for m in masks for o in range(n) if m << o < 1 << n]
+    for gone in itertools.combinations(range(n), k):
+        lost = sum(1 << j for j in gone)
+        assert any(not m & lost for m in seen), gone
+
+
+def test_overlaps_with_any_fifth_replaced():
+    item = [f"w{j}" for j in range(25)]
+    for n, k in ((9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (15, 3)):
+        block = decontamination.Block([0], [" ".join(item[:n])])
+        gone = list(itertools.combinations(range(n), k))
+        texts = [" ".join(f"x{j}" if j in g else w for j, w in enumerate(item[:n])) for g in gone]
+        (hashed,) = decontamination.words(pa.array(texts))
+        found = {text for text, *_ in block.overlaps(hashed.hashes, hashed.bounds)}
+        assert len(found) == len(gone), (n, k)
+
+
 def test_word_hashes_tell_words_apart():
     from veridict.llm.words import words as hashed
 

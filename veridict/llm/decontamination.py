@@ -26,9 +26,15 @@ from pyspark.sql.types import StructType
 
 from veridict.llm.words import mix64, seeded, words
 
-#: Word positions that the masks look at.  The two together hit every stretch
-#: of 13 words of which any two were replaced.
-MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 7))
+#: Word positions that the masks look at.  The first two hit every stretch of 13
+#: words of which any two were replaced, all four every stretch of 13 words or
+#: more of which any fifth was: 15 with 3, 20 with 4 and 25 with 5 are enumerated,
+#: and a longer stretch holds one of 13 to 25 with no larger share replaced.
+MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 7), (0, 1, 2, 9, 10, 11), (0, 1, 2, 4, 5, 6))
+#: With the masks that fit, this one hits every item of 9 to 12 words of which any fifth was replaced.
+SHORT_MASK = (0, 1, 2, 4)
+#: Items of fewer words must occur unchanged.
+WHOLE_BELOW = 9
 #: Shortest overlap, in words; the whole item where it is shorter.
 MIN_WORDS = 13
 #: Items of fewer words than this hold too little to be told from chance.
@@ -63,15 +69,16 @@ class Block:
         counts = np.concatenate([p.counts for p in parts] or [np.zeros(0, np.int64)])
         self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.owner = np.repeat(np.arange(len(counts)), counts)
-        reach = max(m[-1] + 1 for m in MASKS)
-        short = sorted({int(c) for c in counts if LEAST_WORDS <= c < MIN_WORDS})
-        # items below MIN_WORDS must agree whole; those that a mask can't cover are hashed whole
-        self.masks = [*MASKS, *(tuple(range(c)) for c in short if c < reach)]
+        short = sorted({int(c) for c in counts if LEAST_WORDS <= c < WHOLE_BELOW})
+        # items below MIN_WORDS must agree over their whole length; the shortest are hashed whole
+        sizes = [(WHOLE_BELOW, None)] * len(MASKS) + [(WHOLE_BELOW, MIN_WORDS - 1)] + [(c, c) for c in short]
+        self.masks = [*MASKS, SHORT_MASK, *(tuple(range(c)) for c in short)]
         self.tables = []
         for salt, mask in enumerate(self.masks):
             seeds, at = _seeds(self.hashes, self.bounds, mask, salt)
             size = counts[self.owner[at]]
-            keep = size >= max(LEAST_WORDS, reach) if salt < len(MASKS) else size == len(mask)
+            least, most = sizes[salt]
+            keep = (size >= least) & (size <= (most or size))
             seeds, at = seeds[keep], at[keep]
             order = np.argsort(seeds, kind="stable")
             seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
