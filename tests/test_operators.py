@@ -135,3 +135,37 @@ def test_resampling(spark):
     assert {x.alpha for x in resample.alpha_bootstrap(r, "verdict", True, 50).collect()} == {1.0}
     ends = resample.proportion_bootstrap(spark.createDataFrame([("a", 30, 40)], "key string, c long, n long")).first()
     assert ends.low < 0.75 < ends.high
+
+
+def test_resampling_of_more_items_than_a_summary_holds(spark, monkeypatch):
+    """Items are counted by pattern on Spark; the draws agree with draws item by item."""
+    import numpy as np
+
+    monkeypatch.setattr(resample, "LARGEST", 1000)
+    random = np.random.default_rng(2)
+    n = 3000
+    topic, stratum = random.integers(0, 3, n), random.integers(0, 2, n) * (np.arange(n) > 2400)
+    y = (random.random((n, 2)) < 0.6 + 0.02 * topic[:, None]).astype(int)
+    rows = [(i, l + 1, int(y[i, l])) for i in range(n) for l in range(2)]
+    reps = resample.paired_bootstrap(spark.createDataFrame(rows, "item long, llm int, y int"), 400)
+    for r in reps.groupBy("llm").agg(F.avg("mean").alias("m"), F.stddev("mean").alias("s")).collect():
+        share = y[:, r.llm - 1].mean()
+        error = (share * (1 - share) / n) ** 0.5
+        assert abs(r.m - share) < 5 * error / 20 and 0.8 < r.s / error < 1.2
+    value = y.mean(1)
+    items = spark.createDataFrame([(i, float(value[i]), f"t{topic[i]}", f"q{stratum[i]}") for i in range(n)], "item long, value double, topic string, stratum string")
+
+    def between(labels):
+        return sum(value[labels == t].sum() ** 2 / (labels == t).sum() for t in range(3))
+
+    def permuted():
+        labels = topic.copy()
+        for s in range(2):
+            labels[stratum == s] = random.permutation(labels[stratum == s])
+        return labels
+
+    least, inner = between(topic), np.array([between(permuted()) for _ in range(1000)])
+    f = ((least - value.sum() ** 2 / n) / 2) / (((value**2).sum() - least) / (n - 3))
+    got = resample.topic_permutation(items, 500).first()
+    assert abs(got.f - f) < 1e-6 and abs(got.p_perm - (inner >= least - 1e-9).mean()) < 0.1
+    assert got == resample.topic_permutation(items.repartition(5), 500).first()

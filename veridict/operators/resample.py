@@ -1,13 +1,14 @@
 """Bootstrap and permutation, a replicate a row.
 
 Replicates are rows of ``spark.range`` and run in Arrow batches on the
-executors; what they resample is a summary whose size does not depend on the
-number of raw rows beyond items and models.  Streams of random numbers belong
-to (seed, replicate), so results do not depend on partitioning.
+executors; what they resample is a summary of patterns with counts, whose size
+does not depend on the number of items.  Streams of random numbers belong to
+(seed, replicate) or (seed, stratum), so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -30,15 +31,18 @@ def _summary(df: DataFrame, columns: int) -> pd.DataFrame:
 
 def paired_bootstrap(attempts: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """replicate, llm, mean: resampled means of items that every llm has tried, all llms on the same draw."""
-    wide = attempts.groupBy("item").pivot("llm").agg(F.max("y"))
-    matrix = _summary(wide.dropna().orderBy("item"), len(wide.columns)).drop(columns="item")
-    names, x = list(matrix.columns), matrix.to_numpy(dtype=np.float64)
+    wide = attempts.groupBy("item").pivot("llm").agg(F.max("y")).dropna()
+    names = [c for c in wide.columns if c != "item"]
+    # items with the same outcomes are one pattern, and a replicate is one multinomial draw
+    counts = wide.groupBy(*names).agg(F.count("*").alias("_n")).orderBy(*names)
+    patterns = _summary(counts, len(names) + 1)
+    x, c = patterns[names].to_numpy(dtype=np.float64), patterns["_n"].to_numpy(dtype=np.int64)
+    n = int(c.sum())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b in batch["id"]:
-                n = len(x)
-                weight = np.random.default_rng([seed, int(b)]).multinomial(n, np.full(n, 1 / n)) if n else np.zeros(0)
+                weight = np.random.default_rng([seed, int(b)]).multinomial(n, c / n) if n else None
                 means = weight @ x / n if n else np.full(len(names), np.nan)
                 yield pd.DataFrame({"replicate": int(b), "llm": [int(v) for v in names], "mean": means})
 
@@ -114,35 +118,72 @@ def proportion_bootstrap(counts: DataFrame, iterations: int = 1000, seed: int =
     return slim.mapInPandas(run, "key string, low double, high double")
 
 
+#: A stratum of at most this many items is permuted item by item, a larger one drawn by counts.
+_DIRECT = 2000
+
+
+def _permuted_totals(topics: np.ndarray, values: np.ndarray, counts: np.ndarray, random, iterations: int) -> tuple[np.ndarray, np.ndarray]:
+    """(topics, replicates by topics): sums of values after the topics of one stratum are permuted."""
+    own, place = np.unique(topics, return_inverse=True)
+    size = np.bincount(place, counts).astype(np.int64)
+    different, kind = np.unique(values, return_inverse=True)
+    colours = np.bincount(kind, counts).astype(np.int64)
+    out = np.zeros((iterations, len(own)))
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    every = np.repeat(different, colours) if size.sum() <= _DIRECT else None
+    for b in range(iterations):
+        if every is not None:
+            out[b] = np.add.reduceat(random.permutation(every), starts)
+            continue
+        rest = colours.copy()
+        for t, m in enumerate(size):
+            draw = random.multivariate_hypergeometric(rest, m, method="marginals") if t < len(size) - 1 else rest
+            out[b, t] = draw @ different
+            rest = rest - draw
+    return own, out
+
+
 def topic_permutation(items: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """F of the one-way analysis of item values by topic, and p by permuting topics within strata.
 
     ``items`` has item, value, topic and stratum.  p = (1 + permutations with
     at least the observed F) / (1 + permutations).
-    """
-    frame = _summary(items.select("item", "value", "topic", "stratum").orderBy("stratum", "item"), 4)
-    y = frame["value"].to_numpy(dtype=np.float64)
-    topic = pd.factorize(frame["topic"])[0]
-    strata = [np.flatnonzero(frame["stratum"].to_numpy() == s) for s in frame["stratum"].unique()]
-    k, n = int(topic.max()) + 1 if len(topic) else 0, len(y)
-
-    def statistic(labels: np.ndarray) -> float:
-        size, total = np.bincount(labels, minlength=k), np.bincount(labels, y, k)
-        between = (total**2 / size).sum() - y.sum() ** 2 / n
-        within = (y**2).sum() - (total**2 / size).sum()
-        return (between / (k - 1)) / (within / (n - k)) if within > 0 and k > 1 and n > k else float("nan")
 
-    observed = statistic(topic) if n else float("nan")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A stratum is its counts by topic and value, in one row; strata are permuted
+    where they lie, and only sums by replicate and topic are brought together.
+    """
+    spark = items.sparkSession
+    cells = items.groupBy("stratum", "topic", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    sums = cells.groupBy("topic").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("t"), F.sum(F.col("c") * F.col("value") ** 2).alias("q"))
+    frame = _summary(sums.orderBy("topic"), 4)
+    size, total = frame["n"].to_numpy(dtype=np.float64), frame["t"].to_numpy(dtype=np.float64)
+    k, n, grand, squares = len(frame), float(size.sum()), float(total.sum()), float(frame["q"].sum())
+    place = {t: i for i, t in enumerate(frame["topic"])}
+
+    def statistic(inner: float) -> float:
+        within = squares - inner
+        return ((inner - grand**2 / n) / (k - 1)) / (within / (n - k)) if within > 0 and k > 1 and n > k else float("nan")
+
+    observed = statistic(float((total**2 / size).sum())) if n else float("nan")
+    each = cells.groupBy("stratum").agg(F.collect_list(F.struct("topic", "value", "c")).alias("cells")).select(F.col("stratum").cast("string"), "cells")
+
+    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: dict[int, np.ndarray] = {}
         for batch in batches:
-            hits = 0
-            for b in batch["id"]:
-                random, labels = np.random.default_rng([seed, int(b)]), topic.copy()
-                for rows in strata:
-                    labels[rows] = random.permutation(labels[rows])
-                hits += statistic(labels) >= observed - 1e-12
-            yield pd.DataFrame({"hits": [int(hits)]})
-
-    hits = items.sparkSession.range(iterations).mapInPandas(run, "hits long").agg(F.sum("hits").alias("h"))
+            for stratum, rows in zip(batch["stratum"], batch["cells"], strict=True):
+                random = np.random.default_rng([seed, *hashlib.sha256(repr(stratum).encode()).digest()])
+                rows = [(place[r["topic"]], r["value"], r["c"]) for r in rows]
+                own, sums = _permuted_totals(*(np.array(x) for x in zip(*rows, strict=True)), random, iterations)
+                for t, column in zip(own.tolist(), sums.T, strict=True):
+                    drawn[t] = drawn.get(t, 0.0) + column
+        for t, column in drawn.items():
+            yield pd.DataFrame({"replicate": np.arange(iterations), "topic": t, "total": column, "size": size[t]})
+
+    totals = each.mapInPandas(permute, "replicate long, topic int, total double, size double")
+    totals = totals.groupBy("replicate", "topic").agg(F.sum("total").alias("total"), F.max("size").alias("size"))
+    inner = totals.groupBy("replicate").agg(F.sum(F.col("total") ** 2 / F.col("size")).alias("inner"))
+    # F grows with the sum between topics; sums of the same numbers in another order may differ in the last digits
+    least = float((total**2 / size).sum()) if n else float("nan")
+    reached = F.col("inner") >= F.lit(least - 1e-12 * max(1.0, abs(least)))
+    hits = inner.agg(F.sum(reached.cast("long")).alias("h")) if observed == observed else spark.createDataFrame([(0,)], "h long")
     return hits.select(F.lit(observed).alias("f"), ((1 + F.coalesce("h", F.lit(0))) / (1 + iterations)).alias("p_perm"))
