@@ -436,6 +436,40 @@ def test_toxicity_ignores_chunking(machine):
     assert together.tolist() == [machine.margins(pa.array([t]))[0] for t in texts] == [machine.margins(pa.array([t], pa.large_string()))[0] for t in texts]
 
 
+def test_toxicity_kernel_against_direct_computation():
+    """The table of subsequence weights and Features.kernel agree with sums over all pairs of subsequences."""
+    import numpy as np
+
+    def subsequences(w):
+        w, out = f"^{w}^", collections.Counter()
+        for i in range(len(w)):
+            for second, third in toxicity.PATTERNS:
+                if i + third < len(w):
+                    out[w[i], w[i + second], w[i + third]] += toxicity.DECAY ** (third - 2)
+        length = sum(sum(toxicity.DECAY ** (2 * (third - 2)) for _, third in toxicity.PATTERNS if i + third < len(w)) for i in range(len(w)))
+        return {k: v / length**0.5 for k, v in out.items()}
+
+    rng = random.Random(12)
+    texts = [prose(rng, 1) for _ in range(20)] + ["idiot", "idxiot", "aaaaaa", "ab"]
+    s = toxicity.spell_words(texts)
+    begin = np.cumsum(s.size) - s.size
+    symbols = [s.symbols[a + 1 : a + n - 1].astype(np.uint8).tobytes() for a, n in zip(begin, s.size, strict=True)]
+    got = toxicity.Features(symbols).kernel(np.arange(len(texts)))
+    vectors = [subsequences(t) for t in texts]
+    for i, x in enumerate(vectors):
+        for j, y in enumerate(vectors):
+            assert got[i, j] == pytest.approx(sum(v * y.get(k, 0) for k, v in x.items()), abs=1e-6), (texts[i], texts[j])
+    assert got[20, 21] > 0.5 > got[20, 0]
+
+
+def test_toxicity_awkward_rows(spark, docs, machine):
+    """Repeated rows, a clashing column and very long words; equal texts score alike."""
+    table = docs.withColumn("toxicity", F.lit("clash")).unionByName(docs.withColumn("toxicity", F.lit("other")))
+    got = toxicity.score(table, machine)
+    assert got.columns == [*docs.columns, "toxicity"] and got.count() == 2 * docs.count()
+    assert got.groupBy("text").agg(F.countDistinct("toxicity").alias("n")).where("n > 1").isEmpty()
+
+
 def test_toxicity_without_examples(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, none)).select("toxicity").distinct().count() == 1

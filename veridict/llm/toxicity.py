@@ -6,41 +6,56 @@ as letters.  So an insult still resembles itself when letters are inserted or
 left out.  Signs are dropped, digits read as the letters they imitate, and
 runs of single letters ("i d i o t") read as one word.
 
-The machine is trained on words of labelled documents: a word that stands in
-far more toxic documents than chance allows is an example of one class, words
-of documents that are not toxic are examples of the other.  Landmark words
-span the Nystroem feature space.  As the decision is linear in the landmarks'
-kernels, and a landmark's kernel is linear in subsequence weights, the trained
-machine is one table of 64^3 weights, and a text is scored in time
-proportional to its length.  A document's score is a logistic function of its
-worst word's margin.
+The examples are the sentences of labelled documents, each with its document's
+label; a sentence is as toxic as its worst word, its witness.  Not every
+sentence of a toxic document is toxic, so training is multiple-instance: the
+machine chooses the worst sentences of every toxic document as the examples of
+its class, is trained against the worst and some random sentences of the other
+documents, and chooses again.  The choice in a document is always made by a
+machine that has not seen it (documents are dealt into folds); the first
+choice is made by the log-odds of subsequences, a document's own taken out.
+Landmark witnesses span the Nystroem feature space.
+
+As the decision is linear in the landmarks' kernels, and a landmark's kernel
+is linear in subsequence weights, the trained machine is one table of 64^3
+weights, and a text is scored in time proportional to its length.  A
+document's score is a logistic function of its three worst words' margins and
+its length, fitted to margins of machines that have not seen the document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from veridict.llm.tables import written
 from veridict.llm.words import chunks, spans, text_buffer
 
 DECAY = 0.6
 #: (second, third) letter's distance from the first, at most three letters skipped.
 PATTERNS = tuple((i, i + j) for i in range(1, 5) for j in range(1, 5) if i + j <= 5)
-#: Bounds of the training sample: labelled documents of each class, words of each class, landmarks of each class.
-DOCUMENTS, POSITIVE, NEGATIVE, LANDMARKS = 4000, 1500, 4500, 96
-#: Times that the machine is trained again with words it wrongly rejects.
-ROUNDS = 2
-#: A word is an example of toxicity if its documents would be toxic by chance with a probability below this.
-CHANCE = 1e-6
+#: Bound of the training sample: expected number of labelled documents of each class.
+DOCUMENTS = 4000
+#: Sentences that a toxic document offers in a round, and any other one: the worst, and some at random.
+TOXIC_SENTENCES, WORST, RANDOM = 3, 3, 2
+#: Landmarks of each class, folds and rounds of choosing sentences.
+LANDMARKS, FOLDS, ROUNDS = 256, 4, 4
+#: Words with more symbols than this are scored but are no examples.
+LONGEST = 64
 #: Words of single letters in a row that are read as one.
 SPELT = 3
+#: Worst words of a document that the score looks at.
+POOLED = 3
 _DROP = 255
+_CHUNK = 1 << 20
+_CODES = 1 << 18
 
 
 def _symbols() -> np.ndarray:
@@ -57,6 +72,8 @@ def _symbols() -> np.ndarray:
 
 
 _TABLE = _symbols()
+_ENDS = np.zeros(256, dtype=bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
 
 
 @dataclass
@@ -64,18 +81,24 @@ class Spelling:
     """Words of consecutive texts as symbols, each between two zeros.
 
     ``size`` is each word's number of symbols with its zeros; the words of
-    text ``i`` are ``bounds[i]:bounds[i + 1]``.
+    text ``i`` are ``bounds[i]:bounds[i + 1]``; ``sentence`` numbers the
+    sentences, across texts.
     """
 
     symbols: np.ndarray
     size: np.ndarray
     bounds: np.ndarray
+    sentence: np.ndarray
 
 
 def spell(buf: np.ndarray, cuts: np.ndarray) -> Spelling:
     """Symbols of the texts that lie between ``cuts`` in a byte buffer."""
     coded = _TABLE[buf]
     kept = coded != _DROP
+    # a sentence ends at a line's end, and at one of .!? before white space
+    over = buf == 0x0A
+    over[:-1] |= _ENDS[buf[:-1]] & (coded[1:] == 0)
+    ended = np.cumsum(over, dtype=np.int32)[kept]
     place = np.concatenate([[0], np.cumsum(kept)])
     cuts, coded = place[cuts], coded[kept]
     # spans() tells words from white space by byte values: any byte above 0x20 stands for a letter
@@ -94,7 +117,8 @@ def spell(buf: np.ndarray, cuts: np.ndarray) -> Spelling:
     out = np.zeros(len(letters) + 2 * units, dtype=np.int32)
     out[np.arange(len(letters)) + 2 * owner + 1] = letters
     size = np.bincount(unit, length, units).astype(np.int64) + 2 if units else np.zeros(0, np.int64)
-    return Spelling(out, size, np.searchsorted(text[~joins], np.arange(1, len(cuts) + 1), "left"))
+    bounds = np.searchsorted(text[~joins], np.arange(1, len(cuts) + 1), "left")
+    return Spelling(out, size, bounds, (ended[starts] + text)[~joins])
 
 
 def spell_words(words: list[str]) -> Spelling:
@@ -110,198 +134,293 @@ def _norms(size: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-def _codes(s: Spelling) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(place, subsequence code, weight) of all subsequences, a pattern at a time."""
-    word = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
+def _codes(symbols: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(whether inside a word, subsequence code, weight) of all subsequences, a pattern at a time."""
+    word = np.repeat(np.arange(len(size), dtype=np.int32), size)
     for second, third in PATTERNS:
-        n = len(s.symbols) - third
+        n = len(symbols) - third
         if n <= 0:
             continue
-        code = (s.symbols[:n] << 12) | (s.symbols[second : second + n] << 6) | s.symbols[third:]
+        code = (symbols[:n] << 12) | (symbols[second : second + n] << 6) | symbols[third:]
         yield word[:n] == word[third:], code, DECAY ** (third - 2)
 
 
 class Features:
-    """Normalised subsequence features of the example words, dense a few dozen words at a time."""
+    """Normalised subsequence features of words, row by row; words are given as symbols without the zeros."""
 
-    def __init__(self, words: list[str]) -> None:
-        s = spell_words(words)
-        word = np.repeat(np.arange(len(s.size)), s.size)
+    def __init__(self, words: list[bytes]) -> None:
+        size = np.array([len(w) + 2 for w in words], dtype=np.int64)
+        symbols = np.frombuffer(b"".join(b"\0" + w + b"\0" for w in words), np.uint8).astype(np.int32)
+        word = np.repeat(np.arange(len(size)), size)
         rows, codes, weights = [], [], []
-        for inside, code, weight in _codes(s):
+        for inside, code, weight in _codes(symbols, size):
             rows.append(word[: len(code)][inside])
             codes.append(code[inside])
             weights.append(np.full(int(inside.sum()), weight))
-        self.rows = np.concatenate(rows)
-        order = np.argsort(self.rows, kind="stable")
-        self.rows = self.rows[order]
-        self.used, self.columns = np.unique(np.concatenate(codes)[order], return_inverse=True)
-        self.weights = np.concatenate(weights)[order] / _norms(s.size)[self.rows]
-        self.count = len(s.size)
-
-    def dense(self, first: int, last: int) -> np.ndarray:
-        a, b = np.searchsorted(self.rows, [first, last])
-        out = np.zeros((last - first, len(self.used)))
-        np.add.at(out, (self.rows[a:b] - first, self.columns[a:b]), self.weights[a:b])
+        rows = np.concatenate(rows)
+        order = np.argsort(rows, kind="stable")
+        self.codes = np.concatenate(codes)[order]
+        self.weights = np.concatenate(weights)[order] / _norms(size)[rows[order]]
+        self.starts = np.searchsorted(rows[order], np.arange(len(size) + 1))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def dense(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), _CODES), dtype=np.float32)
+        for k, w in enumerate(words):
+            part = slice(self.starts[w], self.starts[w + 1])
+            np.add.at(out[k], self.codes[part], self.weights[part])
         return out
 
-    def pick(self, words: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.dense(int(w), int(w) + 1) for w in words])
-
     def kernel(self, landmarks: np.ndarray) -> np.ndarray:
-        """Kernel of every word with each landmark."""
-        step = 64
-        return np.concatenate([self.dense(a, min(a + step, self.count)) @ landmarks.T for a in range(0, self.count, step)])
+        """Kernel of every word with each of the words numbered ``landmarks``."""
+        used = np.unique(np.concatenate([self.codes[self.starts[w] : self.starts[w + 1]] for w in landmarks]))
+        across = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)  # the last row is for other codes
+        for k, w in enumerate(landmarks):
+            part = slice(self.starts[w], self.starts[w + 1])
+            np.add.at(across[:, k], np.searchsorted(used, self.codes[part]), self.weights[part])
+        at = np.minimum(np.searchsorted(used, self.codes), len(used) - 1)
+        at[used[at] != self.codes] = len(used)
+        out = np.zeros((len(self), len(landmarks)))
+        step = 1000
+        for a in range(0, len(self), step):
+            b = min(a + step, len(self))
+            low, high = self.starts[a], self.starts[b]
+            out[a:b] = np.add.reduceat(across[at[low:high]] * self.weights[low:high, None].astype(np.float32), self.starts[a:b] - low)
+        return out
 
 
 @dataclass
 class Machine:
-    """Subsequence weights and bias of the support vector machine; slope and middle of the logistic."""
+    """Subsequence weights and bias of the support vector machine, and the logistic over a document's evidence."""
 
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    middle: float = 0.0
+    #: Weights of the three worst margins, of the length, and the constant.
+    pooling: np.ndarray = field(default_factory=lambda: np.array([3.0, 0, 0, 0, 0]))
 
-    def margins(self, column: pa.Array) -> np.ndarray:
-        """Greatest margin of a word in each text; the bias for texts without words."""
+    def word_margins(self, s: Spelling) -> np.ndarray:
+        total = np.zeros(len(s.symbols), dtype=np.float32)
+        for inside, code, weight in _codes(s.symbols, s.size):
+            total[: len(code)] += self.weights[code] * (inside * np.float32(weight))
+        return np.add.reduceat(total, np.cumsum(s.size) - s.size) / _norms(s.size) + self.bias
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """For each text: margins of its three worst words (different ones), and the logarithm of its number of words.
+
+        Texts with fewer words have the bias for those they lack.
+        """
         raw, bounds = text_buffer(column)
-        out = np.full(len(bounds) - 1, self.bias)
-        for a, b in chunks(bounds):
+        out = np.full((len(bounds) - 1, POOLED + 1), self.bias)
+        out[:, POOLED] = 0
+        for a, b in chunks(bounds, _CHUNK):
             s = spell(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
             if not len(s.size):
                 continue
-            total = np.zeros(len(s.symbols), dtype=np.float32)
-            for inside, code, weight in _codes(s):
-                total[: len(code)] += self.weights[code] * (inside * np.float32(weight))
-            margin = np.add.reduceat(total, np.cumsum(s.size) - s.size) / _norms(s.size) + self.bias
-            some = np.flatnonzero(np.diff(s.bounds))
-            out[a + some] = np.maximum.reduceat(margin, s.bounds[some])
+            margin, text = self.word_margins(s), np.repeat(np.arange(b - a), np.diff(s.bounds))
+            order = np.lexsort((-margin, text))
+            text, margin = text[order], margin[order]
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (margin[1:] != margin[:-1])])
+            text, margin = text[new], margin[new]
+            rank = np.arange(len(text)) - np.searchsorted(text, text, "left")
+            few = rank < POOLED
+            out[a + text[few], rank[few]] = margin[few]
+            out[a:b, POOLED] = np.log1p(np.diff(s.bounds))
         return out
 
-    def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -30, 30)))
+    def margins(self, column: pa.Array) -> np.ndarray:
+        """Greatest margin of a word, and so of a sentence, in each text; the bias for texts without words."""
+        return self.evidence(column)[:, 0]
+
+    def scores(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_design(evidence) @ self.pooling, -30, 30)))
+
 
+def _design(evidence: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.clip(evidence[:, :POOLED], -3, 3), evidence[:, POOLED] / 5, np.ones(len(evidence))])
 
-def train_words(toxic: list[str], clean: list[str], penalty: float = 200.0, steps: int = 40) -> Machine:
-    """A squared-hinge machine on Nystroem features of example words, by Newton steps.
 
-    Landmarks are taken evenly from either list.
+def train_words(words: list[bytes], toxic: np.ndarray, weight: np.ndarray, parts: list[np.ndarray], penalty: float = 1.0, steps: int = 30) -> list[Machine]:
+    """Squared-hinge machines on Nystroem features of witnesses, by Newton steps; one for each part.
+
+    ``parts`` are masks of the words that a machine learns from.  Landmarks
+    are the words of each class with most weight, the same for all.
     """
-    if not toxic or not clean:
-        return Machine(np.zeros(1 << 18, np.float32), 1.0 if toxic else -1.0)
-    x = Features([*toxic, *clean])
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    even = lambda n: np.unique(np.linspace(0, n - 1, min(n, LANDMARKS)).astype(int))
-    landmarks = x.pick(np.concatenate([even(len(toxic)), len(toxic) + even(len(clean))]))
-    value, vector = np.linalg.eigh(landmarks @ landmarks.T)
-    good = value > 1e-6 * value.max()
+    if not toxic.any() or toxic.all():
+        return [Machine(np.zeros(_CODES, np.float32), 1.0 if toxic.any() else -1.0) for _ in parts]
+    x = Features(words)
+    most = lambda side: np.flatnonzero(side)[np.argsort(-weight[side], kind="stable")[:LANDMARKS]]
+    landmarks = np.concatenate([most(toxic), most(~toxic)])
+    kernel = x.kernel(landmarks)
+    value, vector = np.linalg.eigh(kernel[landmarks])
+    good = value > 1e-4 * value.max()
     half = vector[:, good] / np.sqrt(value[good])
-    phi = np.hstack([x.kernel(landmarks) @ half, np.ones((x.count, 1))])
-    # either class weighs as much as the other, and `penalty` does not depend on the number of words
-    cost = penalty * np.where(y > 0, 50 / len(toxic), 50 / len(clean))
-    w = np.zeros(phi.shape[1])
-    for _ in range(steps):
-        inside = y * (phi @ w) < 1
-        own, c = phi[inside], cost[inside]
-        step = np.linalg.solve(np.eye(len(w)) + own.T @ (own * c[:, None]), own.T @ (c * y[inside]))
-        if np.abs(step - w).max() < 1e-6:
-            break
-        w = step
-    table = np.zeros(1 << 18, dtype=np.float32)
-    table[x.used] = (half @ w[:-1]) @ landmarks
-    return Machine(table, float(w[-1]))
-
-
-def _calibrate(machine: Machine, margins: np.ndarray, labels: np.ndarray, toxic_share: float, ridge: float = 1e-5) -> None:
-    """Fit the logistic to sampled documents; the classes weigh as among all labelled ones."""
-    share = np.where(
-        labels > 0, toxic_share / max(1, (labels > 0).sum()), (1 - toxic_share) / max(1, (labels <= 0).sum())
-    )
-    a, b = 1.0, 0.0
+    phi = np.hstack([kernel @ half, np.ones((len(x), 1))])
+    y = np.where(toxic, 1.0, -1.0)
+    solved = []
+    for part in parts:
+        own, side, own_weight = phi[part], y[part], weight[part]
+        # either class weighs as much as the other, and `penalty` does not depend on the number of sentences
+        cost = own_weight * np.where(side > 0, 1 / max(own_weight[side > 0].sum(), 1e-9), 1 / max(own_weight[side < 0].sum(), 1e-9))
+        cost *= penalty * 1000
+        w = np.zeros(phi.shape[1])
+        for _ in range(steps):
+            inside = side * (own @ w) < 1
+            z, c = own[inside], cost[inside]
+            step = np.linalg.solve(np.eye(len(w)) + z.T @ (z * c[:, None]), z.T @ (c * side[inside]))
+            settled = np.abs(step - w).max() < 1e-5
+            w = step
+            if settled:
+                break
+        solved.append(w)
+    tables = np.zeros((len(solved), _CODES), dtype=np.float32)
+    coefficients = np.array([half @ w[:-1] for w in solved])
+    for k, word in enumerate(landmarks):
+        part = slice(x.starts[word], x.starts[word + 1])
+        for table, c in zip(tables, coefficients[:, k], strict=True):
+            np.add.at(table, x.codes[part], c * x.weights[part])
+    return [Machine(t, float(w[-1])) for t, w in zip(tables, solved, strict=True)]
+
+
+def _pooling(evidence: np.ndarray, toxic: np.ndarray, toxic_share: float, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of the logistic over documents; the classes weigh as among all labelled ones."""
+    z = _design(evidence)
+    share = np.where(toxic > 0, toxic_share / max(1, (toxic > 0).sum()), (1 - toxic_share) / max(1, (toxic <= 0).sum()))
+    w = np.array([1.0, 0, 0, 0, 0])
+    hold = np.diag([ridge] * POOLED + [ridge, 0])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        gradient = np.array([(share * (p - labels) * margins).sum() + ridge * a, (share * (p - labels)).sum()])
-        v = share * p * (1 - p)
-        hessian = np.array([[(v * margins**2).sum() + ridge, (v * margins).sum()], [(v * margins).sum(), v.sum() + 1e-9]])
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (share * p * (1 - p))[:, None]) + hold + 1e-9 * np.eye(len(w)), z.T @ (share * (p - toxic)) + hold @ w)
         step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    machine.slope, machine.middle = max(float(a), 1e-3), float(-b / max(a, 1e-3))
+    return w
 
 
-_CLEAN = r"[^\p{L}\p{N}\s]+"
+def _code_counts(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and other documents that hold each subsequence."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, _CODES), dtype=np.int64)
+        for batch in batches:
+            raw, bounds = text_buffer(batch.column("text"))
+            toxic = batch.column("_toxic").to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                s = spell(raw[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
+                here = np.zeros(_CODES, dtype=bool)
+                for inside, code, _ in _codes(s.symbols, s.size):
+                    here[code[inside]] = True
+                seen[toxic[i]] += here
+        code = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (code, seen[1][code], seen[0][code])], names=["code", "t", "c"])
 
-def train(
-    docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", toxic: str = "toxic"
-) -> Machine:
-    """A machine from labelled documents.
-
-    Learns from a sample of at most 4,000 labelled documents of each class,
-    those with the least hash of their id; texts that repeat count once.  All
-    counting runs on the cluster; the driver gets at most 9,000 words and as
-    many margins as there are sampled documents.  Rows with a null id or label
-    are left out, null texts have no words; an id with several labels is taken
-    with each.  Without examples of both classes every document gets the same
-    score.
-    """
-    slim = labels.select(F.col(doc).alias("_doc"), (F.col(toxic) > 0).cast("int").alias("_toxic"))
-    slim = slim.where("_doc is not null and _toxic is not null").distinct()
-    order = [F.xxhash64("_doc"), F.col("_doc")]
-    halves = [slim.where(F.col("_toxic") == k).orderBy(*order).limit(DOCUMENTS) for k in (1, 0)]
-    sample = halves[0].unionByName(halves[1])  # at most 2 * DOCUMENTS rows of two numbers
-    own = docs.select(F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.join(F.broadcast(sample), "_doc").dropDuplicates(["text", "_toxic"]).select("text", "_toxic").persist()
-    sizes = {r["_toxic"]: r["n"] for r in own.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        own.unpersist()
-        return train_words(["x"] * (1 in sizes), ["x"] * (1 not in sizes))
-    found = own.withColumn("words", F.split(F.trim(F.lower(F.regexp_replace("text", _CLEAN, ""))), r"\s+"))
-    # a word counts once for each word before it: a copied passage shows it in one place only
-    before = F.expr("explode(transform(words, (w, i) -> struct(w, coalesce(get(words, i - 1), '') as p))) as e")
-    places = found.select("_toxic", before).select("_toxic", "e.w", "e.p").where("w <> ''").distinct()
-    counts = places.groupBy("w").agg(F.sum("_toxic").alias("t"), F.sum(1 - F.col("_toxic")).alias("c")).persist()
-    odds = float(np.log(sizes[1] / (sizes[0] + sizes[1])))
-    surprise = F.col("t") * -odds - F.col("c") * 10
-    strong = counts.where(surprise > float(-np.log(CHANCE))).orderBy(F.desc("t"), "w").limit(POSITIVE)
-    bad = [r["w"] for r in strong.select("w").collect()]
-    fine = counts.where("c > 0")
-    frequent = [r["w"] for r in fine.orderBy(F.desc("c"), "w").limit(NEGATIVE // 3).select("w").collect()]
-    others = [r["w"] for r in fine.orderBy(F.xxhash64("w"), "w").limit(NEGATIVE - NEGATIVE // 3).select("w").collect()]
-    clean = sorted({*frequent, *others} - {*bad})
-    machine = train_words(bad, clean)
-    for _ in range(ROUNDS):  # once more, with the words of documents that are not toxic which the machine would reject
-        suspects = {r["w"] for r in _rejected(machine, fine.select("w")).limit(NEGATIVE // 3).collect()} - {*bad}
-        if suspects <= {*clean}:
-            break
-        clean = sorted({*clean, *suspects})
-        machine = train_words(bad, clean)
-    seen = _margins(machine, own, "text", ["_toxic"]).toPandas()
-    toxic_share = slim.agg(F.avg("_toxic")).first()[0]
-    _calibrate(machine, seen["_margin"].to_numpy(), seen["_toxic"].to_numpy().astype(float), toxic_share)
-    own.unpersist()
-    counts.unpersist()
-    return machine
+    found = own.mapInArrow(run, "code bigint, t bigint, c bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).toPandas()
+    out = np.zeros((2, _CODES))
+    out[:, found["code"].to_numpy(dtype=np.int64)] = found[["t", "c"]].to_numpy().T
+    return out[0], out[1]
+
+
+def _log_odds(toxic: np.ndarray, clean: np.ndarray, toxic_share: float, weight: float = 2.0) -> np.ndarray:
+    """How much a subsequence raises the log-odds of toxicity; 0 for one that was never seen."""
+    share = (np.maximum(toxic, 0) + weight * toxic_share) / (np.maximum(toxic, 0) + np.maximum(clean, 0) + weight)
+    return np.log(share / (1 - share) * (1 - toxic_share) / toxic_share).astype(np.float32)
 
 
-def _margins(machine: Machine, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_margin double"])
+_OFFER = "_doc bigint, _toxic int, _fold int, word binary, margin double, random boolean, m0 double, m1 double, m2 double, size double"
+
+
+def _offers(own: DataFrame, machines: list[Machine], choice: str, last: bool = False) -> pd.DataFrame:
+    """The sentences that every document of the sample offers, by their witnesses, beside the document's evidence.
+
+    ``choice`` is the column that says which machine looks at a document; the
+    evidence is wanted of the ``last`` round only.  At most five short rows for
+    each of the bounded number of documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(machine.margins(batch.column(text)))], names=[*keep, "_margin"])
-
-    return docs.mapInArrow(run, schema)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_toxic", "_fold")]
+            which = batch.column(choice).to_numpy(zero_copy_only=False)
+            raw, bounds = text_buffer(batch.column("text"))
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                machine = machines[which[i]]
+                evidence = machine.evidence(batch.column("text").slice(i, 1))[0].tolist() if last else [0.0] * (POOLED + 1)
+                s = spell(raw[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
+                rows = []
+                if len(s.size):
+                    margin = machine.word_margins(s)
+                    order = np.lexsort((-margin, s.sentence))
+                    worst = order[np.concatenate([[True], np.diff(s.sentence[order]) != 0])]  # a witness for each sentence
+                    worst = worst[s.size[worst] <= LONGEST + 2]
+                    worst = worst[np.argsort(-margin[worst], kind="stable")]
+                    worst = worst[np.concatenate([[True], np.diff(margin[worst]) != 0])] if len(worst) else worst
+                    begin = np.cumsum(s.size) - s.size
+                    word = lambda w: s.symbols[begin[w] + 1 : begin[w] + s.size[w] - 1].astype(np.uint8).tobytes()  # noqa: E731, B023
+                    first = TOXIC_SENTENCES if columns[1][i] else WORST
+                    rows = [(word(w), float(margin[w]), False) for w in worst[:first]]
+                    if not columns[1][i] and len(worst) > first:
+                        some = np.random.default_rng(int(columns[0][i]) & 0xFFFFFFFF).choice(len(worst) - first, min(RANDOM, len(worst) - first), False)
+                        rows += [(word(w), float(margin[w]), True) for w in worst[first + some]]
+                rows = rows or [(None, None, False)]
+                out += [(*(int(c[i]) for c in columns), *r, *evidence) for r in rows]
+            names = [f.split()[0] for f in _OFFER.split(", ")]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.bool_(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    found = own.mapInArrow(run, _OFFER).toPandas()
+    return found.sort_values(["_doc", "_toxic", "margin", "word"], ascending=[True, True, False, True], ignore_index=True, kind="stable")
 
 
-def _rejected(machine: Machine, found: DataFrame) -> DataFrame:
-    """Words with a margin near or above the positive side, the worst first."""
-    return _margins(machine, found, "w", ["w"]).where("_margin > -0.5").orderBy(F.desc("_margin"), "w").select("w")
+def train(
+    docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", toxic: str = "toxic"
+) -> Machine:
+    """A machine from the sentences of labelled documents.
+
+    Learns from a sample of about 4,000 labelled documents of each class,
+    those whose hashed id falls below the share that makes as many; texts that
+    repeat count once.  Texts stay on the cluster; the driver gets counts of at
+    most 64^3 subsequences and, in each round, at most five words of each
+    sampled document.  Rows with a null id or label are left out, null texts
+    have no words; an id with several labels is taken with each.  Without
+    examples of both classes every document gets the same score.
+    """
+    slim = labels.select(F.col(doc).alias("_id"), (F.col(toxic) > 0).cast("int").alias("_toxic"))
+    slim = slim.where("_id is not null and _toxic is not null").distinct()
+    number = {r["_toxic"]: r["n"] for r in slim.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    if len(number) < 2:
+        return Machine(np.zeros(_CODES, np.float32), 0.0, np.array([0, 0, 0, 0, 5.0 if 1 in number else -5.0]))
+    limit = F.when(F.col("_toxic") == 1, DOCUMENTS / number[1]).otherwise(DOCUMENTS / number[0])
+    sample = slim.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < limit * (1 << 30))  # about 2 * DOCUMENTS rows of two numbers
+    own = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = own.join(F.broadcast(sample), "_id").dropDuplicates(["text", "_toxic"])
+    hashed = F.xxhash64("text")
+    own = written(own.select("text", "_toxic", hashed.alias("_doc"), F.pmod(F.shiftright(hashed, 7), F.lit(FOLDS)).cast("int").alias("_fold")))
+    t, c = _code_counts(own)
+    share = number[1] / (number[0] + number[1])
+    balance = min(max(float(own.agg(F.avg("_toxic")).first()[0] or 0), 1e-3), 1 - 1e-3)
+    machines = [Machine(_log_odds(t, c - 1, balance), 0.0), Machine(_log_odds(t - 1, c, balance), 0.0)]
+    offers, pool = _offers(own, machines, "_toxic"), pd.DataFrame()
+    for k in range(ROUNDS):
+        # all sentences that clean documents have offered so far; of toxic ones the worst, and those a machine calls toxic
+        rank = offers.groupby(["_doc", "_toxic"]).cumcount()
+        bad = (offers["_toxic"] == 1) & ((rank < (2 if k == 0 else 1)) | ((offers["margin"] > 0) & (k > 0)))
+        fresh = offers[offers["word"].notna() & (bad | (offers["_toxic"] == 0))]
+        pool = pd.concat([pool[pool["_toxic"] == 0], fresh]) if len(pool) else fresh
+        merged = pool.groupby(["word", "_toxic", "_fold"], as_index=False, sort=True)["_doc"].nunique()
+        words, at = np.unique(merged["word"].to_numpy(dtype=object), return_inverse=True)
+        is_toxic, fold = merged["_toxic"].to_numpy() == 1, merged["_fold"].to_numpy()
+        number_of = merged["_doc"].to_numpy(dtype=float)
+        weight = np.where(is_toxic, np.sqrt(number_of), number_of)  # so that a frequent insult doesn't hide the rare ones
+        named = [words[i] for i in at]
+        parts = [fold != f for f in range(FOLDS)] + [np.ones(len(fold), bool)]
+        *machines, machine = train_words(named, is_toxic, weight, parts)
+        offers = _offers(own, machines, "_fold", k == ROUNDS - 1)
+    seen = offers.drop_duplicates(["_doc", "_toxic"])
+    machine.pooling = _pooling(seen[["m0", "m1", "m2", "size"]].to_numpy(), seen["_toxic"].to_numpy().astype(float), share)
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
@@ -315,7 +434,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array(machine.scores(machine.margins(batch.column(text))))
+            values = pa.array(machine.scores(machine.evidence(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, schema)
