@@ -1,142 +1,210 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line is compared as its sequence of words.  It is removed if an earlier line
-(by document id, then line number) has the same words, or, for lines of at
-least 8 words, differs by one word inserted, left out or replaced; the
-earliest line stays.
-
-All variants of a line with one word left out are hashed and joined.  Equal
-variants with the same place left out are lines with one word replaced; a
-whole line equal to another's variant is that line with one word inserted (a
+(by document id, then line number) has the same words, or is one edit away
+that touches an eighth of it at most; the earliest line stays.  An edit inserts,
+leaves out or replaces one unit: a word in lines of eight words or more, a
+character (of the words with one blank between them) in lines of eight words
+or fewer that have eight characters or more.  Lines of exactly eight words are
+compared both ways, so no pair falls between the two.
+
+All variants of a line with one unit left out are hashed and joined.  Equal
+variants with the same place left out are lines with one unit replaced; a
+whole line equal to another's variant is that line with one unit inserted (a
 variant is hashed as what is before and after the gap, so the whole line
 stands with a gap at each place).  Edit distance is then verified on the
-words.  One edit leaves the first or the last half of a line as it is: a line
+units.  One edit leaves the first or the last half of a line as it is: a line
 none of whose halves occurs in another line has no neighbour and emits
 nothing, and others emit variants of the other half only.
 
 Every group is reduced to its earliest member by an aggregation with map-side
-combining and joined back, so a line that makes up a third of all lines is
-never gathered, and never are all pairs of a group formed.
+combining and joined back.  In these joins the few keys that hold many rows
+are taken out and met without a shuffle, or spread by a salt, so a line or a
+variant that a third of all lines share is never gathered in a task, and never
+are all pairs of a group formed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridict.llm.tables import written
+from veridict.llm.tables import frequent, join_frequent, written
+
+#: Fewest units of a line that one edit may tell from another.
+MIN_UNITS = 8
+#: Units that are hashed in one chain; chains of longer lines are made of such pieces.
+PIECE = 64
+_FLAGS = ("f1", "f2", "f3", "f4")
+
+
+@dataclass
+class Places:
+    """How rows and lines are numbered: ``row`` is an expression of _doc and _text, a multiple of ``step``.
+
+    A line's place is its row plus its number, so places ascend by id and
+    line.  They are longs where ids are unique and the range of ids and the
+    longest text leave room, else decimals in which a hash of the text tells
+    rows that share an id apart.
+    """
+
+    row: str
+    step: int
 
-#: Shortest line that one edit may tell from another; shorter ones must agree wholly.
-MIN_WORDS = 8
-_PLACE = "cast(_doc as decimal(20,0)) * 4294967296 + _line"
+
+def _places(slim: DataFrame) -> Places:
+    hashed = F.xxhash64("_text")
+    each = slim.groupBy("_doc").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"), F.max(F.octet_length("_text")).alias("n"))
+    seen = each.agg(F.bool_or(F.col("a") != F.col("b")).alias("shared"), F.min("_doc").alias("low"), F.max("_doc").alias("high"), F.max("n").alias("n")).first()
+    bits = (seen.n or 0).bit_length() + 1
+    if not seen.shared and max(abs(seen.low or 0), abs(seen.high or 0)) < 1 << (62 - bits):
+        return Places(f"cast(_doc as bigint) * {1 << bits}", 1 << bits)
+    step = 1 << 31
+    wide = f"cast(_doc as decimal(20,0)) * {step} + shiftrightunsigned(xxhash64(_text), 33)"
+    return Places(f"cast(cast({wide} as decimal(28,0)) * {step} as decimal(38,0))", step)
 
 
 def _words(line: str) -> str:
     """SQL for the words of a line: runs of anything but ASCII white space."""
-    return f"array_remove(split(translate({line}, '\\t\\u000b\\u000c\\r', '    '), ' '), '')"
+    for sign in ("\\t", "\\u000b", "\\u000c", "\\r"):  # replace() leaves a string without the sign as it is
+        line = f"replace({line}, '{sign}', ' ')"
+    return f"array_remove(split({line}, ' '), '')"
+
 
+def _units(words: str) -> str:
+    """SQL for the characters of a line."""
+    return f"split(array_join({words}, ' '), '')"
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(_doc, _line, h1, h2, k1..k4) of every line with words.
 
-    A line of n words is cut as a line of n words and as one of n - 1 words
-    that has got one more; the four keys name the cut and the half.  Of the
-    four halves one is in both cuts, so three are hashed.  The halves of the
-    first cut also tell lines apart (h1, h2).
+def _keys(n: str, units: str, view: str) -> list[str]:
+    """SQL for the four keys of a line's halves.
+
+    A line of n units is cut as a line of n units and as one of n - 1 units
+    that has got one more; a key names the cut and the half.
     """
-    split = docs.select("_doc", F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
-    split = split.select("_doc", "_line", F.expr(_words("_words")).alias("_words"))
+    half = lambda cut, part, piece: f"xxhash64('{view}', {cut}, '{part}', {piece})"
+    some = f"{n} >= {MIN_UNITS}"
+    more = f"{n} > {MIN_UNITS}"
+    first, last = f"slice({units}, 1, {n} div 2)", f"slice({units}, {n} div 2 + 1, {n})"
+    return [
+        f"if({some}, {half(n, 'first', first)}, null)",
+        f"if({some}, {half(n, 'last', last)}, null)",
+        f"if({more}, {half(f'{n} - 1', 'first', f'slice({units}, 1, ({n} - 1) div 2)')}, null)",
+        f"if({more}, {half(f'{n} - 1', 'last', f'slice({units}, ({n} - 1) div 2 + 2, {n})')}, null)",
+    ]
+
+
+def _lines(slim: DataFrame, places: Places) -> DataFrame:
+    """(_place, h1, h2, k1..k8) of every line with words: what it is, the keys of its halves in words and in characters."""
+    split = slim.select(F.expr(places.row).alias("_row"), F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
+    split = split.select((F.col("_row") + F.col("_line")).alias("_place"), F.expr(_words("_words")).alias("_words"))
     split = split.withColumn("n", F.size("_words")).where("n > 0")
-    odd, long = F.col("n") % 2 == 1, F.col("n") >= MIN_WORDS
-    halves = split.select(
-        "_doc", "_line", "n",
-        F.expr("xxhash64(slice(_words, 1, n div 2))").alias("a"),
-        F.expr("xxhash64(slice(_words, n div 2 + 1, n))").alias("b"),
-        F.when(F.col("n") <= MIN_WORDS, None).when(odd, F.expr("xxhash64(slice(_words, n div 2 + 2, n))"))
-        .otherwise(F.expr("xxhash64(slice(_words, 1, n div 2 - 1))")).alias("c"),
-    )
-    first = lambda scheme, half: F.xxhash64(scheme, F.lit("first"), half)
-    last = lambda scheme, half: F.xxhash64(scheme, F.lit("last"), half)
-    n, less, a, b, c = F.col("n"), F.col("n") - 1, F.col("a"), F.col("b"), F.col("c")
-    shorter = F.col("n") > MIN_WORDS
-    return halves.select(
-        "_doc", "_line", F.xxhash64(n, a).alias("h1"), F.xxhash64(n, b).alias("h2"),
-        F.when(long, first(n, a)).alias("k1"), F.when(long, last(n, b)).alias("k2"),
-        F.when(shorter, first(less, F.when(odd, a).otherwise(c))).alias("k3"),
-        F.when(shorter, last(less, F.when(odd, c).otherwise(b))).alias("k4"),
-    )
-
-
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(_doc, _line) of the distinct lines that are one edit from an earlier one.
-
-    ``distinct`` has one row for each different line: its first place
-    (_place, _doc, _line) and the keys of its halves.
+    short = split.withColumn("_chars", F.expr(f"if(n <= {MIN_UNITS}, {_units('_words')}, array())"))
+    keys = _keys("n", "_words", "words") + _keys("size(_chars)", "_chars", "characters")
+    return short.select(
+        "_place",
+        F.expr("xxhash64(n, slice(_words, 1, n div 2))").alias("h1"),
+        F.expr("xxhash64(n, slice(_words, n div 2 + 1, n))").alias("h2"),
+        *(F.expr(k).alias(f"k{i + 1}") for i, k in enumerate(keys)),
+    )
+
+
+def _chain(units: str) -> str:
+    """SQL for hashes of the first 0, 1, ... n units, in time that grows little faster than n.
+
+    Pieces of PIECE units are hashed each from its own beginning; a prefix is
+    hashed as the pieces before its end and the beginning of the last one.
+    """
+    grow = "aggregate({0}, array({1}L), (a, w) -> concat(a, array(xxhash64(element_at(a, -1), {2}))))"
+    pieces = f"transform(sequence(0, (size({units}) - 1) div {PIECE}), k -> {grow.format(f'slice({units}, k * {PIECE} + 1, {PIECE})', 0, 'w')})"
+    heads = grow.format("x", 42, "element_at(w, -1)")
+    both = f"transform(array({pieces}), x -> struct(x as x, {heads} as h))[0]"
+    joined = (
+        f"transform(array({both}), c -> transform(sequence(0, size({units})), "
+        f"i -> xxhash64(get(c.h, i div {PIECE}), coalesce(get(get(c.x, i div {PIECE}), i % {PIECE}), 0L))))[0]"
+    )
+    one = f"transform({grow.format(units, 0, 'w')}, x -> xxhash64(42L, x))"
+    return f"if(size({units}) < {PIECE}, {one}, {joined})"
+
+
+def _emitted() -> str:
+    """SQL for an array of (key, kind) of a line's variants, from n, p, s and the halves it shares.
+
+    p[i] is the hash of the first i units, s[i] of the last i; only places in
+    the half that the lines met do not have in common are left out.
     """
-    keys = F.posexplode(F.array("k1", "k2", "k3", "k4")).alias("w", "k")
-    halves = distinct.select("_doc", "_line", keys).where("k is not null")
-    met = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    alive = halves.join(met, "k").groupBy("_doc", "_line").agg(*(F.bool_or(F.col("w") == i).alias(f"f{i + 1}") for i in range(4)))
-    wanted = alive.groupBy("_doc").agg(F.collect_list(F.struct("_line", "f1", "f2", "f3", "f4")).alias("_wanted"))
-    # at most the lines of one document in an array
-    lines = docs.join(wanted, "_doc").withColumn("_all", F.split("_text", "\n"))
-    lines = lines.select("_doc", F.explode("_wanted").alias("e"), F.col("_all")).select("_doc", "e.*", "_all")
-    lines = lines.select("_doc", "_line", "f1", "f2", "f3", "f4", F.expr(_words("get(_all, _line)")).alias("_words"))
-    lines = written(lines.withColumn("_place", F.expr(_PLACE)))
-    # p[i] is the hash of the first i words, s[i] of the last i: a variant's hash takes one step
-    chain = "aggregate({0}, array(42L), (a, w) -> concat(a, array(xxhash64(element_at(a, -1), w))))"
-    ends = lines.select(
-        "_place", "f1", "f2", "f3", "f4", F.size("_words").alias("n"),
-        F.expr(chain.format("_words")).alias("p"), F.expr(chain.format("reverse(_words)")).alias("s"),
-    )
-    # only places in the half that the lines met do not have in common
     several = [
-        ("n - 1", "f1 and i >= n div 2 or f2 and i < n div 2", "'replaced', i, p[i], s[n - 1 - i]", "replaced"),
-        ("n - 1", "f3 and i >= (n - 1) div 2 or f4 and i <= (n - 1) div 2", "'inserted', p[i], s[n - 1 - i]", "longer"),
-        ("n", "f1 and i >= n div 2 or f2 and i <= n div 2", "'inserted', p[i], s[n - i]", "shorter"),
+        ("n - 1", "f1 and i >= n div 2 or f2 and i < n div 2", "'replaced', view, i, p[i], s[n - 1 - i]", 0),
+        ("n - 1", "f3 and i >= (n - 1) div 2 or f4 and i <= (n - 1) div 2", "'inserted', view, p[i], s[n - 1 - i]", 1),
+        ("n", "f1 and i >= n div 2 or f2 and i <= n div 2", "'inserted', view, p[i], s[n - i]", 2),
     ]
-    emitted = [
-        f"transform(filter(sequence(0, {last}), i -> {where}), i -> struct(xxhash64({key}) as k, '{kind}' as kind))"
+    parts = [
+        f"transform(filter(sequence(0, {last}), i -> {where}), i -> struct(xxhash64({key}) as k, cast({kind} as tinyint) as kind))"
         for last, where, key, kind in several
     ]
-    rows = ends.select("_place", F.explode(F.expr(f"concat({', '.join(emitted)})")).alias("e")).select("_place", "e.k", "e.kind")
+    return f"concat({', '.join(parts)})"
+
+
+def _near(slim: DataFrame, distinct: DataFrame, places: Places) -> DataFrame:
+    """_place of the distinct lines that are one edit from an earlier one.
+
+    ``distinct`` has one row for each different line: its first place and the
+    keys of its halves.
+    """
+    keys = F.posexplode(F.array(*(f"k{i + 1}" for i in range(8)))).alias("w", "k")
+    halves = distinct.select("_place", keys).where("k is not null")
+    met = written(halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"))
+    found = join_frequent(halves, met, "k").withColumn("view", F.expr("cast(w div 4 as tinyint)"))
+    alive = found.groupBy("_place", "view").agg(*(F.bool_or(F.col("w") % 4 == i).alias(f) for i, f in enumerate(_FLAGS)))
+    line = F.expr(f"pmod(_place, {places.step})")
+    alive = alive.withColumn("_line", line.cast("int")).withColumn("_row", F.col("_place") - line)
+    wanted = alive.groupBy("_row").agg(F.collect_list(F.struct("_place", "_line", "view", *_FLAGS)).alias("_wanted"))
+    # at most the lines of one document in an array; rows that share id and text are read once
+    texts = slim.select(F.expr(places.row).alias("_row"), "_text").join(wanted, "_row").dropDuplicates(["_row"])
+    lines = texts.select(F.explode("_wanted").alias("e"), F.split("_text", "\n").alias("_all")).select("e.*", "_all")
+    lines = lines.withColumn("_words", F.expr(_words("get(_all, _line)"))).drop("_all", "_line")
+    lines = lines.withColumn("_units", F.expr(f"if(view = 0, _words, {_units('_words')})")).drop("_words")
+    lines = lines.select("*", F.size("_units").alias("n"), F.expr(_chain("_units")).alias("p"), F.expr(_chain("reverse(_units)")).alias("s"))
+    lines = written(lines.select("_place", "view", "_units", F.expr(_emitted()).alias("_emitted")))
+    rows = lines.select("_place", "view", F.explode("_emitted").alias("e")).select("_place", "view", "e.k", "e.kind")
     lowest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("_place")))
     groups = rows.groupBy("k").agg(
-        F.count("*").alias("c"), lowest("replaced").alias("replaced"), lowest("longer").alias("longer"), lowest("shorter").alias("shorter")
-    ).where("c > 1").drop("c")
-    partner = F.when(F.col("kind") == "replaced", F.col("replaced")).when(F.col("kind") == "longer", F.col("shorter"))
-    partner = partner.otherwise(F.col("longer"))
-    pairs = rows.join(groups, "k").select("_place", partner.alias("_first")).where("_first < _place").distinct()
-    own = lines.select("_place", "_doc", "_line", F.col("_words").alias("x"))
-    other = lines.select(F.col("_place").alias("_first"), F.col("_words").alias("y"))
-    both = pairs.join(own, "_place").join(other, "_first")
-    return both.where(within_one_edit("x", "y")).select("_doc", "_line").distinct()
+        F.count("*").alias("c"), lowest(0).alias("replaced"), lowest(1).alias("longer"), lowest(2).alias("shorter")
+    ).where("c > 1 and (replaced is not null or longer is not null and shorter is not null)")
+    partner = F.when(F.col("kind") == 0, F.col("replaced")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = join_frequent(rows, written(groups), "k").select("_place", "view", partner.alias("_first"))
+    pairs = written(pairs.where("_first < _place").distinct())
+    own = lines.select("_place", "view", F.col("_units").alias("x"))
+    other = lines.select(F.col("_place").alias("_first"), "view", F.col("_units").alias("y"))
+    # an earliest line that many are near to is met in several tasks
+    parts = F.broadcast(frequent(pairs.groupBy("_first", "view").agg(F.count("*").alias("c"))))
+    salted = pairs.join(parts, ["_first", "view"], "left").withColumn("salt", F.expr("coalesce(pmod(xxhash64(_place), parts), 0)"))
+    copies = other.join(parts, ["_first", "view"], "left").withColumn("salt", F.expr("explode(sequence(0L, coalesce(parts, 1L) - 1))"))
+    both = salted.drop("parts", "c").join(own, ["_place", "view"]).join(copies.drop("parts", "c"), ["_first", "view", "salt"])
+    return both.where(within_one_edit("x", "y")).select("_place").distinct()
 
 
 def within_one_edit(x: str, y: str) -> Column:
-    """Whether two word arrays differ by one word at most: what they share at both ends leaves no more."""
+    """Whether two arrays differ by one element at most: what they share at both ends leaves no more."""
     same = "array_position(zip_with({0}, {1}, (a, b) -> coalesce(a = b, false)), false)"
     shared = lambda a, b: f"if({same.format(a, b)} = 0, greatest(size({x}), size({y})), {same.format(a, b)} - 1)"
     ends = f"{shared(x, y)} + {shared(f'reverse({x})', f'reverse({y})')}"
     return F.expr(f"{ends} >= greatest(size({x}), size({y})) - 1")
 
 
-def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_doc, _line): id and number (from 0) of every line that repeats an earlier one."""
-    slim = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and _text <> ''")
-    lines = written(_lines(slim)).withColumn("_place", F.expr(_PLACE))
+def removed_lines(slim: DataFrame, places: Places) -> DataFrame:
+    """_place of every line that repeats an earlier one; ``slim`` has _doc and _text, none null."""
+    lines = written(_lines(slim, places))
     distinct = lines.groupBy("h1", "h2").agg(
-        F.count("*").alias("c"), F.min("_place").alias("_first"), *(F.max(k).alias(k) for k in ("k1", "k2", "k3", "k4"))
+        F.count("*").alias("c"), F.min("_place").alias("_first"), *(F.max(f"k{i + 1}").alias(f"k{i + 1}") for i in range(8))
     )
     distinct = written(distinct)
-    repeated = distinct.where("c > 1").select("h1", "h2", "_first")
-    exact = lines.join(repeated, ["h1", "h2"]).where("_place <> _first").select("_doc", "_line")
-    firsts = distinct.where("k1 is not null").select(F.col("_first").alias("_place"), "k1", "k2", "k3", "k4")
-    document = F.floor(F.col("_place") / 4294967296)
-    firsts = firsts.withColumn("_doc", document.cast("bigint")).withColumn(
-        "_line", F.expr("_place - cast(_doc as decimal(20,0)) * 4294967296").cast("int")
-    )
-    return exact.unionByName(_near(slim, firsts))
+    repeated = distinct.where("c > 1").select("h1", "h2", "c", "_first")
+    exact = join_frequent(lines.select("_place", "h1", "h2"), repeated, ["h1", "h2"]).where("_place <> _first").select("_place")
+    firsts = distinct.where("k1 is not null or k5 is not null").withColumnRenamed("_first", "_place")
+    return exact.unionByName(_near(slim, firsts, places))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
@@ -145,19 +213,26 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", remove
     Words are parted by ASCII white space and compared as they are.  Lines
     without words never repeat and always stay.  A text that loses no line is
     returned unchanged, a null text as null; one that loses all lines becomes
-    empty; no row is dropped.  Rows that share an id (whole numbers) are taken
-    as one document: what is removed at a line number is removed from each.  A
-    row with a null id is returned unchanged and compared with nothing.  A
-    column named as ``removed`` is replaced; all others are kept.
+    empty; no row is dropped.  Ids are whole numbers.  Rows that share an id
+    come in the order of a hash of their text and are cut each for itself;
+    rows that share id and text count as one and are cut alike.  A row with a
+    null id is returned unchanged and compared with nothing.  A column named as
+    ``removed`` is replaced; all others are kept.
     """
     docs = docs.drop(removed)
-    gone = removed_lines(docs, doc, text).groupBy("_doc").agg(F.collect_set("_line").alias("_gone"))
-    joined = docs.join(gone, F.col(doc) == F.col("_doc"), "left")
-    lines = F.split(F.col(text), "\n")
+    slim = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and _text <> ''")
+    places = _places(slim)
+    line = F.expr(f"pmod(_place, {places.step})")
+    gone = removed_lines(slim, places).select((F.col("_place") - line).alias("_row"), line.cast("int").alias("_line"))
+    gone = gone.groupBy("_row").agg(F.collect_set("_line").alias("_gone"))
+    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    joined = keyed.withColumn("_key", F.expr(places.row)).join(gone, F.col("_key") == F.col("_row"), "left")
+    joined = joined.withColumn("_gone", F.when(F.col("_text") != "", F.col("_gone")))
     kept = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i))")
-    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    whole = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [whole.alias(text) if c == text else F.col(c) for c in docs.columns]
+    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n")))
+    whole = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    columns = [(whole if c == text else F.col(n)).alias(c) for c, n in names.items()]
     return joined.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(removed))
 
 

@@ -20,14 +20,17 @@ WITH raw AS (
 ), firsts AS (
     SELECT t, min(place) AS place FROM numbered GROUP BY t
 ), alive AS (
-    SELECT n.* FROM numbered n JOIN firsts f ON n.place = f.place WHERE n.n >= 8
+    SELECT n.* FROM numbered n JOIN firsts f ON n.place = f.place
+), viewed AS (
+    SELECT place, 'words' AS v, w AS u, t FROM alive WHERE n >= 8
+    UNION ALL SELECT place, 'characters', string_split(t, ''), t FROM alive WHERE n <= 8 AND length(t) >= 8
 ), cut AS (
-    SELECT place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
-    FROM (SELECT place, w, unnest(range(1, n + 1)) AS i FROM alive)
+    SELECT place, v, i, CASE v WHEN 'words' THEN array_to_string(x, ' ') ELSE array_to_string(x, '') END AS c
+    FROM (SELECT place, v, i, list_concat(u[1:i - 1], u[i + 1:]) AS x FROM (SELECT place, v, u, unnest(range(1, len(u) + 1)) AS i FROM viewed))
 ), replaced AS (
-    SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY i, v) AS lo FROM cut) WHERE lo < place
+    SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY v, i, c) AS lo FROM cut) WHERE lo < place
 ), inserted AS (
-    SELECT greatest(a.place, c.place) AS place FROM alive a JOIN cut c ON a.t = c.v WHERE a.place <> c.place
+    SELECT greatest(a.place, c.place) AS place FROM viewed a JOIN cut c ON a.v = c.v AND a.t = c.c WHERE a.place <> c.place
 ), gone AS (
     SELECT place FROM numbered WHERE place NOT IN (SELECT place FROM firsts)
     UNION SELECT place FROM replaced UNION SELECT place FROM inserted

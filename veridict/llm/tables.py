@@ -43,6 +43,35 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is frequent with more rows than this, and than the HOT_KEYS-th part of all: so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def frequent(counts: DataFrame, count: str = "c") -> DataFrame:
+    """The frequent keys of a table with one row a key and its number of rows, and ``parts``: tasks that their rows need.
+
+    At most HOT_KEYS rows, whatever the size of the table, so they may be
+    broadcast where the rows are short.
+    """
+    limit = max(HOT_ROWS, (counts.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
+    return counts.where(F.col(count) > limit).withColumn("parts", F.ceil(F.col(count) / limit))
+
+
+def join_frequent(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
+    """Inner join with a written table of one short row a key, which has the number of the key's rows in ``c``.
+
+    Rows of frequent keys meet a broadcast table of at most HOT_KEYS rows, so
+    that no task gets all rows of a key; the others are shuffled.
+    """
+    hot = frequent(groups).drop("parts")
+    if hot.isEmpty():
+        return rows.join(groups.hint("merge"), key).drop("c")
+    hot = F.broadcast(written(hot))
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.hint("merge"), keys)
+    return rows.join(hot, keys).unionByName(rest).drop("c")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node of an undirected graph.
 

@@ -154,25 +154,18 @@ class Features:
         word = np.repeat(np.arange(len(size)), size)
         rows, codes, weights = [], [], []
         for inside, code, weight in _codes(symbols, size):
-            rows.append(word[: len(code)][inside])
+            rows.append(word[: len(code)][inside].astype(np.int32))
             codes.append(code[inside])
-            weights.append(np.full(int(inside.sum()), weight))
+            weights.append(np.full(int(inside.sum()), weight, dtype=np.float32))
         rows = np.concatenate(rows)
         order = np.argsort(rows, kind="stable")
         self.codes = np.concatenate(codes)[order]
-        self.weights = np.concatenate(weights)[order] / _norms(size)[rows[order]]
+        self.weights = (np.concatenate(weights)[order] / _norms(size)[rows[order]]).astype(np.float32)
         self.starts = np.searchsorted(rows[order], np.arange(len(size) + 1))
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def dense(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(words), _CODES), dtype=np.float32)
-        for k, w in enumerate(words):
-            part = slice(self.starts[w], self.starts[w + 1])
-            np.add.at(out[k], self.codes[part], self.weights[part])
-        return out
-
     def kernel(self, landmarks: np.ndarray) -> np.ndarray:
         """Kernel of every word with each of the words numbered ``landmarks``."""
         used = np.unique(np.concatenate([self.codes[self.starts[w] : self.starts[w + 1]] for w in landmarks]))
@@ -182,12 +175,12 @@ class Features:
             np.add.at(across[:, k], np.searchsorted(used, self.codes[part]), self.weights[part])
         at = np.minimum(np.searchsorted(used, self.codes), len(used) - 1)
         at[used[at] != self.codes] = len(used)
-        out = np.zeros((len(self), len(landmarks)))
+        out = np.zeros((len(self), len(landmarks)), dtype=np.float32)
         step = 1000
         for a in range(0, len(self), step):
             b = min(a + step, len(self))
             low, high = self.starts[a], self.starts[b]
-            out[a:b] = np.add.reduceat(across[at[low:high]] * self.weights[low:high, None].astype(np.float32), self.starts[a:b] - low)
+            out[a:b] = np.add.reduceat(across[at[low:high]] * self.weights[low:high, None], self.starts[a:b] - low)
         return out
 
 
@@ -241,34 +234,39 @@ def _design(evidence: np.ndarray) -> np.ndarray:
     return np.column_stack([np.clip(evidence[:, :POOLED], -3, 3), evidence[:, POOLED] / 5, np.ones(len(evidence))])
 
 
-def train_words(words: list[bytes], toxic: np.ndarray, weight: np.ndarray, parts: list[np.ndarray], penalty: float = 1.0, steps: int = 30) -> list[Machine]:
-    """Squared-hinge machines on Nystroem features of witnesses, by Newton steps; one for each part.
+def train_words(words: list[bytes], toxic: np.ndarray, weights: np.ndarray, penalty: float = 1.0, steps: int = 30) -> list[Machine]:
+    """Squared-hinge machines on Nystroem features of witnesses, by Newton steps.
 
-    ``parts`` are masks of the words that a machine learns from.  Landmarks
-    are the words of each class with most weight, the same for all.
+    ``weights`` has a row for each machine: how much it looks at each word.
+    Landmarks are the words of each class with most weight, the same for all.
     """
     if not toxic.any() or toxic.all():
-        return [Machine(np.zeros(_CODES, np.float32), 1.0 if toxic.any() else -1.0) for _ in parts]
-    x = Features(words)
-    most = lambda side: np.flatnonzero(side)[np.argsort(-weight[side], kind="stable")[:LANDMARKS]]
+        return [Machine(np.zeros(_CODES, np.float32), 1.0 if toxic.any() else -1.0) for _ in weights]
+    x, total = Features(words), weights.sum(axis=0)
+    most = lambda side: np.flatnonzero(side)[np.argsort(-total[side], kind="stable")[:LANDMARKS]]
     landmarks = np.concatenate([most(toxic), most(~toxic)])
     kernel = x.kernel(landmarks)
-    value, vector = np.linalg.eigh(kernel[landmarks])
+    value, vector = np.linalg.eigh(kernel[landmarks].astype(np.float64))
     good = value > 1e-4 * value.max()
     half = vector[:, good] / np.sqrt(value[good])
-    phi = np.hstack([kernel @ half, np.ones((len(x), 1))])
-    y = np.where(toxic, 1.0, -1.0)
+    phi = np.empty((len(x), half.shape[1] + 1), dtype=np.float32)
+    phi[:, :-1], phi[:, -1] = kernel @ half.astype(np.float32), 1
+    del kernel
+    y, blocks = np.where(toxic, 1.0, -1.0), [slice(a, a + 4096) for a in range(0, len(x), 4096)]
     solved = []
-    for part in parts:
-        own, side, own_weight = phi[part], y[part], weight[part]
+    for weight in weights:
         # either class weighs as much as the other, and `penalty` does not depend on the number of sentences
-        cost = own_weight * np.where(side > 0, 1 / max(own_weight[side > 0].sum(), 1e-9), 1 / max(own_weight[side < 0].sum(), 1e-9))
-        cost *= penalty * 1000
+        cost = weight * np.where(toxic, 1 / max(weight[toxic].sum(), 1e-9), 1 / max(weight[~toxic].sum(), 1e-9)) * penalty * 1000
         w = np.zeros(phi.shape[1])
         for _ in range(steps):
-            inside = side * (own @ w) < 1
-            z, c = own[inside], cost[inside]
-            step = np.linalg.solve(np.eye(len(w)) + z.T @ (z * c[:, None]), z.T @ (c * side[inside]))
+            hessian, right = np.eye(len(w)), np.zeros(len(w))
+            for block in blocks:
+                c = cost[block] * (y[block] * (phi[block] @ w) < 1)
+                own = np.flatnonzero(c)
+                z = phi[block][own]
+                hessian += z.T @ (z * c[own, None])
+                right += z.T @ (c[own] * y[block][own])
+            step = np.linalg.solve(hessian, right)
             settled = np.abs(step - w).max() < 1e-5
             w = step
             if settled:
@@ -409,14 +407,13 @@ def train(
         bad = (offers["_toxic"] == 1) & ((rank < (2 if k == 0 else 1)) | ((offers["margin"] > 0) & (k > 0)))
         fresh = offers[offers["word"].notna() & (bad | (offers["_toxic"] == 0))]
         pool = pd.concat([pool[pool["_toxic"] == 0], fresh]) if len(pool) else fresh
-        merged = pool.groupby(["word", "_toxic", "_fold"], as_index=False, sort=True)["_doc"].nunique()
-        words, at = np.unique(merged["word"].to_numpy(dtype=object), return_inverse=True)
-        is_toxic, fold = merged["_toxic"].to_numpy() == 1, merged["_fold"].to_numpy()
-        number_of = merged["_doc"].to_numpy(dtype=float)
-        weight = np.where(is_toxic, np.sqrt(number_of), number_of)  # so that a frequent insult doesn't hide the rare ones
-        named = [words[i] for i in at]
-        parts = [fold != f for f in range(FOLDS)] + [np.ones(len(fold), bool)]
-        *machines, machine = train_words(named, is_toxic, weight, parts)
+        counted = pool.groupby(["word", "_toxic", "_fold"])["_doc"].nunique().unstack(fill_value=0)
+        named, is_toxic = counted.index.get_level_values(0).tolist(), counted.index.get_level_values(1).to_numpy() == 1
+        folds = np.zeros((FOLDS, len(named)))
+        folds[counted.columns.to_numpy(dtype=int)] = counted.to_numpy().T
+        number_of = np.vstack([folds.sum(axis=0) - folds, folds.sum(axis=0)])
+        # a square root of toxic ones, so that a frequent insult doesn't hide the rare ones
+        *machines, machine = train_words(named, is_toxic, np.where(is_toxic, np.sqrt(number_of), number_of))
         offers = _offers(own, machines, "_fold", k == ROUNDS - 1)
     seen = offers.drop_duplicates(["_doc", "_toxic"])
     machine.pooling = _pooling(seen[["m0", "m1", "m2", "size"]].to_numpy(), seen["_toxic"].to_numpy().astype(float), share)
