@@ -445,13 +445,41 @@ def test_quality_em_learns_rules(spark):
             row.append(None if rng.random() < 0.2 else int(good if right else not good))
         rows.append(tuple(row))
     votes = spark.createDataFrame(rows, ", ".join(f"{v} int" for v in quality.VOTES))
-    model = quality.fit(votes, belief=0.002)
+    model = quality.fit(votes)
     assert model["good"] == pytest.approx(0.7, abs=0.04)
     for k, v in enumerate(quality.VOTES):
         for side in ("good", "bad"):
             assert model[f"{v}_{side}"] == pytest.approx(0.95 if k % 2 else 0.7, abs=0.06)
 
 
+def test_quality_em_learns_kinds_of_bad_documents(spark):
+    """The shipped belief: bad documents of three kinds, each found by two or three rules; accuracies move from the belief to what was planted."""
+    rng = random.Random(15)
+    kinds = ((2, 6), (2, 9), (4, 5, 7, 8))
+    planted, rows, truth = collections.Counter(), [], []
+    for _ in range(3000):
+        bad = rng.random() < 0.15
+        kind = rng.choice(kinds) if bad else ()
+        row = [int(not (rng.random() < 0.95 if k in kind else rng.random() < 0.001)) for k in range(len(quality.VOTES))]
+        planted.update((k, bad) for k, v in enumerate(row) if (v == 0) == bad)
+        rows.append(tuple(None if v and rng.random() < 0.1 else v for v in row))
+        truth.append(bad)
+    model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{v} int" for v in quality.VOTES)))
+    n_bad = sum(truth)
+    assert model["good"] == pytest.approx(1 - n_bad / 3000, abs=0.02)
+    for k, v in enumerate(quality.VOTES):
+        assert model[f"{v}_bad"] == pytest.approx(planted[k, True] / n_bad, abs=0.1), v
+        assert model[f"{v}_good"] == pytest.approx(planted[k, False] / (3000 - n_bad), abs=0.02), v
+
+
+def test_quality_awkward_rows(spark, docs):
+    """Repeated rows and clashing columns."""
+    table = docs.withColumns({"quality": F.lit("clash"), "_plain": F.lit(1), "n_words": F.lit(2)})
+    got = quality.judge(table.unionByName(table))
+    assert got.count() == 2 * docs.count() and dict(got.dtypes)["n_words"] == "bigint"
+    assert got.groupBy("doc_id").agg(F.countDistinct("kept").alias("n")).where("n > 1").isEmpty()
+
+
 # --- toxicity
 
 

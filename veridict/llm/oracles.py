@@ -117,9 +117,9 @@ FROM documents LEFT JOIN mean USING (doc_id)
 
 
 def quality_rules() -> str:
-    """Counts, votes and expectation-maximisation, an iteration a table."""
-    votes = quality.VOTES
-    right, belief = quality.RIGHT, quality.BELIEF
+    """Counts, votes and expectation-maximisation, an iteration a table; 40 of them are enough to settle the verdicts."""
+    votes, iterations = quality.VOTES, 40
+    right, belief, least = quality.RIGHT, quality.BELIEF, quality.LEAST
 
     def logit(p: str) -> str:
         terms = [
@@ -130,13 +130,14 @@ def quality_rules() -> str:
 
     start = ", ".join(f"{right[k]}::DOUBLE AS {v}_{k}" for v in votes for k in ("good", "bad"))
     steps = [f"m0 AS MATERIALIZED (SELECT {quality.GOOD}::DOUBLE AS good, {start})"]
-    for k in range(quality.ITERATIONS):
-        sums = [f"(sum(n * q) + {belief * quality.GOOD} * sum(n)) / ((1 + {belief}) * sum(n)) AS good"]
+    for k in range(iterations):
+        sums = [f"greatest({least}, (sum(n * q) + {belief * quality.GOOD}) / (sum(n) + {belief})) AS good"]
         for v in votes:
             for side, weight, vote in (("good", "q", 1), ("bad", "(1 - q)", 0)):
                 hit = f"coalesce(sum(n * {weight}) FILTER ({v} = {vote}), 0)"
                 every = f"coalesce(sum(n * {weight}) FILTER ({v} IS NOT NULL), 0)"
-                sums.append(f"({hit} + {belief * right[side]} * sum(n)) / ({every} + {belief} * sum(n)) AS {v}_{side}")
+                share = f"({hit} + {belief * right[side]}) / ({every} + {belief})"
+                sums.append(f"{f'greatest({least}, {share})' if side == 'good' else share} AS {v}_{side}")
         steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT c.*, {logit(f'm{k}')} AS q FROM cases c, m{k}))")
     vote = "CASE WHEN {0} IS NULL THEN NULL WHEN {2} THEN 0 WHEN {1} THEN 1 END AS {3}".format
     rules = ", ".join([
@@ -183,5 +184,5 @@ cases AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {logit("p")} >= {quality.THRESHOLD} AS kept
-FROM voted, m{quality.ITERATIONS} p
+FROM voted, m{iterations} p
 """

@@ -20,13 +20,14 @@ from veridict.llm.tables import written
 
 #: The white space that parts words, and the signs that count as symbols.
 SPACES, SIGNS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+_BLANKS = r" \t\u000b\u000c\r"  # in SQL
 WINDOW = 8
-#: Iterations at most, and the change of any parameter at which they end.
-ITERATIONS, SETTLED = 40, 1e-6
-#: Prior belief: four of five documents are good; a rule rarely votes against a good one, and finds one kind of
-#: bad ones, so about a seventh of them.  It weighs as much as all documents do, at every size: without it the
-#: most frequent kind of bad document would be the only one that counts as bad.
-BELIEF, GOOD, RIGHT = 1.0, 0.8, {"good": 0.97, "bad": 0.15}
+#: Change of any parameter at which the iterations end.
+SETTLED = 1e-6
+#: Prior belief, worth BELIEF documents at every size: four of five documents are good; a rule rarely votes against a
+#: good one, and finds about a seventh of the bad ones.  Two limits keep the classes from changing their names: more
+#: than half of the documents are good, and a rule that votes on good documents is right at least half of the time.
+BELIEF, GOOD, RIGHT, LEAST = 20.0, 0.8, {"good": 0.97, "bad": 0.15}, 0.5
 THRESHOLD = 0.5
 
 
@@ -90,31 +91,35 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     names = (
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words",
         "n_letters", "n_upper", "n_marks", "n_bare_words", "words", "lines", "hashes",
+        "_whole", "_plain", "_letters",
     )
     whole = F.coalesce(F.col(text), F.lit(""))
-    plain = F.translate(whole, SPACES[1:], " " * 5)
-    without = lambda signs: F.length(whole) - F.length(F.translate(whole, signs, ""))
+    plain = whole
+    for space in SPACES[1:]:  # replace() leaves a string without the sign as it is; translate() builds every character anew
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    count = lambda signs: (F.length("_whole") - F.length(F.regexp_replace("_whole", f"[{signs}]+", ""))).cast("long")
     docs = docs.drop(*(set(names) - {text}))
     kept = docs.columns
-    found = docs.select(
+    found = docs.select(*kept, whole.alias("_whole"), plain.alias("_plain"), F.regexp_replace(whole, r"\P{L}+", "").alias("_letters"))
+    found = found.select(
         *kept,
-        F.array_remove(F.split(plain, " "), "").alias("words"),
-        F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
-        F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
-        without(SIGNS).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(whole, r"\P{L}+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace(whole, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        without("!?").cast("long").alias("n_marks"),
+        F.array_remove(F.split("_plain", " "), "").alias("words"),
+        F.expr(f"filter(split(_whole, '\\n'), x -> btrim(x, '{_BLANKS}') <> '')").alias("lines"),
+        F.length(F.replace("_plain", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        count(SIGNS).alias("n_symbols"),
+        F.length("_letters").cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("_letters", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        count("!?").alias("n_marks"),
+        F.regexp_count("_plain", F.lit(r"(?:\A| )[^\p{L}\p{N} ]+(?= |\z)")).cast("long").alias("n_bare_words"),
     )
     found = found.withColumn("hashes", F.when(F.size("words") >= WINDOW, F.expr(_HASHES)).otherwise(F.expr("array()")))
     repeated = F.size(F.array_distinct("hashes")) < F.size("hashes")
     return found.select(
-        *kept, "word_chars", "n_symbols", "n_letters", "n_upper", "n_marks",
+        *kept, "word_chars", "n_symbols", "n_letters", "n_upper", "n_marks", "n_bare_words",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
-        F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare_words"),
         F.when(repeated, F.expr(_COVERED)).otherwise(0).cast("long").alias("n_repeat_words"),
     )
 
@@ -134,12 +139,13 @@ def fit(votes: DataFrame, belief: float = BELIEF) -> dict[str, float]:
     it is right about good ones ("<rule>_good") and bad ones ("<rule>_bad").
 
     ``votes`` has the columns VOTES; every row counts.  ``belief`` is the weight
-    of the prior belief, in numbers of all documents.  With no rows, or for a
-    rule that never votes, the prior belief stands.
+    of the prior belief, in documents.  Iterates until no parameter changes by
+    SETTLED.  With no rows, or for a rule that never votes, the prior belief
+    stands.
     """
     cases = written(votes.groupBy(*VOTES).agg(F.count("*").alias("n")).coalesce(1))
     model = {"good": GOOD} | {f"{v}_{k}": RIGHT[k] for v in VOTES for k in RIGHT}
-    for _ in range(ITERATIONS):
+    while True:
         q = F.col("q")
         sums = [F.sum(F.col("n") * q).alias("good"), F.sum(F.col("n").cast("double")).alias("all")]
         for v in VOTES:
@@ -148,16 +154,15 @@ def fit(votes: DataFrame, belief: float = BELIEF) -> dict[str, float]:
                 sums += [F.sum(voted).alias(f"{v}_{k}_all"), F.sum(F.when(F.col(v) == right, F.col("n") * weight)).alias(f"{v}_{k}")]
         row = cases.withColumn("q", posterior(model)).agg(*sums).first().asDict()
         seen = lambda name, row=row: row[name] or 0.0
-        weight = belief * seen("all") or 1.0
-        after = {"good": (seen("good") + weight * GOOD) / (seen("all") + weight)}
+        after = {"good": max(LEAST, (seen("good") + belief * GOOD) / (seen("all") + belief))}
         for v in VOTES:
             for k, right in RIGHT.items():
-                after[f"{v}_{k}"] = (seen(f"{v}_{k}") + weight * right) / (seen(f"{v}_{k}_all") + weight)
+                after[f"{v}_{k}"] = (seen(f"{v}_{k}") + belief * right) / (seen(f"{v}_{k}_all") + belief)
+            after[f"{v}_good"] = max(LEAST, after[f"{v}_good"])
         change = max(abs(after[k] - model[k]) for k in model)
         model = after
         if change < SETTLED:
-            break
-    return model
+            return model
 
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
