@@ -390,20 +390,23 @@ def test_lm_scoring(spark, docs, rows, empty):
     got = {r.doc_id: r for r in lm_scoring.scores(docs, target, order=3, block_bytes=5000).collect()}
 
     def grams(t):
-        b = (t or "").encode()
-        return [bytes([0, 0][max(0, 2 - k) * 0 : max(0, 2 - k)]) + b[max(0, k - 2) : k + 1] for k in range(len(b))]
-
-    models = []
-    for keep in (lambda i: i < 30, lambda i: True):
-        n = collections.Counter(g for i, t, *_ in rows if keep(i) for g in grams(t))
-        h = collections.Counter()
-        for g, c in n.items():
-            h[g[:2]] += c
-        models.append((n, h))
+        b = bytes([0, 0]) + (t or "").encode()
+        return [b[k : k + 3] for k in range(len(b) - 2)]
+
+    size = {True: 0, False: 0}
+    for i, t, *_ in rows:
+        size[False] += len(grams(t))
+        size[True] += len(grams(t)) * (i < 30)
     for i, t, *_ in rows:
         means = []
-        for n, h in models:
-            losses = [-math.log((n[g] + 1 / 256) / (h[g[:2]] + 1)) for g in grams(t)]
+        for of_target, scale in ((True, 1.0), (False, size[True] / size[False])):
+            n = collections.Counter(g for j, u, *_ in rows if j != i and (j < 30 or not of_target) for g in grams(u))
+            h, low = collections.Counter(), collections.Counter()
+            for g, c in n.items():
+                h[g[:2]] += c
+                low[g[2]] += c
+            lower = lambda b: (scale * low[b] + 1 / 256) / (scale * sum(low.values()) + 1)  # noqa: E731, B023
+            losses = [-math.log((scale * n[g] + lower(g[2])) / (scale * h[g[:2]] + 1)) for g in grams(t)]  # noqa: B023
             means.append(sum(losses) / len(losses) if losses else 0.0)
         assert got[i].n_tokens == len((t or "").encode())
         assert got[i].target_loss == pytest.approx(means[0]) and got[i].background_loss == pytest.approx(means[1])
@@ -411,6 +414,35 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.scores(empty, target).count() == 0
 
 
+def test_lm_scoring_members_score_like_others_of_their_kind(spark):
+    """Half of the good documents are the target; the other half scores alike, the bad ones apart."""
+    rng = random.Random(16)
+    stems = ["ka", "lo", "mi", "tu", "pe", "zor"]
+    other = lambda n: " ".join("".join(rng.choice(stems) for _ in range(3)) for _ in range(n))
+    rows = [(i, prose(rng, 80) if i < 120 else other(80)) for i in range(160)]
+    target = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id long")
+    got = {r.doc_id: r.score for r in lm_scoring.scores(spark.createDataFrame(rows, "doc_id long, text string"), target, block_bytes=8000).collect()}
+    mean = lambda ids: sum(got[i] for i in ids) / len(ids)
+    members, fellows, bad = mean(range(0, 120, 2)), mean(range(1, 120, 2)), mean(range(120, 160))
+    assert abs(members - fellows) < 0.02 and bad > max(members, fellows) + 0.2
+    assert max(got[i] for i in range(120)) < min(got[i] for i in range(120, 160))
+
+
+def test_lm_scoring_shared_and_null_ids(spark, monkeypatch):
+    from veridict.llm import tables
+
+    rng = random.Random(17)
+    rows = [(None if i % 5 == 0 else 7 if i % 5 == 1 else i, prose(rng, 20)) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash"))
+    target = spark.createDataFrame([(7,), (2,), (None,)], "doc_id long")
+    one = sorted(map(tuple, lm_scoring.scores(table, target).collect()), key=repr)
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    many = sorted(map(tuple, lm_scoring.scores(table, target, block_bytes=900).collect()), key=repr)
+    assert len(one) == len(many) == 60
+    for x, y in zip(one, many, strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+
+
 # --- quality rules
 
 

@@ -66,10 +66,15 @@ def _places(slim: DataFrame) -> Places:
     return Places(f"cast(cast({wide} as decimal(28,0)) * {step} as decimal(38,0))", step)
 
 
-def _words(line: str) -> str:
-    """SQL for the words of a line: runs of anything but ASCII white space."""
+def _lines_of(text: str) -> str:
+    """SQL for the lines of a text with blanks for all other white space."""
     for sign in ("\\t", "\\u000b", "\\u000c", "\\r"):  # replace() leaves a string without the sign as it is
-        line = f"replace({line}, '{sign}', ' ')"
+        text = f"replace({text}, '{sign}', ' ')"
+    return f"split({text}, '\\n')"
+
+
+def _words(line: str) -> str:
+    """SQL for the words of such a line."""
     return f"array_remove(split({line}, ' '), '')"
 
 
@@ -78,36 +83,43 @@ def _units(words: str) -> str:
     return f"split(array_join({words}, ' '), '')"
 
 
-def _keys(n: str, units: str, view: str) -> list[str]:
-    """SQL for the four keys of a line's halves.
+def _halves(n: str, units: str) -> list[str]:
+    """SQL for hashes of a line's halves, and of the half that it has only if it has got one unit more.
 
     A line of n units is cut as a line of n units and as one of n - 1 units
-    that has got one more; a key names the cut and the half.
+    that has got one more; of the four halves one is in both cuts.
     """
-    half = lambda cut, part, piece: f"xxhash64('{view}', {cut}, '{part}', {piece})"
-    some = f"{n} >= {MIN_UNITS}"
-    more = f"{n} > {MIN_UNITS}"
-    first, last = f"slice({units}, 1, {n} div 2)", f"slice({units}, {n} div 2 + 1, {n})"
+    other = f"if({n} % 2 = 1, xxhash64(slice({units}, {n} div 2 + 2, {n})), xxhash64(slice({units}, 1, {n} div 2 - 1)))"
+    return [
+        f"xxhash64(slice({units}, 1, {n} div 2))", f"xxhash64(slice({units}, {n} div 2 + 1, {n}))", f"if({n} > {MIN_UNITS}, {other}, null)",
+    ]
+
+
+def _keys(n: str, halves: tuple[str, str, str], view: int) -> list[str]:
+    """SQL for four keys that name the cut and the half; null where the line is too short for them."""
+    a, b, c = halves
+    odd = f"{n} % 2 = 1"
     return [
-        f"if({some}, {half(n, 'first', first)}, null)",
-        f"if({some}, {half(n, 'last', last)}, null)",
-        f"if({more}, {half(f'{n} - 1', 'first', f'slice({units}, 1, ({n} - 1) div 2)')}, null)",
-        f"if({more}, {half(f'{n} - 1', 'last', f'slice({units}, ({n} - 1) div 2 + 2, {n})')}, null)",
+        f"if({n} >= {MIN_UNITS}, xxhash64({view}, 1, {n}, {a}), null)",
+        f"if({n} >= {MIN_UNITS}, xxhash64({view}, 2, {n}, {b}), null)",
+        f"if({n} > {MIN_UNITS}, xxhash64({view}, 1, {n} - 1, if({odd}, {a}, {c})), null)",
+        f"if({n} > {MIN_UNITS}, xxhash64({view}, 2, {n} - 1, if({odd}, {c}, {b})), null)",
     ]
 
 
 def _lines(slim: DataFrame, places: Places) -> DataFrame:
     """(_place, h1, h2, k1..k8) of every line with words: what it is, the keys of its halves in words and in characters."""
-    split = slim.select(F.expr(places.row).alias("_row"), F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
-    split = split.select((F.col("_row") + F.col("_line")).alias("_place"), F.expr(_words("_words")).alias("_words"))
-    split = split.withColumn("n", F.size("_words")).where("n > 0")
-    short = split.withColumn("_chars", F.expr(f"if(n <= {MIN_UNITS}, {_units('_words')}, array())"))
-    keys = _keys("n", "_words", "words") + _keys("size(_chars)", "_chars", "characters")
-    return short.select(
-        "_place",
-        F.expr("xxhash64(n, slice(_words, 1, n div 2))").alias("h1"),
-        F.expr("xxhash64(n, slice(_words, n div 2 + 1, n))").alias("h2"),
-        *(F.expr(k).alias(f"k{i + 1}") for i, k in enumerate(keys)),
+    words = F.expr(f"transform({_lines_of('_text')}, x -> {_words('x')})")
+    split = slim.select(F.expr(places.row).alias("_row"), F.posexplode(words).alias("_line", "_words"))
+    split = split.select((F.col("_row") + F.col("_line")).alias("_place"), "_words", F.size("_words").alias("n")).where("n > 0")
+    short = split.withColumn("_chars", F.expr(f"if(n <= {MIN_UNITS}, {_units('_words')}, array())")).withColumn("m", F.size("_chars"))
+    hashed = short.select(
+        "_place", "n", "m", *(F.expr(h).alias(c) for h, c in zip(_halves("n", "_words"), "abc", strict=True)),
+        *(F.expr(f"if(m >= {MIN_UNITS}, {h}, null)").alias(c) for h, c in zip(_halves("m", "_chars"), "def", strict=True)),
+    )
+    keys = _keys("n", ("a", "b", "c"), 0) + _keys("m", ("d", "e", "f"), 1)
+    return hashed.select(
+        "_place", F.xxhash64("n", "a").alias("h1"), F.xxhash64("n", "b").alias("h2"), *(F.expr(k).alias(f"k{i + 1}") for i, k in enumerate(keys))
     )
 
 
@@ -161,9 +173,9 @@ def _near(slim: DataFrame, distinct: DataFrame, places: Places) -> DataFrame:
     line = F.expr(f"pmod(_place, {places.step})")
     alive = alive.withColumn("_line", line.cast("int")).withColumn("_row", F.col("_place") - line)
     wanted = alive.groupBy("_row").agg(F.collect_list(F.struct("_place", "_line", "view", *_FLAGS)).alias("_wanted"))
-    # at most the lines of one document in an array; rows that share id and text are read once
-    texts = slim.select(F.expr(places.row).alias("_row"), "_text").join(wanted, "_row").dropDuplicates(["_row"])
-    lines = texts.select(F.explode("_wanted").alias("e"), F.split("_text", "\n").alias("_all")).select("e.*", "_all")
+    # at most the lines of one document in an array; a row that comes twice emits the same places twice, which changes nothing
+    texts = slim.select(F.expr(places.row).alias("_row"), "_text").join(wanted, "_row")
+    lines = texts.select(F.explode("_wanted").alias("e"), F.expr(_lines_of("_text")).alias("_all")).select("e.*", "_all")
     lines = lines.withColumn("_words", F.expr(_words("get(_all, _line)"))).drop("_all", "_line")
     lines = lines.withColumn("_units", F.expr(f"if(view = 0, _words, {_units('_words')})")).drop("_words")
     lines = lines.select("*", F.size("_units").alias("n"), F.expr(_chain("_units")).alias("p"), F.expr(_chain("reverse(_units)")).alias("s"))

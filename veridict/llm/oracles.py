@@ -102,13 +102,24 @@ WITH bytes AS (
     SELECT doc_id, substr(h, (2 * i + 1)::BIGINT, 10) AS g FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM bytes)
 ), good AS (
     SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), own AS (
+    SELECT doc_id, g, count(*)::DOUBLE AS c FROM gram GROUP BY 1, 2
+), held AS (
+    SELECT own.doc_id, g, c, (good.doc_id IS NOT NULL)::INT AS m, sum(c) OVER (PARTITION BY own.doc_id, substr(g, 1, 8)) AS ch,
+           sum(c) OVER (PARTITION BY own.doc_id, substr(g, 9, 2)) AS cb, sum(c) OVER (PARTITION BY own.doc_id) AS ca
+    FROM own LEFT JOIN good ON good.doc_id = own.doc_id
 ), counts AS (
-    SELECT g, count(*) AS n, count(good.doc_id) AS t FROM gram LEFT JOIN good USING (doc_id) GROUP BY 1
+    SELECT g, sum(c) AS n, sum(c * m) AS t FROM held GROUP BY 1
 ), model AS (
-    SELECT g, -ln((t + 1.0::DOUBLE / 256) / (sum(t) OVER h + 1)) AS target, -ln((n + 1.0::DOUBLE / 256) / (sum(n) OVER h + 1)) AS background
-    FROM counts WINDOW h AS (PARTITION BY substr(g, 1, 8))
+    SELECT *, sum(n) OVER h AS hn, sum(t) OVER h AS ht, sum(n) OVER b AS bn, sum(t) OVER b AS bt, sum(n) OVER () AS an, sum(t) OVER () AS tt
+    FROM counts WINDOW h AS (PARTITION BY substr(g, 1, 8)), b AS (PARTITION BY substr(g, 9, 2))
+), loss AS (
+    SELECT doc_id, c,
+           -ln((t - c * m + (bt - cb * m + 1.0::DOUBLE / 256) / (tt - ca * m + 1)) / (ht - ch * m + 1)) AS target,
+           -ln((tt / an * (n - c) + (tt / an * (bn - cb) + 1.0::DOUBLE / 256) / (tt / an * (an - ca) + 1)) / (tt / an * (hn - ch) + 1)) AS background
+    FROM held JOIN model USING (g)
 ), mean AS (
-    SELECT doc_id, count(*) AS n, avg(target) AS target, avg(background) AS background FROM gram JOIN model USING (g) GROUP BY 1
+    SELECT doc_id, sum(c) AS n, sum(c * target) / sum(c) AS target, sum(c * background) / sum(c) AS background FROM loss GROUP BY 1
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(target, 0), 6) AS target_loss,
        round(coalesce(background, 0), 6) AS background_loss, round(coalesce(target - background, 0), 6) AS score
