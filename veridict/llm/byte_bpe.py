@@ -17,7 +17,6 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Pre-tokens that a worker remembers; longer ones than LONGEST_KEPT characters are never kept.
-REMEMBERED, LONGEST_KEPT = 800_000, 40
+#: Pre-tokens that a worker remembers in each of two generations; longer ones than LONGEST_KEPT characters are never kept.
+REMEMBERED, LONGEST_KEPT = 280_000, 40
 
 
 class ByteBpe:
@@ -52,7 +51,8 @@ class ByteBpe:
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.kept: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token.
@@ -119,21 +119,22 @@ class ByteBpe:
             i = to
         return tuple(out)
 
-    def _new(self, pretoken: str) -> tuple[tuple[int, ...], str]:
-        ids = self.merge(pretoken.encode("utf-8", "replace"))
-        entry = ids, ",".join(map(str, ids))
+    def _new(self, pretoken: str) -> str:
+        """Decimal ids of a pre-token that the last generation doesn't hold."""
+        entry = self.kept.get(pretoken) or self.older.get(pretoken)
+        if entry is None:
+            entry = ",".join(map(str, self.merge(pretoken.encode("utf-8", "replace"))))
         if len(pretoken) <= LONGEST_KEPT:
             if len(self.kept) >= REMEMBERED:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[pretoken] = entry
         return entry
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a text, as int64, and in decimal, joined by commas."""
         kept, new = self.kept.get, self._new
-        entries = [kept(match) or new(match) for match in self.split.findall(text)]
-        ids = np.fromiter(chain.from_iterable([e[0] for e in entries]), dtype=np.int64)
-        return ids, ",".join([e[1] for e in entries])
+        decimal = ",".join([kept(match) or new(match) for match in self.split.findall(text)])
+        return np.fromstring(decimal, dtype=np.int64, sep=","), decimal
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""

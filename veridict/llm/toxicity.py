@@ -46,7 +46,7 @@ DOCUMENTS = 4000
 #: Sentences that a toxic document offers in a round, and any other one: the worst, and some at random.
 TOXIC_SENTENCES, WORST, RANDOM = 3, 3, 2
 #: Landmarks of each class, folds and rounds of choosing sentences.
-LANDMARKS, FOLDS, ROUNDS = 256, 4, 4
+LANDMARKS, FOLDS, ROUNDS = 192, 4, 4
 #: Words with more symbols than this are scored but are no examples.
 LONGEST = 64
 #: Words of single letters in a row that are read as one.
@@ -166,21 +166,29 @@ class Features:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def kernel(self, landmarks: np.ndarray) -> np.ndarray:
-        """Kernel of every word with each of the words numbered ``landmarks``."""
-        used = np.unique(np.concatenate([self.codes[self.starts[w] : self.starts[w + 1]] for w in landmarks]))
+    def rows(self, words: np.ndarray) -> "Features":
+        """The features of some of the words."""
+        out = object.__new__(Features)
+        parts = [slice(self.starts[w], self.starts[w + 1]) for w in words]
+        out.codes, out.weights = (np.concatenate([c[p] for p in parts]) for c in (self.codes, self.weights))
+        out.starts = np.concatenate([[0], np.cumsum([p.stop - p.start for p in parts])])
+        return out
+
+    def kernel(self, landmarks: "Features", map_: np.ndarray | None = None) -> np.ndarray:
+        """Kernel of every word with each landmark, times ``map_`` if given; a thousand words at a time."""
+        used, column = np.unique(landmarks.codes, return_inverse=True)
         across = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)  # the last row is for other codes
-        for k, w in enumerate(landmarks):
-            part = slice(self.starts[w], self.starts[w + 1])
-            np.add.at(across[:, k], np.searchsorted(used, self.codes[part]), self.weights[part])
-        at = np.minimum(np.searchsorted(used, self.codes), len(used) - 1)
-        at[used[at] != self.codes] = len(used)
-        out = np.zeros((len(self), len(landmarks)), dtype=np.float32)
+        np.add.at(across, (column, np.repeat(np.arange(len(landmarks)), np.diff(landmarks.starts))), landmarks.weights)
+        if map_ is not None:
+            across = across @ map_.astype(np.float32)
+        out = np.zeros((len(self), across.shape[1]), dtype=np.float32)
         step = 1000
         for a in range(0, len(self), step):
             b = min(a + step, len(self))
             low, high = self.starts[a], self.starts[b]
-            out[a:b] = np.add.reduceat(across[at[low:high]] * self.weights[low:high, None], self.starts[a:b] - low)
+            at = np.minimum(np.searchsorted(used, self.codes[low:high]), len(used) - 1)
+            at[used[at] != self.codes[low:high]] = len(used)
+            out[a:b] = np.add.reduceat(across[at] * self.weights[low:high, None], self.starts[a:b] - low)
         return out
 
 
@@ -244,26 +252,25 @@ def train_words(words: list[bytes], toxic: np.ndarray, weights: np.ndarray, pena
         return [Machine(np.zeros(_CODES, np.float32), 1.0 if toxic.any() else -1.0) for _ in weights]
     x, total = Features(words), weights.sum(axis=0)
     most = lambda side: np.flatnonzero(side)[np.argsort(-total[side], kind="stable")[:LANDMARKS]]
-    landmarks = np.concatenate([most(toxic), most(~toxic)])
-    kernel = x.kernel(landmarks)
-    value, vector = np.linalg.eigh(kernel[landmarks].astype(np.float64))
+    landmarks = x.rows(np.concatenate([most(toxic), most(~toxic)]))
+    value, vector = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
     good = value > 1e-4 * value.max()
     half = vector[:, good] / np.sqrt(value[good])
-    phi = np.empty((len(x), half.shape[1] + 1), dtype=np.float32)
-    phi[:, :-1], phi[:, -1] = kernel @ half.astype(np.float32), 1
-    del kernel
+    phi = x.kernel(landmarks, half)  # the last feature, the bias, is 1 for every word
+    features = lambda block: np.column_stack([phi[block], np.ones(len(phi[block]), np.float32)])
     y, blocks = np.where(toxic, 1.0, -1.0), [slice(a, a + 4096) for a in range(0, len(x), 4096)]
     solved = []
     for weight in weights:
         # either class weighs as much as the other, and `penalty` does not depend on the number of sentences
         cost = weight * np.where(toxic, 1 / max(weight[toxic].sum(), 1e-9), 1 / max(weight[~toxic].sum(), 1e-9)) * penalty * 1000
-        w = np.zeros(phi.shape[1])
+        w = np.zeros(phi.shape[1] + 1)
         for _ in range(steps):
             hessian, right = np.eye(len(w)), np.zeros(len(w))
             for block in blocks:
-                c = cost[block] * (y[block] * (phi[block] @ w) < 1)
+                z = features(block)
+                c = cost[block] * (y[block] * (z @ w) < 1)
                 own = np.flatnonzero(c)
-                z = phi[block][own]
+                z = z[own]
                 hessian += z.T @ (z * c[own, None])
                 right += z.T @ (c[own] * y[block][own])
             step = np.linalg.solve(hessian, right)
@@ -273,11 +280,9 @@ def train_words(words: list[bytes], toxic: np.ndarray, weights: np.ndarray, pena
                 break
         solved.append(w)
     tables = np.zeros((len(solved), _CODES), dtype=np.float32)
-    coefficients = np.array([half @ w[:-1] for w in solved])
-    for k, word in enumerate(landmarks):
-        part = slice(x.starts[word], x.starts[word + 1])
-        for table, c in zip(tables, coefficients[:, k], strict=True):
-            np.add.at(table, x.codes[part], c * x.weights[part])
+    owner = np.repeat(np.arange(len(landmarks)), np.diff(landmarks.starts))
+    for table, w in zip(tables, solved, strict=True):
+        np.add.at(table, landmarks.codes, (half @ w[:-1])[owner] * landmarks.weights)
     return [Machine(t, float(w[-1])) for t, w in zip(tables, solved, strict=True)]
 
 
