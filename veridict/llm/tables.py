@@ -7,6 +7,7 @@ so that a lost executor never loses it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,21 +27,44 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again (lineage ends here)."""
+_made: list[str] = []
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again (lineage ends here).
+
+    The table stays until ``forget`` or, unless ``keep``, ``release`` deletes it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all operators whose results have been written.
+
+    For jobs of several steps, between two of them: results that are still
+    lazy could not be computed any more.  Plans that nothing refers to are
+    collected, upon which Spark removes their shuffle files.
+    """
+    while _made:
+        _delete(spark, _made.pop())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that ``written`` made and nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 #: A key is frequent with more rows than this, and than the HOT_KEYS-th part of all: so at most HOT_KEYS keys are.

@@ -239,7 +239,9 @@ class Machine:
 
 
 def _design(evidence: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.clip(evidence[:, :POOLED], -3, 3), evidence[:, POOLED] / 5, np.ones(len(evidence))])
+    # the worst margin as it is; a second and third bad word speak for toxicity, their lack not against it
+    worst, others = np.clip(evidence[:, :1], -3, 3), np.clip(evidence[:, 1:POOLED], 0, 3)
+    return np.column_stack([worst, others, evidence[:, POOLED] / 5, np.ones(len(evidence))])
 
 
 def train_words(words: list[bytes], toxic: np.ndarray, weights: np.ndarray, penalty: float = 1.0, steps: int = 30) -> list[Machine]:
