@@ -32,7 +32,7 @@ def test_text_helpers(spark):
     assert column(spark, ["“a”–b"], X.plain_punctuation) == ['"a"-b']
     assert column(spark, ["gpt-5", "Claude-x", "other"], X.provider_family) == ["openai", "anthropic", "other"]
     assert column(spark, ["95", "0.5", "x", "NaN"], X.fraction) == [0.95, 0.5, None, None]
-    assert column(spark, ["a" * 80, "a b"], X.custom_id)[1] == "a_b" and len(column(spark, ["a" * 80], X.custom_id)[0]) == 64
+    assert column(spark, ["a" * 80, "a b"], X.custom_id)[1] == "a-b" and len(column(spark, ["a" * 80], X.custom_id)[0]) == 64
     assert column(spark, [0.0, 0.125, 0.375, 1.0, 2.0], lambda v: X.heat_level(v, F.lit(0), F.lit(1)), "double") == [0, 0, 2, 4, 4]
     assert column(spark, [3, 0], X.option_letters, "int") == [["A", "B", "C"], []]
     assert column(spark, ["x_seed3_seed12", "none"], X.seed_of) == [12, None]

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, reliability, statistics, subsets
+from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, parity, reliability, statistics, subsets
 
-__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "reliability", "statistics", "subsets"]
+__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "parity", "reliability", "statistics", "subsets"]

@@ -34,30 +34,54 @@ def collapse_space(x: Column) -> Column:
 
 
 def json_block(x: Column) -> Column:
-    """The first fenced block, else the widest stretch from a bracket to its last counterpart, else the text."""
-    fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    """An object or array in a json fence, else the widest stretch from a bracket to its last counterpart, else the text."""
+    fenced = F.regexp_extract(x, r"(?s)```json\s*(\{.*\}|\[.*\])\s*```", 1)
     bare = F.regexp_extract(x, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(fenced != "", strip(fenced)).when(bare != "", bare).otherwise(strip(x))
+    return F.when(fenced != "", strip(fenced)).when(bare != "", strip(bare)).otherwise(strip(x))
+
+
+def _first_match(x: Column, patterns: tuple[str, ...]) -> Column:
+    """First group of the first pattern that matches, null if none does."""
+    found = [F.regexp_extract(x, p, 1) for p in patterns]
+    return F.coalesce(*(F.when(f != "", f) for f in found))
 
 
 def answer_letter(x: Column, allowed: str = "ABCDE") -> Column:
     """The letter a response chooses, null if none of ``allowed``.
 
     The first pattern that matches decides, even when its letter is not
-    allowed: "answer is (X)", "answer: X", a leading letter; else the last
-    single letter of the text.
+    allowed; else the last single letter of the text in capitals.
     """
-    up = F.upper(x)
-    found = [
-        F.regexp_extract(up, r"ANSWER\s+IS\s*:?\s*\(?([A-Z])\b", 1),
-        F.regexp_extract(up, r"ANSWER\s*[:=]\s*\(?([A-Z])\b", 1),
-        F.regexp_extract(up, r"^\s*\(?([A-Z])[\).:\s]*$", 1),
-    ]
-    last = F.get(F.slice(F.regexp_extract_all(up, F.lit(r"\b([A-Z])\b"), F.lit(1)), -1, 1), F.lit(0))
-    letter = F.coalesce(*(F.when(f != "", f) for f in found), last)
+    #: The ways to state an answer, by priority.
+    patterns = (
+        r"(?iU)the\s+answer\s+is\s*\(?\s*([A-Z])\s*\)?",
+        r"(?iU)\banswer\s*:\s*([A-Z])\b",
+        r"(?U)\(([A-Z])\)\s*$",
+    )
+    stated = F.upper(_first_match(strip(x), patterns))
+    letter = F.coalesce(stated, F.try_element_at(F.regexp_extract_all(F.upper(x), F.lit(r"(?U)\b([A-Z])\b"), F.lit(1)), F.lit(-1)))
     return F.when(F.instr(F.lit(allowed), letter) > 0, letter)
 
 
+def answer_letter_of_ten(x: Column) -> Column:
+    """The letter A to J that a response to a ten-option question chooses."""
+    #: The ways to state an answer, by priority.
+    patterns = (
+        r"answer is \(?([A-J])\)?",
+        r"[aA]nswer:\s*([A-J])",
+        r"best course of action to perform immediately is [\(\[]([A-J])[\)\]]",
+        r"best course of action.*[\(\[]([A-J])[\)\]]",
+        r"(?=.*\bbest\b)(?=.*\baction\b).*[\(\[]([A-J])[\)\]]",
+    )
+    return _first_match(x, patterns)
+
+
+def repaired_options(x: Column) -> Column:
+    """Options given as JSON text, typographic quotes made plain, without those that are "N/A"; null if it is no array."""
+    parsed = F.from_json(F.translate(x, "“”’‘", "\"\"''"), "array<string>", {"mode": "PERMISSIVE"})
+    return F.filter(parsed, lambda o: F.coalesce(o != "N/A", F.lit(True)))
+
+
 def option_letters(n: Column) -> Column:
     """["A", "B", ...] of n letters."""
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.char(64 + i))).otherwise(F.array().cast("array<string>"))
@@ -81,31 +105,52 @@ def item_error(question: Column, options: Column, answer: Column, n_options: int
     )
 
 
-def provider_family(x: Column) -> Column:
-    """Maker of a model by the beginning of its name; the name itself where none is known."""
-    name = F.lower(x)
+def provider_family(x: Column, mode: str = "family") -> Column:
+    """Maker of a model by the beginning of its name; the name itself where none is known, or if ``mode`` is "exact".
+
+    A missing or empty name is "unknown".
+    """
+    raw = F.when(x.isNull() | (x == ""), "unknown").otherwise(x)
+    if mode == "exact":
+        return raw
     #: Beginnings of model names and their makers.
-    known = {
-        "gpt": "openai", "o1": "openai", "o3": "openai", "claude": "anthropic", "gemini": "google", "grok": "xai",
-        "deepseek": "deepseek", "kimi": "moonshot", "llama": "meta", "qwen": "alibaba",
-    }
-    out = None
-    for start, maker in known.items():
-        test = F.startswith(name, F.lit(start))
-        out = F.when(test, maker) if out is None else out.when(test, maker)
-    return out.otherwise(x)
+    known = {"gpt-": "openai", "openai-": "openai", "claude-": "anthropic", "anthropic": "anthropic", "gemini-": "gemini", "google-": "gemini"}
+    found = F.coalesce(*(F.when(F.startswith(F.lower(x), F.lit(start)), F.lit(maker)) for start, maker in known.items()))
+    return F.coalesce(found, raw)
+
+
+def _safe(x: Column, sign: str, ends: str) -> Column:
+    safe = F.regexp_replace(x, r"[^A-Za-z0-9_.-]+", sign)
+    return F.regexp_replace(safe, f"^[{ends}]+|[{ends}]+$", "") if ends else safe
+
+
+def safe_file_name(x: Column) -> Column:
+    """Runs of other characters than letters, digits, dot, dash and underscore as one underscore."""
+    return _safe(strip(x), "_", "")
 
 
-def sanitize(x: Column) -> Column:
-    """For file names: runs of other characters than letters, digits, dot, dash and underscore become one underscore."""
-    return F.regexp_replace(F.regexp_replace(strip(x), r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
+def safe_suffix(x: Column) -> Column:
+    """As a file name, without signs at both ends; a missing value is empty."""
+    return _safe(strip(F.coalesce(x, F.lit(""))), "_", "_.-")
 
 
-def custom_id(x: Column, limit: int = 64) -> Column:
-    """An id of at most ``limit`` safe characters; longer ones end in a digest of the whole."""
-    safe = F.regexp_replace(x, r"[^A-Za-z0-9_-]", "_")
-    short = F.concat(F.substring(safe, 1, limit - 17), F.lit("_"), F.substring(F.sha2(x, 256), 1, 16))
-    return F.when(F.length(safe) <= limit, safe).otherwise(short)
+def safe_id(x: Column) -> Column:
+    """As a suffix; "unknown" if nothing is left."""
+    safe = safe_suffix(x)
+    return F.when(safe == "", "unknown").otherwise(safe)
+
+
+def model_slug(x: Column) -> Column:
+    """Dashes instead of other characters, none at both ends; "model" if nothing is left."""
+    slug = _safe(x, "-", "-")
+    return F.when(slug == "", "model").otherwise(slug)
+
+
+def custom_id(x: Column) -> Column:
+    """An id of at most 64 safe characters; longer ones end in twelve digits of a digest of the whole."""
+    safe = F.regexp_replace(x, r"[^a-zA-Z0-9_-]", "-")
+    short = F.concat(F.substring(safe, 1, 64 - 12 - 1), F.lit("_"), F.substring(F.sha2(x.cast("binary"), 256), 1, 12))
+    return F.when(F.length(safe) <= 64, safe).otherwise(short)
 
 
 def plain_punctuation(x: Column) -> Column:
@@ -121,9 +166,10 @@ def control_positions(x: Column) -> Column:
 
 
 def heat_level(v: Column, low: Column, high: Column) -> Column:
-    """0 to 4 by place between low and high, half to even; the middle where they agree."""
-    share = F.try_divide(v.cast("double") - low, high.cast("double") - low)
-    return F.coalesce(F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * 4, 0).cast("int"), F.lit(2))
+    """0 to 4 by place between low and high, half to even; null where there is no range or a value is missing or NaN."""
+    v, low, high = (F.when(F.isnan(c.cast("double")), None).otherwise(c.cast("double")) for c in (v, low, high))
+    share = (F.least(high, F.greatest(low, v)) - low) / F.when(high > low, high - low)
+    return F.when(v.isNotNull() & (high > low), F.bround(share * 4, 0).cast("int"))
 
 
 def percent(x: Column) -> Column:
@@ -143,9 +189,18 @@ def seed_of(name: Column) -> Column:
 
 
 def generator_of(name: Column, manifest: Column) -> Column:
-    """The manifest's generator, else the part of a run name between its time and its seed, else "unknown"."""
-    own = F.regexp_extract(name, r"^[0-9TZ]+_(.+)_seed\d+", 1)
-    return F.coalesce(manifest, F.when(own != "", own), F.lit("unknown"))
+    """The manifest's generator if it names one, else what stands between the first part and a last one that begins with "seed"."""
+    parts = F.split(name, "_")
+    own = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "_")
+    fits = (F.size(parts) >= 3) & F.startswith(F.element_at(parts, -1), F.lit("seed")) & (own != "")
+    return F.coalesce(F.when(manifest != "", manifest), F.when(fits, own), F.lit("unknown"))
+
+
+def batch_tag(path: Column) -> Column:
+    """The tag of the last path segment of the form quizzes_<tag>; null if there is none."""
+    tags = F.regexp_extract_all(strip(path), F.lit(r"(?:^|/)quizzes_([^/]+)"), F.lit(1))
+    tag = strip(F.try_element_at(tags, F.lit(-1)))
+    return F.when(tag != "", tag)
 
 
 def fraction(x: Column) -> Column:
@@ -156,9 +211,61 @@ def fraction(x: Column) -> Column:
 
 
 def surgical_panel(topic: Column) -> Column:
-    """surgical, medicine or other."""
+    """"surgical", "other" or, for everything else, "medicine"."""
+    label = F.coalesce(collapse_space(topic), F.lit(""))
+    #: Names of surgical specialties (parts, and whole ones) and of the other ones.
+    parts, whole = ("surgery", "obstetrics", "gynecology", "obgyn"), ("otolaryngology", "urology", "ophthalmology")
+    other = ("anesthesiology", "dermatology", "emergency medicine", "neurology", "radiation oncology", "psychiatry")
+    return F.when(label.rlike("|".join(parts)) | label.isin(*whole), "surgical").when(label.isin(*other), "other").otherwise("medicine")
+
+
+#: Short forms of topic labels.
+SHORT_TOPICS = {
+    "anesthesiology": "Anes", "critical care medicine": "CCM", "dermatology": "Derm", "emergency medicine": "EM", "endocrine": "Endo",
+    "gastrointestinal": "GI", "general surgery": "Gen Surg", "hematology": "Heme", "infectious disease": "ID", "medical oncology": "Onc",
+    "nephrology": "Nephro", "neurology": "Neuro", "neurological surgery": "NSG", "obstetrics and gynecology": "ObGyn",
+    "ophthalmology": "Ophtho", "orthopedic surgery": "Ortho", "otolaryngology": "HEENT", "physical medicine and rehabilitation": "PM&R",
+    "plastic surgery": "Plast Surg", "psychiatry": "Psych", "pulmonary": "Pulm", "radiation oncology": "Rad Onc",
+    "rheumatology/musculoskeletal": "Rheum", "thoracic surgery": "Thor Surg", "urology": "Uro", "vascular surgery": "Vasc Surg",
+    "geriatrics": "Geri", "pediatrics": "Peds", "cardiovascular": "Cards", "allergy/immunology": "All/Imm", "immunology": "Immuno",
+    "cardiology": "Cards", "endocrinology": "Endo", "hematology/oncology": "Heme/Onc", "obstetrics": "Ob", "gynecology": "Gyn",
+    "critical care": "CC", "unknown": "Unknown",
+}
+
+
+def short_topic(topic: Column) -> Column:
+    """A label's short form, else the label with white space collapsed."""
+    raw = strip(F.regexp_replace(F.coalesce(topic, F.lit("")), r"\s+", " "))
+    forms = F.create_map(*(F.lit(x) for pair in SHORT_TOPICS.items() for x in pair))
+    return F.coalesce(F.try_element_at(forms, F.lower(raw)), raw)
+
+
+def is_blood_or_cancer(topic: Column) -> Column:
+    """Whether a label names hematology and oncology together."""
     label = normalize_label(topic)
-    #: Parts of the names of surgical and of general-medicine specialties.
-    surgical, general = ("surgery", "surgical", "orthop", "urolog", "ophthalm", "otolaryng"), ("internal medicine", "family medicine")
-    has = lambda words: F.coalesce(label.rlike("|".join(words)), F.lit(False))
-    return F.when(has(surgical), "surgical").when(has(general), "medicine").otherwise("other")
+    return F.coalesce(F.contains(label, F.lit("hematology")) & F.contains(label, F.lit("oncology")), F.lit(False))
+
+
+def blood_or_cancer(response: Column) -> Column:
+    """"Hematology" or "Medical Oncology" as a response chooses; null if it doesn't."""
+    text = strip(F.regexp_replace(strip(response), "^`+|`+$", ""))
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-zA-Z ]+", " "), " +", " ")))
+    first, whole = plain(F.get(F.split(text, r"\r\n|\r|\n"), F.lit(0))), plain(text)
+    has = lambda word: F.contains(whole, F.lit(word))
+    return (
+        F.when(first == "hematology", "Hematology").when(first.isin("medical oncology", "oncology"), "Medical Oncology")
+        .when(has("medical oncology"), "Medical Oncology").when(has("hematology") & ~has("oncology"), "Hematology")
+        .when(has("oncology") & ~has("hematology"), "Medical Oncology")
+    )
+
+
+def quiz_id(at: Column, generator: Column, seed: Column) -> Column:
+    """Id of a run: time in UTC to the millisecond, the generator as a file name, the seed."""
+    return F.concat_ws("_", F.date_format(at, "yyyyMMdd'T'HHmmssSSS'Z'"), safe_file_name(generator), F.concat(F.lit("seed"), seed.cast("string")))
+
+
+def localized(path: Column, root: str, *anchors: str) -> Column:
+    """A path recorded elsewhere, moved below ``root``: what begins with the first anchor folder it holds; null if it holds none."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    rest = F.coalesce(*(F.when(F.instr(plain, a) > 0, F.substring(plain, F.instr(plain, F.lit(a)), F.length(plain))) for a in anchors))
+    return F.concat(F.lit(root.rstrip("/") + "/"), rest)

@@ -93,7 +93,7 @@ def label_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     joined = F.concat(F.col("source"), F.lit(" & "), F.col("lang"))
     return docs.select(
-        "doc_id", X.normalize_label(F.substring(joined, 1, 40)).alias("label"), F.upper(X.sanitize(F.col("source"))).alias("name"),
+        "doc_id", X.normalize_label(F.substring(joined, 1, 40)).alias("label"), F.upper(X.safe_file_name(F.col("source"))).alias("name"),
         X.heat_level(F.col("n_chars") % 5, F.lit(0), F.lit(4)).alias("level"), X.percent((F.col("doc_id") % 97) / 97).alias("pct"),
     )
 
