@@ -59,6 +59,24 @@ def test_ngram_components(docs, rows, size, percent):
     assert got == brute_components(rows, size, percent)
 
 
+def test_ngram_short_documents_and_shared_passages(spark, monkeypatch):
+    """Links of short and long near copies among documents that share a passage; families don't grow by the passage."""
+    rng = random.Random(19)
+    passage = prose(rng, 40)
+    rows = []
+    for _ in range(60):
+        w = prose(rng, rng.choice([3, 6, 9, 14, 25, 60, 120])).split() + (passage.split() if rng.random() < 0.5 else [])
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            v = list(w)
+            for _ in range(rng.choice([0, 1, 1, 2, len(v) // 30 + 1])):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size, percent in ((5, 80), (4, 85), (2, 60)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table, size, percent).collect()}
+        assert got == brute_components(rows, size, percent), (size, percent)
+
+
 def test_ngram_family_in_blocks(spark, monkeypatch):
     """A family of near copies larger than a row block."""
     rng = random.Random(1)
@@ -289,6 +307,21 @@ def test_passages_behind_an_earlier_fragment(spark):
                 assert any(first <= k and k + 50 <= end for first, end in got[i]), (i, k)
 
 
+def test_passages_of_frequent_min_hashes(spark, monkeypatch):
+    """A passage in most documents, its min-hashes dealt over several tasks, is met with the earliest document."""
+    from veridict.llm import tables
+
+    rng = random.Random(18)
+    p = prose(rng, 70)
+    rows = [(i, f"{prose(rng, 30)} {p} {prose(rng, 20)}" if i % 4 else prose(rng, 90)) for i in range(1, 90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    usual = sorted(map(tuple, passages.repeated_passages(table).collect()))
+    monkeypatch.setattr(tables, "HOT_ROWS", 8)
+    monkeypatch.setattr(passages, "LOOKED_AT", 1)
+    assert sorted(map(tuple, passages.repeated_passages(table).collect())) == usual
+    assert {(a, b) for a, b, *_ in usual} >= {(i, 1) for i in range(2, 90) if i % 4}
+
+
 def test_compact_windows():
     import numpy as np
 
@@ -322,6 +355,15 @@ def test_sharding(docs, rows, empty):
     assert sharding.interleave(empty, 3).count() == 0
 
 
+def test_sharding_shared_and_null_keys(spark, docs, monkeypatch):
+    """Rows that share a key or have none lie in one place only, whatever the partitions; equal rows are interchangeable."""
+    monkeypatch.setattr(sharding, "ROWS_A_BUCKET", 4)
+    rows = [(None if i % 3 == 0 else 1, f"s{i % 2}", f"t{i // 2}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, shard string").withColumnRenamed("shard", "body")
+    places = [sorted(((r.doc_id or 0, r.source, r.body), r.shard, r.slot) for r in sharding.interleave(t, 7).collect()) for t in (table, table.repartition(5, "body"))]
+    assert places[0] == places[1] and len({p[1:] for p in places[0]}) == 60
+
+
 def test_sharding_more_shards_than_rows(spark):
     rows = [(i, "s") for i in range(3)]
     got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string"), 24).collect()

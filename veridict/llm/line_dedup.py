@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridict.llm.tables import frequent, join_frequent, written
+from veridict.llm.tables import join_frequent, join_salted, written
 
 #: Fewest units of a line that one edit may tell from another.
 MIN_UNITS = 8
@@ -190,11 +190,7 @@ def _near(slim: DataFrame, distinct: DataFrame, places: Places) -> DataFrame:
     pairs = written(pairs.where("_first < _place").distinct())
     own = lines.select("_place", "view", F.col("_units").alias("x"))
     other = lines.select(F.col("_place").alias("_first"), "view", F.col("_units").alias("y"))
-    # an earliest line that many are near to is met in several tasks
-    parts = F.broadcast(frequent(pairs.groupBy("_first", "view").agg(F.count("*").alias("c"))))
-    salted = pairs.join(parts, ["_first", "view"], "left").withColumn("salt", F.expr("coalesce(pmod(xxhash64(_place), parts), 0)"))
-    copies = other.join(parts, ["_first", "view"], "left").withColumn("salt", F.expr("explode(sequence(0L, coalesce(parts, 1L) - 1))"))
-    both = salted.drop("parts", "c").join(own, ["_place", "view"]).join(copies.drop("parts", "c"), ["_first", "view", "salt"])
+    both = join_salted(pairs.join(own, ["_place", "view"]), other, ["_first", "view"])
     return both.where(within_one_edit("x", "y")).select("_place").distinct()
 
 

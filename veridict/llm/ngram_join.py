@@ -4,9 +4,11 @@ The document by n-gram incidence matrix is multiplied with its transpose in
 blocks, and only where an entry can matter.  N-gram space is cut by hash into
 as many column blocks as documents of a size class may differ in n-grams, plus
 a few: two documents that reach the similarity then have an identical,
-non-empty sub-row in some column block, since their difference is too small to
-touch every one.  Documents connected by equal sub-rows are a family; only
-within families can documents link.
+sub-row in some column block, since their difference is too small to touch
+every one.  Sub-rows that most documents have, made of passages that many
+share, go unused as far as the number of column blocks allows.  Documents
+connected by equal sub-rows are a family; only within families can documents
+link.
 
 A family's rows are cut into row blocks of bounded size, and every two row
 blocks are one task: it accumulates the overlap of all their pairs (columns
@@ -25,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridict.llm.tables import connected_components, written
+from veridict.llm.tables import connected_components, join_frequent, written
 from veridict.llm.words import mix64, seeded, shingles, signed
 
 #: Bounds of a row block: documents, and n-grams of all of them (a longer document is a block of its own).
 BLOCK_ROWS, BLOCK_GRAMS = 1000, 250_000
-#: Share of the possible differences that is added in sub-rows which may go unused.
-SPARE_PERCENT = 18
+#: Shares of the possible differences that are added in sub-rows which may go unused, and the least number of them:
+#: the shortest sub-rows of a document, and those that most other documents have.
+SHORT_PERCENT, OFTEN_PERCENT, SHORT_LEAST, OFTEN_LEAST = 10, 18, 1, 2
 #: Columns with more documents than this are multiplied as a dense matrix.
 DENSE = 24
 
@@ -52,34 +55,45 @@ def size_classes(limit: int, percent: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _blocks_of(upper: int, percent: int) -> tuple[int, int]:
-    """Column blocks for documents of at most ``upper`` n-grams, and how many sub-rows may go unused."""
+def _blocks_of(upper: int, percent: int) -> tuple[int, int, int]:
+    """Column blocks for documents of at most ``upper`` n-grams, and how many short and frequent sub-rows may go unused.
+
+    No blocks where only equal sets reach the similarity.
+    """
     differ = _floor_sum(2 * upper, percent)
-    spare = differ * SPARE_PERCENT // 100
-    return differ + 1 + spare, spare
+    if not differ:
+        return 0, 0, 0
+    short = max(SHORT_LEAST, differ * SHORT_PERCENT // 100)
+    often = max(OFTEN_LEAST, differ * OFTEN_PERCENT // 100)
+    return differ + 1 + short + often, short, often
 
 
 def signatures(values: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
     """Keys of the sub-rows of one document; ``values`` are its distinct n-gram hashes, sorted.
 
     Two similar documents agree in more sub-rows than may go unused, so each
-    may leave out its shortest ones, which documents that merely share a
-    passage would have in common.  Both keep every sub-row that is as long as
-    the longer of their two limits, and of those they agree in one at least.
+    may leave out some, by an order that both have in common: first its
+    shortest ones (here), then those that most documents have (``_links``).
+    Documents that merely share a passage would have just these in common.
+    The first of any sub-rows they agree in, by either order reversed, is left
+    out by neither.  The lowest bit of a key tells the parity of the size class.
     """
     size = len(values)
     own = int(np.searchsorted(classes, size, "right")) - 1
-    mixed, keys = mix64(values ^ seeded(77)), []
+    mixed, keys = mix64(values ^ seeded(77)), [np.zeros(0, np.uint64)]
     for scheme in (own, own + 1):
-        blocks, spare = _blocks_of(int(classes[scheme + 1]) - 1, percent)
+        blocks, short, _ = _blocks_of(int(classes[scheme + 1]) - 1, percent)
+        if not blocks:
+            continue
         at = ((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         filled = np.bincount(at.astype(np.int64), minlength=blocks)
         total = np.zeros(blocks, dtype=np.uint64)  # values are sorted, so a block's values are a run
         total[filled > 0] = np.add.reduceat(mixed, (np.cumsum(filled) - filled)[filled > 0])
-        shortest = int(np.partition(filled, spare)[spare])  # no more than `spare` sub-rows are shorter
+        shortest = int(np.partition(filled, short)[short])  # no more than `short` sub-rows are shorter
         which = np.flatnonzero(filled >= shortest)
         salt = (which.astype(np.uint64) << np.uint64(20)) + np.uint64(scheme + 1)
-        keys.append(mix64(total[which] + filled[which].astype(np.uint64) * seeded(78) + salt * seeded(79)))
+        key = mix64(total[which] + filled[which].astype(np.uint64) * seeded(78) + salt * seeded(79))
+        keys.append(key & ~np.uint64(1) | np.uint64(scheme & 1))
     return np.concatenate(keys)
 
 
@@ -108,14 +122,26 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sub_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, doc_id) for every sub-row of every document with n-grams."""
+    """(key, doc_id) for every sub-row of every document with n-grams.
+
+    Of documents with equal n-grams a task looks only at those that may have the smallest id.
+    """
     classes = size_classes(1 << 40, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for part in shingles(batch.column("text"), size, short=True):
-                keys = [signatures(own, percent, classes) if len(own := _distinct(part, i)) else own for i in range(len(part))]
+                keys = []
+                for i in range(len(part)):
+                    own = _distinct(part, i)
+                    digest = int(mix64(own ^ seeded(3)).sum(dtype=np.uint64)) ^ len(own)
+                    if len(own) and least.get(digest, ids[part.first + i] + 1) > ids[part.first + i]:
+                        least[digest] = ids[part.first + i]
+                        keys.append(signatures(own, percent, classes))
+                    else:
+                        keys.append(own[:0])
                 owner = np.repeat(ids[part.first : part.first + len(part)], [len(k) for k in keys])
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(flat)), pa.array(owner)], names=["key", "doc_id"])
@@ -134,31 +160,42 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, grams binary")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b): each row's document beside the first of the same key; rows come sorted by key in each partition.
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key another row has, too; they come sorted by key in each partition.
 
-    Only the first row of the current key is held, so a key may have any
-    number of rows.
+    Only one row is held, so a key may have any number of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_held, head_held = None, None
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # the last row, and whether it is shared
+        cut = lambda key, doc: pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc)], names=["key", "doc_id"])
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            begins = np.concatenate([[key[0] != key_held or key_held is None], key[1:] != key[:-1]])
-            starts = np.flatnonzero(begins)
-            run_of = np.cumsum(begins) - 1
-            head = doc[starts[run_of]] if len(starts) else np.full(len(doc), head_held)
-            if len(starts):
-                head = np.where(run_of < 0, head_held if head_held is not None else 0, head)
-            keep = head != doc
-            key_held, head_held = key[-1], head[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(head[keep]), pa.array(doc[keep])], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+            key, doc = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "doc_id"), strict=False))
+            same = key[1:] == key[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[bool(held[2].any())], same])
+            held = [key[-1:], doc[-1:], shared[-1:]]
+            yield cut(key[:-1][shared[:-1]], doc[:-1][shared[:-1]])
+        yield cut(held[0][held[2]], held[1][held[2]])
+
+    return rows.mapInArrow(run, "key bigint, doc_id bigint")
+
+
+def _stars(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents beside the first one of a key, for all keys that don't go unused."""
+    classes = [int(c) for c in size_classes(1 << 40, percent)]
+    often = [_blocks_of(upper - 1, percent)[2] for upper in classes[1:]]
+    own = F.size(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c <= F.col("n_shingles"))) - 1
+    unused = lambda scheme: F.element_at(F.array(*map(F.lit, often)), scheme + 1)
+    limits = reps.withColumn("own", own).select("doc_id", (F.col("own") % 2).alias("parity"), unused(F.col("own")).alias("even"), unused(F.col("own") + 1).alias("odd"))
+    known = written(rows.join(limits, "doc_id").withColumn("second", F.expr("(key & 1) <> parity")))
+    counts = written(known.groupBy("key").agg(F.count("*").alias("c"), F.count("*").alias("f")).where("c > 1"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "second").orderBy(F.desc("f"), "key"))  # at most a document's sub-rows
+    ranked = join_frequent(known, counts, "key").withColumn("rank", rank)
+    kept = written(ranked.where(F.col("rank") > F.when(F.col("second"), F.col("odd")).otherwise(F.col("even"))).select("key", "doc_id"))
+    heads = written(kept.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1"))
+    return join_frequent(kept, heads, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -254,8 +291,8 @@ def _product(rows: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """doc_id and component of every document of ``reps`` that links with another; reps has doc_id and n_shingles."""
-    rows = _sub_rows(docs, size, percent)
-    stars = written(_stars(rows.repartition("key").sortWithinPartitions("key", "doc_id")).distinct())
+    rows = _sub_rows(docs, size, percent).repartition("key").sortWithinPartitions("key")
+    stars = written(_stars(_shared(rows), reps, percent))
     if stars.isEmpty():
         return None
     family = connected_components(stars).withColumnRenamed("node", "doc_id")

@@ -81,12 +81,14 @@ WITH crc AS (
         FROM (SELECT unnest(range(256)) AS i))
 ), coded AS (
     SELECT doc_id, coalesce(source, chr(0)) AS source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
-           hex(encode(coalesce(text, ''))) AS h, md5('17:' || doc_id) AS mix FROM documents
+           hex(encode(coalesce(text, ''))) AS h, source AS given FROM documents
 ), summed AS (
     SELECT c.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 8), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM coded c, crc
+), mixed AS (
+    SELECT *, md5(concat_ws('|', '17', doc_id::VARCHAR, given, size::BIGINT::VARCHAR, text_crc32::BIGINT::VARCHAR)) AS mix FROM summed
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS total FROM summed
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS total FROM mixed
 ), placed AS (
     SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2.0::DOUBLE * total), source, mix, doc_id) - 1 AS pos, count(*) OVER () AS n FROM ranked
 )

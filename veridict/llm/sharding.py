@@ -10,7 +10,7 @@ ROWS_A_BUCKET = 50_000
 
 
 def _buckets(spark: SparkSession, rows: int) -> int:
-    return max(1, min(65536, -(-rows // ROWS_A_BUCKET)))
+    return max(1, -(-rows // ROWS_A_BUCKET))
 
 
 def _ranked(df: DataFrame, stratum: list[str], bucket: str, order: list, name: str) -> DataFrame:
@@ -34,28 +34,28 @@ def interleave(
 ) -> DataFrame:
     """Append ``shard`` (0 to shards - 1), ``slot`` (from 0, gapless in a shard).
 
-    Rows are shuffled by an md5 of seed and key within their source, placed at
-    the fraction (rank + 1/2) / (rows of the source), sorted by fraction and
-    cut into shards whose row counts differ by one at most; every stretch of
-    the order, and so every shard, holds the sources in the corpus's
-    proportions.  A null source is a source of its own; a null key sorts as an
-    empty one.  Rows that agree in key are told apart by their whole content
-    only as far as Spark's sort is stable: give them distinct keys where their
-    order matters.  An empty table gives an empty result.  Columns of ``docs``
-    named ``shard`` or ``slot`` are replaced.
+    Rows are shuffled by an md5 of seed, key and all columns within their source,
+    placed at the fraction (rank + 1/2) / (rows of the source), sorted by
+    fraction and cut into shards whose row counts differ by one at most; every
+    stretch of the order, and so every shard, holds the sources in the corpus's
+    proportions.  A null source is a source of its own.  Rows that agree in
+    key, also null ones, are told apart by their other columns; rows that agree
+    in all columns are interchangeable.  An empty table gives an empty result.
+    Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
+    rest = [F.col(c).cast("string") for c, kind in docs.dtypes if c != key and not kind.startswith(("map", "struct", "array", "variant"))]
     slim = docs.select(
         *(F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)),
         F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("_source"),
         F.col(key).alias("_key"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")).alias("_mix"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), *rest).cast("binary")).alias("_mix"),
     )
     rows = slim.select("_key").count()
     n = _buckets(spark, rows)
-    high = F.conv(F.substring("_mix", 1, 4), 16, 10).cast("int")
-    slim = slim.withColumn("_bucket", F.floor(high * n / 65536).cast("int"))
+    high = F.conv(F.substring("_mix", 1, 8), 16, 10).cast("long")
+    slim = slim.withColumn("_bucket", F.floor(high * n / (1 << 32)).cast("int"))
     ranked = _ranked(slim, ["_source"], "_bucket", ["_mix", F.col("_key")], "_rank")
     totals = slim.groupBy("_source").agg(F.count("*").alias("_total"))
     placed = ranked.join(totals, "_source").withColumn(

@@ -71,23 +71,25 @@ def forget(df: DataFrame) -> None:
 HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
-def frequent(counts: DataFrame, count: str = "c") -> DataFrame:
+def frequent(counts: DataFrame, count: str = "c", total: int | None = None) -> DataFrame:
     """The frequent keys of a table with one row a key and its number of rows, and ``parts``: tasks that their rows need.
 
     At most HOT_KEYS rows, whatever the size of the table, so they may be
     broadcast where the rows are short.
     """
-    limit = max(HOT_ROWS, (counts.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
+    total = (counts.agg(F.sum(count)).first()[0] or 0) if total is None else total
+    limit = max(HOT_ROWS, total // HOT_KEYS)
     return counts.where(F.col(count) > limit).withColumn("parts", F.ceil(F.col(count) / limit))
 
 
-def join_frequent(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
-    """Inner join with a written table of one short row a key, which has the number of the key's rows in ``c``.
+def join_frequent(rows: DataFrame, groups: DataFrame, key: str | list[str], total: int | None = None) -> DataFrame:
+    """Inner join with a table of one short row a key, which has the number of the key's rows in ``c``.
 
     Rows of frequent keys meet a broadcast table of at most HOT_KEYS rows, so
-    that no task gets all rows of a key; the others are shuffled.
+    that no task gets all rows of a key; the others are shuffled.  Both sides
+    are read more than once: give written tables.
     """
-    hot = frequent(groups).drop("parts")
+    hot = frequent(groups, total=total).drop("parts")
     if hot.isEmpty():
         return rows.join(groups.hint("merge"), key).drop("c")
     hot = F.broadcast(written(hot))
@@ -96,30 +98,47 @@ def join_frequent(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> D
     return rows.join(hot, keys).unionByName(rest).drop("c")
 
 
+def join_salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one long row a key; rows of a frequent key are dealt over copies of its row."""
+    parts = F.broadcast(frequent(rows.groupBy(*keys).agg(F.count("*").alias("c"))).drop("c"))
+    other = [c for c in rows.columns if c not in keys]
+    salt = F.coalesce(F.pmod(F.xxhash64(*(other or keys)), F.col("parts")), F.lit(0))
+    copies = F.expr("explode(sequence(0L, coalesce(parts, 1L) - 1))")
+    salted = rows.join(parts, keys, "left").withColumn("_salt", salt.cast("long")).drop("parts")
+    copied = table.join(parts, keys, "left").withColumn("_salt", copies).drop("parts")
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node of an undirected graph.
 
     ``edges`` has columns ``a`` and ``b``.  Returns ``node`` and ``component``
     for every node that has an edge.  Alternates large-star and small-star
-    steps; each step is one aggregation with map-side combining, so a hub with
-    a third of all edges is not gathered anywhere, and the number of steps
-    grows with the logarithm of the longest path.
+    steps; each step finds every node's least neighbour by an aggregation with
+    map-side combining and takes it back to the edges by a join in which
+    frequent nodes are not shuffled, so a hub with a third of all edges is not
+    gathered anywhere.  The number of steps grows with the logarithm of the
+    longest path.
     """
     links = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    number = links.count()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        lowest = written(least.select("a", F.least("a", "m").alias("m"), "c"))
+        large = join_frequent(both.where("b > a"), lowest, "a", 2 * number).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.distinct())
+        floor = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")))
         ends = F.array(F.col("a"), F.col("b"))
-        small = large.join(floor, "a").select(F.explode(ends).alias("a"), F.col("m").alias("b"))
+        small = join_frequent(large, floor, "a", number).select(F.explode(ends).alias("a"), F.col("m").alias("b"))
         after = written(small.where("a <> b").distinct())
         # both sets hold distinct rows, so a differing count or one lost row shows a change
-        if after.count() == links.count() and links.join(after, ["a", "b"], "left_anti").isEmpty():
+        before, number = number, after.count()
+        if number == before and links.join(after, ["a", "b"], "left_anti").isEmpty():
             roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-        forget(links)
+        for done in (links, lowest, large, floor):
+            forget(done)
         links = after
