@@ -11,6 +11,11 @@ def sem(value: str) -> Column:
     return F.stddev_samp(value) / F.sqrt(F.count(value))
 
 
+def margin(key: str, label: str) -> Column:
+    """A key of a cube or rollup, ``label`` in its margin; needs ``grouping(key)`` as _all_<key>.  A null key stays null."""
+    return F.when(F.col(f"_all_{key}") == 1, F.lit(label)).otherwise(F.col(key))
+
+
 def correct() -> Column:
     """Whether pred equals the stripped gold letter (pred is not stripped)."""
     return F.col("pred") == F.trim("gold")
@@ -33,11 +38,11 @@ def macro_accuracy(runs: DataFrame, *keys: str) -> DataFrame:
 
 def accuracy_matrix(runs: DataFrame) -> DataFrame:
     """Generator by model means with margins (ALL); a margin is the mean of all runs, not of cells."""
-    out = runs.cube("generator", "model").agg(F.round(F.avg("acc"), 6).alias("mean_acc"), F.count("*").alias("n_quizzes"))
-    return out.select(
-        F.coalesce("generator", F.lit("ALL")).alias("generator"), F.coalesce("model", F.lit("ALL")).alias("model"),
-        "mean_acc", "n_quizzes",
+    out = runs.cube("generator", "model").agg(
+        F.round(F.avg("acc"), 6).alias("mean_acc"), F.count("*").alias("n_quizzes"),
+        F.grouping("generator").alias("_all_generator"), F.grouping("model").alias("_all_model"),
     )
+    return out.select(margin("generator", "ALL").alias("generator"), margin("model", "ALL").alias("model"), "mean_acc", "n_quizzes")
 
 
 def with_extra_results(runs: DataFrame, extra: DataFrame) -> DataFrame:
@@ -73,24 +78,36 @@ def topic_misses(attempts: DataFrame, unique_questions: bool = False) -> DataFra
     missed = attempts.where("y = 0")
     if unique_questions:
         missed = missed.select("quiz", "topic", "item").distinct()
-    out = missed.cube("quiz", "topic").agg(F.count("*").alias("n"), F.grouping("topic").alias("all_topics"))
-    named = F.coalesce("quiz", F.lit("ALL")).alias("group")
-    totals = out.where("all_topics = 1").select(named, F.col("n").alias("total"))
-    cells = out.where("all_topics = 0").select(named, "topic", F.col("n").alias("n_missed"))
-    return cells.join(totals, "group").select(
-        "group", "topic", "n_missed", F.round(F.col("n_missed") / F.col("total"), 6).alias("share")
+    out = missed.cube("quiz", "topic").agg(F.count("*").alias("n"), *_margins())
+    cells, totals = _cells_and_totals(out, "n")
+    return _beside(cells, totals).select(
+        "group", "topic", F.col("n").alias("n_missed"), F.round(F.col("n") / F.col("total_n"), 6).alias("share")
     )
 
 
+def _margins() -> list[Column]:
+    return [F.grouping("quiz").alias("_all_quiz"), F.grouping("topic").alias("_all_topic")]
+
+
+def _cells_and_totals(out: DataFrame, *counts: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a cube by quiz and topic, and the totals of each quiz and of ALL as total_<count>."""
+    named = margin("quiz", "ALL").alias("group")
+    cells = out.where("_all_topic = 0").select(named, "_all_quiz", "topic", *counts)
+    return cells, out.where("_all_topic = 1").select(named, "_all_quiz", *(F.col(c).alias(f"total_{c}") for c in counts))
+
+
+def _beside(cells: DataFrame, totals: DataFrame) -> DataFrame:
+    """Cells with their group's totals; a null quiz is a group of its own."""
+    totals = totals.withColumnsRenamed({"group": "_group", "_all_quiz": "_all"})
+    return cells.join(totals, F.col("group").eqNullSafe(F.col("_group")) & (F.col("_all_quiz") == F.col("_all")))
+
+
 def miss_enrichment(attempts: DataFrame) -> DataFrame:
     """Per group (quiz or ALL) and topic with misses: miss rate, prevalence, share of misses and over/under ratio."""
-    cells = attempts.cube("quiz", "topic").agg(
-        F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("m"), F.grouping("topic").alias("all_topics")
-    )
-    named = F.coalesce("quiz", F.lit("ALL")).alias("group")
-    totals = cells.where("all_topics = 1").select(named, F.col("n").alias("tn"), F.col("m").alias("tm"))
-    own = cells.where("all_topics = 0 and m > 0").select(named, "topic", "n", "m").join(totals, "group")
-    prevalence, share = F.col("n") / F.col("tn"), F.col("m") / F.col("tm")
+    out = attempts.cube("quiz", "topic").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("m"), *_margins())
+    cells, totals = _cells_and_totals(out, "n", "m")
+    own = _beside(cells.where("m > 0"), totals)
+    prevalence, share = F.col("n") / F.col("total_n"), F.col("m") / F.col("total_m")
     return own.select(
         "group", "topic", F.col("n").alias("n_total"), F.col("m").alias("n_missed"),
         F.round(F.col("m") / F.col("n"), 6).alias("miss_rate"), F.round(prevalence, 6).alias("prevalence"),
@@ -109,8 +126,8 @@ def enrichment_order(rows: DataFrame) -> DataFrame:
 
 def topic_extremes(attempts: DataFrame) -> DataFrame:
     """Pooled accuracy's hardest and easiest topic of every quiz and ALL; ties go to the first name."""
-    cells = attempts.cube("quiz", "topic").agg(F.avg("y").alias("acc"), F.grouping("topic").alias("all_topics"))
-    own = cells.where("all_topics = 0").select(F.coalesce("quiz", F.lit("ALL")).alias("group"), "topic", "acc")
+    cells = attempts.cube("quiz", "topic").agg(F.avg("y").alias("acc"), *_margins())
+    own = cells.where("_all_topic = 0").select(margin("quiz", "ALL").alias("group"), "topic", "acc")
     return own.groupBy("group").agg(
         F.min_by("topic", F.struct("acc", "topic")).alias("hardest"), F.round(F.min("acc"), 6).alias("lowest"),
         F.min_by("topic", F.struct(-F.col("acc"), F.col("topic"))).alias("easiest"), F.round(F.max("acc"), 6).alias("highest"),

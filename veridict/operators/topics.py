@@ -72,13 +72,18 @@ def outside(rows: DataFrame, mapped: str, categories: Sequence[str], misc: str |
 
 
 def mapping_report(mapped: DataFrame, topic: str, *keys: str, examples: int = 5) -> DataFrame:
-    """Per label: rows, what it became, its reason ("multiple" if several) and a few example ids (the least)."""
+    """Per label: rows, what it became, its reason ("multiple" if several) and the ``examples`` least ids."""
     per = mapped.groupBy(*keys, topic).agg(
         F.count("*").alias("n"), F.max("mapped").alias("mapped"),
         F.when(F.count_distinct("reason") > 1, "multiple").otherwise(F.max("reason")).alias("reason"),
-        F.min("question_id").alias("example"),
     )
-    return per
+    place = F.row_number().over(Window.partitionBy(*keys, topic).orderBy("question_id"))  # Spark cuts such a window before it shuffles
+    least = mapped.select(*keys, topic, "question_id", place.alias("_place")).where(F.col("_place") <= examples)
+    least = least.groupBy(*keys, topic).agg(F.sort_array(F.collect_list("question_id")).alias("examples"))
+    least = least.withColumnsRenamed({c: f"_{c}" for c in (*keys, topic)})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, topic)]
+    both = per.join(least, same[0] if len(same) == 1 else same[0] & same[1] if len(same) == 2 else same)
+    return both.select(*keys, topic, "n", "mapped", "reason", "examples")
 
 
 def response_topic(rows: DataFrame, response: str, allowed: Sequence[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridict.operators.accuracy import margin
+
 
 def eligible(min_score: int | None) -> Column:
     """A vote counts if its output is explicitly valid and its score reaches the minimum (when there is one)."""
@@ -60,13 +62,118 @@ def keep_accepted(rows: DataFrame, ratings: DataFrame, **rule) -> DataFrame:
 def validity_by_generator(units: DataFrame, accepted: DataFrame) -> DataFrame:
     """generator, n_total, n_valid, rate, with a TOTAL row; ``units`` has run_id, unit, generator."""
     flagged = units.join(accepted.withColumn("ok", F.lit(1)), ["run_id", "unit"], "left")
-    out = flagged.rollup("generator").agg(F.count("*").alias("n_total"), F.count("ok").alias("n_valid"))
+    out = flagged.rollup("generator").agg(F.count("*").alias("n_total"), F.count("ok").alias("n_valid"), F.grouping("generator").alias("_all_generator"))
     return out.select(
-        F.coalesce("generator", F.lit("TOTAL")).alias("generator"), "n_total", "n_valid",
+        margin("generator", "TOTAL").alias("generator"), "n_total", "n_valid",
         F.round(F.try_divide(F.col("n_valid").cast("double"), F.col("n_total")), 6).alias("rate"),
     )
 
 
+def validity_by_scope(units: DataFrame, accepted: DataFrame, tagged: DataFrame) -> DataFrame:
+    """``validity_by_generator`` over all runs, over those of ``tagged`` (column run_id) and over the others: scope all, tagged, legacy."""
+    known = tagged.select("run_id").distinct()
+    parts = {"all": units, "tagged": units.join(known, "run_id", "left_semi"), "legacy": units.join(known, "run_id", "left_anti")}
+    scoped = [validity_by_generator(part, accepted).withColumn("scope", F.lit(name)) for name, part in parts.items()]
+    return scoped[0].unionByName(scoped[1]).unionByName(scoped[2])
+
+
+def unexpected_totals(validity: DataFrame, expected: int) -> DataFrame:
+    """Generators whose number of questions is not the expected one; the TOTAL row is left out."""
+    return validity.where((F.col("generator") != "TOTAL") & (F.col("n_total") != expected)).select("generator", "n_total")
+
+
+def score_table(ratings: DataFrame) -> DataFrame:
+    """Mean score by generator, judge, both and neither ("ALL", -1): valid scores from 1 to 5, best first."""
+    scored = ratings.where(F.coalesce("output_valid", F.lit(True)) & F.col("score").between(1, 5))
+    out = scored.cube("generator", "judge").agg(
+        F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"), F.count_distinct("run_id").alias("n_quizzes"),
+        F.grouping("generator").alias("_all_generator"), F.grouping("judge").alias("_all_judge"),
+    )
+    every = F.when(F.col("_all_judge") == 1, -1).otherwise(F.col("judge"))
+    named = out.select(margin("generator", "ALL").alias("generator"), every.alias("judge"), "mean_score", "n", "n_quizzes")
+    return named.orderBy(F.desc("mean_score"), "generator", "judge")
+
+
+def run_summaries(ratings: DataFrame) -> DataFrame:
+    """A judge's summary of each run: items, valid responses, passes, mean score, and fail reasons with their numbers."""
+    ok = F.coalesce(F.col("output_valid"), F.lit(False))
+    keys = ["run_id", "generator", "judge"]
+    counts = ratings.groupBy(*keys).agg(
+        F.count("*").alias("n_items"), F.count_if(ok).alias("n_valid_responses"), F.count_if(ok & passes()).alias("n_pass"),
+        F.avg(F.when(ok, F.col("score"))).alias("medical_score_mean"),
+    )
+    if "fail_reason" not in ratings.columns:
+        return counts
+    reasons = ratings.where(ok & F.col("fail_reason").isNotNull()).groupBy(*keys, "fail_reason").agg(F.count("*").alias("n"))
+    merged = reasons.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("fail_reason", "n")))).alias("fail_reasons"))
+    return counts.join(merged, keys, "left")
+
+
+def summary_rollup(summaries: DataFrame) -> DataFrame:
+    """Sums over runs by generator and judge; the score mean is weighted by items that have one, a rate without items is 0."""
+    valid = F.sum("n_valid_responses")
+    scored = F.when(F.col("medical_score_mean").isNotNull() & (F.col("n_valid_responses") > 0), F.col("n_valid_responses"))
+    rolled = summaries.groupBy("generator", "judge").agg(
+        F.sum("n_items").alias("n_items"), valid.alias("n_valid"), F.sum("n_pass").alias("n_pass"),
+        F.round(F.coalesce(F.try_divide(F.sum("n_pass").cast("double"), valid), F.lit(0.0)), 6).alias("pass_rate"),
+        F.round(F.try_divide(F.sum(F.col("medical_score_mean") * scored), F.sum(scored)), 6).alias("score_mean"),
+    )
+    if "fail_reasons" not in summaries.columns:
+        return rolled
+    each = summaries.select("generator", "judge", F.explode("fail_reasons").alias("reason", "n"))
+    sums = each.groupBy("generator", "judge", "reason").agg(F.sum("n").alias("n")).groupBy("generator", "judge")
+    merged = sums.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("fail_reasons"))
+    return rolled.join(merged, ["generator", "judge"], "left")
+
+
+def ensemble(summaries: DataFrame) -> DataFrame:
+    """Mean and spread over the rates of every run and judge with valid responses, by generator."""
+    rates = summaries.where("n_valid_responses > 0").withColumn("r", F.col("n_pass") / F.col("n_valid_responses"))
+    return rates.groupBy("generator").agg(
+        F.round(F.avg("r"), 6).alias("pass_mean"), F.round(F.stddev_samp("r"), 6).alias("pass_std"),
+        F.round(F.avg("medical_score_mean"), 6).alias("score_mean"), F.round(F.stddev_samp("medical_score_mean"), 6).alias("score_std"),
+        F.count("medical_score_mean").alias("n_judge_evals"), F.count_distinct("run_id").alias("n_quizzes"),
+    )
+
+
+def rows_by_judge(selected: DataFrame, judges: Sequence, ratings: DataFrame) -> DataFrame:
+    """A row for every selected question and judge: verdict and score, and whether the judge has a row for it.
+
+    The judges are a short literal list.
+    """
+    listed = F.explode(F.array(*(F.lit(j) for j in judges)))
+    own = ratings.select("run_id", "unit", "judge", "output_valid", "verdict", "score", F.lit(True).alias("_there"))
+    joined = selected.withColumn("judge", listed).join(own, ["run_id", "unit", "judge"], "left")
+    return joined.withColumn("has_judge_row", F.col("_there").isNotNull()).drop("_there")
+
+
+def selection_sensitivity(selected: DataFrame, ratings: DataFrame, cutoffs: Sequence[int], base: int = 3) -> DataFrame:
+    """Questions of a selection that stay at each score cutoff, by generator: n_selected, cutoff, n_kept.
+
+    A question stays if the majority verdict accepts it and the cutoff keeps it.
+    """
+    logical = accepted_units(ratings, min_score=base)
+    kept = accepted_by_cutoff(ratings, cutoffs, base).join(logical, ["run_id", "unit"], "left_semi")
+    totals = selected.groupBy("generator").agg(F.count("*").alias("n_selected"))
+    grid = totals.withColumn("cutoff", F.explode(F.array(*(F.lit(c) for c in cutoffs))))
+    own = kept.join(selected, ["run_id", "unit"]).groupBy("generator", "cutoff").agg(F.count("*").alias("n_kept"))
+    return grid.join(own, ["generator", "cutoff"], "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+
+
+def vote_patterns(ratings: DataFrame, min_score: int | None = 1) -> DataFrame:
+    """How many questions have which number of passing and of eligible votes: for finding out why nothing is accepted."""
+    ok = eligible(min_score)
+    votes = ratings.groupBy("run_id", "unit").agg(F.count_if(ok & passes()).alias("passed"), F.count_if(ok).alias("eligible"))
+    return votes.groupBy("passed", "eligible").agg(F.count("*").alias("n_questions"))
+
+
+def vote_status(ratings: DataFrame, min_score: int | None = 1) -> DataFrame:
+    """Votes by what becomes of them: passed, failed, low_score, invalid_output."""
+    valid = F.coalesce(F.col("output_valid"), F.lit(False))
+    status = F.when(~valid, "invalid_output").when(~eligible(min_score), "low_score").when(passes(), "passed").otherwise("failed")
+    return ratings.groupBy("generator", status.alias("status")).agg(F.count("*").alias("n_votes"))
+
+
 def accepted_by_cutoff(ratings: DataFrame, cutoffs: Sequence[int], base: int = 3) -> DataFrame:
     """(cutoff, run_id, unit): more than half of the votes that score ``base`` or more score the cutoff or more.
 

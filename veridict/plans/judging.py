@@ -109,11 +109,7 @@ def judge_output_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(generator, 'ALL') AS generator, coalesce(judge, -1) AS judge, round(avg(score), 6) AS mean_score,
        count(*) AS n, count(DISTINCT run_id) AS n_quizzes FROM s GROUP BY CUBE (generator, judge)""")
 def medical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean score by generator, judge, both and neither, in one aggregation."""
-    scored = ratings(spark, sf_dir).where(F.coalesce("output_valid", F.lit(True)) & F.col("score").between(1, 5))
-    return scored.cube("generator", "judge").agg(
-        F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"), F.count_distinct("run_id").alias("n_quizzes")
-    ).select(F.coalesce("generator", F.lit("ALL")).alias("generator"), F.coalesce("judge", F.lit(-1)).alias("judge"), "mean_score", "n", "n_quizzes")
+    return V.score_table(ratings(spark, sf_dir))
 
 
 _SUMMARY = f"""{SQL_RATINGS}, summary AS (
@@ -122,29 +118,13 @@ _SUMMARY = f"""{SQL_RATINGS}, summary AS (
            avg(score) FILTER (output_valid) AS medical_score_mean FROM ratings GROUP BY 1, 2, 3)"""
 
 
-def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A judge's summary of each run."""
-    ok = F.col("output_valid")
-    return ratings(spark, sf_dir).groupBy("run_id", "generator", "judge").agg(
-        F.count("*").alias("n_items"), F.count_if(ok).alias("n_valid_responses"),
-        F.count_if(ok & (F.col("verdict") == "PASS")).alias("n_pass"), F.avg(F.when(ok, F.col("score"))).alias("medical_score_mean"),
-    )
-
-
 @query(f"""WITH {_SUMMARY}
 SELECT generator, judge, sum(n_items)::BIGINT AS n_items, sum(n_valid_responses)::BIGINT AS n_valid, sum(n_pass)::BIGINT AS n_pass,
        round(coalesce(sum(n_pass) / nullif(sum(n_valid_responses), 0)::DOUBLE, 0), 6) AS pass_rate,
        round(sum(medical_score_mean * n_valid_responses) / nullif(sum(n_valid_responses), 0), 6) AS score_mean
 FROM summary GROUP BY 1, 2""")
 def judge_summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over runs; the score mean is weighted by items that have one; a rate without items is 0."""
-    valid = F.sum("n_valid_responses")
-    weighted = F.sum(F.col("medical_score_mean") * F.col("n_valid_responses"))
-    return _summaries(spark, sf_dir).groupBy("generator", "judge").agg(
-        F.sum("n_items").alias("n_items"), valid.alias("n_valid"), F.sum("n_pass").alias("n_pass"),
-        F.round(F.coalesce(F.try_divide(F.sum("n_pass").cast("double"), valid), F.lit(0.0)), 6).alias("pass_rate"),
-        F.round(F.try_divide(weighted, valid), 6).alias("score_mean"),
-    )
+    return V.summary_rollup(V.run_summaries(ratings(spark, sf_dir)))
 
 
 @query(f"""WITH {_SUMMARY}, rate AS (SELECT *, n_pass / n_valid_responses::DOUBLE AS r FROM summary WHERE n_valid_responses > 0)
@@ -152,13 +132,67 @@ SELECT generator, round(avg(r), 6) AS pass_mean, round(stddev_samp(r), 6) AS pas
        round(stddev_samp(medical_score_mean), 6) AS score_std, count(medical_score_mean) AS n_judge_evals,
        count(DISTINCT run_id) AS n_quizzes FROM rate GROUP BY 1""")
 def ensemble_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and spread over the rates of every run and judge with valid responses."""
-    rates = _summaries(spark, sf_dir).where("n_valid_responses > 0").withColumn("r", F.col("n_pass") / F.col("n_valid_responses"))
-    return rates.groupBy("generator").agg(
-        F.round(F.avg("r"), 6).alias("pass_mean"), F.round(F.stddev_samp("r"), 6).alias("pass_std"),
-        F.round(F.avg("medical_score_mean"), 6).alias("score_mean"), F.round(F.stddev_samp("medical_score_mean"), 6).alias("score_std"),
-        F.count("medical_score_mean").alias("n_judge_evals"), F.count_distinct("run_id").alias("n_quizzes"),
-    )
+    return V.ensemble(V.run_summaries(ratings(spark, sf_dir)))
+
+
+_TAGGED = "SELECT DISTINCT run_id FROM ratings WHERE run_id LIKE '%1'"
+
+
+@query(f"""WITH {SQL_RATINGS}, {_ACCEPTED}, tagged AS ({_TAGGED}), u AS (SELECT DISTINCT run_id, unit, generator FROM ratings),
+s AS (SELECT 'all' AS scope, * FROM u UNION ALL SELECT CASE WHEN run_id IN (FROM tagged) THEN 'tagged' ELSE 'legacy' END, * FROM u)
+SELECT scope, CASE WHEN grouping(generator) = 1 THEN 'TOTAL' ELSE generator END AS generator, count(*) AS n_total, count(a.unit) AS n_valid,
+       round(count(a.unit) / count(*)::DOUBLE, 6) AS rate FROM s LEFT JOIN accepted a USING (run_id, unit)
+GROUP BY GROUPING SETS ((scope, generator), (scope))""")
+def validity_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    tagged = r.where("run_id LIKE '%1'").select("run_id")
+    return V.validity_by_scope(_units(r), V.accepted_units(r, min_score=2), tagged)
+
+
+@query(f"""WITH {SQL_RATINGS} SELECT generator, count(DISTINCT (run_id, unit)) AS n_total FROM ratings GROUP BY 1 HAVING count(DISTINCT (run_id, unit)) <> 100""")
+def unexpected_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    return V.unexpected_totals(V.validity_by_generator(_units(r), V.accepted_units(r)), 100)
+
+
+@query(f"""WITH {SQL_RATINGS}, v AS (
+    SELECT count(*) FILTER (output_valid AND score >= 2 AND verdict = 'PASS') AS passed, count(*) FILTER (output_valid AND score >= 2) AS eligible
+    FROM ratings GROUP BY run_id, unit) SELECT passed, eligible, count(*) AS n_questions FROM v GROUP BY 1, 2""")
+def vote_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vote_patterns(ratings(spark, sf_dir), 2)
+
+
+@query(f"""WITH {SQL_RATINGS} SELECT generator, CASE WHEN output_valid IS NOT TRUE THEN 'invalid_output' WHEN score >= 2 IS NOT TRUE THEN 'low_score'
+    WHEN verdict = 'PASS' THEN 'passed' ELSE 'failed' END AS status, count(*) AS n_votes FROM ratings GROUP BY 1, 2""")
+def vote_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vote_status(ratings(spark, sf_dir), 2)
+
+
+_SELECTED = "selected AS (SELECT DISTINCT run_id, unit, generator FROM ratings WHERE unit % 2 = 0)"
+
+
+def _selected(r: DataFrame) -> DataFrame:
+    return _units(r).where("unit % 2 = 0")
+
+
+@query(f"""WITH {SQL_RATINGS}, {_SELECTED}, grid AS (SELECT *, unnest([1, 2, 9]) AS judge FROM selected)
+SELECT judge, count(*) AS n, count(r.unit) AS n_rows, count(score) AS n_scored FROM grid g
+LEFT JOIN ratings r ON r.run_id = g.run_id AND r.unit = g.unit AND r.judge = g.judge GROUP BY 1""".replace("SELECT judge, count", "SELECT g.judge, count"))
+def rows_by_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    rows = V.rows_by_judge(_selected(r), [1, 2, 9], r)
+    return rows.groupBy("judge").agg(F.count("*").alias("n"), F.count_if("has_judge_row").alias("n_rows"), F.count("score").alias("n_scored"))
+
+
+@query(f"""WITH {SQL_RATINGS}, {_SELECTED}, kept AS (
+    SELECT c.cutoff, run_id, unit FROM ratings, (VALUES (4), (5)) c(cutoff) GROUP BY 1, 2, 3
+    HAVING 2 * count(*) FILTER (output_valid AND score >= 3 AND score >= cutoff) > count(*) FILTER (output_valid AND score >= 3)
+       AND 2 * count(*) FILTER (output_valid AND score >= 3 AND verdict = 'PASS') > count(*) FILTER (output_valid AND score >= 3))
+SELECT generator, c.cutoff, count(*) AS n_selected, count(k.unit) AS n_kept FROM selected s CROSS JOIN (VALUES (4), (5)) c(cutoff)
+LEFT JOIN kept k ON k.run_id = s.run_id AND k.unit = s.unit AND k.cutoff = c.cutoff GROUP BY 1, 2""")
+def selection_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    return V.selection_sensitivity(_selected(r), r, [4, 5])
 
 
 @query("""SELECT source, lang, count(*) AS n, count(l.doc_id) AS n_rated, sum(coalesce(quality, 0))::BIGINT AS n_valid,

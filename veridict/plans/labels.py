@@ -45,9 +45,11 @@ def topic_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LABELS} SELECT generator, topic, count(*) AS n, max(mapped) AS mapped,
-       CASE WHEN count(DISTINCT reason) > 1 THEN 'multiple' ELSE max(reason) END AS reason, min(question_id) AS example FROM done GROUP BY 1, 2""")
+       CASE WHEN count(DISTINCT reason) > 1 THEN 'multiple' ELSE max(reason) END AS reason,
+       array_to_string(list_sort(list(question_id))[1:3], ',') AS examples FROM done GROUP BY 1, 2""")
 def topic_mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.mapping_report(_mapped(spark, sf_dir), "topic", "generator")
+    report = T.mapping_report(_mapped(spark, sf_dir), "topic", "generator", examples=3)
+    return report.withColumn("examples", F.array_join("examples", ","))
 
 
 @query(f"""WITH {_LABELS}, c AS (SELECT generator, coalesce(mapped, 'unknown') AS topic, count(*) AS n FROM done GROUP BY 1, 2),
