@@ -48,6 +48,14 @@ def expand(targets: DataFrame) -> DataFrame:
     )
 
 
+def repeat_plan(plan: DataFrame, length: int) -> DataFrame:
+    """place (from 0), category: a plan repeated from its beginning until it has ``length`` places; an empty plan stays empty."""
+    size = plan.agg(F.count("*").cast("int").alias("_size"))
+    sized = plan.join(F.broadcast(size), how="cross")  # one row of one number
+    places = F.expr(f"explode(sequence(place, greatest({length} - 1, place), _size))")
+    return sized.select(places.alias("place"), "category").where(F.col("place") < length)
+
+
 def first_by_priority(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the first by ``order``, by an aggregation that combines map-side."""
     rest = [c for c in rows.columns if c not in key and c not in order]
