@@ -90,7 +90,7 @@ def test_topics(spark, tree):
     t = J.read_topics(spark, tree)
     assert {x.question_id for x in t.where("topic = 'unknown'").collect()} == {"q1-002"}
     assert {(x.question_id, x.topic) for x in J.question_topics(J.choose_topics(t, "ev")).collect()} == {("a", "mapped")}
-    for policy in ("subset", "planner"):
+    for policy in ("subset", "planner", "accumulate"):
         assert {x.file_name for x in J.choose_topics(t, "ev", policy).collect()} == {"topics_ev_mapped.json"}
 
 

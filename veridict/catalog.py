@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, parity, reliability, scopes, statistics, subsets
+from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, parity, reliability, scopes, statistics, subsets, trees
 
-__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "parity", "reliability", "scopes", "statistics", "subsets"]
+__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "parity", "reliability", "scopes", "statistics", "subsets", "trees"]

@@ -7,6 +7,8 @@ no objects are dropped, and no file is opened on the driver.
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ def read_tree(spark: SparkSession, root: str, pattern: str, schema: str) -> Data
     return found.withColumns({"run_dir": F.regexp_replace("file_path", "/[^/]*$", ""), "run": _part(2), "generator": _part(3)})
 
 
+#: Patterns of the files that a run's folder may hold.
+ARTIFACTS = ("manifest.json", JUDGE, ANSWERS, SUMMARY, "summary_all_judges.json")
+
+
+def run_dirs(
+    spark: SparkSession, root: str, pattern: str = "*", artifacts: tuple[str, ...] = (SUMMARY,), containing: str = ""
+) -> DataFrame:
+    """run_dir and run of all folders that hold one of ``artifacts`` and whose name matches a shell pattern.
+
+    Names must contain ``containing``, too.  Only paths are read, no file.
+    """
+    found = None
+    for kind in artifacts:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", kind).load(root)
+        paths = files.select(F.col("path").alias("file_path"))
+        found = paths if found is None else found.unionByName(paths)
+    named = found.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("run_dir"), _part(2).alias("run")).distinct()
+    return named.where(F.col("run").rlike("^" + fnmatch.translate(pattern)) & F.contains("run", F.lit(containing)))
+
+
 def read_ratings(spark: SparkSession, root: str) -> DataFrame:
     """Judge ratings as run_id, unit, judge, generator, verdict, score, output_valid.
 
@@ -99,6 +121,16 @@ def items_per_run(spark: SparkSession, root: str) -> DataFrame:
     return both.select("run_dir", F.coalesce("a", "b").alias("n_items"))
 
 
+def run_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """run_dir, n_items: of the run's manifest, else the greatest of its summaries, else 0; only numbers above 0 count."""
+    above = lambda c: F.max(F.when(F.col(c) > 0, F.col(c)))
+    own = read_tree(spark, root, "manifest.json", "n_items long, created_at string").groupBy("run_dir").agg(above("n_items").alias("a"))
+    kinds = (SUMMARY, "summary_all_judges.json")
+    rows = [read_tree(spark, root, k, "model string, n_items long").select("run_dir", "n_items") for k in kinds]
+    other = rows[0].unionByName(rows[1]).groupBy("run_dir").agg(above("n_items").alias("b"))
+    return own.join(other, "run_dir", "full_outer").select("run_dir", F.coalesce("a", "b", F.lit(0)).alias("n_items"))
+
+
 def consistent_summaries(summaries: DataFrame) -> DataFrame:
     """Summaries whose counts add up and whose accuracy agrees with them to 1e-6."""
     total = F.col("total_corr") + F.col("total_wrong")
@@ -134,12 +166,26 @@ def read_manifest_quizzes(spark: SparkSession, root: str, pattern: str = "*manif
     )
 
 
+def legacy_manifests(quizzes: DataFrame, root: str, name: str = "quizbench_manifest.json") -> DataFrame:
+    """Quizzes of manifests without a tag, in the root folder or one level below it."""
+    below = F.replace(F.regexp_replace("file_path", "^[a-z0-9]+:/*", "/"), F.lit(root.split(":", 1)[-1].rstrip("/") + "/"), F.lit(""))
+    return quizzes.where((F.col("file_name") == name) & (F.size(F.split(below, "/")) <= 2))
+
+
 def newest_manifest(quizzes: DataFrame) -> DataFrame:
     """The quizzes of the newest manifest (then the last by name)."""
     newest = quizzes.agg(F.max_by("file_path", F.struct("modified", "file_name")).alias("file_path"))
     return quizzes.join(newest, "file_path", "left_semi")
 
 
+def generators_of_newest(quizzes: DataFrame) -> DataFrame:
+    """quiz_id, generator by the newest manifest of each folder; of a quiz in several folders the last counts."""
+    folder = F.regexp_replace("file_path", "/[^/]*$", "")
+    newest = quizzes.groupBy(folder.alias("_folder")).agg(F.max_by("file_path", F.struct("modified", "file_name")).alias("file_path"))
+    kept = quizzes.join(newest.select("file_path"), "file_path", "left_semi").where("generator is not null")
+    return kept.groupBy("quiz_id").agg(F.max_by("generator", F.struct("file_path", "pos")).alias("generator"))
+
+
 def quiz_generators(quizzes: DataFrame, last_wins: bool = False) -> DataFrame:
     """quiz_id, generator, and whether manifests disagree about it.
 
@@ -162,16 +208,21 @@ def merge_manifests(quizzes: DataFrame) -> DataFrame:
     return ranked.groupBy("quiz_id").agg(*(best(c).alias(c) for c in fields))
 
 
-def read_topics(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each labelled question with its file; a missing label is "unknown", a missing id is made from the place."""
+def read_topics(spark: SparkSession, root: str, generators: tuple[str, ...] = (), evaluators: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each labelled question with its file; a missing label is "unknown", a missing id is made from the place.
+
+    Only files of the given generators and evaluators, if any are given.
+    """
     rows = read_tree(spark, root, TOPICS, schemas.TOPICS)
+    for column, names in (("generator", generators), ("eval_model", evaluators)):
+        rows = rows.where(F.col(column).isin(list(names))) if names else rows
     each = rows.select(
-        "run_dir", "run", "generator", "file_name", "eval_model", F.col("topic_mapping.applied_at").alias("applied_at"), "quiz_id",
+        "run_dir", "run", "generator", "file_name", "modified", "eval_model", F.col("topic_mapping.applied_at").alias("applied_at"), "quiz_id",
         F.posexplode("per_question").alias("pos", "q"),
     )
     made = F.format_string("%s-%03d", F.coalesce("quiz_id", "run"), F.col("pos") + 1)
     return each.select(
-        "run_dir", "run", "generator", "file_name", "eval_model", "applied_at", F.coalesce("q.question_id", made).alias("question_id"),
+        "run_dir", "run", "generator", "file_name", "modified", "eval_model", "applied_at", F.coalesce("q.question_id", made).alias("question_id"),
         F.coalesce("q.topic", F.lit("unknown")).alias("topic"), F.col("q.topic_mapped").alias("topic_mapped"), "pos",
     )
 
@@ -179,27 +230,43 @@ def read_topics(spark: SparkSession, root: str) -> DataFrame:
 def choose_topics(topics: DataFrame, eval_model: str | None = None, policy: str = "misses") -> DataFrame:
     """The questions of one topics file for each run.
 
-    ``misses`` prefers the evaluator, then a mapped file, then the name;
-    ``subset`` takes the newest mapped file; ``planner`` also gives runs where
-    several unmapped files remain as errors (column ``error``), not as a guess.
+    ``misses`` prefers the evaluator, then more "_mapped" in the name, then the
+    name; ``subset`` takes the newest file whose name ends in "_mapped".
+    ``planner`` and ``accumulate`` demand the evaluator if one is given.  Of
+    its files ``planner`` takes a mapped one, the newest; ``accumulate`` the
+    only mapped one, else the only mapped one whose name ends in "_mapped" or
+    does not, else likewise an unmapped one.  Where these two can't decide, the
+    run has one row without a question that says why in the column ``error``.
     """
     files = topics.groupBy("run_dir", "file_name").agg(
-        F.max("eval_model").alias("eval_model"), F.max("applied_at").alias("applied_at")
+        F.max("eval_model").alias("eval_model"), F.max("applied_at").alias("applied_at"), F.max("modified").alias("modified")
     )
-    mapped = F.col("applied_at").isNotNull() | F.col("file_name").contains("_mapped")
     match = F.coalesce(F.col("eval_model") == F.lit(eval_model), F.lit(False))
+    ends = F.col("file_name").endswith("_mapped.json")
+    name = lambda *rank: F.max_by("file_name", F.struct(*rank, "file_name")).alias("file_name")
+    if policy == "misses":
+        pick = files.groupBy("run_dir").agg(name(match, F.size(F.split("file_name", "_mapped"))))
+        return topics.join(pick, ["run_dir", "file_name"], "left_semi")
     if policy == "subset":
-        pick = files.where(mapped).groupBy("run_dir").agg(F.max_by("file_name", F.struct("applied_at", "file_name")).alias("file_name"))
-    elif policy == "planner":
-        usable = files.where(match) if eval_model else files
+        return topics.join(files.where(ends).groupBy("run_dir").agg(name("modified")), ["run_dir", "file_name"], "left_semi")
+    usable = files.where(match) if eval_model else files
+    mapped = F.col("applied_at").isNotNull()
+    if policy == "planner":
+        mapped = mapped | F.col("file_name").contains("_mapped")
         pick = usable.groupBy("run_dir").agg(
-            F.max_by("file_name", F.struct(mapped, F.coalesce("applied_at", F.lit("")), "file_name")).alias("file_name"),
+            name(mapped, F.coalesce("applied_at", F.lit(""))),
             F.when((F.count_if(mapped) == 0) & (F.count("*") > 1), "several unmapped topics files").alias("error"),
         )
-        return topics.join(pick.where("error is null").drop("error"), ["run_dir", "file_name"], "left_semi")
     else:
-        pick = files.groupBy("run_dir").agg(F.max_by("file_name", F.struct(match, mapped, "file_name")).alias("file_name"))
-    return topics.join(pick, ["run_dir", "file_name"], "left_semi")
+        only = lambda test: F.when(F.count_if(test) == 1, F.max(F.when(test, F.col("file_name"))))
+        steps = [F.when(F.count("*") == 1, F.max("file_name")), only(mapped), only(mapped & ends), only(mapped & ~ends), only(~mapped & ends), only(~mapped & ~ends)]
+        chosen = F.coalesce(*steps)
+        pick = usable.groupBy("run_dir").agg(chosen.alias("file_name"), F.when(chosen.isNull(), "several topics files").alias("error"))
+    none = files.select("run_dir").distinct().join(pick.select("run_dir"), "run_dir", "left_anti")
+    none = none.withColumn("error", F.lit("no topics file of the evaluator"))
+    good = topics.join(pick.where("error is null").select("run_dir", "file_name"), ["run_dir", "file_name"], "left_semi")
+    errors = pick.where("error is not null").select("run_dir", "error").unionByName(none)
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
 
 
 def question_topics(chosen: DataFrame, field: str = "auto") -> DataFrame:
@@ -274,12 +341,15 @@ def read_targets(spark: SparkSession, path: str, category: str = "Specialty", nu
     of its lines counts.
     """
     text = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split(F.replace("value", F.lit("﻿"), F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
-    cells = text.select(F.posexplode(lines).alias("ord", "line")).withColumn("c", F.from_csv("line", "a string, b string"))
-    header = cells.where("ord = 0").select(F.trim("c.a").alias("a"), F.trim("c.b").alias("b")).first()
-    if header is None or (header.a, header.b) != (category, number):
+    lines = F.filter(F.split(F.replace("value", F.lit("\ufeff"), F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
+    cells = text.select(F.posexplode(lines).alias("ord", "line"))
+    header = cells.where("ord = 0").first()
+    names = [c.strip().strip('"') for c in header.line.split(",")] if header else []
+    if not {category, number} <= set(names):
         raise ValueError(f"expected the columns {category} and {number}")
-    rows = cells.where("ord > 0").select(F.trim("c.a").alias("category"), F.trim("c.b").try_cast("int").alias("target"), (F.col("ord") - 1).alias("ord"))
+    parsed = cells.where("ord > 0").withColumn("c", F.from_csv("line", ", ".join(f"c{k} string" for k in range(len(names)))))
+    cell = lambda name: F.trim(F.col(f"c.c{names.index(name)}"))
+    rows = parsed.select(cell(category).alias("category"), cell(number).try_cast("int").alias("target"), (F.col("ord") - 1).alias("ord"))
     bad = rows.groupBy("category").agg(F.count("*").alias("n"), F.min(F.coalesce("target", F.lit(-1))).alias("t")).where("n > 1 or t < 0 or category = ''")
     if not bad.isEmpty():
         raise ValueError(f"unusable target: {bad.first().category!r}")
@@ -308,3 +378,19 @@ def read_validity(spark: SparkSession, path: str) -> DataFrame:
     """model and validity as a fraction; percentages are divided by 100."""
     rows = _csv(spark, path)
     return rows.select(strip(F.col("model")).alias("model"), fraction(F.col("questions_passing_percent")).alias("validity"))
+
+
+def validity_from_log(spark: SparkSession, path: str, tag: str = "") -> DataFrame:
+    """generator, n_valid, n_total out of a log: the lines from the first header on to a blank one, TOTAL left out.
+
+    The log is read as one text: it is short, and the order of its lines counts.
+    """
+    label = "[INFO] Questions passing judge filters" + (f" (tagged manifests: {tag})" if tag else "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    first = lines.where(F.contains("line", F.lit(label))).agg(F.min("at").alias("first"))
+    after = lines.join(F.broadcast(first), F.col("at") > F.col("first"))  # one row of one number
+    blank = after.where(F.trim("line") == "").agg(F.coalesce(F.min("at"), F.lit(2**31 - 1)).alias("last"))
+    part = lambda k: F.regexp_extract("line", r"^\s*(.+?):\s*valid=([0-9]+)\s*/\s*total=([0-9]+)\s*\(", k)
+    found = after.join(F.broadcast(blank), F.col("at") < F.col("last"))
+    found = found.select(strip(part(1)).alias("generator"), part(2).try_cast("int").alias("n_valid"), part(3).try_cast("int").alias("n_total"))
+    return found.where("generator <> '' and generator <> 'TOTAL' and lower(generator) <> '_example'")
