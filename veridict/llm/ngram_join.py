@@ -189,7 +189,7 @@ def _stars(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     own = F.size(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: c <= F.col("n_shingles"))) - 1
     unused = lambda scheme: F.element_at(F.array(*map(F.lit, often)), scheme + 1)
     limits = reps.withColumn("own", own).select("doc_id", (F.col("own") % 2).alias("parity"), unused(F.col("own")).alias("even"), unused(F.col("own") + 1).alias("odd"))
-    known = written(rows.join(limits, "doc_id").withColumn("second", F.expr("(key & 1) <> parity")))
+    known = written(rows.join(limits.hint("merge"), "doc_id").withColumn("second", F.expr("(key & 1) <> parity")))
     counts = written(known.groupBy("key").agg(F.count("*").alias("c"), F.count("*").alias("f")).where("c > 1"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "second").orderBy(F.desc("f"), "key"))  # at most a document's sub-rows
     ranked = join_frequent(known, counts, "key").withColumn("rank", rank)

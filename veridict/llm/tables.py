@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; where none is set, a temporary one in local mode (tests), else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veridict-"))
         where = context.getCheckpointDir()
-        if not where:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="veridict-"))
-            where = context.getCheckpointDir()
     return where.rstrip("/")
 
 

@@ -44,7 +44,7 @@ PATTERNS = tuple((i, i + j) for i in range(1, 5) for j in range(1, 5) if i + j <
 #: Bound of the training sample: expected number of labelled documents of each class.
 DOCUMENTS = 4000
 #: Sentences that a toxic document offers in a round, and any other one: the worst, and some at random.
-TOXIC_SENTENCES, WORST, RANDOM = 3, 3, 2
+TOXIC_SENTENCES, WORST, RANDOM = 3, 2, 1
 #: Landmarks of each class, folds and rounds of choosing sentences.
 LANDMARKS, FOLDS, ROUNDS = 192, 4, 4
 #: Words with more symbols than this are scored but are no examples.
@@ -166,14 +166,6 @@ class Features:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
-    def rows(self, words: np.ndarray) -> "Features":
-        """The features of some of the words."""
-        out = object.__new__(Features)
-        parts = [slice(self.starts[w], self.starts[w + 1]) for w in words]
-        out.codes, out.weights = (np.concatenate([c[p] for p in parts]) for c in (self.codes, self.weights))
-        out.starts = np.concatenate([[0], np.cumsum([p.stop - p.start for p in parts])])
-        return out
-
     def kernel(self, landmarks: "Features", map_: np.ndarray | None = None) -> np.ndarray:
         """Kernel of every word with each landmark, times ``map_`` if given; a thousand words at a time."""
         used, column = np.unique(landmarks.codes, return_inverse=True)
@@ -252,15 +244,17 @@ def train_words(words: list[bytes], toxic: np.ndarray, weights: np.ndarray, pena
     """
     if not toxic.any() or toxic.all():
         return [Machine(np.zeros(_CODES, np.float32), 1.0 if toxic.any() else -1.0) for _ in weights]
-    x, total = Features(words), weights.sum(axis=0)
+    total = weights.sum(axis=0)
     most = lambda side: np.flatnonzero(side)[np.argsort(-total[side], kind="stable")[:LANDMARKS]]
-    landmarks = x.rows(np.concatenate([most(toxic), most(~toxic)]))
+    landmarks = Features([words[k] for k in np.concatenate([most(toxic), most(~toxic)])])
     value, vector = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
     good = value > 1e-4 * value.max()
     half = vector[:, good] / np.sqrt(value[good])
-    phi = x.kernel(landmarks, half)  # the last feature, the bias, is 1 for every word
-    features = lambda block: np.column_stack([phi[block], np.ones(len(phi[block]), np.float32)])
-    y, blocks = np.where(toxic, 1.0, -1.0), [slice(a, a + 4096) for a in range(0, len(x), 4096)]
+    phi = np.empty((len(words), half.shape[1]), dtype=np.float32)
+    for a in range(0, len(words), 4096):  # a word's subsequences are held for a block of words only
+        phi[a : a + 4096] = Features(words[a : a + 4096]).kernel(landmarks, half)
+    features = lambda block: np.column_stack([phi[block], np.ones(len(phi[block]), np.float32)])  # noqa: E731  the last one is the bias
+    y, blocks = np.where(toxic, 1.0, -1.0), [slice(a, a + 4096) for a in range(0, len(words), 4096)]
     solved = []
     for weight in weights:
         # either class weighs as much as the other, and `penalty` does not depend on the number of sentences
