@@ -1,8 +1,9 @@
 """Readers of evaluation trees ``<root>/<generator>/<run>/<file>.json``.
 
 Everything is one scan of many small files with an explicit schema: the file's
-path is data (generator, run, model), files that are not JSON or rows that are
-no objects are dropped, and no file is opened on the driver.
+path is data (generator, run, model), and no file is opened on the driver.
+Files that are not JSON are dropped, and so is a whole file in whose array
+something is no object.
 """
 
 from __future__ import annotations
