@@ -118,7 +118,35 @@ def test_sinks(spark, tmp_path):
         sinks.write_jsonl(df, str(tmp_path / "j"))
     sinks.write_by_key(df, str(tmp_path / "k"), "generator")
     assert spark.read.json(str(tmp_path / "k")).count() == 3
-    sinks.write_csv(df, str(tmp_path / "c"), ["question_id", "generator"])
+    sinks.write_csv(df, str(tmp_path / "c"), ["question_id", "generator"], one_file=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["question_id", "generator"]
     requests = sinks.batch_requests(df.select(F.lit("id").alias("custom_id"), F.lit("p").alias("prompt")), "m")
     assert json.loads(requests.first().value)["body"] == {"model": "m", "input": "p"}
+
+
+def test_versions_missing_and_stored(spark, tmp_path):
+    df = spark.createDataFrame([("g", "A", 1, 0), ("h", "B", 2, 1)], "generator string, category string, question_id long, index int")
+    assert {(r.generator, r.n) for r in sinks.write_versions(df, str(tmp_path / "v"), "1", "generator", dry_run=True).collect()} == {("g", 1), ("h", 1)}
+    assert not (tmp_path / "v").exists()
+    sinks.write_versions(df, str(tmp_path / "v"), "1", "generator")
+    sinks.write_versions(df.limit(1), str(tmp_path / "v"), "2", "generator")
+    assert spark.read.json(str(tmp_path / "v" / "1")).count() == 2
+    first = sinks.write_missing(df.where("generator = 'g'"), str(tmp_path / "m"), "generator")
+    again = sinks.write_missing(df, str(tmp_path / "m"), "generator")
+    assert [r.generator for r in first.collect()] == ["g"] and [r.generator for r in again.collect()] == ["h"]
+    assert spark.read.json(str(tmp_path / "m")).count() == 2
+    from veridict.operators import subset
+
+    chunked = subset.chunk(df, 1)
+    sinks.write_subset(chunked, str(tmp_path / "s"), "tag")
+    assert {(r.generator, r.n_items, r.first_id) for r in spark.read.json(str(tmp_path / "s/manifest")).collect()} == {("g", 1, "part-p00-001"), ("h", 1, "part-p01-001")}
+    assert sinks.stale_reasons({"a": 1, "b": 2}, {"a": 1, "b": 3}) == ["b differs (2 != 3)"]
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return df
+
+    for wanted in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert sinks.stored_or_computed(spark, str(tmp_path / "c"), wanted, compute).count() == 2
+    assert len(calls) == 2

@@ -14,14 +14,16 @@ def select_quota(candidates: DataFrame, targets: DataFrame, order: list[str], *k
     column.
     """
     rank = F.row_number().over(Window.partitionBy(*keys, "category").orderBy(*order))
-    ranked = candidates.join(F.broadcast(targets), "category").withColumn("rn", rank)  # one row a category
+    ranked = candidates.join(targets, "category").withColumn("rn", rank)
     return ranked.where("rn <= target").drop("target")
 
 
 def shortfall(candidates: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
     """Categories with fewer candidates than their target, with what is missing."""
     groups = candidates.select(*keys).distinct() if keys else None
-    wanted = targets if groups is None else groups.join(F.broadcast(targets))
+    # the targets are a short list of categories: they travel as one array
+    every = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("_t"))
+    wanted = targets if groups is None else groups.join(F.broadcast(every), how="cross").select(*keys, F.inline("_t"))
     have = candidates.groupBy(*keys, "category").agg(F.count("*").alias("n"))
     both = wanted.join(have, [*keys, "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return both.where("n < target").select(*keys, "category", "target", "n", (F.col("target") - F.col("n")).alias("missing"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridict.functions import model_output as M
 from veridict.functions import text as X
 from veridict.operators import ingest
+from veridict.operators.stats import t_quantile
 from veridict.plans import query
 from veridict.sources.tables import table
 
@@ -207,3 +208,29 @@ def unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("question"), "o_custkey")
     done = items.where("question_id % 3 = 0 and o_custkey % 2 = 0")
     return ingest.unanswered(items, done).select("question_id", "question")
+
+
+@query("SELECT d::INT AS d, t FROM (VALUES (0, NULL), (1, 12.7062), (2, 4.3027), (3, 3.1824), (5, 2.5706), (10, 2.2281), (30, 2.0423), (60, 2.0003), (61, 1.9996), (120, 1.9799)) v(d, t)".replace("t FROM", "t::DOUBLE AS t FROM"))
+def t_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """97.5 % points of Student's t, as tables print them."""
+    rows = spark.createDataFrame([(d,) for d in (0, 1, 2, 3, 5, 10, 30, 60, 61, 120)], "d int")
+    return rows.withColumn("t", F.round(t_quantile(F.col("d")), 4))
+
+
+@query("""SELECT * FROM (VALUES ('1'), ('correct'), (' TRUE '), ('t'), ('yes'), ('y'), ('1.0'), ('0'), ('no'), ('right'), (NULL)) v(input),
+       LATERAL (SELECT (coalesce(lower(trim(input)) IN ('1', '1.0', 'true', 't', 'yes', 'y', 'correct'), false))::INT AS correct)""")
+def correct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = ["1", "correct", " TRUE ", "t", "yes", "y", "1.0", "0", "no", "right", None]
+    return spark.createDataFrame([(w,) for w in words], "input string").withColumn("correct", X.correctness(F.col("input")))
+
+
+@query("""SELECT * FROM (VALUES ('2026-01-02 03:04:05.678', 'gpt 5', 3, '20260102T030405678Z_gpt_5_seed3'), ('2026-12-31 23:59:59', 'a', 0, '20261231T235959000Z_a_seed0')) v(made, generator, seed, quiz_id)""")
+def quiz_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("2026-01-02 03:04:05.678", "gpt 5", 3), ("2026-12-31 23:59:59", "a", 0)], "made string, generator string, seed int")
+    return rows.withColumn("quiz_id", X.quiz_id(F.col("made").cast("timestamp"), F.col("generator"), F.col("seed")))
+
+
+@query("SELECT * FROM (VALUES ('/x/eval/runs/g/q', '/new/eval/runs/g/q'), ('C:\\x\\eval\\runs', '/new/eval/runs'), ('/other', NULL)) v(path, localized)")
+def localized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("/x/eval/runs/g/q",), ("C:\\x\\eval\\runs",), ("/other",)], "path string")
+    return rows.withColumn("localized", X.localized(F.col("path"), "/new/", "eval/runs", "eval/"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
-    """A report with a header and a fixed column order, in one file (reports are short)."""
-    df.select(*columns).coalesce(1).write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists", one_file: bool = False) -> None:
+    """A report with a header and a fixed column order; ``one_file`` (through one task) is for short ones."""
+    chosen = df.select(*columns)
+    (chosen.coalesce(1) if one_file else chosen).write.mode(mode).option("header", True).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -36,3 +40,56 @@ def batch_requests(items: DataFrame, model: str, prompt: str = "prompt") -> Data
     """Request lines of a batch job: one JSON text for each item, with its custom id."""
     body = F.struct(F.lit(model).alias("model"), F.col(prompt).alias("input"))
     return items.select(F.to_json(F.struct(F.col("custom_id"), F.lit("POST").alias("method"), body.alias("body"))).alias("value"))
+
+
+def write_versions(df: DataFrame, path: str, version: str, *keys: str, dry_run: bool = False) -> DataFrame:
+    """Rewritten files of a run beside the old ones, below ``path/version``: an old version is never changed.
+
+    Returns the number of rows by key; with ``dry_run`` nothing is written.
+    """
+    if not dry_run:
+        write_by_key(df, f"{path.rstrip('/')}/{version}", *keys)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def write_missing(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Append only keys that ``path`` doesn't hold yet, as JSON lines; returns the keys written."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        df = df.join(spark.read.schema(df.schema).json(path).select(key).distinct(), key, "left_anti").select(*df.columns)
+    written = df.select(key).distinct().collect()  # keys of reports: generators or runs
+    df.write.mode("append").json(path)
+    return spark.createDataFrame([(r[0],) for r in written], f"`{key}` string")
+
+
+def chunk_manifest(chunked: DataFrame) -> DataFrame:
+    """generator, chunk, n_items and the first and last id of every chunk of a subset."""
+    return chunked.groupBy("generator", "chunk").agg(
+        F.count("*").alias("n_items"), F.min_by("chunk_id", "index").alias("first_id"), F.max_by("chunk_id", "index").alias("last_id")
+    )
+
+
+def write_subset(selected: DataFrame, path: str, subset_tag: str) -> None:
+    """The report, the questions by chunk and the manifest of a subset, each a folder of JSON lines below ``path``."""
+    selection_report(selected, subset_tag).write.json(f"{path}/report")
+    write_by_key(selected, f"{path}/quizzes", "generator", "chunk")
+    chunk_manifest(selected).write.json(f"{path}/manifest")
+
+
+def stale_reasons(stored: dict, wanted: dict) -> list[str]:
+    """Why a stored result can't be used again: the parameters that differ; none if it can."""
+    return [f"{k} differs ({stored.get(k)} != {v})" for k, v in wanted.items() if str(stored.get(k)) != str(v)]
+
+
+def stored_or_computed(spark, path: str, wanted: dict, compute, again: bool = False) -> DataFrame:
+    """A result with the parameters it was computed for: read if they are the same, else computed and stored below a new name.
+
+    ``compute`` gives the result as a DataFrame.  Results of other parameters are left where they are.
+    """
+    digest = hashlib.sha256(json.dumps(wanted, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    where = f"{path.rstrip('/')}/{digest}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if again or not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        compute().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
