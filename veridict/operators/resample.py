@@ -187,3 +187,32 @@ def topic_permutation(items: DataFrame, iterations: int = 1000, seed: int = 0) -
     reached = F.col("inner") >= F.lit(least - 1e-12 * max(1.0, abs(least)))
     hits = inner.agg(F.sum(reached.cast("long")).alias("h")) if observed == observed else spark.createDataFrame([(0,)], "h long")
     return hits.select(F.lit(observed).alias("f"), ((1 + F.coalesce("h", F.lit(0))) / (1 + iterations)).alias("p_perm"))
+
+
+def topic_bootstrap(items: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """topic, n_items, mean, low, high of the items' mean by topic, resampled within topics; the row "RANGE" is the
+    difference between the greatest and the least topic mean, and its n_items the number of topics.
+
+    ``items`` has topic and value.  A topic is its counts by value, in one row;
+    topics are resampled where they lie, and only means by replicate and topic
+    are brought together.
+    """
+    cells = items.where("value is not null").groupBy("topic", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    each = cells.groupBy("topic").agg(F.collect_list(F.struct("value", "c")).alias("cells"), F.sum("c").alias("n_items"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for topic, rows in zip(batch["topic"], batch["cells"], strict=True):
+                random = np.random.default_rng([seed, *hashlib.sha256(repr(topic).encode()).digest()])
+                rows = sorted((r["value"], r["c"]) for r in rows)
+                value, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+                means = random.multinomial(int(c.sum()), c / c.sum(), iterations) @ value / c.sum()
+                yield pd.DataFrame({"topic": topic, "replicate": np.arange(iterations), "drawn": means})
+
+    replicates = each.select("topic", "cells").mapInPandas(draw, "topic string, replicate long, drawn double")
+    ends = [F.percentile("drawn", q).alias(name) for name, q in (("low", 0.025), ("high", 0.975))]
+    own = replicates.groupBy("topic").agg(*ends).join(each.select("topic", "n_items", "mean"), "topic")
+    spans = replicates.groupBy("replicate").agg((F.max("drawn") - F.min("drawn")).alias("drawn")).agg(*ends)
+    whole = each.agg(F.count("*").alias("n_items"), (F.max("mean") - F.min("mean")).alias("mean")).join(F.broadcast(spans), how="cross")  # two rows of numbers
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "low", "high")]
+    return own.select("topic", "n_items", *rounded).unionByName(whole.select(F.lit("RANGE").alias("topic"), "n_items", *rounded))

@@ -87,3 +87,14 @@ def topic_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F of topics and its permutation p within quizzes (random: tested by tolerance)."""
     items = attempts(spark, sf_dir).groupBy("item", "topic", F.col("quiz").alias("stratum")).agg(F.avg("y").alias("value"))
     return B.topic_permutation(items, 500)
+
+
+@query(f"""WITH {SQL_ATTEMPTS}, i AS (SELECT item, topic, avg(y) AS p FROM attempts GROUP BY 1, 2), t AS (SELECT topic, count(*) AS n_items, avg(p) AS mean FROM i GROUP BY 1)
+SELECT topic, n_items, round(mean, 6) AS mean, true AS covered, true AS narrow FROM t UNION ALL SELECT 'RANGE', count(*), round(max(mean) - min(mean), 6), true, true FROM t""")
+def topic_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by topic, and whether the resampled interval is around them and not wider than four standard errors of a share (random: no exact bounds)."""
+    items = attempts(spark, sf_dir).groupBy("item", "topic").agg(F.avg("y").alias("value"))
+    found = B.topic_bootstrap(items, 500)
+    limit = F.when(F.col("topic") == "RANGE", 1.0).otherwise(4.4 * 0.5 / F.sqrt("n_items"))
+    covered = F.when(F.col("topic") == "RANGE", F.col("high") >= F.col("low")).otherwise(F.col("mean").between(F.col("low"), F.col("high")))
+    return found.select("topic", "n_items", "mean", covered.alias("covered"), (F.col("high") - F.col("low") <= limit).alias("narrow"))
