@@ -150,3 +150,21 @@ def test_versions_missing_and_stored(spark, tmp_path):
     for wanted in ({"a": 1}, {"a": 1}, {"a": 2}):
         assert sinks.stored_or_computed(spark, str(tmp_path / "c"), wanted, compute).count() == 2
     assert len(calls) == 2
+
+
+def test_configuration():
+    from veridict.sources import config
+
+    assert config.parse_names(" a, b,", "x") == ["a", "b"] == config.parse_names(["a", " b", "", 3], "x") and config.parse_names(None, "x") == []
+    for bad in (7, None, " ,"):
+        with pytest.raises(ValueError):
+            config.parse_names(bad, "x", required=True)
+    assert config.whole_number({"n": "3"}, "n", 1) == 3 and config.whole_number({}, "n", 1) == 1
+    with pytest.raises(ValueError, match="whole number"):
+        config.whole_number({"n": "x"}, "n", 1)
+    assert config.parse_topics("a, b\nc") == ["a", "b\nc"] and config.parse_topics("a\n\n b ") == ["a", "b"]
+    with pytest.raises(ValueError):
+        config.parse_topics(" \n")
+    config.check_keys({"a": 1}, ("a",))
+    with pytest.raises(ValueError, match="b"):
+        config.check_keys({"a": 1}, ("a", "b"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridict.functions.text import is_combined_label, normalize_label, strip
+from veridict.functions.text import blood_or_cancer, is_blood_or_cancer, is_combined_label, normalize_label, strip
 
 
 def _lookup(key: Column, table: Mapping[str, str]) -> Column:
@@ -157,3 +157,17 @@ def remainders(targets: DataFrame, current: DataFrame) -> DataFrame:
         "category", t.alias("target"), n.alias("current"), F.greatest(t - n, F.lit(0)).alias("remaining"),
         F.when(known, F.greatest(n - t, F.lit(0))).otherwise(0).alias("overshoot"), F.when(known, 0).otherwise(n).alias("extra"),
     )
+
+
+def refined(mapped: DataFrame, responses: DataFrame, key: str = "question_id") -> DataFrame:
+    """Mapped topics in which labels that name hematology and oncology together are told apart by a model's response.
+
+    ``mapped`` has the key, topic and mapped, ``responses`` the key and
+    response.  The label before is kept in ``mapped_before``, where it changed.
+    """
+    joined = mapped.join(responses.select(key, "response"), key, "left")
+    chosen = F.when(is_blood_or_cancer(F.col("topic")), blood_or_cancer(F.col("response")))
+    changed = chosen.isNotNull() & ~F.coalesce(chosen == F.col("mapped"), F.lit(False))
+    return joined.select(
+        *(c for c in mapped.columns if c != "mapped"), F.coalesce(chosen, "mapped").alias("mapped"), F.when(changed, F.col("mapped")).alias("mapped_before")
+    )

@@ -33,3 +33,36 @@ def read_names(path: str) -> list[str]:
     with open(path, encoding="utf-8-sig") as file:
         lines = [line.split("#")[0].strip().removeprefix("- ").strip().strip("'\"") for line in file]
     return list(dict.fromkeys(x for x in lines if x and not x.endswith(":")))
+
+
+def parse_names(raw, label: str, required: bool = False) -> list[str]:
+    """Names of a list, or of a text with commas; an error if they are needed and missing, or of another kind."""
+    if raw is not None and not isinstance(raw, (str, list, tuple, set)):
+        raise ValueError(f"{label} must be a text with commas or a list of texts")
+    parts = raw.split(",") if isinstance(raw, str) else raw or []
+    names = [x.strip() for x in parts if isinstance(x, str) and x.strip()]
+    if required and not names:
+        raise ValueError(f"no names given for {label}")
+    return names
+
+
+def whole_number(config: dict, key: str, default: int) -> int:
+    try:
+        return int(config.get(key, default))
+    except (TypeError, ValueError):
+        raise ValueError(f"expected a whole number for {key!r}, got {config.get(key)!r}") from None
+
+
+def parse_topics(text: str) -> list[str]:
+    """Topics of a text: between commas if there is one, else a line each; none is an error."""
+    topics = [x.strip() for x in (text.split(",") if "," in text else text.splitlines()) if x.strip()]
+    if not topics:
+        raise ValueError("no topics")
+    return topics
+
+
+def check_keys(report: dict, keys: tuple[str, ...]) -> None:
+    """An error that names the keys a report lacks."""
+    missing = [k for k in keys if k not in report]
+    if missing:
+        raise ValueError(f"the report lacks {missing}")
