@@ -662,6 +662,17 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_repeated_items_and_rows(spark, docs):
+    """Items that come twice, and documents that come twice, are reported each; clashing columns are ignored."""
+    rng = random.Random(21)
+    item = prose(rng, 20)
+    table = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (None, f"a {item}", "z"), (2, None, "w")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(5, item), (6, item.upper()), (None, item), (7, prose(rng, 20))], "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.first_word) for r in decontamination.overlaps(table, bench).collect())
+    assert got == {(1, 5, 0): 2, (1, 6, 0): 2, (1, None, 0): 2, (None, 5, 1): 1, (None, 6, 1): 1, (None, None, 1): 1}
+    assert decontamination.decontaminate(table, bench).count() == 1
+
+
 def test_masks_are_lossless():
     for gone in itertools.combinations(range(13), 2):
         assert any(not {o + j for j in m} & {*gone} for m in decontamination.MASKS for o in range(13 - m[-1]))

@@ -65,8 +65,16 @@ class Block:
     def __init__(self, ids: list, texts: list[str | None]) -> None:
         parts = list(words(pa.array(texts, pa.string())))
         self.ids = ids
-        self.hashes = np.concatenate([p.hashes for p in parts] or [np.zeros(0, np.uint64)])
+        hashes = np.concatenate([p.hashes for p in parts] or [np.zeros(0, np.uint64)])
         counts = np.concatenate([p.counts for p in parts] or [np.zeros(0, np.int64)])
+        # items of the same words are looked up once; ``same`` lists the items of each kind
+        cuts, kinds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), {}
+        for i in range(len(counts)):
+            kinds.setdefault(hashes[cuts[i] : cuts[i + 1]].tobytes(), []).append(i)
+        self.same = list(kinds.values())
+        first = np.array([k[0] for k in self.same], dtype=np.int64)
+        counts = counts[first] if len(first) else counts
+        self.hashes = np.concatenate([hashes[cuts[i] : cuts[i + 1]] for i in first] or [hashes[:0]])
         self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.owner = np.repeat(np.arange(len(counts)), counts)
         short = sorted({int(c) for c in counts if LEAST_WORDS <= c < WHOLE_BELOW})
@@ -110,7 +118,7 @@ class Block:
             got = self._stretch(hashes, bounds, int(doc), int(item), int(start))
             if got and (-got[2], got[0]) < (lambda b: (-b[2], b[0]) if b else (1, 0))(best.get((doc, item))):
                 best[int(doc), int(item)] = got
-        return [(*k, *v) for k, v in sorted(best.items())]
+        return sorted((doc, item, *v) for (doc, kind), v in best.items() for item in self.same[kind])
 
     def _stretch(self, hashes, bounds, doc: int, item: int, start: int) -> tuple[int, int, int] | None:
         a, b = self.bounds[item], self.bounds[item + 1]
