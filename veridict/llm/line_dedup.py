@@ -190,7 +190,7 @@ def _near(slim: DataFrame, distinct: DataFrame, places: Places) -> DataFrame:
     pairs = written(pairs.where("_first < _place").distinct())
     own = lines.select("_place", "view", F.col("_units").alias("x"))
     other = lines.select(F.col("_place").alias("_first"), "view", F.col("_units").alias("y"))
-    both = join_salted(pairs.join(own, ["_place", "view"]), other, ["_first", "view"])
+    both = join_salted(pairs.join(own, ["_place", "view"]), other, ["_first", "view"], pairs)
     return both.where(within_one_edit("x", "y")).select("_place").distinct()
 
 

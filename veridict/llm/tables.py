@@ -98,9 +98,13 @@ def join_frequent(rows: DataFrame, groups: DataFrame, key: str | list[str], tota
     return rows.join(hot, keys).unionByName(rest).drop("c")
 
 
-def join_salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a table of one long row a key; rows of a frequent key are dealt over copies of its row."""
-    parts = F.broadcast(frequent(rows.groupBy(*keys).agg(F.count("*").alias("c"))).drop("c"))
+def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], counted: DataFrame) -> DataFrame:
+    """Inner join with a table of one long row a key; rows of a frequent key are dealt over copies of its row.
+
+    ``counted`` is a written table with as many rows of each key as ``rows``.
+    """
+    counts = counted.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS)
+    parts = F.broadcast(written(frequent(written(counts), total=counted.count()).drop("c")))
     other = [c for c in rows.columns if c not in keys]
     salt = F.coalesce(F.pmod(F.xxhash64(*(other or keys)), F.col("parts")), F.lit(0))
     copies = F.expr("explode(sequence(0L, coalesce(parts, 1L) - 1))")
