@@ -199,3 +199,34 @@ SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {logit("p")} >= {quality.THRESHOLD} AS kept
 FROM voted, m{iterations} p
 """
+
+EXACT_DEDUP = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY t)
+"""
+
+#: Words and their leading words within a piece, counted at each length; cuts and containment by joins.
+PHRASES = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT row, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+numbered AS (SELECT row_number() OVER () AS piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+spread AS (SELECT piece_id, lang, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM numbered),
+windows AS (SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM spread WINDOW p AS (PARTITION BY piece_id ORDER BY pos)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM windows GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM windows WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM windows WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.w1, c.w2, NULL AS w3, c.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 c JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  UNION ALL SELECT c.lang, c.w1, c.w2, c.w3, c.f, 1, x.f, y.f FROM f3 c JOIN f1 x USING (lang, w1) JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1, c.w2, c.w3, c.f, 2, x.f, y.f FROM f3 c JOIN f2 x USING (lang, w1, w2) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1),
+around AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+kept AS (SELECT s.*, concat_ws(' ', s.w1, s.w2, s.w3) AS phrase FROM lowest s LEFT JOIN around o ON s.w3 IS NULL AND o.lang = s.lang AND o.w1 = s.w1 AND o.w2 = s.w2
+  WHERE o.f IS NULL OR 100 * o.f < 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
