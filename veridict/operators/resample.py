@@ -1,52 +1,43 @@
-"""Bootstrap and permutation, a replicate a row.
-
-Replicates are rows of ``spark.range`` and run in Arrow batches on the
-executors; what they resample is a summary of patterns with counts, whose size
-does not depend on the number of items.  Streams of random numbers belong to
-(seed, replicate) or (seed, stratum), so results do not depend on partitioning.
+"""Bootstrap and permutation by draws that depend only on a counter.
+
+A replicate is one value of a column: every item meets every replicate where it
+lies, draws from (seed, replicate, item), and only sums by replicate are
+shuffled.  Items are taken as often as a Poisson variable of mean 1 says, the
+form of the bootstrap that needs no total: in a replicate about as many items
+are drawn as there are.  Nothing of the items passes the driver, no result
+depends on partitioning, and SQL gives the same numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A summary with more numbers than this is not sent to executors.
-LARGEST = 20_000_000
-
+from veridict.functions.random import P, drawn, poisson
+from veridict.functions.special import binomial_quantile
+from veridict.operators.reliability import nominal as differ
 
-def _summary(df: DataFrame, columns: int) -> pd.DataFrame:
-    """A summary on the driver, its size checked first."""
-    rows = df.count()
-    if rows * columns > LARGEST:
-        raise ValueError(f"{rows} rows are too many to resample; summarise them further")
-    return df.toPandas()
+#: Rows that one sorting task should get.
+ROWS_A_BUCKET = 50_000
 
 
 def paired_bootstrap(attempts: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
-    """replicate, llm, mean: resampled means of items that every llm has tried, all llms on the same draw."""
+    """replicate, llm, mean: resampled means of items that every llm has tried, all llms on the same draw.
+
+    There are as many columns as llms while sums are made.  No rows where no
+    item has been tried by all; a replicate that draws nothing has no rows.
+    """
     wide = attempts.groupBy("item").pivot("llm").agg(F.max("y")).dropna()
+    kind = dict(attempts.dtypes)["llm"]
     names = [c for c in wide.columns if c != "item"]
-    # items with the same outcomes are one pattern, and a replicate is one multinomial draw
-    counts = wide.groupBy(*names).agg(F.count("*").alias("_n")).orderBy(*names)
-    patterns = _summary(counts, len(names) + 1)
-    x, c = patterns[names].to_numpy(dtype=np.float64), patterns["_n"].to_numpy(dtype=np.int64)
-    n = int(c.sum())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in batch["id"]:
-                weight = np.random.default_rng([seed, int(b)]).multinomial(n, c / n) if n else None
-                means = weight @ x / n if n else np.full(len(names), np.nan)
-                yield pd.DataFrame({"replicate": int(b), "llm": [int(v) for v in names], "mean": means})
-
-    return attempts.sparkSession.range(iterations).mapInPandas(run, "replicate long, llm int, mean double")
+    taken = drawn(wide, ["item"], iterations, seed).withColumn("w", poisson("z"))
+    sums = taken.groupBy("replicate").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(f"`{c}`")).alias(f"s{k}") for k, c in enumerate(names)))
+    each = F.array(*(F.struct(F.lit(c).cast(kind).alias("llm"), (F.col(f"s{k}") / F.col("n")).alias("mean")) for k, c in enumerate(names)))
+    if not names:
+        return attempts.sparkSession.createDataFrame([], f"replicate long, llm {kind}, mean double")
+    return sums.where("n > 0").select("replicate", F.explode(each).alias("e")).select("replicate", "e.*")
 
 
 def percentile_interval(replicates: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -56,163 +47,123 @@ def percentile_interval(replicates: DataFrame, value: str, *keys: str) -> DataFr
 
 
 def pairwise_differences(replicates: DataFrame, delta: float = 0.02) -> DataFrame:
-    """Every two llms' difference: interval, and share of replicates within plus or minus delta."""
+    """Every two llms' difference: interval, and whether it lies within plus or minus delta."""
     each = replicates.groupBy("replicate").agg(F.sort_array(F.collect_list(F.struct("llm", "mean"))).alias("m"))
     pairs = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.llm as a, y.llm as b, x.mean - y.mean as d))))")
     long = each.select("replicate", F.explode(pairs).alias("e")).select("replicate", "e.*")
     spread = percentile_interval(long, "d", "a", "b")
-    within = long.groupBy("a", "b").agg(F.round(F.avg((F.abs("d") <= delta).cast("double")), 6).alias("within_delta"))
-    return spread.join(within, ["a", "b"])
+    return spread.withColumn("within_delta", (F.col("low") > -delta) & (F.col("high") < delta))
 
 
-def alpha_bootstrap(ratings: DataFrame, value: str, nominal: bool, iterations: int = 1000, seed: int = 0) -> DataFrame:
-    """replicate, alpha: Krippendorff's alpha over resampled units.
+def alpha_bootstrap(ratings: DataFrame, value: str, distance: Callable[[Column, Column], Column] = differ, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """replicate, alpha: Krippendorff's alpha over resampled units, 1 where no disagreement is expected.
 
-    Units with the same counts of values are one pattern, so the summary is
-    bounded by the number of patterns and a replicate is one multinomial draw.
+    A unit's disagreement is dealt to its values, so that one sum by replicate
+    and value gives both the margins and the observed disagreement.
     """
     counts = ratings.where(F.col(value).isNotNull()).groupBy("unit", F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    units = counts.groupBy("unit").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("vs"))
-    patterns = _summary(units.where("n > 1").groupBy("vs").agg(F.count("*").alias("w")).orderBy("vs"), 10)
-    values = sorted({row["v"] for vs in patterns["vs"] for row in vs})
-    k = len(values)
-    if not k:
-        return ratings.sparkSession.createDataFrame([], "replicate long, alpha double")
-    place = {v: i for i, v in enumerate(values)}
-    table = np.zeros((len(patterns), k))
-    for i, vs in enumerate(patterns["vs"]):
-        for row in vs:
-            table[i, place[row["v"]]] = row["c"]
-    grid = np.array([[float(a != b) if nominal else float((a - b) ** 2) for b in values] for a in values])
-    observed = np.einsum("ni,ij,nj->n", table, grid, table) / (table.sum(1) - 1)
-    weight = patterns["w"].to_numpy(dtype=np.float64)
-    total = int(weight.sum())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for b in batch["id"]:
-                draw = np.random.default_rng([seed, int(b)]).multinomial(total, weight / total)
-                margin = draw @ table
-                n = margin.sum()
-                expected = margin @ grid @ margin / (n * (n - 1))
-                out.append(1 - (draw @ observed / n) / expected if expected else 1.0)
-            yield pd.DataFrame({"replicate": batch["id"], "alpha": out})
-
-    return ratings.sparkSession.range(iterations).mapInPandas(run, "replicate long, alpha double")
+    units = counts.groupBy("unit").agg(F.sum("c").alias("n"), F.collect_list(F.struct("v", "c")).alias("vs")).where("n > 1")
+    dealt = F.transform("vs", lambda x: F.struct(
+        x["v"].alias("v"), x["c"].alias("c"),
+        (F.aggregate("vs", F.lit(0.0), lambda s, y: s + x["c"] * y["c"] * distance(x["v"], y["v"])) / (F.col("n") - 1)).alias("o"),
+    ))
+    taken = drawn(units.select("unit", dealt.alias("parts")), ["unit"], iterations, seed).withColumn("w", poisson("z")).where("w > 0")
+    part = taken.select("replicate", "w", F.inline("parts"))
+    margins = part.groupBy("replicate", "v").agg(F.sum(F.col("w") * F.col("c")).alias("m"), F.sum(F.col("w") * F.col("o")).alias("o"))
+    total = margins.groupBy("replicate").agg(F.sum("m").alias("n"), F.sum("o").alias("o"), F.collect_list(F.struct("v", "m")).alias("ms"))
+    expected = F.aggregate("ms", F.lit(0.0), lambda s, x: s + F.aggregate("ms", F.lit(0.0), lambda t, y: t + x["m"] * y["m"] * distance(x["v"], y["v"])))
+    alpha = 1 - F.try_divide(F.col("o") / F.col("n"), expected / (F.col("n") * (F.col("n") - 1)))
+    return total.select("replicate", F.coalesce(alpha, F.lit(1.0)).alias("alpha"))
+
+
+def proportion_interval(counts: DataFrame, level: float = 0.95) -> DataFrame:
+    """Per key: the ends between which resampled shares lie, from the binomial distribution itself; ``counts`` has key, c and n.
+
+    Without trials there is no interval.
+    """
+    share = F.col("c") / F.nullif(F.col("n"), F.lit(0))
+    end = lambda q: binomial_quantile(q, F.col("n"), share) / F.col("n")
+    tail = (1 - level) / 2
+    return counts.select("key", "c", "n", *(F.when(F.col("n") > 0, end(q)).alias(name) for name, q in (("low", tail), ("high", 1 - tail))))
 
 
 def proportion_bootstrap(counts: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
-    """Per key: 95 % interval of binomially resampled shares; ``counts`` has key, c and n."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = []
-            for key, c, n in zip(batch["key"], batch["c"], batch["n"], strict=True):
-                random = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-                shares = random.binomial(n, c / n, iterations) / n if n else np.full(iterations, np.nan)
-                ends.append(np.percentile(shares, [2.5, 97.5]))
-            yield pd.DataFrame({"key": batch["key"], "low": [e[0] for e in ends], "high": [e[1] for e in ends]})
-
-    slim = counts.select(F.col("key").cast("string").alias("key"), "c", "n")
-    return slim.mapInPandas(run, "key string, low double, high double")
-
-
-#: A stratum of at most this many items is permuted item by item, a larger one drawn by counts.
-_DIRECT = 2000
-
-
-def _permuted_totals(topics: np.ndarray, values: np.ndarray, counts: np.ndarray, random, iterations: int) -> tuple[np.ndarray, np.ndarray]:
-    """(topics, replicates by topics): sums of values after the topics of one stratum are permuted."""
-    own, place = np.unique(topics, return_inverse=True)
-    size = np.bincount(place, counts).astype(np.int64)
-    different, kind = np.unique(values, return_inverse=True)
-    colours = np.bincount(kind, counts).astype(np.int64)
-    out = np.zeros((iterations, len(own)))
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    every = np.repeat(different, colours) if size.sum() <= _DIRECT else None
-    for b in range(iterations):
-        if every is not None:
-            out[b] = np.add.reduceat(random.permutation(every), starts)
-            continue
-        rest = colours.copy()
-        for t, m in enumerate(size):
-            draw = random.multivariate_hypergeometric(rest, m, method="marginals") if t < len(size) - 1 else rest
-            out[b, t] = draw @ different
-            rest = rest - draw
-    return own, out
+    """Per key: 95 % interval of binomially resampled shares; ``counts`` has key, c and n.
+
+    A replicate's draw is a uniform number, turned into the binomial variable
+    of its quantile; with ever more replicates the ends are those of
+    ``proportion_interval``.
+    """
+    # a draw becomes a share by the exact distribution, which keeps order: so it is enough to turn the ends of the draws
+    draws = drawn(counts.where("n > 0"), ["key"], iterations, seed)
+    ends = draws.groupBy("key", "c", "n").agg(*(F.percentile(F.col("z") / P, q).alias(f"u{k}") for k, q in enumerate((0.025, 0.975))))
+    at = lambda u: binomial_quantile(F.col(u), F.col("n"), F.col("c") / F.col("n")) / F.col("n")
+    return ends.select("key", at("u0").alias("low"), at("u1").alias("high"))
+
+
+def _ranked(rows: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
+    """Append ``name``, the place from 1 by ``order``, whose first column is a draw.
+
+    A group of many rows is cut into buckets of the draw's range, ranked apart
+    and moved up by the rows in lower buckets, so no task sorts a large group.
+    """
+    largest = rows.where("replicate = 0").groupBy(*within).count().agg(F.max("count")).first()[0] or 1
+    buckets = -(-largest // ROWS_A_BUCKET)
+    if buckets == 1:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    rows = rows.withColumn("_bucket", F.floor(F.col(order[0]) * buckets / P))
+    sizes = rows.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
+    lower = F.sum("_n").over(Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*within, "_bucket", F.coalesce(lower, F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order))
+    return rows.withColumn("_inner", inner).join(starts, [*within, "_bucket"]).withColumn(name, F.col("_inner") + F.col("_start")).drop("_inner", "_start", "_bucket")
 
 
 def topic_permutation(items: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """F of the one-way analysis of item values by topic, and p by permuting topics within strata.
 
     ``items`` has item, value, topic and stratum.  p = (1 + permutations with
-    at least the observed F) / (1 + permutations).
-
-    A stratum is its counts by topic and value, in one row; strata are permuted
-    where they lie, and only sums by replicate and topic are brought together.
+    at least the observed F) / (1 + permutations).  A permutation ranks a
+    stratum's items by their draws and deals the ranks to its topics, each as
+    many as it has items; a null stratum is one of its own.
     """
-    spark = items.sparkSession
-    cells = items.groupBy("stratum", "topic", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
-    sums = cells.groupBy("topic").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("t"), F.sum(F.col("c") * F.col("value") ** 2).alias("q"))
-    frame = _summary(sums.orderBy("topic"), 4)
-    size, total = frame["n"].to_numpy(dtype=np.float64), frame["t"].to_numpy(dtype=np.float64)
-    k, n, grand, squares = len(frame), float(size.sum()), float(total.sum()), float(frame["q"].sum())
-    place = {t: i for i, t in enumerate(frame["topic"])}
-
-    def statistic(inner: float) -> float:
-        within = squares - inner
-        return ((inner - grand**2 / n) / (k - 1)) / (within / (n - k)) if within > 0 and k > 1 and n > k else float("nan")
-
-    observed = statistic(float((total**2 / size).sum())) if n else float("nan")
-    each = cells.groupBy("stratum").agg(F.collect_list(F.struct("topic", "value", "c")).alias("cells")).select(F.col("stratum").cast("string"), "cells")
-
-    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drawn: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for stratum, rows in zip(batch["stratum"], batch["cells"], strict=True):
-                random = np.random.default_rng([seed, *hashlib.sha256(repr(stratum).encode()).digest()])
-                rows = [(place[r["topic"]], r["value"], r["c"]) for r in rows]
-                own, sums = _permuted_totals(*(np.array(x) for x in zip(*rows, strict=True)), random, iterations)
-                for t, column in zip(own.tolist(), sums.T, strict=True):
-                    drawn[t] = drawn.get(t, 0.0) + column
-        for t, column in drawn.items():
-            yield pd.DataFrame({"replicate": np.arange(iterations), "topic": t, "total": column, "size": size[t]})
-
-    totals = each.mapInPandas(permute, "replicate long, topic int, total double, size double")
-    totals = totals.groupBy("replicate", "topic").agg(F.sum("total").alias("total"), F.max("size").alias("size"))
-    inner = totals.groupBy("replicate").agg(F.sum(F.col("total") ** 2 / F.col("size")).alias("inner"))
+    slim = items.select("item", F.col("value").cast("double").alias("value"), "topic", F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum"))
+    cells = slim.groupBy("stratum", "topic").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("stratum").orderBy("topic"))
+    ends = cells.withColumn("end", upto).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("end", "topic"))).alias("ends"))  # a topic each
+    ranked = _ranked(drawn(slim, ["item"], iterations, seed), ["replicate", "stratum"], ["z", "item"], "place")
+    dealt = ranked.join(ends, "stratum").withColumn("to", F.filter("ends", lambda e: e["end"] >= F.col("place"))[0]["topic"])
+    sums = slim.groupBy("topic").agg(F.count("*").alias("size"), F.sum("value").alias("t"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    totals = dealt.groupBy("replicate", F.col("to").alias("topic")).agg(F.sum("value").alias("total")).join(sums.select("topic", "size"), "topic")
+    inner = totals.groupBy("replicate").agg(F.sum(F.col("total") * F.col("total") / F.col("size")).alias("inner"))
+    whole = sums.agg(
+        F.count("*").alias("k"), F.sum("size").alias("n"), F.sum("t").alias("grand"), F.sum("q").alias("squares"),
+        F.sum(F.col("t") * F.col("t") / F.col("size")).alias("least"),
+    )
     # F grows with the sum between topics; sums of the same numbers in another order may differ in the last digits
-    least = float((total**2 / size).sum()) if n else float("nan")
-    reached = F.col("inner") >= F.lit(least - 1e-12 * max(1.0, abs(least)))
-    hits = inner.agg(F.sum(reached.cast("long")).alias("h")) if observed == observed else spark.createDataFrame([(0,)], "h long")
-    return hits.select(F.lit(observed).alias("f"), ((1 + F.coalesce("h", F.lit(0))) / (1 + iterations)).alias("p_perm"))
+    reached = F.col("inner") >= F.col("least") - 1e-9 * F.greatest(F.lit(1.0), F.abs("least"))
+    hits = inner.join(F.broadcast(whole.select("least"))).agg(F.count_if(reached).alias("h"))  # one row of sums
+    between = F.col("least") - F.try_divide(F.col("grand") * F.col("grand"), F.col("n"))
+    f = F.try_divide(between / F.nullif(F.col("k") - 1, F.lit(0)), (F.col("squares") - F.col("least")) / F.nullif(F.col("n") - F.col("k"), F.lit(0)))
+    f = F.when(F.col("squares") > F.col("least"), f)
+    defined = F.when(f.isNotNull(), F.col("h")).otherwise(0)
+    return whole.join(F.broadcast(hits)).select(F.round(f, 6).alias("f"), F.round((1 + defined) / F.lit(1.0 + iterations), 6).alias("p_perm"))
 
 
 def topic_bootstrap(items: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """topic, n_items, mean, low, high of the items' mean by topic, resampled within topics; the row "RANGE" is the
     difference between the greatest and the least topic mean, and its n_items the number of topics.
 
-    ``items`` has topic and value.  A topic is its counts by value, in one row;
-    topics are resampled where they lie, and only means by replicate and topic
-    are brought together.
+    ``items`` has item, topic and value; rows without a value are left out.  A
+    topic has no mean in a replicate that draws none of its items.
     """
-    cells = items.where("value is not null").groupBy("topic", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
-    each = cells.groupBy("topic").agg(F.collect_list(F.struct("value", "c")).alias("cells"), F.sum("c").alias("n_items"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for topic, rows in zip(batch["topic"], batch["cells"], strict=True):
-                random = np.random.default_rng([seed, *hashlib.sha256(repr(topic).encode()).digest()])
-                rows = sorted((r["value"], r["c"]) for r in rows)
-                value, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-                means = random.multinomial(int(c.sum()), c / c.sum(), iterations) @ value / c.sum()
-                yield pd.DataFrame({"topic": topic, "replicate": np.arange(iterations), "drawn": means})
-
-    replicates = each.select("topic", "cells").mapInPandas(draw, "topic string, replicate long, drawn double")
+    usable = items.where("value is not null").select("item", "topic", F.col("value").cast("double").alias("value"))
+    each = usable.groupBy("topic").agg(F.count("*").alias("n_items"), F.avg("value").alias("mean"))
+    taken = drawn(usable, ["topic", "item"], iterations, seed).withColumn("w", poisson("z"))
+    means = taken.groupBy("topic", "replicate").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("drawn"))
     ends = [F.percentile("drawn", q).alias(name) for name, q in (("low", 0.025), ("high", 0.975))]
-    own = replicates.groupBy("topic").agg(*ends).join(each.select("topic", "n_items", "mean"), "topic")
-    spans = replicates.groupBy("replicate").agg((F.max("drawn") - F.min("drawn")).alias("drawn")).agg(*ends)
+    own = each.join(means.groupBy("topic").agg(*ends), "topic")
+    spans = means.groupBy("replicate").agg((F.max("drawn") - F.min("drawn")).alias("drawn")).agg(*ends)
     whole = each.agg(F.count("*").alias("n_items"), (F.max("mean") - F.min("mean")).alias("mean")).join(F.broadcast(spans), how="cross")  # two rows of numbers
     rounded = [F.round(c, 6).alias(c) for c in ("mean", "low", "high")]
     return own.select("topic", "n_items", *rounded).unionByName(whole.select(F.lit("RANGE").alias("topic"), "n_items", *rounded))

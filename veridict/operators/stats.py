@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridict.functions.special import chi_square_p
+
 #: Fixed value: the 97.5 % point of the standard normal distribution.
 Z = 1.959963984540054
 
@@ -30,30 +32,31 @@ def proportions(rows: DataFrame, y: str, *keys: str) -> DataFrame:
 
 
 def chi_square(counts: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
-    """Statistic, degrees of freedom, Cramer's V and least expected count of a table of counts.
+    """Statistic, degrees of freedom, p-value, Cramer's V and least expected count of a table of counts.
 
-    Cells that are not listed count as 0: their share of the statistic is
-    total minus the sum of the listed cells' expected counts.  The continuity
-    correction applies at one degree of freedom, to a full 2 by 2 table.
+    Cells that are not listed count as 0.  Only listed cells meet their
+    margins: with expected counts e = r k / n the statistic is
+    n (sum of o^2 / (r k) - 1), to which other cells add nothing.  The
+    continuity correction applies at one degree of freedom, where all four
+    cells are equally far from their expected counts.
     """
-    rows = counts.groupBy(row).agg(F.sum(n).alias("r")).where("r > 0")
-    columns = counts.groupBy(column).agg(F.sum(n).alias("k")).where("k > 0")
-    full = rows.select(row, "r", F.lit(1).alias("one")).join(columns.select(column, "k", F.lit(1).alias("one")), "one")
-    total = counts.agg(F.sum(n).cast("double").alias("total"))
-    cells = full.join(counts.groupBy(row, column).agg(F.sum(n).alias("o")), [row, column], "left").join(F.broadcast(total))
-    expected = F.col("r") * F.col("k") / F.col("total")
-    shape = F.struct(F.count_distinct(row).alias("a"), F.count_distinct(column).alias("b"))
-    dims = counts.where(F.col(n) > 0).agg(shape.alias("s")).select("s.*")
-    gap = F.abs(F.coalesce("o", F.lit(0)) - expected)
-    dof = (F.col("a") - 1) * (F.col("b") - 1)
-    gap = F.when(dof == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = cells.join(F.broadcast(dims)).groupBy("a", "b", "total").agg(
-        F.sum(gap * gap / expected).alias("chi2"), F.min(expected).alias("least")
-    )
+    kept = counts.where(F.col(n) > 0).select(F.col(row).alias("row"), F.col(column).alias("column"), F.col(n).alias("n"))
+    cells = kept.groupBy("row", "column").agg(F.sum("n").cast("double").alias("o"))
+    rows, columns = cells.groupBy("row").agg(F.sum("o").alias("r")), cells.groupBy("column").agg(F.sum("o").alias("k"))
+    share = F.col("o") * F.col("o") / (F.col("r") * F.col("k"))
+    inner = cells.join(rows, "row").join(columns, "column").agg(F.sum(share).alias("share"), F.max_by(F.struct("o", "r", "k"), "o").alias("cell"))
+    side = lambda df, c, name: df.agg(F.count("*").alias(name), F.min(c).alias(f"least_{name}"), F.sum(1 / F.col(c)).alias(f"inverse_{name}"), F.sum(c).alias(f"total_{name}"))
+    one = inner.join(F.broadcast(side(rows, "r", "a"))).join(F.broadcast(side(columns, "k", "b")))  # a row each
+    total, dof = F.col("total_a"), (F.col("a") - 1) * (F.col("b") - 1)
+    gap = F.abs(F.col("cell.o") - F.col("cell.r") * F.col("cell.k") / total)
+    gap = gap - F.least(F.lit(0.5), gap)
+    corrected = gap * gap * total * F.col("inverse_a") * F.col("inverse_b")
+    out = one.select("a", "b", total.alias("total"), dof.alias("dof"), (F.col("least_a") * F.col("least_b") / total).alias("least"),
+                     F.greatest(F.lit(0.0), F.when(dof == 1, corrected).otherwise(total * (F.col("share") - 1))).alias("chi2"))
     v = F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * (F.least("a", "b") - 1)))
     return out.select(
-        F.round("chi2", 6).alias("chi2"), dof.cast("long").alias("dof"), F.round(v, 6).alias("cramers_v"),
-        F.round("least", 6).alias("min_expected"),
+        F.round("chi2", 6).alias("chi2"), F.col("dof").cast("long").alias("dof"), F.round(chi_square_p(F.col("chi2"), F.col("dof")), 6).alias("p"),
+        F.round(v, 6).alias("cramers_v"), F.round("least", 6).alias("min_expected"),
     )
 
 
@@ -74,13 +77,14 @@ def anova(items: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def deviance(counts: DataFrame, valid: str = "n_valid", total: str = "n_total") -> DataFrame:
-    """G squared and degrees of freedom of validity by group: the deviance drop of a one-factor binomial model."""
+    """G squared, degrees of freedom and p-value of validity by group: the deviance drop of a one-factor binomial model."""
     x, n = F.col(valid).cast("double"), F.col(total).cast("double")
     term = lambda a, e: F.when(a > 0, a * F.ln(a / e)).otherwise(0.0)
     overall = counts.agg((F.sum(valid) / F.sum(total)).alias("p"))
     rows = counts.join(F.broadcast(overall))
     g = 2 * F.sum(term(x, n * F.col("p")) + term(n - x, n * (1 - F.col("p"))))
-    return rows.agg(F.round(g, 6).alias("g2"), (F.count("*") - 1).alias("dof"))
+    out = rows.agg(g.alias("g2"), (F.count("*") - 1).alias("dof"))
+    return out.select(F.round("g2", 6).alias("g2"), "dof", F.round(chi_square_p(F.col("g2"), F.col("dof")), 6).alias("p"))
 
 
 def pairwise_proportions(counts: DataFrame, key: str, valid: str = "n_valid", total: str = "n_total") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridict.functions.random import SQL_DRAW, SQL_POISSON, P, sql_bits, sql_replicates
 from veridict.operators import reliability as R
 from veridict.operators import resample as B
 from veridict.plans import query
@@ -78,16 +79,51 @@ def leave_one_out_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordinal_metrics(R.leave_one_out_scores(_valid(spark, sf_dir)), "judge")
 
 
-@query()
+_UNITS = f"""{_VALID}, c AS (SELECT unit, {{value}} AS v, count(*) AS c FROM valid GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY unit) AS n FROM c),
+parts AS (SELECT a.unit, a.v, a.c, sum(a.c * b.c * {{distance}}) / (a.n - 1.0) AS o FROM n a JOIN n b USING (unit) WHERE a.n > 1 GROUP BY a.unit, a.v, a.c, a.n),
+keyed AS (SELECT *, {sql_bits("unit::VARCHAR")} AS k1, {sql_bits("unit::VARCHAR", 9)} AS k2 FROM parts), {sql_replicates(1000)},
+m AS (SELECT replicate, v, sum(w * c) AS m, sum(w * o) AS o FROM (SELECT replicate, v, c, o, {SQL_POISSON} AS w FROM (SELECT keyed.*, replicate, {SQL_DRAW} AS z FROM keyed, replicates))
+    WHERE w > 0 GROUP BY 1, 2),
+t AS (SELECT replicate, sum(m)::DOUBLE AS n, sum(o) AS o FROM m GROUP BY 1),
+e AS (SELECT a.replicate, sum(a.m::DOUBLE * b.m * {{distance}}) AS e FROM m a JOIN m b USING (replicate) GROUP BY 1),
+r AS (SELECT coalesce(1 - (o / n) / nullif(e / (n * (n - 1)), 0), 1.0) AS alpha FROM t JOIN e USING (replicate))
+SELECT round(quantile_cont(alpha, 0.5), 6) AS median, round(quantile_cont(alpha, 0.025), 6) AS low, round(quantile_cont(alpha, 0.975), 6) AS high FROM r"""
+
+
+@query("WITH " + _UNITS.format(value="pass", distance="(a.v <> b.v)::INT"))
 def alpha_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the nominal alpha over resampled units (random: tested by tolerance)."""
-    replicates = B.alpha_bootstrap(_valid(spark, sf_dir), "pass", nominal=True, iterations=1000)
-    return B.percentile_interval(replicates, "alpha")
+    """Interval of the nominal alpha over resampled units."""
+    return B.percentile_interval(B.alpha_bootstrap(_valid(spark, sf_dir), "pass", iterations=1000), "alpha")
 
 
-@query()
-def agreement_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binomially resampled interval of every judge's agreement with the others (random: tested by tolerance)."""
+@query("WITH " + _UNITS.format(value="score", distance="(a.v - b.v) * (a.v - b.v)"))
+def alpha_score_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the interval-scaled alpha over resampled units."""
+    return B.percentile_interval(B.alpha_bootstrap(_valid(spark, sf_dir), "score", R.interval, 1000), "alpha")
+
+
+_AGREED = f"""{_VALID}, w AS (SELECT judge, pass AS own, count(*) OVER u - 1 AS n, sum(pass) OVER u - pass AS p FROM valid WINDOW u AS (PARTITION BY unit)),
+k AS (SELECT judge AS key, count(*) FILTER (own = (2 * p > n)::INT) AS c, count(*) AS n FROM w WHERE n >= 2 AND 2 * p <> n GROUP BY 1),
+cdf AS (SELECT key, c, n, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) OVER (PARTITION BY key ORDER BY x) AS f
+    FROM (SELECT *, c / n::DOUBLE AS p, unnest(range(n + 1)) AS x FROM k))"""
+
+
+def _agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = R.leave_one_out_verdicts(_valid(spark, sf_dir)).where("consensus is not null")
-    counts = pairs.groupBy(F.col("judge").alias("key")).agg(F.count_if(F.col("own") == F.col("consensus")).alias("c"), F.count("*").alias("n"))
-    return B.proportion_bootstrap(counts)
+    return pairs.groupBy(F.col("judge").alias("key")).agg(F.count_if(F.col("own") == F.col("consensus")).alias("c"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_AGREED}, keyed AS (SELECT key, n, {sql_bits("key::VARCHAR")} AS k1, {sql_bits("key::VARCHAR", 9)} AS k2 FROM k), {sql_replicates(1000)},
+u AS (SELECT key, quantile_cont(z / {P}.0, 0.025) AS low, quantile_cont(z / {P}.0, 0.975) AS high FROM (SELECT key, {SQL_DRAW} AS z FROM keyed, replicates) GROUP BY 1)
+SELECT key, round(min(x) FILTER (f >= low) / any_value(n)::DOUBLE, 6) AS low, round(min(x) FILTER (f >= high) / any_value(n)::DOUBLE, 6) AS high FROM cdf JOIN u USING (key) GROUP BY 1""")
+def agreement_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binomially resampled interval of every judge's agreement with the others."""
+    ends = B.proportion_bootstrap(_agreed(spark, sf_dir))
+    return ends.select("key", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(f"""WITH {_AGREED} SELECT key, c, n, round(min(x) FILTER (f >= 0.025) / n::DOUBLE, 6) AS low, round(min(x) FILTER (f >= 0.975) / n::DOUBLE, 6) AS high FROM cdf GROUP BY 1, 2, 3""")
+def agreement_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval that the resampled one tends to, from the binomial distribution itself."""
+    ends = B.proportion_interval(_agreed(spark, sf_dir))
+    return ends.select("key", "c", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridict.functions.random import SQL_DRAW, SQL_POISSON, sql_bits, sql_replicates
+from veridict.functions.special import sql_chi_square_p
 from veridict.operators import resample as B
 from veridict.operators import stats as S
 from veridict.operators import validity as V
@@ -23,14 +25,13 @@ def wilson_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.proportions(attempts(spark, sf_dir), "y", "topic", "llm")
 
 
-@query("""WITH o AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2),
+@query(f"""WITH o AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2),
 r AS (SELECT p_type, sum(n) AS r FROM o GROUP BY 1), k AS (SELECT p_brand, sum(n) AS k FROM o GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS t FROM o),
 c AS (SELECT f.p_type, f.p_brand, coalesce(n, 0) AS n, r * k / t AS e
     FROM (SELECT * FROM r CROSS JOIN k CROSS JOIN t) f LEFT JOIN o ON o.p_type = f.p_type AND o.p_brand = f.p_brand),
-d AS (SELECT count(DISTINCT p_type) AS a, count(DISTINCT p_brand) AS b FROM o)
-SELECT round(sum((n - e) * (n - e) / e), 6) AS chi2, any_value((a - 1) * (b - 1))::BIGINT AS dof,
-       round(sqrt(sum((n - e) * (n - e) / e) / (any_value(t) * (least(any_value(a), any_value(b)) - 1))), 6) AS cramers_v, round(min(e), 6) AS min_expected
-FROM c, d, t""")
+d AS (SELECT count(DISTINCT p_type) AS a, count(DISTINCT p_brand) AS b FROM o),
+s AS (SELECT sum((n - e) * (n - e) / e) AS chi2, any_value((a - 1) * (b - 1))::BIGINT AS dof, any_value(t) * (least(any_value(a), any_value(b)) - 1) AS m, min(e) AS least FROM c, d, t)
+SELECT round(chi2, 6) AS chi2, dof, round({sql_chi_square_p('chi2', 'dof')}, 6) AS p, round(sqrt(chi2 / m), 6) AS cramers_v, round(least, 6) AS min_expected FROM s""")
 def topic_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return S.chi_square(part.groupBy("p_type", "p_brand").agg(F.count("*").alias("n")), "p_type", "p_brand")
@@ -58,9 +59,9 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.validity_by_generator(units, V.accepted_units(r, min_score=2)).where("generator <> 'TOTAL'")
 
 
-@query(f"""WITH {_COUNTS}, p AS (SELECT sum(x) / sum(n) AS p FROM counts)
-SELECT round(2 * sum(CASE WHEN x > 0 THEN x * ln(x / (n * p)) ELSE 0 END + CASE WHEN n > x THEN (n - x) * ln((n - x) / (n * (1 - p))) ELSE 0 END), 6) AS g2,
-       count(*) - 1 AS dof FROM counts, p""")
+@query(f"""WITH {_COUNTS}, p AS (SELECT sum(x) / sum(n) AS p FROM counts),
+g AS (SELECT 2 * sum(CASE WHEN x > 0 THEN x * ln(x / (n * p)) ELSE 0 END + CASE WHEN n > x THEN (n - x) * ln((n - x) / (n * (1 - p))) ELSE 0 END) AS g2, count(*) - 1 AS dof FROM counts, p)
+SELECT round(g2, 6) AS g2, dof, round({sql_chi_square_p('g2', 'dof')}, 6) AS p FROM g""")
 def validity_deviance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.deviance(_counts(spark, sf_dir))
 
@@ -76,25 +77,57 @@ def validity_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pairwise_proportions(_counts(spark, sf_dir), "generator")
 
 
-@query()
+_ITEMS = f"{SQL_ATTEMPTS}, i AS (SELECT item, topic, quiz AS stratum, avg(y) AS value FROM attempts GROUP BY 1, 2, 3)"
+
+
+def _drawn(source: str, key: str, iterations: int = 500) -> str:
+    """Common table expressions up to ``z``: every row of ``source`` in every replicate, with its draw."""
+    return f"""keyed AS (SELECT *, {sql_bits(key)} AS k1, {sql_bits(key, 9)} AS k2 FROM {source}), {sql_replicates(iterations)},
+z AS (SELECT keyed.*, replicate, {SQL_DRAW} AS z FROM keyed, replicates)"""
+
+
+@query(f"""WITH {SQL_ATTEMPTS}, a AS (SELECT item, llm, max(y) AS y FROM attempts GROUP BY 1, 2),
+f AS (SELECT item FROM a GROUP BY 1 HAVING count(y) = (SELECT count(DISTINCT llm) FROM attempts)), {_drawn("f", "item::VARCHAR")},
+m AS (SELECT replicate, llm, sum(w * y) / sum(w)::DOUBLE AS mean FROM (SELECT replicate, item, {SQL_POISSON} AS w FROM z) JOIN a USING (item) GROUP BY 1, 2 HAVING sum(w) > 0),
+d AS (SELECT x.llm AS a, y.llm AS b, x.mean - y.mean AS d FROM m x JOIN m y ON x.replicate = y.replicate AND x.llm < y.llm),
+q AS (SELECT a, b, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM d GROUP BY 1, 2)
+SELECT *, low > -0.02 AND high < 0.02 AS within_delta FROM q""")
 def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap intervals of the differences between llms (random: tested by tolerance)."""
+    """Bootstrap intervals of the differences between llms."""
     return B.pairwise_differences(B.paired_bootstrap(attempts(spark, sf_dir), 500))
 
 
-@query()
+@query(f"""WITH {SQL_ATTEMPTS}, a AS (SELECT item, llm, max(y) AS y FROM attempts GROUP BY 1, 2),
+f AS (SELECT item FROM a GROUP BY 1 HAVING count(y) = (SELECT count(DISTINCT llm) FROM attempts)), {_drawn("f", "item::VARCHAR")},
+m AS (SELECT replicate, llm, sum(w * y) / sum(w)::DOUBLE AS mean FROM (SELECT replicate, item, {SQL_POISSON} AS w FROM z) JOIN a USING (item) GROUP BY 1, 2 HAVING sum(w) > 0)
+SELECT llm, round(quantile_cont(mean, 0.5), 6) AS median, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY 1""")
+def paired_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap intervals of every llm's accuracy on the items that all have tried."""
+    return B.percentile_interval(B.paired_bootstrap(attempts(spark, sf_dir), 500), "mean", "llm")
+
+
+@query(f"""WITH {_ITEMS}, cells AS (SELECT stratum, topic, count(*) AS c FROM i GROUP BY 1, 2),
+ends AS (SELECT stratum, topic, c, sum(c) OVER (PARTITION BY stratum ORDER BY topic) AS hi FROM cells), {_drawn("i", "item::VARCHAR")},
+r AS (SELECT replicate, stratum, value, row_number() OVER (PARTITION BY replicate, stratum ORDER BY z, item) AS place FROM z),
+d AS (SELECT replicate, topic, sum(value) AS total FROM r JOIN ends e ON e.stratum = r.stratum AND place > hi - c AND place <= hi GROUP BY 1, 2),
+s AS (SELECT topic, count(*) AS size, sum(value) AS t, sum(value * value) AS q FROM i GROUP BY 1),
+v AS (SELECT sum(total * total / size) AS v FROM d JOIN s USING (topic) GROUP BY replicate),
+w AS (SELECT count(*) AS k, sum(size) AS n, sum(t) AS grand, sum(q) AS squares, sum(t * t / size) AS least FROM s)
+SELECT round(((least - grand * grand / n) / (k - 1)) / ((squares - least) / (n - k)), 6) AS f,
+       round((1 + (SELECT count(*) FROM v WHERE v >= w.least - 1e-9 * greatest(1, abs(w.least)))) / 501.0, 6) AS p_perm FROM w""")
 def topic_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F of topics and its permutation p within quizzes (random: tested by tolerance)."""
+    """F of topics and its permutation p within quizzes."""
     items = attempts(spark, sf_dir).groupBy("item", "topic", F.col("quiz").alias("stratum")).agg(F.avg("y").alias("value"))
     return B.topic_permutation(items, 500)
 
 
-@query(f"""WITH {SQL_ATTEMPTS}, i AS (SELECT item, topic, avg(y) AS p FROM attempts GROUP BY 1, 2), t AS (SELECT topic, count(*) AS n_items, avg(p) AS mean FROM i GROUP BY 1)
-SELECT topic, n_items, round(mean, 6) AS mean, true AS covered, true AS narrow FROM t UNION ALL SELECT 'RANGE', count(*), round(max(mean) - min(mean), 6), true, true FROM t""")
+@query(f"""WITH {_ITEMS}, t AS (SELECT topic, count(*) AS n_items, avg(value) AS mean FROM i GROUP BY 1), {_drawn("i", "topic || '|' || item")},
+m AS (SELECT topic, replicate, sum(w * value) / nullif(sum(w), 0) AS d FROM (SELECT topic, replicate, value, {SQL_POISSON} AS w FROM z) GROUP BY 1, 2),
+o AS (SELECT topic, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM m GROUP BY 1),
+s AS (SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM (SELECT max(d) - min(d) AS d FROM m GROUP BY replicate))
+SELECT topic, n_items, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM t JOIN o USING (topic)
+UNION ALL SELECT 'RANGE', (SELECT count(*) FROM t), (SELECT round(max(mean) - min(mean), 6) FROM t), round(low, 6), round(high, 6) FROM s""")
 def topic_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means by topic, and whether the resampled interval is around them and not wider than four standard errors of a share (random: no exact bounds)."""
+    """Means by topic with resampled intervals, and the range between topics with its own."""
     items = attempts(spark, sf_dir).groupBy("item", "topic").agg(F.avg("y").alias("value"))
-    found = B.topic_bootstrap(items, 500)
-    limit = F.when(F.col("topic") == "RANGE", 1.0).otherwise(4.4 * 0.5 / F.sqrt("n_items"))
-    covered = F.when(F.col("topic") == "RANGE", F.col("high") >= F.col("low")).otherwise(F.col("mean").between(F.col("low"), F.col("high")))
-    return found.select("topic", "n_items", "mean", covered.alias("covered"), (F.col("high") - F.col("low") <= limit).alias("narrow"))
+    return B.topic_bootstrap(items, 500)
