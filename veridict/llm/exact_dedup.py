@@ -21,10 +21,12 @@ from veridict.llm.tables import join_frequent, join_salted, shared_folder, writt
 
 #: Bytes of thin rows that one micro-batch takes.
 BATCH_BYTES = 64 << 30
-#: Settings of the stream that keeps the state on disk, within a bound of memory for all stores of an executor.
+#: Settings of the stream that keeps the state on disk, within a bound of memory for all stores of an executor,
+#: and without files that are allocated before they are needed (megabytes for every store, however small).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
