@@ -1,17 +1,25 @@
-"""Readers of evaluation trees over a small tree with the awkward cases; results are stated by hand."""
+"""Evaluation trees written out of the given tables, and read again.
+
+Every query writes the files that it needs below the shared folder, with rows
+and files that readers must pass over, and compares what the readers give with
+the tables themselves.  A run is 5,000 order keys, so files stay small and
+their number follows the tables.
+"""
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridict.plans import query
-from veridict.plans.parity import values
 from veridict.sources import json_tree as J
+from veridict.sources.sinks import write_tree
+from veridict.sources.tables import SQL_ANSWERS, SQL_LINES, SQL_RATINGS, answers, ratings, table
+
+RUN_KEYS = 5000
 
 
 def _folder(spark: SparkSession) -> str:
@@ -24,139 +32,241 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}"
 
 
-def _put(spark: SparkSession, path: str, value) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray((value if isinstance(value, str) else json.dumps(value)).encode()))
-    out.close()
-
-
-def _rating(unit: str, **more) -> dict:
-    return {"quiz_id": "q1", "question_id": unit, "judge_output_valid": True, "judge_verdict": "PASS", "judge_medical_accuracy_score": 4} | more
-
-
-_ITEM = {"quiz_id": "q1", "answer": "A"}
-#: Files of the tree, in the order in which they are written.
-FILES = {
-    "gen1/q1_seed3/ja_judge_result.json": [
-        _rating("a"), _rating("b", judge_verdict=" fail "), _rating("c", judge_medical_accuracy_score="4"), _rating("d", judge_medical_accuracy_score=3.7),
-        _rating("e", judge_medical_accuracy_score="3.0"), _rating("f", judge_verdict="MAYBE", judge_json={"logical_validity": True}),
-    ],
-    "gen1/q1_seed3/bad_judge_result.json": "not json",
-    "gen1/q1_seed3/m1_result.json": [
-        _ITEM | {"question_id": "a", "answer": " A", "pred": "A", "target_topic": "x"}, _ITEM | {"question_id": "b", "pred": None, "topic": "y"},
-        _ITEM | {"question_id": "", "pred": "A"}, _ITEM | {"question_id": "z", "answer": "", "pred": "C"},
-    ],
-    "gen2/q2_seed4/m2_result.json": [{"quiz_id": "q2", "question_id": "a", "answer": "A", "pred": "A"}],
-    "gen1/q1_seed3/m1_summary.json": {"model": "m1", "total_corr": 2, "total_wrong": 2, "acc": 0.5, "n_items": 4},
-    "gen2/q2_seed4/m1_summary.json": {"model": "m1", "total_corr": 1, "total_wrong": 1, "acc": 0.9, "n_items": 2},
-    "gen2/q2_seed4/manifest.json": {"n_items": 7},
-    "gen1/q1_seed3/ja_judge_summary.json": {"model": "ja", "quiz_id": "q1", "n_items": 9, "fail_reason_counts": {"C": 1}},
-    "gen2/q2_seed4/summary_all_judges.json": [{"model": "jz", "quiz_id": "q2", "n_items": 3}],
-    "gen3/other/summary_all_judges.json": [{"model": "jz", "quiz_id": "q3", "n_items": 5}, {"model": "jy", "quiz_id": "q3", "n_items": 6}],
-    "gen1/q1_seed3/topics_ev.json": {"quiz_id": "q1", "eval_model": "ev", "per_question": [{"question_id": "a", "topic": "Raw  One"}, {"topic": None}]},
-    "gen1/q1_seed3/topics_ev_mapped.json": {
-        "quiz_id": "q1", "eval_model": "ev", "topic_mapping": {"applied_at": "2026"}, "per_question": [{"question_id": "a", "topic": "Raw", "topic_mapped": "Mapped"}],
-    },
-    "gen2/q2_seed4/topics_a.json": {"quiz_id": "q2", "eval_model": "ev", "per_question": [{"question_id": "a", "topic": "s"}]},
-    "gen2/q2_seed4/topics_b.json": {"quiz_id": "q2", "eval_model": "ev", "per_question": [{"question_id": "a", "topic": "t"}]},
-    "gen3/other/topics_c.json": {"quiz_id": "q3", "eval_model": "ex", "per_question": [{"question_id": "a", "topic": "u"}]},
-    "m/quizbench_manifest_1.json": {"generator_model": "g1", "quizzes": [{"quiz_id": "q1", "seed": 3}, {"quiz_id": "q_seed9"}]},
-    "m/quizbench_manifest_2.json": {"generator_model": "g2", "quizzes": [{"quiz_id": "q1", "quiz_path": "p", "target_topic": ["t"]}]},
-    "m/x/quizbench_manifest.json": {"generator_model": "g3", "quizzes": [{"quiz_id": "q7"}]},
-    "m/x/y/quizbench_manifest.json": {"generator_model": "g4", "quizzes": [{"quiz_id": "q8"}]},
-    "quizzes/q1.jsonl": '{"quiz_id": "q1", "question_id": "i1", "target_topic": "x"}\n\n{"quiz_id": "q1", "question_id": "i2"}\n',
-    "selection/selection_report_t.json": {"subset_tag": "t", "generator_model": "g1", "judge_models": ["ja"], "selected": [{"index": 0, "abms_specialty": "S", "source_question_id": "a"}]},
-    "extra.json": {"results": [{"quiz_generator": "gen1", "model": "m9", "accuracy": 0.5, "n_items": 10}, {"quiz_generator": "gen1", "model": "m8", "accuracy": "none"}]},
-    "targets.csv": "﻿Number,Specialty\n2,B\n0,A\n", "cost.csv": "﻿model,cost_per_quiz\na,1.5\nb,x\na,2.5\n",
-    "accuracy.csv": "model,mean_accuracy,sem_accuracy,n\nb,0.5,,3\na,0.75,0.1,4\nc,x,,\n",
-    "validity.csv": "model,questions_passing_percent\na,95\nb,0.5\nc,\n",
-    "log.txt": "[INFO] Questions passing judge filters (tagged manifests: T)\n g x: valid=1 / total=4 (25%)\n TOTAL: valid=1 / total=4 (25%)\n\n g y: valid=1 / total=4 (25%)\n",
-    "out.jsonl": '{"custom_id": "1", "v": "out"}\n{"custom_id": "2", "v": "out"}\n{"v": "none"}\n', "err.jsonl": '{"custom_id": "2", "v": "err"}\n',
-}
-
-#: (reader, row)
-ROWS = [
-    ("ratings", "gen1|q1_seed3|ja|a|PASS|4|true"), ("ratings", "gen1|q1_seed3|ja|b|FAIL|4|true"), ("ratings", "gen1|q1_seed3|ja|c|PASS|4|true"),
-    ("ratings", "gen1|q1_seed3|ja|d|PASS|3|true"), ("ratings", "gen1|q1_seed3|ja|e|PASS|-|true"), ("ratings", "gen1|q1_seed3|ja|f|PASS|4|true"),
-    ("answers", "gen1|m1|a| A|A|x"), ("answers", "gen1|m1|b|A|-|y"), ("answers", "gen1|m1||A|A|-"), ("answers", "gen1|m1|z||C|-"), ("answers", "gen2|m2|a|A|A|-"),
-    ("item_level", "m1|q1|a|0"), ("item_level", "m1|q1|b|0"), ("item_level", "m2|q2|a|1"),
-    ("answer_summaries", "q1_seed3|m1|2|2|0.5|4"), ("answer_summaries", "q2_seed4|m1|1|1|0.9|2"), ("consistent_summaries", "q1_seed3|m1"),
-    ("missing_work", "q2_seed4"), ("missing_work", "new"), ("partial_runs", "q2_seed4|m1|no_result"), ("partial_runs", "q2_seed4|m2|no_summary"),
-    ("judge_summaries", "q1_seed3|ja|9|C|1"), ("judge_summaries", "q2_seed4|jz|3|-|-"), ("judge_summaries", "other|jz|5|-|-"), ("judge_summaries", "other|jy|6|-|-"),
-    ("run_sizes", "q1_seed3|9"), ("run_sizes", "q2_seed4|7"), ("run_sizes", "other|6"),
-    ("run_dirs", "q1_seed3"), ("run_dirs", "q2_seed4"), ("run_dirs_glob", "q2_seed4"), ("run_dirs_any", "q1_seed3"), ("run_dirs_any", "q2_seed4"), ("run_dirs_any", "other"),
-    ("run_dirs_seed", "q1_seed3"), ("run_dirs_seed", "q2_seed4"),
-    ("manifest_quizzes", "q1|g1|3"), ("manifest_quizzes", "q_seed9|g1|9"), ("manifest_quizzes", "q1|g2|-"), ("manifest_quizzes", "q7|g3|-"), ("manifest_quizzes", "q8|g4|-"),
-    ("quiz_generators", "q1|g1|true"), ("quiz_generators", "q_seed9|g1|false"), ("quiz_generators", "q7|g3|false"), ("quiz_generators", "q8|g4|false"),
-    ("merged_manifests", "q1|p|g2|3"), ("merged_manifests", "q_seed9|-|g1|9"), ("merged_manifests", "q7|-|g3|-"), ("merged_manifests", "q8|-|g4|-"),
-    ("legacy_manifests", "q7"), ("generators_of_newest", "q7|g3"), ("generators_of_newest", "q8|g4"), ("generators_of_newest", "q1|g2"),
-    ("topics", "q1_seed3|topics_ev.json|a|Raw  One"), ("topics", "q1_seed3|topics_ev.json|q1-002|unknown"), ("topics", "q1_seed3|topics_ev_mapped.json|a|Raw"),
-    ("topics", "q2_seed4|topics_a.json|a|s"), ("topics", "q2_seed4|topics_b.json|a|t"), ("topics", "other|topics_c.json|a|u"), ("topics_listed", "other|topics_c.json|a|u"),
-    ("choose_misses", "q1_seed3|topics_ev_mapped.json"), ("choose_misses", "q2_seed4|topics_b.json"), ("choose_misses", "other|topics_c.json"),
-    ("choose_subset", "q1_seed3|topics_ev_mapped.json"),
-    ("choose_planner", "q1_seed3|topics_ev_mapped.json|-"), ("choose_planner", "q2_seed4|-|several unmapped topics files"),
-    ("choose_planner", "other|-|no topics file of the evaluator"),
-    ("choose_accumulate", "q1_seed3|topics_ev_mapped.json|-"), ("choose_accumulate", "q2_seed4|-|several topics files"),
-    ("choose_accumulate", "other|-|no topics file of the evaluator"),
-    ("question_topics", "q1_seed3|a|mapped"), ("question_topics", "q2_seed4|a|t"), ("question_topics", "other|a|u"),
-    ("quiz_items", "q1|i1|x"), ("quiz_items", "q1|i2|-"), ("quiz_lines", "q1.jsonl|2"), ("target_topics", "0|x"), ("target_topics", "1|-"),
-    ("selection", "t|g1|ja|0|S|a"), ("extra_results", "gen1|m9|0.5|10"), ("batch_lines", "1|out"), ("batch_lines", "2|err"),
-    ("targets", "B|2|0"), ("targets", "A|0|1"), ("cost", "a|2.5"), ("accuracy", "a|0.75|0.1|4"), ("accuracy", "b|0.5|-|3"),
-    ("validity", "a|0.95"), ("validity", "b|0.5"), ("validity", "c|-"), ("validity_log", "g x|1|4"), ("newest_by_stem", "q1|q1.jsonl"),
-]
-
-
-@query(f"SELECT reader, item FROM {values(ROWS, 'reader, item')}")
+def _bars(reader: str, rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Rows as texts: fields between bars, a dash for a missing one."""
+    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in columns]
+    return rows.select(F.lit(reader).alias("reader"), F.concat_ws("|", *text).alias("item"))
+
+
+def _sql_bars(reader: str, source: str, *columns: str) -> str:
+    return f"SELECT '{reader}' AS reader, concat_ws('|', {', '.join(f"coalesce(({c})::VARCHAR, '-')" for c in columns)}) AS item FROM {source}"
+
+
+def _union(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _run(unit: str = "unit") -> Column:
+    k = F.floor(F.col(unit) / RUN_KEYS)
+    return F.concat(F.lit("q"), k.cast("string"), F.lit("_seed"), (k + 3).cast("string"))
+
+
+def _gen(name: str = "generator") -> Column:
+    return F.concat(F.lit("g"), F.substring(name, 1, 1))
+
+
+def _runs(df: DataFrame) -> DataFrame:
+    """With generator and run as the tree names them."""
+    return df.withColumns({"gen": _gen(), "run": _run(), "r": F.floor(F.col("unit") / RUN_KEYS)})
+
+
+def _json(**fields: Column) -> Column:
+    """An object as text; null fields stay, as null."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
+
+
+def _files(rows: DataFrame, path: Column, item: Column, order: str, more: str = "") -> DataFrame:
+    """One array a file: the items in order, and what ``more`` adds at the end (a run's files are small by its keys)."""
+    listed = rows.select(path.alias("path"), F.struct(F.col(order).alias("o"), item.alias("item")).alias("e"))
+    each = listed.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["item"]), ", ").alias("items"))
+    return each.select("path", F.concat(F.lit("["), "items", F.lit(f"{more}]")).alias("value"))
+
+
+_name = lambda c: F.regexp_extract(c, "([^/]*)/*$", 1)
+_SQL_RUN = f"'q' || (unit // {RUN_KEYS}) || '_seed' || (unit // {RUN_KEYS} + 3)"
+_SQL_TREE = f"SELECT *, 'g' || substr(generator, 1, 1) AS gen, {_SQL_RUN} AS run, unit // {RUN_KEYS} AS r"
+
+
+@query(f"""WITH {SQL_RATINGS}, t AS ({_SQL_TREE} FROM ratings)
+{_sql_bars("ratings", "t", "gen", "run", "'j' || judge", "unit", "verdict", "CASE WHEN unit % 6 <> 4 THEN score END", "output_valid")}""")
 def tree_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reader's rows, a text each: fields between bars, a dash for a missing one."""
+    """Judge files of every run: verdicts and scores in all forms, an entry in each that is no object, and a file that is no JSON."""
+    rated, k = _runs(ratings(spark, sf_dir)), F.col("unit") % 6
+    score = F.col("score").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    number = F.when(k == 2, quoted(score)).when(k == 3, F.concat(score, F.lit(".7"))).when(k == 4, quoted(F.concat(score, F.lit(".0")))).otherwise(score)
+    verdict = F.when(k == 1, F.concat(F.lit(" "), F.lower("verdict"), F.lit(" "))).when(k == 5, F.lit("MAYBE")).otherwise(F.col("verdict"))
+    item = F.concat(
+        F.lit('{"question_id": "'), F.col("unit").cast("string"), F.lit('", "judge_output_valid": '), F.col("output_valid").cast("string"),
+        F.lit(', "judge_verdict": '), quoted(verdict), F.lit(', "judge_json": {"logical_validity": '), (F.col("verdict") == "PASS").cast("string"),
+        F.lit('}, "judge_medical_accuracy_score": '), number, F.lit("}"),
+    )
+    folder = F.concat_ws("/", "gen", "run")
+    path = F.concat(folder, F.lit("/j"), F.col("judge").cast("string"), F.lit("_judge_result.json"))
+    broken = rated.select(F.concat(folder, F.lit("/bad_judge_result.json")).alias("path"), F.lit("{not json").alias("value")).distinct()
     root = _folder(spark)
-    for path, value in FILES.items():
-        _put(spark, f"{root}/{path}", value)
-    name = lambda c: F.regexp_extract(c, "([^/]*)/*$", 1)
-    ratings, answers, summaries = J.read_ratings(spark, root), J.read_answers(spark, root), J.read_answer_summaries(spark, root)
-    taken = summaries.where("model is not null and total_corr is not null")
-    quizzes, topics = J.read_manifest_quizzes(spark, f"{root}/m"), J.read_topics(spark, root)
-    work = spark.createDataFrame([("q1_seed3", 4), ("q2_seed4", 2), ("new", None)], "quiz_id string, n_items long")
-    lines = lambda file: spark.read.text(f"{root}/{file}")
-    run, dirs = name("run_dir"), lambda *a, **k: J.run_dirs(spark, root, *a, **k)
+    write_tree(_files(rated, path, item, "unit", ', 7, "text", null').unionByName(broken), root)
+    return _bars("ratings", J.read_ratings(spark, root), "generator", _name("run_id"), "judge", "unit", "verdict", "score", "output_valid")
+
+
+_TOPIC = "CASE unit % 3 WHEN 0 THEN 't' || unit % 4 WHEN 1 THEN 'u' || unit % 4 END"
+
+
+@query(f"""WITH {SQL_LINES}, {SQL_ANSWERS}, t AS ({_SQL_TREE}, CASE WHEN unit % 10 = 0 THEN '' ELSE unit::VARCHAR END AS id, {_TOPIC} AS topic FROM answers)
+{_sql_bars("answers", "t", "gen", "model", "id", "gold", "pred", "topic")}
+UNION ALL {_sql_bars("items", "t WHERE id <> ''", "model", "run", "id", "coalesce(pred = gold, false)::INT")}""")
+def tree_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer files of every run beside a judge file, with topics under two names and ids that are empty."""
+    given = _runs(answers(spark, sf_dir))
+    unit, k = F.col("unit").cast("string"), F.col("unit") % 3
+    item = _json(
+        quiz_id=F.col("run"), question_id=F.when(F.col("unit") % 10 == 0, "").otherwise(unit), answer=F.col("gold"), pred=F.col("pred"),
+        target_topic=F.when(k == 0, F.concat(F.lit("t"), (F.col("unit") % 4).cast("string"))),
+        topic=F.when(k == 1, F.concat(F.lit("u"), (F.col("unit") % 4).cast("string"))),
+    )
+    folder = F.concat_ws("/", "gen", "run")
+    judged = given.select(F.concat(folder, F.lit("/m1_judge_result.json")).alias("path"), F.lit('[{"question_id": "x"}]').alias("value")).distinct()
+    root = _folder(spark)
+    write_tree(_files(given, F.concat(folder, F.lit("/"), "model", F.lit("_result.json")), item, "unit").unionByName(judged), root)
+    found = J.read_answers(spark, root)
+    return _bars("answers", found, "generator", "model", "unit", "gold", "pred", "topic").unionByName(
+        _bars("items", J.item_level(found), "model", "quiz_id", "question_id", "correct")
+    )
+
+
+_SQL_SUMMARIES = f"""{SQL_LINES}, {SQL_ANSWERS}, t AS ({_SQL_TREE} FROM answers),
+m AS (SELECT gen, run, r, model, count(*) FILTER (pred = gold) AS c, count(*) AS n, round(10000 * (count(*) FILTER (pred = gold) / count(*)::DOUBLE + (model = 'm3')::INT * 0.1)) AS acc
+    FROM t GROUP BY 1, 2, 3, 4),
+s AS (SELECT * FROM m WHERE NOT (model = 'm7' AND r % 2 = 1)), j AS (SELECT gen, run, r, max(n) AS n, min(model) AS model FROM m GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_SQL_SUMMARIES}
+{_sql_bars("summaries", "s", "gen", "run", "model", "c", "n - c", "n", "acc::BIGINT")}
+UNION ALL {_sql_bars("consistent", "s WHERE model <> 'm3'", "gen", "run", "model")}
+UNION ALL {_sql_bars("partial", "m WHERE model = 'm7' AND r % 2 = 1", "gen", "run", "model", "'no_summary'")}
+UNION ALL {_sql_bars("partial", "s WHERE model = 'm5' AND gen = 'g2'", "gen", "run", "model", "'no_result'")}
+UNION ALL {_sql_bars("missing", "(SELECT DISTINCT run FROM m WHERE model = 'm7') q WHERE run NOT IN (SELECT run FROM s WHERE model = 'm7')", "run")}
+UNION ALL {_sql_bars("judges", "j WHERE gen = 'g1'", "gen", "run", "'j1'", "n", "'C'", "r")}
+UNION ALL {_sql_bars("judges", "j, (VALUES ('jy', 0), ('jz', 2)) v(name, more) WHERE gen <> 'g1'", "gen", "run", "name", "n + more", "NULL", "NULL")}
+UNION ALL {_sql_bars("sizes", "j", "gen", "run", "CASE WHEN r % 2 = 0 THEN n + 1 ELSE n + 2 END")}
+UNION ALL {_sql_bars("runs", "j", "gen", "run")}
+UNION ALL {_sql_bars("runs_of_q1", "j WHERE run LIKE 'q1%'", "gen", "run")}
+UNION ALL {_sql_bars("runs_with_manifest", "j WHERE r % 2 = 0", "gen", "run")}""")
+def tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of takers and judges, manifests and sizes of runs, what is missing and what is left half-done."""
+    given = _runs(answers(spark, sf_dir))
+    right = F.count_if(F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)))
+    own = given.groupBy("gen", "run", "r", "model").agg(right.alias("c"), F.count("*").alias("n"))
+    per = own.groupBy("gen", "run", "r").agg(F.max("n").alias("n"))
+    folder = F.concat_ws("/", "gen", "run")
+    file = lambda df, name, value: df.select(F.concat(folder, F.lit("/"), name).alias("path"), value.alias("value"))
+    acc = F.col("c") / F.col("n") + F.when(F.col("model") == "m3", 0.1).otherwise(0.0)
+    summary = _json(model=F.col("model"), total_corr=F.col("c"), total_wrong=F.col("n") - F.col("c"), acc=acc, n_items=F.col("n"))
+    judge = lambda name, n, **more: _json(model=F.lit(name), quiz_id=F.col("run"), n_items=n, **more)
+    both = F.concat(F.lit("["), judge("jy", F.col("n")), F.lit(", 1, "), judge("jz", F.col("n") + 2), F.lit("]"))
+    counts = F.create_map(F.lit("C"), F.col("r"))
+    root = _folder(spark)
+    write_tree(_union(
+        file(own.where("not (model = 'm7' and r % 2 = 1)"), F.concat("model", F.lit("_summary.json")), summary),
+        file(own.where("not (model = 'm5' and gen = 'g2')"), F.concat("model", F.lit("_result.json")), F.concat(F.lit("["), _json(quiz_id=F.col("run"), question_id=F.lit("x")), F.lit("]"))),
+        file(per.where("r % 2 = 0"), F.lit("manifest.json"), _json(n_items=F.col("n") + 1)),
+        file(per.where("gen = 'g1'"), F.lit("j1_judge_summary.json"), judge("j1", F.col("n"), fail_reason_counts=counts)),
+        file(per, F.lit("summary_all_judges.json"), both),
+    ), root)
+    summaries, results = J.read_answer_summaries(spark, root).where("total_corr is not null"), J.read_answers(spark, root)
+    judges = J.read_judge_summaries(spark, root)
+    gen = lambda c: F.regexp_extract(c, "([^/]*)/[^/]*/*$", 1)
+    wanted = own.where("model = 'm7'").groupBy(F.col("run").alias("quiz_id")).agg(F.lit(None).cast("long").alias("n_items"))
+    dirs = lambda *a, **k: J.run_dirs(spark, root, *a, **k)
+    return _union(
+        _bars("summaries", summaries, "generator", "run", "model", "total_corr", "total_wrong", "n_items", F.round(F.col("acc") * 10000).cast("long")),
+        _bars("consistent", J.consistent_summaries(summaries), "generator", "run", "model"),
+        _bars("partial", J.partial_runs(results, summaries), gen("run_dir"), _name("run_dir"), "model", "state"),
+        _bars("missing", J.missing_work(wanted, summaries, "m7"), "quiz_id"),
+        _bars("judges", judges, "generator", "run", "model", "n_items", F.map_keys("fail_reason_counts")[0], F.map_values("fail_reason_counts")[0]),
+        _bars("sizes", J.run_sizes(spark, root), gen("run_dir"), _name("run_dir"), "n_items"),
+        _bars("runs", dirs(), gen("run_dir"), "run"), _bars("runs_of_q1", dirs("q1*"), gen("run_dir"), "run"),
+        _bars("runs_with_manifest", dirs(artifacts=("manifest.json",), containing="seed"), gen("run_dir"), "run"),
+    )
+
+
+#: Quizzes of orders: a quiz is 100 order keys, listed by the manifest of its priority, and by a newer one of another generator if k % 3 = 0.
+_SQL_QUIZZES = """q AS (SELECT 'g' || substr(o_orderpriority, 1, 1) AS gen, o_orderkey // 100 AS k, count(*) AS n, min(o_custkey) AS seed FROM orders GROUP BY 1, 2),
+l AS (SELECT gen, k, gen || '_' || k || CASE WHEN k % 2 = 0 THEN '_seed' || k ELSE '' END AS quiz, seed, n FROM q),
+e AS (SELECT gen AS folder, 'quizbench_manifest_a.json' AS file, 1 AS age, quiz, k, gen || 'x' AS generator, CASE WHEN k % 5 = 0 THEN seed WHEN k % 2 = 0 THEN k END AS seed, CASE WHEN k % 7 = 0 THEN 'p' || k END AS path FROM l
+    UNION ALL SELECT gen, 'quizbench_manifest.json', 2, quiz, k, CASE WHEN k % 6 = 0 THEN 'other' ELSE gen || 'x' END, CASE WHEN k % 2 = 0 THEN k END, 'r' || k FROM l WHERE k % 3 = 0)"""
+
+
+@query(f"""WITH {_SQL_QUIZZES}, f AS (SELECT *, row_number() OVER (PARTITION BY quiz ORDER BY (path IS NOT NULL)::INT + 1 + (seed IS NOT NULL)::INT DESC, file) AS rank FROM e)
+{_sql_bars("listed", "e", "folder", "file", "quiz", "generator", "seed", "path")}
+UNION ALL {_sql_bars("first", "(SELECT quiz, min_by(generator, file) AS generator, count(DISTINCT generator) > 1 AS conflict FROM e GROUP BY 1)", "quiz", "generator", "conflict")}
+UNION ALL {_sql_bars("last", "(SELECT quiz, max_by(generator, age) AS generator, count(DISTINCT generator) > 1 AS conflict FROM e GROUP BY 1)", "quiz", "generator", "conflict")}
+UNION ALL {_sql_bars("newest", "e WHERE age = 2", "quiz", "generator")}
+UNION ALL {_sql_bars("merged", "(SELECT quiz, min_by(path, rank) FILTER (path IS NOT NULL) AS path, min_by(generator, rank) AS generator, min_by(seed, rank) FILTER (seed IS NOT NULL) AS seed FROM f GROUP BY 1)", "quiz", "path", "generator", "seed")}
+UNION ALL {_sql_bars("legacy", "e WHERE age = 2", "quiz")}""")
+def tree_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two manifests for each generator: quizzes with gaps, generators that they disagree about, the newer one of the legacy name."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("generator"), F.floor(F.col("o_orderkey") / 100).alias("k"), "o_custkey")
+    quizzes = orders.groupBy(_gen().alias("gen"), "k").agg(F.min("o_custkey").alias("seed"))
+    k = F.col("k")
+    text = lambda c: c.cast("string")
+    quiz = F.concat("gen", F.lit("_"), text(k), F.when(k % 2 == 0, F.concat(F.lit("_seed"), text(k))).otherwise(""))
+    listed = lambda rows, item: rows.groupBy("gen").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", item.alias("item")))), lambda e: e["item"]), ",").alias("items"))
+    one = _json(quiz_id=quiz, seed=F.when(k % 5 == 0, F.col("seed")), quiz_path=F.when(k % 7 == 0, F.concat(F.lit("p"), text(k))))
+    two = _json(quiz_id=quiz, generator_model=F.when(k % 6 == 0, F.lit("other")), quiz_path=F.concat(F.lit("r"), text(k)))
+    made = lambda rows, file, at: rows.select(
+        F.concat("gen", F.lit(f"/{file}")).alias("path"),
+        F.concat(F.lit('{"generator_model": "'), "gen", F.lit('x", "quizzes": ['), "items", F.lit("]}")).alias("value"), F.lit(at).alias("modified"),
+    )
+    root = _folder(spark)
+    old = made(listed(quizzes, one), "quizbench_manifest_a.json", 1_700_000_000_000)
+    write_tree(old.unionByName(made(listed(quizzes.where(k % 3 == 0), two), "quizbench_manifest.json", 1_700_000_100_000)), root)
+    found = J.read_manifest_quizzes(spark, root)
+    return _union(
+        _bars("listed", found, F.regexp_extract("file_path", "([^/]*)/[^/]*$", 1), "file_name", "quiz_id", "generator", "seed", "quiz_path"),
+        _bars("first", J.quiz_generators(found), "quiz_id", "generator", "conflict"), _bars("last", J.quiz_generators(found, True), "quiz_id", "generator", "conflict"),
+        _bars("newest", J.generators_of_newest(found), "quiz_id", "generator"), _bars("merged", J.merge_manifests(found), "quiz_id", "quiz_path", "generator", "seed"),
+        _bars("legacy", J.legacy_manifests(found, root), "quiz_id"),
+    )
+
+
+#: Topics files of a run: by r % 4 one mapped and one raw, two raw ones, one of another evaluator, one mapped.
+_SQL_TOPICS = f"""{SQL_RATINGS}, u AS (SELECT DISTINCT generator, unit FROM ratings), t AS ({_SQL_TREE} FROM u),
+f AS (SELECT t.*, file, model, mapped FROM t JOIN (VALUES (0, 'topics_ev.json', 'ev', false), (0, 'topics_ev_mapped.json', 'ev', true), (1, 'topics_a.json', 'ev', false), (1, 'topics_b.json', 'ev', false),
+    (2, 'topics_c.json', 'ex', false), (3, 'topics_z_mapped.json', 'ev', true)) v(k, file, model, mapped) ON r % 4 = k),
+l AS (SELECT *, row_number() OVER (PARTITION BY gen, run, file ORDER BY unit) AS pos, CASE WHEN unit % 5 = 0 THEN 'unknown' ELSE 'Topic  ' || unit % 3 END AS topic,
+    CASE WHEN mapped THEN 'Mapped ' || unit % 2 END AS topic_mapped FROM f),
+i AS (SELECT *, CASE WHEN unit % 11 = 0 THEN run || '-' || CASE WHEN pos < 1000 THEN lpad(pos::VARCHAR, 3, '0') ELSE pos::VARCHAR END ELSE unit::VARCHAR END AS id FROM l)"""
+
+
+@query(f"""WITH {_SQL_TOPICS}, r AS (SELECT DISTINCT gen, run, r % 4 AS k FROM t)
+{_sql_bars("topics", "i", "gen", "run", "file", "id", "topic", "topic_mapped")}
+UNION ALL {_sql_bars("of_g1", "i WHERE gen = 'g1' AND model = 'ex'", "gen", "run", "id")}
+UNION ALL {_sql_bars("misses", "r JOIN (VALUES (0, 'topics_ev_mapped.json'), (1, 'topics_b.json'), (2, 'topics_c.json'), (3, 'topics_z_mapped.json')) v(k, f) USING (k)", "gen", "run", "f")}
+UNION ALL {_sql_bars("subset", "r JOIN (VALUES (0, 'topics_ev_mapped.json'), (3, 'topics_z_mapped.json')) v(k, f) USING (k)", "gen", "run", "f")}
+UNION ALL {_sql_bars("planner", "r JOIN (VALUES (0, 'topics_ev_mapped.json', NULL), (1, NULL, 'several unmapped topics files'), (2, NULL, 'no topics file of the evaluator'), (3, 'topics_z_mapped.json', NULL)) v(k, f, e) USING (k)", "gen", "run", "f", "e")}
+UNION ALL {_sql_bars("accumulate", "r JOIN (VALUES (0, 'topics_ev_mapped.json', NULL), (1, NULL, 'several topics files'), (2, NULL, 'no topics file of the evaluator'), (3, 'topics_z_mapped.json', NULL)) v(k, f, e) USING (k)", "gen", "run", "f", "e")}
+UNION ALL {_sql_bars("labels", "i WHERE file IN ('topics_ev_mapped.json', 'topics_b.json', 'topics_c.json', 'topics_z_mapped.json')", "gen", "run", "id", "lower(regexp_replace(coalesce(topic_mapped, topic), '\\s+', ' ', 'g'))")}""")
+def tree_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics files of every run by all policies of choice, with labels that are missing and ids made from places."""
+    units = _runs(ratings(spark, sf_dir).select("generator", "unit").distinct())
+    kinds = [(0, "topics_ev.json", "ev", False), (0, "topics_ev_mapped.json", "ev", True), (1, "topics_a.json", "ev", False), (1, "topics_b.json", "ev", False),
+             (2, "topics_c.json", "ex", False), (3, "topics_z_mapped.json", "ev", True)]
+    listed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("file"), F.lit(m).alias("model"), F.lit(mapped).alias("mapped")) for k, f, m, mapped in kinds))
+    each = units.select("*", F.explode(F.filter(listed, lambda e: e["k"] == F.col("r") % 4)).alias("e")).select("*", "e.*")
+    unit = F.col("unit")
+    label = lambda n: (unit % n).cast("string")
+    item = _json(
+        question_id=F.when(unit % 11 != 0, unit.cast("string")), topic=F.when(unit % 5 != 0, F.concat(F.lit("Topic  "), label(3))),
+        topic_mapped=F.when(F.col("mapped"), F.concat(F.lit("Mapped "), label(2))),
+    )
+    path = F.concat_ws("/", "gen", "run", "file")
+    files = _files(each, F.concat_ws("|", path, "run", "model", F.col("mapped").cast("string")), item, "unit")
+    part = lambda k: F.split("path", r"\|")[k]
+    head = F.concat(F.lit('{"quiz_id": "'), part(1), F.lit('", "eval_model": "'), part(2), F.lit('", '), F.when(part(3) == "true", F.lit('"topic_mapping": {"applied_at": "2026"}, ')).otherwise(""))
+    root = _folder(spark)
+    write_tree(files.select(part(0).alias("path"), F.concat(head, F.lit('"per_question": '), "value", F.lit("}")).alias("value"), F.lit(1_700_000_000_000).alias("modified")), root)
+    topics = J.read_topics(spark, root)
     chosen = lambda policy: J.choose_topics(topics, "ev", policy)
-    files = lines("quizzes/q1.jsonl").select("_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified")).distinct()
-    found = {
-        "ratings": (ratings, ["generator", name("run_id"), "judge", "unit", "verdict", "score", "output_valid"]),
-        "answers": (answers, ["generator", "model", "unit", "gold", "pred", "topic"]),
-        "item_level": (J.item_level(answers), ["model", "quiz_id", "question_id", "correct"]),
-        "answer_summaries": (taken, ["run", "model", "total_corr", "total_wrong", "acc", "n_items"]),
-        "consistent_summaries": (J.consistent_summaries(taken), ["run", "model"]), "missing_work": (J.missing_work(work, taken, "m1"), ["quiz_id"]),
-        "partial_runs": (J.partial_runs(answers, taken), [run, "model", "state"]),
-        "judge_summaries": (J.read_judge_summaries(spark, root), ["run", "model", "n_items", F.map_keys("fail_reason_counts")[0], F.map_values("fail_reason_counts")[0]]),
-        "run_sizes": (J.run_sizes(spark, root), [run, "n_items"]), "run_dirs": (dirs(), ["run"]), "run_dirs_glob": (dirs("q2*"), ["run"]),
-        "run_dirs_any": (dirs(artifacts=J.ARTIFACTS), ["run"]), "run_dirs_seed": (dirs(artifacts=J.ARTIFACTS, containing="seed"), ["run"]),
-        "manifest_quizzes": (quizzes, ["quiz_id", "generator", "seed"]), "quiz_generators": (J.quiz_generators(quizzes), ["quiz_id", "generator", "conflict"]),
-        "merged_manifests": (J.merge_manifests(quizzes), ["quiz_id", "quiz_path", "generator", "seed"]),
-        "legacy_manifests": (J.legacy_manifests(quizzes, f"{root}/m"), ["quiz_id"]),
-        "generators_of_newest": (J.generators_of_newest(quizzes), ["quiz_id", "generator"]),
-        "topics": (topics, ["run", "file_name", "question_id", "topic"]),
-        "topics_listed": (J.read_topics(spark, root, ("gen3",), ("ex",)), ["run", "file_name", "question_id", "topic"]),
-        "choose_misses": (chosen("misses"), ["run", "file_name"]), "choose_subset": (chosen("subset"), ["run", "file_name"]),
-        "choose_planner": (chosen("planner"), [run, "file_name", "error"]), "choose_accumulate": (chosen("accumulate"), [run, "file_name", "error"]),
-        "question_topics": (J.question_topics(chosen("misses")), [run, "question_id", "topic"]),
-        "quiz_items": (J.read_quiz_items(spark, f"{root}/quizzes"), ["quiz_id", "question_id", "target_topic"]),
-        "quiz_lines": (J.count_quiz_lines(spark, f"{root}/quizzes"), [name("file_path"), "n"]),
-        "target_topics": (J.target_topics(spark, f"{root}/quizzes"), ["line", "target_topic"]),
-        "selection": (J.read_selection(spark, root), ["subset_tag", "generator_model", F.col("judge_models")[0], "index", "abms_specialty", "source_question_id"]),
-        "extra_results": (J.read_extra_results(spark, f"{root}/extra.json"), ["generator", "model", "acc", "n_items"]),
-        "batch_lines": (J.batch_lines(lines("out.jsonl"), lines("err.jsonl")), ["custom_id", F.get_json_object("line", "$.v")]),
-        "targets": (J.read_targets(spark, f"{root}/targets.csv"), ["category", "target", "ord"]), "cost": (J.read_cost(spark, f"{root}/cost.csv"), ["model", "cost"]),
-        "accuracy": (J.read_accuracy(spark, f"{root}/accuracy.csv"), ["model", "mean_acc", "sem", "n_quizzes"]),
-        "validity": (J.read_validity(spark, f"{root}/validity.csv"), ["model", "validity"]),
-        "validity_log": (J.validity_from_log(spark, f"{root}/log.txt", "T"), ["generator", "n_valid", "n_total"]),
-        "newest_by_stem": (J.newest_by_stem(files), ["stem", name("file_path")]),
-    }
-    out = None
-    for reader, (rows, columns) in found.items():
-        text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in columns]
-        one = rows.select(F.lit(reader).alias("reader"), F.concat_ws("|", *text).alias("item"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    gen = F.regexp_extract("run_dir", "([^/]*)/[^/]*$", 1)
+    once = lambda df, *c: df.select(gen.alias("gen"), _name("run_dir").alias("name"), *c).distinct()
+    return _union(
+        _bars("topics", topics, "generator", "run", "file_name", "question_id", "topic", "topic_mapped"),
+        _bars("of_g1", J.read_topics(spark, root, ("g1",), ("ex",)), "generator", "run", "question_id"),
+        *(_bars(p, once(chosen(p), "file_name"), "gen", "name", "file_name") for p in ("misses", "subset")),
+        *(_bars(p, once(chosen(p), "file_name", "error"), "gen", "name", "file_name", "error") for p in ("planner", "accumulate")),
+        _bars("labels", J.question_topics(chosen("misses")), gen, _name("run_dir"), "question_id", "topic"),
+    )

@@ -2,8 +2,7 @@
 
 Everything is one scan of many small files with an explicit schema: the file's
 path is data (generator, run, model), and no file is opened on the driver.
-Files that are not JSON are dropped, and so is a whole file in whose array
-something is no object.
+Files that are not JSON are dropped; of an array, only what is no object.
 """
 
 from __future__ import annotations
@@ -30,15 +29,15 @@ def _part(n: int) -> Column:
 def read_tree(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
     """Rows of all matching files below ``root`` with run_dir, run, generator, file_name and modified.
 
-    A file holds one object or an array of objects.
+    A file holds one object or an array; what else its array holds is passed
+    over, row by row.  A field of another type than ``schema`` says is null.
     """
-    reader = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True)
-    found = reader.option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", "_corrupt").json(root)
-    found = found.select("*", *(F.col(v).alias(k) for k, v in _META.items()))
-    # a row of which nothing could be read is no object; looking at its columns, not at the corrupt text alone,
-    # keeps Spark's column pruning legal whatever is selected later
-    names = [c for c in found.columns if c != "_corrupt" and c not in _META]
-    found = found.where(F.col("_corrupt").isNull() & F.coalesce(*(F.col(c).isNotNull() for c in names))).drop("_corrupt")
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.text(root).select(F.try_parse_json("value").alias("v"), *(F.col(v).alias(k) for k, v in _META.items()))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    listed = F.when(kind(F.col("v")).startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    rows = files.select(*_META, F.explode(listed).alias("v")).where(kind(F.col("v")).startswith("OBJECT"))
+    found = rows.select(F.from_json(F.to_json("v"), schema, {"mode": "PERMISSIVE"}).alias("r"), *_META).select("r.*", *_META)
     return found.withColumns({"run_dir": F.regexp_replace("file_path", "/[^/]*$", ""), "run": _part(2), "generator": _part(3)})
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,32 @@ def batch_requests(items: DataFrame, model: str, prompt: str = "prompt") -> Data
     return items.select(F.to_json(F.struct(F.col("custom_id"), F.lit("POST").alias("method"), body.alias("body"))).alias("value"))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """A file for each row: ``root``/``path`` with the text ``value``; with a column ``modified`` (ms), its time of change.
+
+    Tasks write the texts; the driver gives the files their names, of which it
+    sees no more than that.  Paths must differ.
+    """
+    spark = files.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+    held = f"{root.rstrip('/')}-{uuid.uuid4().hex}"
+    time = F.col("modified").cast("string") if "modified" in files.columns else F.lit("")
+    named = files.select(F.hex(F.concat_ws("|", time, "path").cast("binary")).alias("place"), "value")
+    named.repartition("place").write.partitionBy("place").text(held)
+    fs = at(held).getFileSystem(hadoop)
+    for found in fs.globStatus(at(f"{held}/place=*/part-*")):
+        place = found.getPath().getParent().getName().partition("=")[2]
+        when, _, path = bytes.fromhex(place).decode().partition("|")
+        to = at(f"{root.rstrip('/')}/{path}")
+        fs.mkdirs(to.getParent())
+        if not fs.rename(found.getPath(), to):
+            raise OSError(f"{path} could not be put below {root}")
+        if when:
+            fs.setTimes(to, int(when), -1)
+    fs.delete(at(held), True)
+
+
 def write_versions(df: DataFrame, path: str, version: str, *keys: str, dry_run: bool = False) -> DataFrame:
     """Rewritten files of a run beside the old ones, below ``path/version``: an old version is never changed.
 
