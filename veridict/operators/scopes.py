@@ -134,8 +134,8 @@ def newest_file(hints: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def base_manifest(manifests: DataFrame, preferred: str) -> DataFrame:
-    """generator, path: the manifest of the preferred name, else the newest; ties by name."""
-    rank = F.struct((F.col("file_name") == preferred).alias("p"), "modified", "file_name")
+    """generator, path: the manifest of the preferred name, else the newest; ties by name, then path."""
+    rank = F.struct((F.col("file_name") == preferred).alias("p"), "modified", "file_name", "path")
     return manifests.groupBy("generator").agg(F.max_by("path", rank).alias("path"))
 
 

@@ -10,6 +10,7 @@ from veridict.operators import leaderboard as L
 from veridict.operators import topics as T
 from veridict.operators import validity as V
 from veridict.plans import query
+from veridict.plans.parity import values
 from veridict.sources.tables import SQL_ANSWERS, SQL_ATTEMPTS, SQL_LINES, SQL_RATINGS, answers, attempts, ratings, table
 
 _MISSES = f"""{SQL_LINES}, {SQL_ANSWERS}, m AS (SELECT model, count(*) FILTER (trim(pred) = trim(gold) IS NOT TRUE) AS n_missed, count(*) AS n_total FROM answers GROUP BY 1)"""
@@ -69,29 +70,48 @@ def generators_by_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.placed(rates.where("generator <> 'TOTAL'"), F.desc("rate"), "generator").select("generator", "place")
 
 
-@query("""SELECT * FROM (VALUES ('claude-x', 'anthropic', 'sequential'), ('gpt-5', 'openai', 'sequential'), ('my-claude-x', 'openai', 'sequential')) v(model, batch, single)""")
+_MODEL = "CASE p_partkey % 4 WHEN 0 THEN 'claude-' WHEN 1 THEN 'gpt-' WHEN 2 THEN 'my-claude-' ELSE 'claude' END || p_size"
+
+
+@query(f"SELECT p_partkey AS k, {_MODEL} AS model, CASE WHEN p_partkey % 4 = 0 THEN 'anthropic' ELSE 'openai' END AS batch, 'sequential' AS single FROM part")
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("claude-x",), ("gpt-5",), ("my-claude-x",)], "model string")
-    return rows.select("model", L.provider(F.col("model"), True).alias("batch"), L.provider(F.col("model"), False).alias("single"))
+    """Transports of models that are named after parts."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_MODEL).alias("model"))
+    return rows.select("k", "model", L.provider(F.col("model"), True).alias("batch"), L.provider(F.col("model"), False).alias("single"))
 
 
-@query("""SELECT category, ask::BIGINT AS ask, advance::INT AS advance, "left"::INT AS "left" FROM (VALUES ('a', 5, 3, 0), ('b', 2, 0, 1), ('c', 0, 0, 0)) v(category, ask, advance, "left")""")
+@query("""WITH c AS (SELECT p_type AS category, count(*) FILTER (p_size > 25) AS need, count(*) FILTER (p_retailprice > 1200) AS valid FROM part GROUP BY 1)
+SELECT category, ceil(need * 1.5)::BIGINT AS ask, least(valid, need) AS advance, need - least(valid, need) AS "left" FROM c""")
 def next_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.next_request(spark.createDataFrame([("a", 3, 4), ("b", 1, 0), ("c", 0, 2)], "category string, need int, valid int"))
+    """How many questions to ask for by type, where large parts are needed and dear ones are valid."""
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category"))
+    return L.next_request(counts.agg(F.count_if(F.col("p_size") > 25).alias("need"), F.count_if(F.col("p_retailprice") > 1200).alias("valid")))
 
 
-@query("SELECT category, planned::BIGINT AS planned, asked::BIGINT AS asked FROM (VALUES ('b', 1, 2), ('c', 1, 0), ('d', 0, 1)) v(category, planned, asked)")
+@query("""WITH p AS (SELECT p_type AS category, count(*) AS planned FROM part WHERE p_partkey % 5 > 0 AND p_type <> 'PROMO' GROUP BY 1),
+c AS (SELECT p_type AS category, count(*) AS n FROM part WHERE p_partkey % 5 > 0 OR p_type LIKE '%A%' GROUP BY 1)
+SELECT category, coalesce(planned, 0) AS planned, coalesce(n, 0) AS asked FROM p FULL JOIN c USING (category) WHERE coalesce(planned, 0) <> coalesce(n, 0)""")
 def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "category string")
-    return L.plan_errors(plan, spark.createDataFrame([("a", 2), ("b", 2), ("d", 1)], "category string, n long"))
+    """Types of which a plan holds another number of parts than was asked for."""
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_type", "category")
+    asked = parts.where("p_partkey % 5 > 0 or category like '%A%'").groupBy("category").agg(F.count("*").alias("n"))
+    return L.plan_errors(parts.where("p_partkey % 5 > 0 and category <> 'PROMO'").select("category"), asked)
+
+
+#: (topic, mapped topic, response, topic after): every part is one of these, and its response ends in its size.
+_LABELS = [
+    ("Hematology/Oncology", "Misc", "Hematology.", "Hematology"), ("Hematology & oncology", "Misc", "both hematology and oncology", "Misc"),
+    ("Oncology", "Medical Oncology", "Hematology", "Medical Oncology"), ("Hematology and Oncology", "Medical Oncology", "oncology", "Medical Oncology"),
+    ("hematology / ONCOLOGY", "Hematology", "I think medical oncology:", "Medical Oncology"), ("Cardiology", "Cardiology", "hematology", "Cardiology"),
+    ("Hematology/Oncology", "Hematology", None, "Hematology"),
+]
 
 
-@query("""SELECT question_id::INT AS question_id, topic, mapped, mapped_before FROM (VALUES (1, 'Hematology/Oncology', 'Hematology', 'Misc'), (2, 'Hematology & oncology', 'Misc', NULL),
-    (3, 'Oncology', 'Medical Oncology', NULL), (4, 'Hematology and Oncology', 'Medical Oncology', NULL)) v(question_id, topic, mapped, mapped_before)""")
+@query(f"""SELECT p_partkey AS question_id, topic, after AS mapped, CASE WHEN after <> mapped THEN mapped END AS mapped_before FROM part
+JOIN {values([(k, a, b, d) for k, (a, b, _, d) in enumerate(_LABELS)], 'k, topic, mapped, after')} ON p_partkey % {len(_LABELS)} = k""")
 def refined_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped = spark.createDataFrame(
-        [(1, "Hematology/Oncology", "Misc"), (2, "Hematology & oncology", "Misc"), (3, "Oncology", "Medical Oncology"), (4, "Hematology and Oncology", "Medical Oncology")],
-        "question_id int, topic string, mapped string",
-    )
-    responses = spark.createDataFrame([(1, "Hematology."), (2, "both hematology and oncology"), (3, "Hematology"), (4, "oncology")], "question_id int, response string")
-    return T.refined(mapped, responses)
+    """Labels of parts that name two topics, told apart by responses; some have none."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), "p_size")
+    choice = lambda place: F.element_at(F.array(*(F.lit(row[place]) for row in _LABELS)), (F.col("question_id") % len(_LABELS) + 1).cast("int"))
+    responses = part.select("question_id", F.concat(choice(2), F.lit("\n"), F.col("p_size").cast("string")).alias("response"))
+    return T.refined(part.select("question_id", choice(0).alias("topic"), choice(1).alias("mapped")), responses.where("response is not null"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridict.operators import scopes as S
@@ -118,29 +118,48 @@ def unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unknown_references(units, known, "unit")
 
 
-@query("""SELECT * FROM (VALUES ('a', 4), ('b', 0), ('c', 0)) v(generator, start)""")
+@query("""WITH r AS (SELECT p_brand AS generator, max(CASE WHEN p_size % 7 <> 0 AND p_size < 5 + p_partkey % 40 THEN p_size END) AS seed FROM part GROUP BY 1)
+SELECT generator, greatest(10, coalesce(seed + 1, 10)) - 10 AS start FROM r""")
 def next_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.createDataFrame([("a", 5), ("a", 13), ("b", 2), ("c", None)], "generator string, seed int")
-    return S.next_seed(runs, 10)
+    """By how much new seeds of a brand are above 10, where part sizes are the seeds used (some are not stated)."""
+    seed = F.when((F.col("p_size") % 7 != 0) & (F.col("p_size") < 5 + F.col("p_partkey") % 40), F.col("p_size"))
+    return S.next_seed(table(spark, sf_dir, "part").select(F.col("p_brand").alias("generator"), seed.alias("seed")), 10)
 
 
-@query("""SELECT * FROM (VALUES ('q1', 'h2'), ('q2', 'i1'), ('q3', 'h9')) v(quiz_id, path)""")
+_FILES = """f AS (SELECT 'q' || o_custkey AS quiz_id, 'p' || o_orderkey AS path, o_orderkey % 5 AS modified, o_orderkey % 3 AS kind FROM orders)"""
+
+
+def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of their customers' quizzes; many were changed at the same time."""
+    key, text = F.col("o_orderkey"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return table(spark, sf_dir, "orders").select(text("q", "o_custkey").alias("quiz_id"), text("p", "o_orderkey").alias("path"), (key % 5).alias("modified"), (key % 3).alias("kind"))
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY quiz_id, kind = 0 ORDER BY modified DESC, path DESC) AS k FROM f),
+n AS (SELECT quiz_id, max(path) FILTER (kind = 0) AS a, max(path) FILTER (kind <> 0) AS b FROM r WHERE k = 1 GROUP BY 1) SELECT quiz_id, coalesce(a, b) AS path FROM n""")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "quiz_id string, path string, modified int"
-    hints = spark.createDataFrame([("q1", "h1", 1), ("q1", "h2", 2), ("q3", "h8", 7), ("q3", "h9", 7)], schema)
-    return S.newest_file(hints, spark.createDataFrame([("q1", "i9", 9), ("q2", "i1", 1)], schema))
+    """The newest file of every customer that a manifest names, else the newest found."""
+    files = _order_files(spark, sf_dir)
+    return S.newest_file(files.where("kind = 0").drop("kind"), files.where("kind <> 0").drop("kind"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'p1'), ('b', 'p4')) v(generator, path)""")
+@query(f"""WITH {_FILES}, n AS (SELECT *, CASE WHEN kind = 0 THEN 'm.json' ELSE path || '.json' END AS file_name FROM f)
+SELECT quiz_id AS generator, path FROM n QUALIFY row_number() OVER (PARTITION BY quiz_id ORDER BY kind = 0 DESC, modified DESC, file_name DESC, path DESC) = 1""")
 def base_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "m.json", "p1", 1), ("a", "x.json", "p2", 9), ("b", "x.json", "p3", 1), ("b", "y.json", "p4", 1)]
-    return S.base_manifest(spark.createDataFrame(rows, "generator string, file_name string, path string, modified int"), "m.json")
+    """The manifest of every customer to begin from: the one of the preferred name, else the newest."""
+    name = F.when(F.col("kind") == 0, "m.json").otherwise(F.concat("path", F.lit(".json")))
+    return S.base_manifest(_order_files(spark, sf_dir).select(F.col("quiz_id").alias("generator"), name.alias("file_name"), "path", "modified"), "m.json")
 
 
-@query("SELECT * FROM (VALUES ('a', 'x,y,z', 's'), ('b', '', 't')) v(generator, quizzes, topics)")
+@query("""WITH w AS (SELECT p_brand AS generator, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 10),
+t AS (SELECT p_brand AS generator, list_sort(list(DISTINCT p_type) FILTER (p_size > 30 AND p_size > 10)) AS t FROM part WHERE p_size > 10 GROUP BY 1)
+SELECT generator, array_to_string(q, ',') AS quizzes, coalesce(array_to_string(t, ','), '') AS topics FROM (SELECT generator, list_sort(list(DISTINCT w)) AS q FROM w GROUP BY 1) JOIN t USING (generator)""")
 def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", ["y", "x"], ["s"]), ("a", ["z", "x"], None), ("b", [], ["t", "t"])]
-    merged = S.merged_lists(spark.createDataFrame(rows, "generator string, quizzes array<string>, topics array<string>"), "generator", "quizzes", "topics")
+    """Words of the names of a brand's parts, and types of its large ones, as merged lists."""
+    parts = table(spark, sf_dir, "part").where("p_size > 10")
+    topics = F.when(F.col("p_size") > 30, F.array("p_type"))
+    lists = parts.select(F.col("p_brand").alias("generator"), F.split("p_name", " ").alias("quizzes"), topics.alias("topics"))
+    merged = S.merged_lists(lists, "generator", "quizzes", "topics")
     return merged.select("generator", *(F.array_join(c, ",").alias(c) for c in ("quizzes", "topics")))
 
 
@@ -175,7 +194,9 @@ def specialties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(chosen.alias("s")).groupBy("s.topic", "s.source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (1, 'a'), (2, 'b'), (3, 'a'), (4, 'a'), (5, 'b'), (6, 'a')) v(place, category)")
+@query("""WITH s AS (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS place, s_nationkey::VARCHAR AS category FROM supplier), n AS (SELECT count(*)::INT AS n FROM s)
+SELECT r::INT AS place, category FROM range(1000) v(r), n JOIN s ON s.place = r % n.n""")
 def repeated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "place int, category string")
-    return B.repeat_plan(plan, 7)
+    """A plan of the suppliers' nations, repeated up to a thousand places."""
+    plan = table(spark, sf_dir, "supplier").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("place"), F.col("s_nationkey").cast("string").alias("category"))
+    return B.repeat_plan(plan, 1000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridict.operators import subset as Q
@@ -48,9 +48,13 @@ def quota_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.shortfall(_candidates(spark, sf_dir), _targets(spark).select("category", "target"), "generator")
 
 
-@query(f"WITH {_SQL} SELECT (row_number() OVER (ORDER BY ord, k) - 1)::BIGINT AS position, category FROM (SELECT *, unnest(range(target)) AS k FROM targets)")
+@query("""WITH t AS (SELECT p_type AS category, count(*) FILTER (p_size < 5)::INT AS target, row_number() OVER (ORDER BY p_type) AS ord FROM part GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY ord, k) - 1)::BIGINT AS position, category FROM (SELECT *, unnest(range(target)) AS k FROM t)""")
 def expanded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.expand(_targets(spark)).select(F.col("position").cast("long"), "category")
+    """A place for each small part, by type; types without one have none."""
+    counts = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_type").alias("category")).agg(F.count_if(F.col("p_size") < 5).cast("int").alias("target"))
+    targets = counts.withColumn("ord", F.row_number().over(Window.orderBy("category")))  # one row a type
+    return Q.expand(targets).select(F.col("position").cast("long"), "category")
 
 
 @query("SELECT s_nationkey AS generator, min(s_suppkey) AS question_id FROM supplier GROUP BY 1")
