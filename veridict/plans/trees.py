@@ -270,3 +270,102 @@ def tree_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(_bars(p, once(chosen(p), "file_name", "error"), "gen", "name", "file_name", "error") for p in ("planner", "accumulate")),
         _bars("labels", J.question_topics(chosen("misses")), gen, _name("run_dir"), "question_id", "topic"),
     )
+
+
+_BRAND = "'b' || substr(p_brand, 7)"
+_SQL_PARTS = f"p AS (SELECT p_partkey AS k, {_BRAND} AS b, p_type AS t, p_size AS s, p_retailprice AS price, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"), F.concat(F.lit("b"), F.substring("p_brand", 7, 9)).alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"), F.col("p_retailprice").alias("price")
+    )
+
+
+def _text(rows: DataFrame, path: Column, order: str, line: Column, separator: str = "\n") -> DataFrame:
+    """One text a path: lines in order (a brand's or a report's, which are few)."""
+    each = rows.groupBy(path.alias("path")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("ls"))
+    return each.select("path", F.array_join(F.transform("ls", lambda e: e["line"]), separator).alias("value"))
+
+
+@query(f"""WITH {_SQL_PARTS}, o AS (SELECT o_orderkey AS k FROM orders)
+{_sql_bars("items", "p", "b", "k", "CASE WHEN s % 3 <> 0 THEN t END")}
+UNION ALL {_sql_bars("lines", "(SELECT b, count(*) AS n FROM p GROUP BY 1)", "b || '.jsonl'", "n")}
+UNION ALL {_sql_bars("targets", "p", "b || '.jsonl'", "pos - 1", "CASE WHEN s % 3 <> 0 THEN t END")}
+UNION ALL {_sql_bars("stems", "(SELECT DISTINCT b FROM p)", "b", "b || '.jsonl'")}
+UNION ALL {_sql_bars("selected", "p WHERE s > 40", "'x'", "b", "'ja'", "k", "t", "'s' || k")}
+UNION ALL {_sql_bars("results", "(SELECT DISTINCT b, s, max(k) AS k FROM p WHERE s % 5 <> 0 GROUP BY ALL)", "b", "'m' || s", "s", "k")}
+UNION ALL {_sql_bars("batch", "o", "k", "CASE WHEN k % 7 = 0 THEN 'err' ELSE 'out' END")}""")
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quizzes as JSON lines, selection reports, given results, and batch outputs that errors override."""
+    part, k = _parts(spark, sf_dir), F.col("k")
+    text = lambda c: F.col(c).cast("string")
+    item = F.to_json(F.struct(F.col("b").alias("quiz_id"), text("k").alias("question_id"), F.when(F.col("s") % 3 != 0, F.col("t")).alias("target_topic")))
+    chosen = F.to_json(F.struct(k.alias("index"), F.col("t").alias("abms_specialty"), F.concat(F.lit("s"), text("k")).alias("source_question_id")))
+    report = _text(part.where("s > 40"), F.col("b"), "k", chosen, ", ")
+    value = F.concat(F.lit('{"subset_tag": "x", "generator_model": "'), "path", F.lit('", "judge_models": ["ja"], "selected": ['), "value", F.lit("]}"))
+    result = part.groupBy("b", "s").agg(F.max("k").alias("k"))
+    accuracy = F.when(F.col("s") % 5 == 0, F.lit("none")).otherwise(text("s"))
+    given = F.to_json(F.struct(F.col("b").alias("quiz_generator"), F.concat(F.lit("m"), text("s")).alias("model"), accuracy.alias("accuracy"), k.alias("n_items")))
+    results = _text(result, F.concat(F.lit("extra/"), "b", F.lit(".json")), "s", given, ", ")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / RUN_KEYS).cast("string").alias("r"))
+    line = lambda v: F.to_json(F.struct(text("k").alias("custom_id"), F.lit(v).alias("v")))
+    batch = lambda v, rows: _text(rows, F.concat(F.lit(f"{v}/"), "r", F.lit(".jsonl")), "k", line(v))
+    root = _folder(spark)
+    write_tree(_union(
+        _text(part, F.concat(F.lit("quizzes/"), "b", F.lit(".jsonl")), "k", item, "\n\n"),
+        report.select(F.concat(F.lit("selection/"), "path", F.lit("/selection_report_x.json")).alias("path"), value.alias("value")),
+        results.select("path", F.concat(F.lit('{"results": ['), "value", F.lit("]}")).alias("value")),
+        batch("out", orders), batch("err", orders.where("k % 7 = 0")),
+    ), root)
+    files = spark.read.text(f"{root}/quizzes").select("_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified")).distinct()
+    lines = J.batch_lines(spark.read.text(f"{root}/out"), spark.read.text(f"{root}/err"))
+    return _union(
+        _bars("items", J.read_quiz_items(spark, f"{root}/quizzes"), "quiz_id", "question_id", "target_topic"),
+        _bars("lines", J.count_quiz_lines(spark, f"{root}/quizzes"), _name("file_path"), "n"),
+        _bars("targets", J.target_topics(spark, f"{root}/quizzes"), _name("file_path"), "line", "target_topic"),
+        _bars("stems", J.newest_by_stem(files), "stem", _name("file_path")),
+        _bars("selected", J.read_selection(spark, f"{root}/selection"), "subset_tag", "generator_model", F.col("judge_models")[0], "index", "abms_specialty", "source_question_id"),
+        _bars("results", J.read_extra_results(spark, f"{root}/extra"), "generator", "model", F.col("acc").cast("long"), "n_items"),
+        _bars("batch", lines, "custom_id", F.get_json_object("line", "$.v")),
+    )
+
+
+_SQL_TABLES = f"""{_SQL_PARTS}, c AS (SELECT b, count(*) AS n, max(s) AS top, sum(s) AS total FROM p GROUP BY 1),
+y AS (SELECT t, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, t) - 1) AS ord FROM p GROUP BY 1)"""
+
+
+@query(f"""WITH {_SQL_TABLES}
+{_sql_bars("targets", "y", "t", "n", "ord")}
+UNION ALL {_sql_bars("cost", "c", "b", "2 * top")}
+UNION ALL {_sql_bars("accuracy", "c WHERE n % 4 <> 1", "b", "n", "CASE WHEN n % 4 <> 2 THEN top END", "total")}
+UNION ALL {_sql_bars("validity", "c", "b", "CASE n % 3 WHEN 0 THEN 25 + top % 3 WHEN 1 THEN 50 END")}
+UNION ALL {_sql_bars("log", "c", "b || ' x'", "top", "total")}""")
+def tree_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short tables as CSV with repeated, missing and unusable entries, and the counts in a log."""
+    part = _parts(spark, sf_dir)
+    brands = part.groupBy("b").agg(F.count("*").alias("n"), F.max("s").alias("top"), F.sum("s").alias("total"))
+    types = part.groupBy("t").agg(F.count("*").alias("n")).withColumn("o", F.struct(-F.col("n"), "t"))
+    text = lambda c: F.col(c).cast("string")
+    csv = lambda name, rows, order, header, line: _text(rows, F.lit(name), order, line).select("path", F.concat(F.lit(header + "\n"), "value", F.lit("\n")).alias("value"))
+    top2 = (2 * F.col("top")).cast("string")
+    cost = F.concat("b", F.lit(",1\n"), "b", F.lit(","), top2, F.lit("\n"), "b", F.lit(",x"))
+    sem = F.when(F.col("n") % 4 == 2, "").otherwise(text("top"))
+    mean = F.when(F.col("n") % 4 == 1, "none").otherwise(text("n"))
+    share = F.when(F.col("n") % 3 == 0, (25 + F.col("top") % 3).cast("string")).when(F.col("n") % 3 == 1, "0.5").otherwise("")
+    counted = F.concat(F.lit(" "), "b", F.lit(" x: valid="), text("top"), F.lit(" / total="), text("total"), F.lit(" (1%)"))
+    log = csv("log.txt", brands, "b", "[INFO] other\n g z: valid=9 / total=9 (1%)\n\n[INFO] Questions passing judge filters (tagged manifests: T)", counted)
+    root = _folder(spark)
+    write_tree(_union(
+        csv("targets.csv", types, "o", "\ufeffNumber,Specialty", F.concat(text("n"), F.lit(","), "t")), csv("cost.csv", brands, "b", "\ufeffmodel,cost_per_quiz", cost),
+        csv("accuracy.csv", brands, "b", "model,mean_accuracy,sem_accuracy,n", F.concat_ws(",", "b", mean, sem, text("total"))),
+        csv("validity.csv", brands, "b", "model,questions_passing_percent", F.concat_ws(",", "b", share)),
+        log.select("path", F.concat("value", F.lit(" TOTAL: valid=1 / total=4 (25%)\n\n g y: valid=1 / total=4 (25%)\n")).alias("value")),
+    ), root)
+    whole = lambda c, times=1: F.round(F.col(c) * times).cast("long")
+    return _union(
+        _bars("targets", J.read_targets(spark, f"{root}/targets.csv"), "category", "target", "ord"), _bars("cost", J.read_cost(spark, f"{root}/cost.csv"), "model", whole("cost")),
+        _bars("accuracy", J.read_accuracy(spark, f"{root}/accuracy.csv"), "model", whole("mean_acc"), whole("sem"), "n_quizzes"),
+        _bars("validity", J.read_validity(spark, f"{root}/validity.csv"), "model", whole("validity", 100)),
+        _bars("log", J.validity_from_log(spark, f"{root}/log.txt", "T"), "generator", "n_valid", "n_total"),
+    )
