@@ -269,3 +269,23 @@ def localized(path: Column, root: str, *anchors: str) -> Column:
     plain = F.replace(path, F.lit("\\"), F.lit("/"))
     rest = F.coalesce(*(F.when(F.instr(plain, a) > 0, F.substring(plain, F.instr(plain, F.lit(a)), F.length(plain))) for a in anchors))
     return F.concat(F.lit(root.rstrip("/") + "/"), rest)
+
+
+def jittered_ages(text: Column, *key: Column) -> Column:
+    """Ages ("45-year-old", "45 yo") with up to 0.04 added, as "45.017 year-old".
+
+    What is added belongs to the key and the match's place: uniform from 0 to
+    0.04 and rounded to three digits, from the md5 of both.
+    """
+    #: Fixed value: how an age is written.
+    pattern = r"(?iU)\b(\d+)(?:\s*[-\s]?)(?:year-old|year old|yo)\b"
+    pieces, ages = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    named = F.concat_ws("|", *(F.coalesce(k.cast("string"), F.lit("")) for k in key))
+
+    def aged(age: Column, k: Column) -> Column:
+        bits = F.conv(F.substring(F.md5(F.concat_ws("|", named, k.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        added = F.floor(bits * 80 / 2**32 / 2 + 0.5).cast("string")
+        return F.concat(F.coalesce(age.try_cast("decimal(38,0)").cast("string"), age), F.lit("."), F.lpad(added, 3, "0"), F.lit(" year-old"))
+
+    rest = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, k: F.concat(aged(ages[k], k), p))
+    return F.when(F.size(ages) > 0, F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
