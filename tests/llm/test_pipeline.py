@@ -1,6 +1,7 @@
 """The pipeline over a small corpus, each stage against brute force, and the SQL of the corpus queries."""
 
 import base64
+import os
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ import pytest
 
 from tests.llm.data import prose, words
 from tests.llm.test_operators import brute_components, brute_lines
+from veridict.llm import line_dedup, tables
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -109,10 +111,22 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
     from veridict.llm.tables import written
 
     for _, stage in corpus_pipeline.STAGES:
-        docs = written(stage(spark, docs, where), keep=True)
+        docs = written(stage(spark, docs, where))
     assert {r.doc_id: (r.n_chars, r.n_tokens) for r in docs.collect()} == whole
 
 
+def test_runs_delete_their_own_tables_only(spark, folder, tmp_path, monkeypatch):
+    """A lazy result that someone holds outlives a run, and of a run only what its result reads is left."""
+    where, rows, _ = folder
+    held = line_dedup.op1_line_dedup(spark, where)
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    one, two = corpus_pipeline.run(spark, where), corpus_pipeline.run(spark, where)
+    assert one.count() == two.count()
+    left = set(os.listdir(tmp_path))
+    assert left == {part for df in (one, two) for f in df.inputFiles() for part in f.split("/") if part in left} and len(left) == 2
+    assert held.count() == len(rows)
+
+
 def test_sql_of_corpus_queries(spark, folder):
     """The five queries that SQL can express, on the small corpus."""
     from veridict.llm import queries

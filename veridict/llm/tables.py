@@ -10,6 +10,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +30,31 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_made: list[str] = []
+#: Where the paths of new tables are noted, for whoever deletes them.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
-def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again (lineage ends here).
+@contextmanager
+def collected(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` the tables that are written meanwhile, in this thread of control only.
 
-    The table stays until ``forget`` or, unless ``keep``, ``release`` deletes it.
+    Tables that nobody notes stay for the life of the folder: results that
+    other callers hold, still lazy, keep what they read.
     """
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again (lineage ends here)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _made.append(path)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,15 +63,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of all operators whose results have been written.
+def delete_noted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that were noted, once the results that read them have been written.
 
-    For jobs of several steps, between two of them: results that are still
-    lazy could not be computed any more.  Plans that nothing refers to are
-    collected, upon which Spark removes their shuffle files.
+    Plans that nothing refers to are collected, upon which Spark removes their
+    shuffle files.
     """
-    while _made:
-        _delete(spark, _made.pop())
+    while paths:
+        _delete(spark, paths.pop())
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
