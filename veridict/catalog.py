@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, orders, parity, planning, reliability, scopes, statistics, subsets, trees
+from veridict.plans import ORACLES, QUERIES, accuracy, judging, labels, models, orders, parity, planning, reliability, scopes, statistics, subsets, trees
 
-__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "orders", "parity", "planning", "reliability", "scopes", "statistics", "subsets", "trees"]
+__all__ = ["ORACLES", "QUERIES", "accuracy", "judging", "labels", "models", "orders", "parity", "planning", "reliability", "scopes", "statistics", "subsets", "trees"]
