@@ -168,3 +168,54 @@ def test_configuration():
     config.check_keys({"a": 1}, ("a",))
     with pytest.raises(ValueError, match="b"):
         config.check_keys({"a": 1}, ("a", "b"))
+
+
+def test_topic_maps_and_name_lists(tmp_path):
+    from veridict.sources import config
+
+    def file(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return str(tmp_path / name)
+
+    short = config.read_topic_map(file("a.json", '{"map": {" Small ": " B ", "x": "", "": "y"}}'))
+    assert short == config.TopicMap({"Small": "B"}, ["unknown"], "Misc", True, True)
+    full = '{"map": {"a": "b"}, "drop": ["u", ""], "misc_category": " Other ", "combined_to_misc": false, "normalize": false}'
+    assert config.read_topic_map(file("b.json", full)) == config.TopicMap({"a": "b"}, ["u"], "Other", False, False)
+    for name, text in (("c.json", "[1]"), ("d.json", '{"map": [1]}'), ("e.txt", "{}")):
+        with pytest.raises(ValueError):
+            config.read_topic_map(file(name, text))
+    pytest.importorskip("yaml")
+    yaml = config.read_topic_map(file("f.yaml", "map:\n  Small parts: 'B'\n  7: C\ndrop:\n  - u\nmisc_category: M\n"))
+    assert yaml == config.TopicMap({"Small parts": "B", "7": "C"}, ["u"], "M", True, True)
+    assert config.read_topic_map(file("g.yml", "")) == config.TopicMap({}, ["unknown"], "Misc", True, True)
+    assert config.read_names(file("h.yaml", "# list\n- a\n - 'b c'  # note\n\n-\n- \"a\"\n- a\n")) == ["a", "b c"]
+    with pytest.raises(ValueError, match="items of a list"):
+        config.read_names(file("i.yaml", "names:\n- a\n"))
+
+
+@pytest.mark.parametrize("text", ["valid,total\n1,2\n", "generator,valid,total\n,1,2\n", "generator,valid,total\na,3,2\n", "generator,valid,total\na,1,0\n", "generator,valid,total\na,x,2\n", "generator,valid,total\n_Example,1,2\n"])
+def test_counts_that_are_none(spark, tmp_path, text):
+    (tmp_path / "c.csv").write_text(text)
+    with pytest.raises(ValueError):
+        J.read_counts(spark, str(tmp_path / "c.csv"))
+
+
+def test_batches_that_are_none(spark):
+    from veridict.operators import scopes
+
+    runs = spark.createDataFrame([("q1",), ("q2",)], "run string")
+    quizzes = spark.createDataFrame([("q1", "quizbench_manifest_T.json"), ("q9", "quizbench_manifest_S.json")], "quiz_id string, file_name string")
+    assert [r.run for r in scopes.of_batch(runs, quizzes, "T").collect()] == ["q1"]
+    with pytest.raises(ValueError, match="no manifests"):
+        scopes.of_batch(runs, quizzes, "U")
+    with pytest.raises(ValueError, match="no runs"):
+        scopes.of_batch(runs, quizzes, "S")
+
+
+def test_overrides_of_overrides(spark):
+
+    from veridict.operators import topics
+
+    rows = spark.createDataFrame([(" ab & C",), ("small",), ("lost",), ("x",), (None,), ("B",)], "t string")
+    got = {r.t: tuple(r.c) for r in rows.select("t", topics.canonical(F.col("t"), ["AB and c", "B"], {"Small": "b", "lost": "nowhere", "b": "AB and c"}).alias("c")).collect()}
+    assert got == {" ab & C": ("AB and c", None), "small": ("B", None), "lost": (None, "no category: nowhere"), "x": (None, "no category: x"), None: (None, "no category: "), "B": ("B", None)}

@@ -164,6 +164,26 @@ def complete_items(attempts: DataFrame) -> DataFrame:
     return per.join(models, "k", "left_semi").select("item")
 
 
+def paired_outcomes(attempts: DataFrame, missing_as_zero: bool = False) -> DataFrame:
+    """item, llm, y of items that every llm has tried; or of all items, where what is missing counts as wrong.
+
+    Of repeated attempts the greatest y counts.  Llms are few: they travel as one array.
+    """
+    own = attempts.groupBy("item", "llm").agg(F.max("y").alias("y"))
+    if not missing_as_zero:
+        whole = own.where("y is not null").join(complete_items(own.where("y is not null")), "item", "left_semi")
+        return whole.select("item", "llm", "y")
+    llms = attempts.agg(F.array_sort(F.collect_set("llm")).alias("llms"))
+    grid = own.select("item").distinct().join(F.broadcast(llms), how="cross").select("item", F.explode("llms").alias("llm"))  # one row of llms
+    return grid.join(own, ["item", "llm"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def described_items(attempts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """item, n, p (share of right answers) with the item's metadata, where it has any; ``metadata`` has one row an item."""
+    scores = attempts.groupBy("item").agg(F.count("y").alias("n"), F.round(F.avg("y"), 6).alias("p"))
+    return scores.join(metadata, "item", "left")
+
+
 def item_difficulty(attempts: DataFrame) -> DataFrame:
     """Topic, items, mean share of correct answers, and rank from the hardest (ties by name)."""
     items = attempts.groupBy("item", "topic").agg(F.avg("y").alias("p"))

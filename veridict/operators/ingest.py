@@ -104,3 +104,19 @@ def category_accuracy(answers: DataFrame, *keys: str, category: str = "category"
 def repair_options(rows: DataFrame, options: str = "options") -> DataFrame:
     """Multiple-choice rows whose options come as JSON text, with the options as an array."""
     return rows.withColumn(options, repaired_options(F.col(options)))
+
+
+def question_sets(rows: DataFrame, category: str = "category") -> DataFrame:
+    """Multiple-choice questions with repaired options, and the number of questions of their category (n_category).
+
+    Questions whose options can't be read, or of which none are left, are left out.
+    """
+    usable = repair_options(rows).where(F.col("options").isNotNull() & (F.size("options") > 0))
+    sizes = usable.groupBy(category).agg(F.count("*").alias("n_category"))
+    return usable.join(sizes, category)
+
+
+def head(sets: DataFrame, n: int, category: str = "category", order: str = "question_id") -> DataFrame:
+    """The first ``n`` questions of every category (examples for a prompt); cut before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(category).orderBy(order))
+    return sets.withColumn("place", place).where(F.col("place") <= n)

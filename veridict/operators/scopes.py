@@ -121,6 +121,28 @@ def accumulated_topics(questions: DataFrame, accepted: DataFrame, topics: DataFr
     return counts.withColumn("total", total).where("topic is not null")
 
 
+def batch_quizzes(quizzes: DataFrame, tag: str, stem: str = "quizbench_manifest") -> DataFrame:
+    """quiz_id of the manifests of a tag (``<stem>_<tag>*.json``) and of those without one, each once."""
+    name = F.col("file_name")
+    own = name.startswith(f"{stem}_{tag}") & name.endswith(".json")
+    return quizzes.where(own | (name == f"{stem}.json")).select("quiz_id").distinct()
+
+
+def of_batch(runs: DataFrame, quizzes: DataFrame, tag: str, run: str = "run", stem: str = "quizbench_manifest") -> DataFrame:
+    """The runs whose quiz a manifest of the tag lists, or one without a tag.
+
+    ``quizzes`` has quiz_id and file_name.  No manifest, or none of whose
+    quizzes has a run, is an error: an empty report would look like a result.
+    """
+    listed = batch_quizzes(quizzes, tag, stem)
+    if listed.isEmpty():
+        raise ValueError(f"no manifests for batch tag {tag!r}")
+    found = runs.join(listed.withColumnRenamed("quiz_id", run), run, "left_semi")
+    if found.isEmpty():
+        raise ValueError(f"no runs of batch tag {tag!r}")
+    return found
+
+
 def next_seed(runs: DataFrame, base: int = 0, generator: str = "generator", seed: str = "seed") -> DataFrame:
     """generator, start: by how much new seeds are above ``base``, so that none is used twice."""
     return runs.groupBy(generator).agg((F.greatest(F.lit(base), F.coalesce(F.max(seed) + 1, F.lit(base))) - base).alias("start"))

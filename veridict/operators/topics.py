@@ -66,6 +66,22 @@ def map_topics(
     return rows.withColumns({"mapped": mapped.otherwise(rest), "reason": reason.otherwise(f"unmapped_{unmapped}")})
 
 
+def canonical(raw: Column, categories: Sequence[str], overrides: Mapping[str, str] | None = None, normalize: bool = True) -> Column:
+    """Struct (topic, error): the category that a label names, else the one that its override names.
+
+    An override that is no category itself is an error, as is a label without
+    one.  With ``normalize`` labels and keys of overrides are compared by their
+    normalised names; an override's target always is.
+    """
+    index = check_categories(categories)
+    over = {(next(iter(check_categories([k]))) if normalize else k.strip()): next(iter(check_categories([v]))) for k, v in (overrides or {}).items()}
+    name = normalize_label(raw) if normalize else strip(raw)
+    first, other = _lookup(name, index), _lookup(name, over)
+    topic = F.coalesce(first, _lookup(other, index))
+    wrong = F.concat(F.lit("no category: "), F.coalesce(F.when(first.isNull(), other), raw, F.lit("")))
+    return F.struct(topic.alias("topic"), F.when(topic.isNull(), wrong).alias("error"))
+
+
 def outside(rows: DataFrame, mapped: str, categories: Sequence[str], misc: str | None = None) -> DataFrame:
     """Mapped labels that are no category."""
     return rows.where(F.col(mapped).isNotNull() & ~F.col(mapped).isin([*categories, *([misc] if misc else [])])).select(mapped).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridict.operators import accuracy as A
+from veridict.operators import ingest as I
 from veridict.operators import leaderboard as L
 from veridict.operators import stats as S
 from veridict.operators import validity as V
@@ -172,3 +173,40 @@ SELECT model, n, round(m, 6) AS mean FROM q""")
 def quiz_level_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The means of quiz_interval; its t quantile is an approximation and tested by itself."""
     return S.quiz_interval(_runs(spark, sf_dir), "model").select("model", "n", "mean")
+
+
+_PAIRED = f"""{SQL_ATTEMPTS}, own AS (SELECT item, llm, max(y) AS y FROM attempts WHERE (item + llm) % 9 <> 0 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_PAIRED} SELECT g.item, g.llm, coalesce(y, 0) AS y FROM (SELECT item, llm FROM (SELECT DISTINCT item FROM own) CROSS JOIN (SELECT DISTINCT llm FROM own)) g LEFT JOIN own USING (item, llm)""")
+def paired_outcomes_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all items by all llms, where what is missing counts as wrong."""
+    return A.paired_outcomes(attempts(spark, sf_dir).where("(item + llm) % 9 <> 0"), missing_as_zero=True)
+
+
+@query(f"""WITH {_PAIRED} SELECT item, llm, y FROM own WHERE item IN (SELECT item FROM own GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT llm) FROM own))""")
+def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the items that all llms have tried."""
+    return A.paired_outcomes(attempts(spark, sf_dir).where("(item + llm) % 9 <> 0"))
+
+
+@query(f"""WITH {SQL_ATTEMPTS}, s AS (SELECT item, count(y) AS n, round(avg(y), 6) AS p FROM attempts GROUP BY 1)
+SELECT item, n, p, p_type AS topic, p_brand AS quiz FROM s LEFT JOIN part ON p_partkey = item AND p_size > 10""")
+def described_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of right answers of all items, with topic and quiz where these are known."""
+    known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("topic"), F.col("p_brand").alias("quiz"))
+    return A.described_items(attempts(spark, sf_dir), known)
+
+
+_SETS = """q AS (SELECT p_partkey AS question_id, p_type AS category FROM part WHERE p_partkey % 6 <> 0)"""
+
+
+@query(f"""WITH {_SETS} SELECT category, row_number() OVER (PARTITION BY category ORDER BY question_id)::INT AS place, question_id, count(*) OVER (PARTITION BY category) AS n_category,
+    CASE WHEN question_id % 5 = 0 THEN 1 ELSE 2 END AS n_options FROM q QUALIFY place <= 5""")
+def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five questions of every category, whose options come as text that is nearly JSON; some can't be read."""
+    k = F.col("p_partkey")
+    text = F.when(k % 6 == 0, "[broken").when(k % 5 == 0, F.concat(F.lit("[“N/A”, “"), F.col("p_name"), F.lit("”]"))).otherwise(F.concat(F.lit('["x", "'), F.col("p_name"), F.lit('"]')))
+    rows = table(spark, sf_dir, "part").select(k.alias("question_id"), F.col("p_type").alias("category"), text.alias("options"))
+    found = I.head(I.question_sets(rows), 5)
+    return found.select("category", "place", "question_id", "n_category", F.size("options").alias("n_options"))

@@ -118,3 +118,18 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of JSON text, pulled out and aggregated."""
     key = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(key).alias("n_keyed"), F.max(key).alias("top"))
+
+
+_CANONICAL = {"small": "Standard & co", "large plated": "no such", "standard": "ECONOMY"}
+
+
+@query("""WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN ' ' || lower(p_type) || '!' ELSE p_type END AS raw, p_type AS t FROM part)
+SELECT k, CASE WHEN raw IS NOT NULL THEN CASE t WHEN 'ECONOMY' THEN 'ECONOMY' WHEN 'PROMO' THEN 'Promo' WHEN 'SMALL' THEN 'Standard & Co' WHEN 'STANDARD' THEN 'ECONOMY' END END AS topic,
+    CASE WHEN raw IS NULL THEN 'no category: ' WHEN t = 'LARGE' THEN 'no category: no such' WHEN t NOT IN ('ECONOMY', 'PROMO', 'SMALL', 'STANDARD') THEN 'no category: ' || raw END AS error FROM l""")
+def canonical_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of parts by name, else by an override's own category; one override leads nowhere."""
+    over = _CANONICAL | {"large": "no such"}
+    k = F.col("p_partkey")
+    raw = F.when(k % 7 == 0, None).when(k % 2 == 0, F.concat(F.lit(" "), F.lower("p_type"), F.lit("!"))).otherwise(F.col("p_type"))
+    found = table(spark, sf_dir, "part").select(k.alias("k"), T.canonical(raw, CATEGORIES, over).alias("c"))
+    return found.select("k", "c.topic", "c.error")

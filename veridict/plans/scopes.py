@@ -200,3 +200,12 @@ def repeated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of the suppliers' nations, repeated up to a thousand places."""
     plan = table(spark, sf_dir, "supplier").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("place"), F.col("s_nationkey").cast("string").alias("category"))
     return B.repeat_plan(plan, 1000)
+
+
+@query(f"""WITH {SQL_RATINGS}, r AS (SELECT DISTINCT run_id FROM ratings) SELECT run_id FROM r WHERE split_part(run_id, '/', 2)::INT % 4 IN (0, 1)""")
+def batch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that the manifests of a tag list, or the manifest without one; other tags' runs are left out."""
+    runs = ratings(spark, sf_dir).select("run_id").distinct()
+    k = F.split("run_id", "/")[1].cast("int") % 4
+    name = F.when(k == 0, "quizbench_manifest_T_2.json").when(k == 1, "quizbench_manifest.json").when(k == 2, "quizbench_manifest_S.json").otherwise("other_T.json")
+    return S.of_batch(runs, runs.select(F.col("run_id").alias("quiz_id"), name.alias("file_name")), "T", run="run_id")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veridict.plans import query
 from veridict.sources import json_tree as J
-from veridict.sources.sinks import write_tree
+from veridict.sources.sinks import shim_reports, write_tree
 from veridict.sources.tables import SQL_ANSWERS, SQL_LINES, SQL_RATINGS, answers, ratings, table
 
 RUN_KEYS = 5000
@@ -369,3 +369,23 @@ def tree_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         _bars("validity", J.read_validity(spark, f"{root}/validity.csv"), "model", whole("validity", 100)),
         _bars("log", J.validity_from_log(spark, f"{root}/log.txt", "T"), "generator", "n_valid", "n_total"),
     )
+
+
+@query(f"""WITH {_SQL_TABLES}
+{_sql_bars("counts", "c", "b", "top", "total", "total - top", "round(10000 * top / total::DOUBLE)::BIGINT")}
+UNION ALL {_sql_bars("shims", "c", "b", "'runs/' || b", "'targets.csv'", "'/elsewhere/map.json'", "'auto'", "''", "'runs'")}""")
+def tree_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of valid questions under other column names, and short reports by generator that stand for the whole one."""
+    brands = _parts(spark, sf_dir).groupBy("b").agg(F.max("s").alias("top"), F.sum("s").alias("total"))
+    root = _folder(spark)
+    line = F.concat(F.lit(" "), "b", F.lit(" ,"), F.col("top").cast("string"), F.lit(","), F.col("total").cast("string"))
+    text = _text(brands, F.lit("counts.csv"), "b", line)
+    counts = text.select("path", F.concat(F.lit("\ufeffGenerator_Model,Valid,TOTAL\n_EXAMPLE,x,\n"), "value", F.lit("\n")).alias("value"))
+    report = {"created_at": "2026", "targets_csv": "/base/targets.csv", "topic_map_path": "/elsewhere/map.json", "mode": "auto", "runs_root": "/base/runs"}
+    generators = brands.select(F.col("b").alias("generator"), F.concat(F.lit("/base/runs/"), "b").alias("runs_root"))
+    write_tree(counts.unionByName(shim_reports(generators, report, "report.json", "/base")), root)
+    schema = "generator_model string, runs_root string, targets_csv string, topic_map_path string, mode string, unmapped_policy string, global_runs_root string"
+    shims = J.read_tree(spark, root, "topic_mapping_report.json", schema)
+    return _bars("counts", J.read_counts(spark, f"{root}/counts.csv"), "generator", "n_valid", "n_total", "n_invalid", F.round(F.col("rate") * 10000).cast("long")).unionByName(
+        _bars("shims", shims, "generator_model", "runs_root", "targets_csv", "topic_map_path", "mode", "unmapped_policy", "global_runs_root")
+    )

@@ -2,37 +2,69 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
 from dataclasses import dataclass, field
 
 
 @dataclass
 class TopicMap:
-    """How topics become categories; the arguments of ``operators.topics.map_topics``."""
+    """How topics become categories; the arguments of ``operators.topics.map_topics`` and ``canonical``."""
 
     overrides: dict[str, str] = field(default_factory=dict)
     drop: list[str] = field(default_factory=list)
     misc: str | None = None
     combined_to_misc: bool = False
+    normalize: bool = True
 
 
-def read_topic_map(path: str) -> TopicMap:
-    """A topic map from a JSON object with map, drop, misc_category and combined_to_misc."""
+def _payload(path: str) -> dict:
+    """An object from a JSON or YAML file, by its name's ending; YAML needs PyYAML."""
+    kind = path.rpartition(".")[2].lower()
+    if kind not in ("json", "yaml", "yml"):
+        raise ValueError(f"{path}: neither JSON nor YAML")
     with open(path, encoding="utf-8-sig") as file:
-        found = json.load(file)
-    if not isinstance(found, dict) or not isinstance(found.get("map", {}), dict):
-        raise ValueError(f"{path}: a topic map is an object whose map is an object")
+        if kind == "json":
+            found = json.load(file)
+        elif importlib.util.find_spec("yaml") is None:
+            raise RuntimeError(f"{path} can't be read without PyYAML; give a JSON file instead")
+        else:
+            found = importlib.import_module("yaml").safe_load(file) or {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: expected an object")
+    return found
+
+
+def read_topic_map(path: str) -> TopicMap:
+    """A topic map from an object with map, drop, misc_category, combined_to_misc and normalize, as JSON or YAML.
+
+    Without the keys "unknown" is dropped and combined labels become "Misc";
+    entries of the map without a source or a target are passed over.
+    """
+    found = _payload(path)
+    given, drop = found.get("map") or {}, found.get("drop", ["unknown"])
+    if not isinstance(given, dict):
+        raise ValueError(f"{path}: map must be an object")
+    pairs = {str(k).strip(): str(v).strip() for k, v in given.items()}
     return TopicMap(
-        {str(k): str(v) for k, v in found.get("map", {}).items()}, [str(x) for x in found.get("drop", [])],
-        found.get("misc_category"), bool(found.get("combined_to_misc", False)),
+        {k: v for k, v in pairs.items() if k and v}, [str(x) for x in drop if x] if isinstance(drop, (list, tuple)) else [],
+        str(found.get("misc_category", "Misc")).strip() or "Misc", bool(found.get("combined_to_misc", True)), bool(found.get("normalize", True)),
     )
 
 
 def read_names(path: str) -> list[str]:
-    """One name a line, list dashes and comments left out, repeats once and in order."""
+    """The items of a YAML list of texts, comments left out, repeats once and in order; any other line is an error."""
+    names = []
     with open(path, encoding="utf-8-sig") as file:
-        lines = [line.split("#")[0].strip().removeprefix("- ").strip().strip("'\"") for line in file]
-    return list(dict.fromkeys(x for x in lines if x and not x.endswith(":")))
+        for line in file:
+            item = line.split("#", 1)[0].strip()
+            if not item:
+                continue
+            if not item.startswith("-"):
+                raise ValueError(f"{path}: expected items of a list, got {line.strip()!r}")
+            item = item[1:].strip()
+            names.append(item[1:-1].strip() if len(item) > 1 and item[0] == item[-1] and item[0] in "'\"" else item)
+    return list(dict.fromkeys(x for x in names if x))
 
 
 def parse_names(raw, label: str, required: bool = False) -> list[str]:

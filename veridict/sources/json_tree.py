@@ -380,6 +380,28 @@ def read_validity(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(strip(F.col("model")).alias("model"), fraction(F.col("questions_passing_percent")).alias("validity"))
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """generator, n_valid, n_total, n_invalid, rate of a table whose columns have these names or generator_model, valid, total, in any case.
+
+    The example generator is left out; missing columns and entries that are
+    blank, no whole numbers, or no counts are errors.
+    """
+    rows = _csv(spark, path)
+    names = {c.lower(): c for c in rows.columns}
+    wanted = {"generator": "generator_model", "n_valid": "valid", "n_total": "total"}
+    lacking = [c for c, other in wanted.items() if c not in names and other not in names]
+    if lacking:
+        raise ValueError(f"{path}: missing columns {lacking}")
+    cell = lambda c: F.col(names.get(c, names.get(wanted[c], "")))
+    found = rows.select(strip(cell("generator")).alias("generator"), *(cell(c).try_cast("double").cast("long").alias(c) for c in ("n_valid", "n_total")))
+    found = found.where(F.coalesce(F.lower("generator"), F.lit("")) != "_example")
+    bad = F.col("generator").isNull() | (F.col("generator") == "") | F.col("n_valid").isNull() | F.col("n_total").isNull() | (F.col("n_total") <= 0) | ~F.col("n_valid").between(0, F.col("n_total"))
+    state = found.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
+    if state.bad or not state.n:
+        raise ValueError(f"{path}: {state.bad} unusable of {state.n} rows")
+    return found.withColumns({"n_invalid": F.col("n_total") - F.col("n_valid"), "rate": F.col("n_valid") / F.col("n_total")})
+
+
 def validity_from_log(spark: SparkSession, path: str, tag: str = "") -> DataFrame:
     """generator, n_valid, n_total out of a log: the lines from the first header on to a blank one, TOTAL left out.
 

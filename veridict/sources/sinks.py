@@ -37,6 +37,24 @@ def selection_report(selected: DataFrame, subset_tag: str) -> DataFrame:
     return per.join(targets, "generator").select(F.lit(subset_tag).alias("subset_tag"), F.col("generator").alias("generator_model"), "targets_by_specialty", "selected")
 
 
+def shim_reports(generators: DataFrame, report: dict, source: str, base: str | None = None, name: str = "topic_mapping_report.json") -> DataFrame:
+    """path and value, for ``write_tree``: a short report for each generator that stands for the one of all generators.
+
+    ``generators`` has generator and runs_root.  Paths below ``base`` become
+    relative to it; what the whole report does not say is empty.
+    """
+    def relative(path: str | None) -> str:
+        text = str(path or "")
+        return text[len(base.rstrip("/")) + 1 :] if base and text.startswith(base.rstrip("/") + "/") else text
+
+    prefix = f"{base.rstrip('/')}/" if base else ""
+    root = F.when(F.startswith("runs_root", F.lit(prefix)), F.substring("runs_root", len(prefix) + 1, 1 << 20)).otherwise(F.col("runs_root"))
+    fields = {"created_at": F.lit(str(report.get("created_at") or "")), "source_report_path": F.lit(source), "generator_model": F.col("generator"), "runs_root": root}
+    fields |= {k: F.lit(relative(report.get(k))) for k in ("targets_csv", "topic_map_path")} | {k: F.lit(str(report.get(k) or "")) for k in ("mode", "unmapped_policy")}
+    fields["global_runs_root"] = F.lit(relative(report.get("runs_root")))
+    return generators.select(F.concat("generator", F.lit(f"/{name}")).alias("path"), F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("value"))
+
+
 def batch_requests(items: DataFrame, model: str, prompt: str = "prompt") -> DataFrame:
     """Request lines of a batch job: one JSON text for each item, with its custom id."""
     body = F.struct(F.lit(model).alias("model"), F.col(prompt).alias("input"))
