@@ -717,3 +717,47 @@ def test_components_of_paths_and_hubs(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {160: 160, 161: 160}
     assert got == want
     assert F is not None
+
+
+@pytest.mark.parametrize("size", [0, 20, 30, 40, 49])
+def test_near_passages_behind_fragments(spark, size):
+    """Near copies (one word of sixty changed) are found though earlier documents hold fragments of the passage."""
+    rng = random.Random(100 + size)
+    rows, pairs = [], []
+    passages_ = [prose(rng, 60).split() for _ in range(40)]
+    for k, p in enumerate(passages_):
+        at = rng.randrange(61 - size)
+        rows.append((k, f"{prose(rng, 40)} {' '.join(p[at : at + size])} {prose(rng, 40)}"))
+    for k, p in enumerate(passages_):
+        changed = [*p[:30], "changed", *p[31:]]
+        rows.append((1000 + k, f"{prose(rng, 50)} {' '.join(p)} {prose(rng, 50)}"))
+        rows.append((2000 + k, f"{prose(rng, 30)} {' '.join(changed)} {prose(rng, 70)}"))
+        pairs.append((2000 + k, 1000 + k))
+    found = {(r.doc_id, r.first_doc) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    # nearly all of 49 words and one that happens to agree are a near repeat of the fragment itself
+    assert len(found & set(pairs)) >= 36 and all(a % 1000 == b % 1000 for a, b in found)
+
+
+def test_meetings_across_batches():
+    """Heads and documents before, whatever the batches are."""
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(6), rng.randrange(2), rng.randrange(5), rng.randrange(50)) for _ in range(300))
+    names = ["key", "salt", "doc_id", "centre", "first", "last", "h", "parts"]
+
+    class Windows:
+        def __init__(self, size):
+            self.size = size
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            table = pa.table([*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2, 3, 3, 3)), pa.array([1] * len(rows), pa.int8()), pa.array([None] * len(rows), pa.int64())], names=names)
+            return [x for b in run(iter(table.to_batches(max_chunksize=self.size))) for x in b.to_pylist()]
+
+    want = []
+    for k, (key, salt, doc, centre) in enumerate(rows):
+        head = next(r for r in rows if r[:2] == (key, salt))
+        earlier = [r for r in rows[:k] if r[:2] == (key, salt) and r[2] != doc]
+        if head[2] != doc:
+            want.append((doc, centre, head[2], head[3], earlier[-1][2], earlier[-1][3]))
+    for size in (1, 2, 7, 300):
+        got = [(r["doc_id"], r["centre"], r["first_doc"], r["centre0"], r["before_doc"], r["centre1"]) for r in passages._meet(Windows(size))]
+        assert got == want
