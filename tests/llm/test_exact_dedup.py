@@ -69,6 +69,17 @@ def test_state_outlives_arrivals_and_small_batches(spark, rows, tmp_path):
     checked(exact_dedup.decisions(docs, folder), rows)
 
 
+def test_interrupted_between_arrival_and_state(spark, rows, tmp_path, monkeypatch):
+    docs, folder = stored(spark, rows, tmp_path / "docs"), str(tmp_path / "state")
+    with monkeypatch.context() as broken:
+        broken.setattr(exact_dedup, "catch_up", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            exact_dedup.absorb(docs, folder)
+    for _ in range(2):
+        exact_dedup.catch_up(spark, folder)
+    checked(exact_dedup.decisions(docs, folder), rows)
+
+
 def test_large_group_is_dealt(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "HOT_ROWS", 5)
     monkeypatch.setattr(tables, "HOT_KEYS", 10)

@@ -151,7 +151,11 @@ def _longest(sums: np.ndarray) -> tuple[int, int] | None:
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of at most about ``block_words`` words; one is in memory at a time."""
+    """The benchmark in blocks of at most about ``block_words`` words, through the driver.
+
+    A lazy result refers to all blocks that it is matched with, so the driver
+    holds the benchmark's word hashes until the result is let go.
+    """
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
         ids.append(row.i)
@@ -179,7 +183,10 @@ def overlaps(
     docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """Every document and benchmark item that overlap, with their longest overlap.
+    """Every document and benchmark item that overlap, with their best-scoring overlap.
+
+    The score of an overlap is its agreeing words less four for each other one;
+    where the best one is too short, the longest that agrees well enough counts.
 
     Columns: doc_id, item_id (types as given), first_word (from 0), n_words and
     n_agree.  Words are lower-cased in A-Z and split at ASCII white space.  An

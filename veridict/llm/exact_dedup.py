@@ -47,14 +47,21 @@ def _located(docs: DataFrame, key: str, text: str, digest=sha256) -> DataFrame:
 
 
 def absorb(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES, digest=sha256) -> None:
-    """Add the documents, rows of Parquet files, to the state in ``folder``; interrupted, it goes on where it was.
+    """Add the documents, rows of Parquet files, to the state in ``folder``.
 
     ``folder`` holds the thin rows of all arrivals and the stream's checkpoint.
+    Documents count as arrived once their thin rows are written; if the job
+    ends between that and the state, ``catch_up`` goes on.
     """
-    spark = docs.sparkSession
     thin = _located(docs, key, text, digest).drop("content")
     thin.write.mode("append").parquet(f"{folder}/arrivals")
-    arrivals = spark.readStream.schema(thin.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{folder}/arrivals")
+    catch_up(docs.sparkSession, folder, batch_bytes)
+
+
+def catch_up(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> None:
+    """Take all arrivals that the state does not hold yet into it, each exactly once."""
+    schema = spark.read.parquet(f"{folder}/arrivals").schema
+    arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{folder}/arrivals")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "file", "row"))
     state = arrivals.groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies"))
     before = {k: spark.conf.get(k, None) for k in STATE}
