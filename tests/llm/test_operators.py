@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import LOWER, SCHEMA, WORDS, corpus, prose, words
-from veridict.llm import byte_bpe, chat, decontamination, line_dedup, lm_scoring, ngram_join, passages, quality, sharding, toxicity
+from veridict.llm import byte_bpe, chat, decontamination, line_dedup, lm_scoring, ngram_join, passages, quality, sharding, tables, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -638,7 +638,7 @@ def test_held_out_rule(spark):
 # --- decontamination
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
     rng = random.Random(9)
     items = [prose(rng, 40), prose(rng, 12), prose(rng, 6), "too short", None, "", prose(rng, 30)]
     swapped = items[0].split()
@@ -649,12 +649,14 @@ def test_decontamination(spark, docs, rows, empty):
     ]
     table = spark.createDataFrame([(1000 + k, t, "en", "s", 1, "c", "i", 1) for k, t in enumerate(texts)], SCHEMA).unionByName(docs)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for size in (10**6, 20):
-        found = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_agree) for r in decontamination.overlaps(table, bench, block_words=size).collect()}
+    for bits, texts_out in ((decontamination.MOST_BITS, 10**6), (3, 0)):  # a bitmap that lets nearly all pass, texts taken out by a shuffle
+        monkeypatch.setattr(decontamination, "MOST_BITS", bits)
+        monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", texts_out)
+        found = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_agree) for r in decontamination.overlaps(table, bench).collect()}
         assert found == {
             (1000, 0): (30, 40, 40), (1001, 0): (9, 40, 38), (1002, 1): (0, 12, 12), (1003, 2): (1, 6, 6), (1004, 6): (0, 13, 13),
         }
-        kept = decontamination.decontaminate(table, bench, block_words=size)
+        kept = decontamination.decontaminate(table, bench)
         assert kept.columns == table.columns
         assert {r.doc_id for r in kept.collect()} == {*range(len(rows)), 1005, 1006, 1007}
     assert decontamination.overlaps(empty, bench).count() == 0
@@ -688,15 +690,72 @@ def test_no_replacement_hides_an_overlap(n, k):
         assert any(not m & lost for m in seen), gone
 
 
-def test_overlaps_with_any_fifth_replaced():
-    item = [f"w{j}" for j in range(25)]
+def test_overlaps_with_any_fifth_replaced(spark):
+    item, texts, wanted = [f"w{j}" for j in range(25)], [], set()
     for n, k in ((9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (15, 3)):
-        block = decontamination.Block([0], [" ".join(item[:n])])
-        gone = list(itertools.combinations(range(n), k))
-        texts = [" ".join(f"x{j}" if j in g else w for j, w in enumerate(item[:n])) for g in gone]
-        (hashed,) = decontamination.words(pa.array(texts))
-        found = {text for text, *_ in block.overlaps(hashed.hashes, hashed.bounds)}
-        assert len(found) == len(gone), (n, k)
+        for g in itertools.combinations(range(n), k):
+            wanted.add((len(texts), n))
+            texts.append(" ".join(f"x{j}" if j in g else f"{n}{w}" for j, w in enumerate(item[:n])))
+    bench = spark.createDataFrame([(n, " ".join(f"{n}{w}" for w in item[:n])) for n in (9, 10, 11, 12, 13, 15)], "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.overlaps(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_overlaps_against_brute_force(spark, monkeypatch):
+    """All columns, with frequent seeds, items and texts dealt over tasks."""
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    rng = random.Random(33)
+    common = prose(rng, 14)
+    items = [f"{prose(rng, rng.choice([0, 3, 20]))} {common if k % 2 else ''} {prose(rng, rng.choice([5, 12, 40]))}".split() for k in range(12)]
+    items[3][4:8] = items[5][2:6]
+    texts = []
+    for k in range(60):
+        w = list(rng.choice(items))[rng.randrange(4) :]
+        for _ in range(rng.choice([0, 1, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(99)}"
+        if k % 5 == 0:
+            at = rng.randrange(len(w))
+            w[at : at + 4] = ["other"] * len(w[at : at + 4])
+        texts.append(f"{prose(rng, rng.randrange(6))} {' '.join(w)} {prose(rng, rng.randrange(6))}" if k % 7 else f"{prose(rng, 5)} {common}")
+    texts += [texts[0]] * 9
+    wanted = {}
+    for d, text in enumerate(texts):
+        own = words(text)
+        for i, item in enumerate(items):
+            best = brute_overlap(own, item)
+            if best:
+                wanted[d, i] = best
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_agree) for r in decontamination.overlaps(table, bench).collect()}
+    assert got == wanted and len({d for d, _ in wanted}) > 40
+
+
+def brute_overlap(own, item):
+    """First word, words, agreeing words of the best-scoring stretch of every way to lay the item on the text."""
+    best, least = None, min(13, len(item))
+    for start in range(1 - len(item), len(own)):
+        low, high = max(0, start), min(len(own), start + len(item))
+        same = [own[j] == item[j - start] for j in range(low, high)]
+        if 5 * sum(same) < 4 * least:
+            continue
+        sums, found = [0, *itertools.accumulate(same)], []
+        for a, b in itertools.combinations(range(len(sums)), 2):
+            n, k = b - a, sums[b] - sums[a]
+            found.append((5 * k - 4 * n, n, a, k))
+        top = max(f[0] for f in found)
+        score, n, a, k = min((f for f in found if f[0] == top), key=lambda f: (f[2] + f[1], f[2]))
+        if n < least or score <= 0:
+            wide = [f for f in found if f[0] >= 0 and f[1] >= least]
+            if not wide:
+                continue
+            score, n, a, k = max(wide, key=lambda f: (f[1], -f[2]))
+        if len(item) < 9 and (n < len(item) or k < n):
+            continue
+        if best is None or (-k, low + a) < (-best[2], best[0]):
+            best = (low + a, n, k)
+    return best
 
 
 def test_word_hashes_tell_words_apart():
