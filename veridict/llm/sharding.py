@@ -39,8 +39,8 @@ def interleave(
     fraction and cut into shards whose row counts differ by one at most; every
     stretch of the order, and so every shard, holds the sources in the corpus's
     proportions.  A null source is a source of its own.  Rows that agree in
-    key, also null ones, are told apart by their other columns; rows that agree
-    in all columns are interchangeable.  An empty table gives an empty result.
+    key, also null ones, are told apart by their other columns, of any type;
+    rows that agree in all columns are interchangeable.  An empty table gives an empty result.
     Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
     """
     spark = docs.sparkSession
@@ -56,13 +56,15 @@ def interleave(
     n = _buckets(spark, rows)
     high = F.conv(F.substring("_mix", 1, 8), 16, 10).cast("long")
     slim = slim.withColumn("_bucket", F.floor(high * n / (1 << 32)).cast("int"))
-    ranked = _ranked(slim, ["_source"], "_bucket", ["_mix", F.col("_key")], "_rank")
+    # columns decide between rows of one key and mix, which a null and its neighbour's value may share
+    ties = [F.to_json(F.struct(f"c_{i}")) if kind.startswith(("map", "variant")) else F.col(f"c_{i}") for i, (_, kind) in enumerate(docs.dtypes)]
+    ranked = _ranked(slim, ["_source"], "_bucket", ["_mix", F.col("_key"), *ties], "_rank")
     totals = slim.groupBy("_source").agg(F.count("*").alias("_total"))
     placed = ranked.join(totals, "_source").withColumn(
         "_fraction", (2 * F.col("_rank") + 1) / (2.0 * F.col("_total"))
     )
     placed = placed.withColumn("_slice", F.floor(F.col("_fraction") * n).cast("int")).withColumn("_all", F.lit(0))
-    order = [F.col("_fraction"), F.col("_source"), F.col("_mix"), F.col("_key")]
+    order = [F.col("_fraction"), F.col("_source"), F.col("_mix"), F.col("_key"), *ties]
     final = _ranked(placed, ["_all"], "_slice", order, "_at")
     shard = F.floor(F.col("_at") * shards / F.lit(max(rows, 1))).cast("int")
     first = F.ceil(shard.cast("long") * F.lit(max(rows, 1)) / F.lit(shards)).cast("long")
