@@ -77,6 +77,22 @@ def test_ngram_short_documents_and_shared_passages(spark, monkeypatch):
         assert got == brute_components(rows, size, percent), (size, percent)
 
 
+def test_ngram_frequent_keys(spark, monkeypatch):
+    """Copies of one text, near copies and empty texts, with their keys dealt over tasks."""
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "LOOKED_AT", 1)
+    rng = random.Random(27)
+    texts = [prose(rng, 60)] * 30 + ["", None] * 10 + [prose(rng, 30) for _ in range(10)]
+    for _ in range(25):
+        w = texts[0].split()
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_ngram_family_in_blocks(spark, monkeypatch):
     """A family of near copies larger than a row block."""
     rng = random.Random(1)
@@ -364,6 +380,17 @@ def test_sharding_shared_and_null_keys(spark, docs, monkeypatch):
     assert places[0] == places[1] and len({p[1:] for p in places[0]}) == 60
 
 
+def test_sharding_ties(spark):
+    """Rows of one key whose columns are null in turn, or differ in arrays and maps only, have fixed places in any partitioning."""
+    rows = [(7, None, "a", [k % 3], {"m": k // 3}, "s") for k in range(12)] + [(7, "a", None, [0], {}, None), (7, None, "a", [0], {}, None)]
+    table = spark.createDataFrame(rows, "doc_id long, one string, other string, list array<int>, map map<string,int>, source string")
+    places = []
+    for parts in (1, 5, 3):
+        got = sharding.interleave(table.repartition(parts).orderBy(F.rand(parts)), 4).collect()
+        places.append({(r.one, r.other, tuple(r.list), tuple(r.map.items()), r.source): (r.shard, r.slot) for r in got})
+    assert len(places[0]) == len(rows) and places[0] == places[1] == places[2]
+
+
 def test_sharding_more_shards_than_rows(spark):
     rows = [(i, "s") for i in range(3)]
     got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string"), 24).collect()

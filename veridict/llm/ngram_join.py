@@ -23,14 +23,14 @@ id, and take part once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridict.llm.tables import connected_components, join_frequent, written
+from veridict.llm.tables import connected_components, frequent, join_frequent, written
 from veridict.llm.words import mix64, seeded, shingles, signed
 
 #: Bounds of a row block: documents, and n-grams of all of them (a longer document is a block of its own).
@@ -40,6 +40,8 @@ BLOCK_ROWS, BLOCK_GRAMS = 1000, 250_000
 SHORT_PERCENT, OFTEN_PERCENT, SHORT_LEAST, OFTEN_LEAST = 10, 18, 1, 2
 #: Columns with more documents than this are multiplied as a dense matrix.
 DENSE = 24
+#: Of as many documents one is looked at to find frequent keys beforehand; they are only dealt out differently.
+LOOKED_AT = 16
 
 
 def _floor_sum(total: int, percent: int) -> int:
@@ -160,21 +162,36 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, grams binary")
 
 
+def _dealt(rows: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """The sub-rows of ``docs``, by key and sorted in each partition; those of a frequent key are dealt over several.
+
+    Which keys are frequent is seen from a part of the documents beforehand,
+    and decides only where their rows go; ``hot`` marks them.
+    """
+    look = rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOKED_AT)) == 0))
+    counts = look.groupBy("key").agg((F.count("*") * LOOKED_AT).alias("c"))
+    hot = F.broadcast(written(frequent(written(counts.where(F.col("c") > 4 * LOOKED_AT))).select("key", "parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = rows(docs).join(hot, "key", "left").select("key", "doc_id", salt.alias("salt"), F.col("parts").isNotNull().alias("hot"))
+    return dealt.repartition("key", "salt").sortWithinPartitions("key")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key another row has, too; they come sorted by key in each partition.
+    """The rows whose key another row has, too, and all of frequent keys; they come sorted by key in each partition.
 
     Only one row is held, so a key may have any number of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # the last row, and whether it is shared
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # the last row, and whether it is kept
         cut = lambda key, doc: pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc)], names=["key", "doc_id"])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "doc_id"), strict=False))
+            own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "hot"))
+            key, doc, hot = (np.concatenate([h, o]) for h, o in zip(held, own, strict=True))
             same = key[1:] == key[:-1]
-            shared = np.concatenate([same, [False]]) | np.concatenate([[bool(held[2].any())], same])
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | hot.astype(bool)
             held = [key[-1:], doc[-1:], shared[-1:]]
             yield cut(key[:-1][shared[:-1]], doc[:-1][shared[:-1]])
         yield cut(held[0][held[2]], held[1][held[2]])
@@ -291,7 +308,7 @@ def _product(rows: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """doc_id and component of every document of ``reps`` that links with another; reps has doc_id and n_shingles."""
-    rows = _sub_rows(docs, size, percent).repartition("key").sortWithinPartitions("key")
+    rows = _dealt(lambda part: _sub_rows(part, size, percent), docs)
     stars = written(_stars(_shared(rows), reps, percent))
     if stars.isEmpty():
         return None
@@ -330,14 +347,15 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "do
     """
     slim = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     profiles = written(_profiles(slim, size))
-    classes = profiles.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes)
+    full, same = profiles.where("n_shingles > 0"), ["d1", "d2", "n_shingles"]
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
     linked = _links(slim, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), size, percent)
     if linked is not None:
         named = classes.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        classes = named.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("rep"))
-    joined = profiles.alias("p").join(classes.alias("c"), ["d1", "d2", "n_shingles"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        classes = written(named.select(*same, F.coalesce("component", "rep").alias("rep"), "c"))
+    joined = join_frequent(full, classes, same).select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    empty = profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
