@@ -77,22 +77,6 @@ def test_ngram_short_documents_and_shared_passages(spark, monkeypatch):
         assert got == brute_components(rows, size, percent), (size, percent)
 
 
-def test_ngram_frequent_keys(spark, monkeypatch):
-    """Copies of one text, near copies and empty texts, with their keys dealt over tasks."""
-    monkeypatch.setattr(tables, "HOT_ROWS", 3)
-    monkeypatch.setattr(ngram_join, "LOOKED_AT", 1)
-    rng = random.Random(27)
-    texts = [prose(rng, 60)] * 30 + ["", None] * 10 + [prose(rng, 30) for _ in range(10)]
-    for _ in range(25):
-        w = texts[0].split()
-        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
-        texts.append(" ".join(w))
-    rng.shuffle(texts)
-    rows = list(enumerate(texts))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert got == brute_components(rows, 5, 80)
-
-
 def test_ngram_family_in_blocks(spark, monkeypatch):
     """A family of near copies larger than a row block."""
     rng = random.Random(1)
