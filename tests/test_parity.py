@@ -188,3 +188,19 @@ def test_requests_and_plans(spark):
 def test_refined_topics(spark, topic, response, mapped, after):
     got = topics.refined(rows(spark, [(1, topic, mapped)], "question_id int, topic string, mapped string"), rows(spark, [(1, response)], "question_id int, response string")).first()
     assert (got.mapped, got.mapped_before) == after
+
+
+def _parses(df) -> int:
+    """How often a row's plan parses JSON."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_texts_are_parsed_once(spark):
+    """What depends on a parsed text several times holds the parsing once, else its cost multiplies with every step."""
+    raw = spark.createDataFrame([("q1", "{}", "A")], "quiz_id string, raw string, answer string").withColumnRenamed("quiz_id", "custom_id")
+    lines = raw.select("custom_id", F.col("raw").alias("line"))
+    responses = raw.withColumnRenamed("custom_id", "quiz_id")
+    assert _parses(ingest.batch_answers(raw.select("custom_id", "answer"), lines)) == 2  # the line and its body
+    assert _parses(ingest.ratings_of(responses.select("quiz_id", "raw"))) == 1
+    assert _parses(ingest.quiz_items(responses)) == 1
+    assert _parses(ingest.quiz_status(responses, responses)) == 1

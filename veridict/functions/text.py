@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"[\s\x1c-\x1f\x85\xa0]+"
 
 
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(x)`` with x computed once a row: an expression that is named twice is computed twice, and nested ones multiply."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends (all kinds, not only spaces)."""
     return F.regexp_replace(x, rf"^{_BLANK}|{_BLANK}$", "")
@@ -35,15 +42,15 @@ def collapse_space(x: Column) -> Column:
 
 def json_block(x: Column) -> Column:
     """An object or array in a json fence, else the widest stretch from a bracket to its last counterpart, else the text."""
-    fenced = F.regexp_extract(x, r"(?s)```json\s*(\{.*\}|\[.*\])\s*```", 1)
-    bare = F.regexp_extract(x, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(fenced != "", strip(fenced)).when(bare != "", strip(bare)).otherwise(strip(x))
+    fenced = lambda x: F.regexp_extract(x, r"(?s)```json\s*(\{.*\}|\[.*\])\s*```", 1)
+    bare = lambda x: F.regexp_extract(x, r"(?s)(\{.*\}|\[.*\])", 1)
+    either = lambda found, other: once(found, lambda f: F.when(f != "", strip(f)).otherwise(other))
+    return once(x, lambda x: either(fenced(x), either(bare(x), strip(x))))
 
 
 def _first_match(x: Column, patterns: tuple[str, ...]) -> Column:
     """First group of the first pattern that matches, null if none does."""
-    found = [F.regexp_extract(x, p, 1) for p in patterns]
-    return F.coalesce(*(F.when(f != "", f) for f in found))
+    return once(x, lambda x: F.coalesce(*(once(F.regexp_extract(x, p, 1), lambda f: F.when(f != "", f)) for p in patterns)))
 
 
 def answer_letter(x: Column, allowed: str = "ABCDE") -> Column:
@@ -58,9 +65,9 @@ def answer_letter(x: Column, allowed: str = "ABCDE") -> Column:
         r"(?iU)\banswer\s*:\s*([A-Z])\b",
         r"(?U)\(([A-Z])\)\s*$",
     )
-    stated = F.upper(_first_match(strip(x), patterns))
-    letter = F.coalesce(stated, F.try_element_at(F.regexp_extract_all(F.upper(x), F.lit(r"(?U)\b([A-Z])\b"), F.lit(1)), F.lit(-1)))
-    return F.when(F.instr(F.lit(allowed), letter) > 0, letter)
+    stated = lambda x: F.upper(_first_match(strip(x), patterns))
+    last = lambda x: F.try_element_at(F.regexp_extract_all(F.upper(x), F.lit(r"(?U)\b([A-Z])\b"), F.lit(1)), F.lit(-1))
+    return once(x, lambda x: once(F.coalesce(stated(x), last(x)), lambda letter: F.when(F.instr(F.lit(allowed), letter) > 0, letter)))
 
 
 def answer_letter_of_ten(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridict.functions import model_output as M
-from veridict.functions.text import answer_letter, repaired_options, strip
+from veridict.functions.text import answer_letter, once, repaired_options, strip
 
 
 def quiz_items(responses: DataFrame, n_options: int = 5) -> DataFrame:
@@ -19,7 +19,8 @@ def quiz_items(responses: DataFrame, n_options: int = 5) -> DataFrame:
     response; blank is null).  Unusable items and responses give no rows.
     """
     topics = F.col("target_topics") if "target_topics" in responses.columns else F.lit(None).cast("array<string>")
-    items = responses.select("quiz_id", topics.alias("_topics"), F.posexplode(M.quiz_entries(F.col("raw"))).alias("_at", "_item"))
+    # outer: else Spark reads every response again to see whether it has entries; a response without any gives one that is no object
+    items = responses.select("quiz_id", topics.alias("_topics"), F.posexplode_outer(M.quiz_entries(F.col("raw"))).alias("_at", "_item"))
     usable = items.where(M.entry_error(F.col("_item"), n_options).isNull())
     number = F.row_number().over(Window.partitionBy("quiz_id").orderBy("_at"))
     field = lambda name, kind="string": F.try_variant_get("_item", f"$.{name}", kind)
@@ -36,10 +37,11 @@ def quiz_status(requests: DataFrame, responses: DataFrame, n_options: int = 5) -
 
     ``requests`` has quiz_id, ``responses`` quiz_id and raw, one at most for a quiz.
     """
-    entries = M.quiz_entries(F.col("raw"))
-    usable = F.size(F.filter(entries, lambda i: M.entry_error(i, n_options).isNull()))
-    found = responses.select("quiz_id", F.lit(True).alias("_there"), entries.isNull().alias("_broken"), F.coalesce(usable, F.lit(0)).alias("_n"))
-    joined = requests.select("quiz_id").join(found, "quiz_id", "left")
+    usable = lambda entries: F.size(F.filter(entries, lambda i: M.entry_error(i, n_options).isNull()))
+    found = responses.select("quiz_id", once(
+        M.quiz_entries(F.col("raw")), lambda e: F.struct(F.lit(True).alias("there"), e.isNull().alias("broken"), F.coalesce(usable(e), F.lit(0)).alias("n"))
+    ).alias("_e"))
+    joined = requests.select("quiz_id").join(found, "quiz_id", "left").select("quiz_id", *(F.col(f"_e.{c}").alias(f"_{c}") for c in ("there", "broken", "n")))
     error = (
         F.when(F.col("_there").isNull(), F.lit("no result returned"))
         .when(F.col("_broken"), F.concat(F.lit("Could not parse JSON for quiz "), F.col("quiz_id")))
@@ -69,14 +71,15 @@ def batch_answers(items: DataFrame, lines: DataFrame, letter=answer_letter) -> D
     choice out of a text.
     """
     joined = items.join(lines.select("custom_id", "line"), "custom_id", "left")
-    value = F.try_parse_json("line")
-    get = lambda path, default: F.coalesce(F.try_variant_get(value, path, "string"), F.lit(default))
-    failed = ~F.coalesce(F.schema_of_variant(F.try_variant_get(value, "$.error", "variant")), F.lit("VOID")).isin("VOID", "OBJECT<>")
-    problem = F.concat(F.lit("Batch error ("), get("$.error.code", "unknown_code"), F.lit("): "), get("$.error.message", "no error message provided"))
+    kind = lambda value: F.coalesce(F.schema_of_variant(F.try_variant_get(value, "$.error", "variant")), F.lit("VOID"))
+    get = lambda value, path, default: F.coalesce(F.try_variant_get(value, path, "string"), F.lit(default))
+    problem = lambda value: F.concat(F.lit("Batch error ("), get(value, "$.error.code", "unknown_code"), F.lit("): "), get(value, "$.error.message", "no error message provided"))
+    failure = once(F.try_parse_json("line"), lambda value: F.when(~kind(value).isin("VOID", "OBJECT<>"), problem(value)))
     text = F.replace(M.body_text(F.get_json_object("line", "$.response.body")), F.lit("**"), F.lit(""))
-    output = F.when(F.col("line").isNull(), "Error: no result returned for this request.").when(failed, problem).otherwise(text)
-    pred = F.when(F.col("line").isNotNull() & ~failed, letter(text))
-    return joined.select(*items.columns, pred.alias("pred"), F.coalesce(pred == F.col("answer"), F.lit(False)).alias("correct"), output.alias("model_output"))
+    read = once(failure, lambda f: F.struct(f.isNull().alias("fine"), F.when(f.isNotNull(), f).otherwise(text).alias("output")))
+    found = joined.withColumn("_r", F.when(F.col("line").isNotNull(), read)).withColumn("_pred", F.when(F.col("_r.fine"), letter(F.col("_r.output"))))
+    output = F.when(F.col("line").isNull(), "Error: no result returned for this request.").otherwise(F.col("_r.output"))
+    return found.select(*items.columns, F.col("_pred").alias("pred"), F.coalesce(F.col("_pred") == F.col("answer"), F.lit(False)).alias("correct"), output.alias("model_output"))
 
 
 def unanswered(items: DataFrame, answered: DataFrame, by: tuple[str, ...] = ("question_id", "question")) -> DataFrame:
