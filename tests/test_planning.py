@@ -123,3 +123,11 @@ def test_json_errors_are_those_of_a_parser(spark):
     for r in got:
         assert (tuple(r.e) if r.e else None) == parser(r.t), r.t
     assert spark.createDataFrame([(None,)], "t string").select(json_error(F.col("t")).alias("e")).first().e is None
+
+
+def test_topics_of_a_brand_are_gathered_once(spark):
+    """A request meets the different types of its brand, not one for every part: these grow with the tables, and so do the requests."""
+    from veridict.plans import planning as plans
+
+    plan = plans.sampled_topics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "collect_list" not in plan

@@ -91,7 +91,7 @@ SELECT request, row_number() OVER (PARTITION BY request ORDER BY h, topic) AS pl
 def sampled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics drawn for a request of every supplier out of the types of a brand."""
     part = table(spark, sf_dir, "part")
-    types = part.groupBy("p_brand").agg(F.array_append(F.collect_list("p_type"), " ").alias("topics"))
+    types = part.groupBy("p_brand").agg(F.array_append(F.collect_set("p_type"), " ").alias("topics"))
     brand = F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 5).cast("string"), (1 + F.col("s_nationkey") % 5).cast("string"))
     requests = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request"), (F.col("s_suppkey") % 40).alias("n"), brand.alias("p_brand")).join(types, "p_brand")
     drawn = P.sampled_topics(requests, seed="request").select("request", F.posexplode("sampled").alias("place", "topic"))
