@@ -141,3 +141,25 @@ def test_every_reader(spark, root):
         one = rows.select(F.lit(reader).alias("reader"), F.concat_ws("|", *text).alias("item"))
         out = one if out is None else out.unionByName(one)
     assert sorted((r.reader, r.item) for r in out.collect()) == sorted(ROWS)
+
+
+def test_written_by_tasks(spark, tmp_path):
+    """The driver neither names nor renames a file of a shared folder; texts, names and times are as given."""
+    from pyspark.sql import functions as F
+
+    from veridict.sources import sinks
+
+    rows = spark.range(300).select(F.format_string("g/r%d/f.json", "id").alias("path"), F.format_string('{"é": %d}', "id").alias("value"), (1_700_000_000_000 + F.col("id") * 1000).alias("modified"))
+    sinks.write_tree(rows, str(tmp_path / "t"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    for k in (0, 7, 299):
+        file = tmp_path / f"t/g/r{k}/f.json"
+        assert file.read_text(encoding="utf-8") == f'{{"é": {k}}}\n' and file.stat().st_mtime == 1_700_000_000 + k
+    assert sum(1 for _ in (tmp_path / "t").rglob("*") if _.is_file()) == 300
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "g/r").mkdir(parents=True)
+    (tmp_path / "g/r/a_judge_result.json").write_text('[{"question_id": "1"}, 7]')
+    plan = J.read_ratings(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("from_json") <= 1

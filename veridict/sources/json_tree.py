@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridict import schemas
-from veridict.functions.text import collapse_space, fraction, seed_of, strip
+from veridict.functions.text import collapse_space, fraction, once, seed_of, strip
 
 JUDGE, ANSWERS, SUMMARY, TOPICS = "*_judge_result.json", "*_result.json", "*_summary.json", "topics_*.json"
 _META = {
@@ -33,11 +33,12 @@ def read_tree(spark: SparkSession, root: str, pattern: str, schema: str) -> Data
     over, row by row.  A field of another type than ``schema`` says is null.
     """
     reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.text(root).select(F.try_parse_json("value").alias("v"), *(F.col(v).alias(k) for k, v in _META.items()))
-    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
-    listed = F.when(kind(F.col("v")).startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    rows = files.select(*_META, F.explode(listed).alias("v")).where(kind(F.col("v")).startswith("OBJECT"))
-    found = rows.select(F.from_json(F.to_json("v"), schema, {"mode": "PERMISSIVE"}).alias("r"), *_META).select("r.*", *_META)
+    listed = once(F.try_parse_json("value"), lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)))
+    objects = F.filter(listed, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+    # parsed inside the array, which an outer explode makes once: filters on what it gives would read every file again
+    parsed = F.transform(objects, lambda v: F.from_json(F.to_json(v), schema, {"mode": "PERMISSIVE"}))
+    rows = reader.text(root).select(*(F.col(v).alias(k) for k, v in _META.items()), F.explode_outer(parsed).alias("r"))
+    found = rows.where("r is not null").select("r.*", *_META)
     return found.withColumns({"run_dir": F.regexp_replace("file_path", "/[^/]*$", ""), "run": _part(2), "generator": _part(3)})
 
 

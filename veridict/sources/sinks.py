@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +64,47 @@ def batch_requests(items: DataFrame, model: str, prompt: str = "prompt") -> Data
     return items.select(F.to_json(F.struct(F.col("custom_id"), F.lit("POST").alias("method"), body.alias("body"))).alias("value"))
 
 
+#: Tasks that write a tree, for each core: many small files a task would make a late one last.
+WRITERS_A_CORE = 4
+
+
+def _placed(files: DataFrame, root: str) -> None:
+    """Tasks write every text under its own name, in a folder that the machines share by its path."""
+    named = files.select("path", "value", (F.col("modified") if "modified" in files.columns else F.lit(None)).cast("long").alias("modified"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            for path, value, modified in zip(*(batch.column(c).to_pylist() for c in ("path", "value", "modified")), strict=True):
+                to = os.path.join(root, path)
+                if (folder := os.path.dirname(to)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                held = f"{folder}/.{uuid.uuid4().hex}"  # a task that is run again replaces what it wrote before
+                with open(held, "w", encoding="utf-8", newline="") as out:
+                    out.write((value or "") + "\n")
+                if modified is not None:
+                    os.utime(held, (modified / 1000, modified / 1000))
+                os.replace(held, to)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    tasks = WRITERS_A_CORE * files.sparkSession.sparkContext.defaultParallelism
+    named.repartition(tasks, "path").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_tree(files: DataFrame, root: str) -> None:
     """A file for each row: ``root``/``path`` with the text ``value``; with a column ``modified`` (ms), its time of change.
 
-    Tasks write the texts; the driver gives the files their names, of which it
-    sees no more than that.  Paths must differ.
+    Tasks write the texts.  On other file systems than shared folders the
+    driver gives the files their names, of which it sees no more than that.
+    Paths must differ.
     """
     spark = files.sparkSession
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+    if at(root).getFileSystem(hadoop).getUri().getScheme() == "file":
+        _placed(files, at(root).toUri().getPath())
+        return
     held = f"{root.rstrip('/')}-{uuid.uuid4().hex}"
     time = F.col("modified").cast("string") if "modified" in files.columns else F.lit("")
     named = files.select(F.hex(F.concat_ws("|", time, "path").cast("binary")).alias("place"), "value")
