@@ -112,3 +112,27 @@ def test_chi_square_without_absent_cells(spark, cells):
     got, (chi2, least) = stats.chi_square(table, "r", "c").first(), brute_chi_square(cells)
     assert abs(got.chi2 - chi2) < 1e-6 and abs(got.min_expected - least) < 1e-6
     assert abs(got.p - stats.chi_square_tail(chi2, got.dof)) < 1e-6
+
+
+def test_weights_on_arrays(spark):
+    """Weights that tasks make on arrays are those of the columns; draws are not rows of the plan."""
+    import numpy as np
+
+    from veridict.functions import random as R
+    from veridict.operators import resample
+
+    items = spark.createDataFrame([(k,) for k in range(200)], "unit long")
+    rows = R.drawn(items, ["unit"], 60, 5).withColumn("w", R.poisson("z")).collect()
+    want = {(r.replicate, r.unit): r.w for r in rows}
+    keys = items.select("unit", *R.item_keys("unit")).collect()
+    c = R.replicates(spark, 60, 5).orderBy("replicate").collect()
+    coefficients = np.array([[r[x] for r in c] for x in ("ca", "cb", "cc", "cd")], dtype=np.int64)[:, :, None]
+    w = resample._taken(coefficients, np.array([k.k1 for k in keys]), np.array([k.k2 for k in keys]), np.array(R.POISSON, dtype=np.int32))
+    assert {(b, k.unit): w[b, i] for b in range(60) for i, k in enumerate(keys)} == want
+    edge = np.array([0, R.P - 1], dtype=np.int64)
+    same = resample._taken(np.array([[[R.P - 1]]] * 4, dtype=np.int64), edge, edge, np.array(R.POISSON, dtype=np.int32))
+    z = [(((R.P - 1) * int(k) + R.P - 1) % R.P * int(k) + (R.P - 1) * int(k) + R.P - 1) % R.P for k in edge]
+    assert same[0].tolist() == [sum(x >= limit for limit in R.POISSON) for x in z]
+    ratings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a")], "unit long, v string")
+    plan = resample.alpha_bootstrap(ratings, "v", iterations=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "Generate explode" not in plan

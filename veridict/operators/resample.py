@@ -10,12 +10,15 @@ depends on partitioning, and SQL gives the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridict.functions.random import P, drawn, poisson
+from veridict.functions.random import POISSON, P, drawn, item_keys, poisson, replicates
 from veridict.functions.special import binomial_quantile
 from veridict.operators.reliability import nominal as differ
 
@@ -55,6 +58,75 @@ def pairwise_differences(replicates: DataFrame, delta: float = 0.02) -> DataFram
     return spread.withColumn("within_delta", (F.col("low") > -delta) & (F.col("high") < delta))
 
 
+#: Draws that a task makes at once, few enough for a cache.
+DRAWS = 1 << 16
+
+
+def _weighted(units: DataFrame, kind: str, iterations: int, seed: int) -> DataFrame:
+    """replicate, v, m, o: a task's sums over its units of w * c and w * o of their parts, where w is how often a unit is taken.
+
+    ``units`` has k1, k2 and parts (v, c, o).  A task holds one number for
+    every replicate and value, and draws for a bounded number of units at once.
+    """
+    rows = replicates(units.sparkSession, iterations, seed).orderBy("replicate").collect()  # the table that ``drawn`` broadcasts
+    coefficients = np.array([[r[c] for r in rows] for c in ("ca", "cb", "cc", "cd")], dtype=np.int64)[:, :, None]
+    names = np.array([r["replicate"] for r in rows], dtype=np.int64)
+    limits = np.array(POISSON, dtype=np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: dict = defaultdict(lambda: np.zeros(len(names)))
+        o: dict = defaultdict(lambda: np.zeros(len(names)))
+        type_v = pa.string()
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")]
+            parts = batch.column("parts")
+            start, flat = parts.offsets.to_numpy(), parts.values
+            values, (c, d) = flat.field("v"), (flat.field(x).to_numpy(zero_copy_only=False) for x in ("c", "o"))
+            type_v, coded = values.type, values.dictionary_encode()
+            code, step = coded.indices.to_numpy(zero_copy_only=False), max(1, DRAWS // max(1, len(names)))
+            distinct = coded.dictionary.to_pylist()
+            for at in range(0, batch.num_rows, step):
+                to = min(at + step, batch.num_rows)
+                w = _taken(coefficients, keys[0][at:to], keys[1][at:to], limits)
+                low, high = start[at], start[to]
+                owner = np.repeat(np.arange(to - at), np.diff(start[at : to + 1]))
+                dense = np.zeros((to - at, 2 * len(distinct)))
+                np.add.at(dense, (owner, code[low:high]), c[low:high])
+                np.add.at(dense, (owner, code[low:high] + len(distinct)), d[low:high])
+                total = w @ dense
+                for k, v in enumerate(distinct):
+                    m[v] += total[:, k]
+                    o[v] += total[:, k + len(distinct)]
+        for v in m:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([v] * len(names), type_v), pa.array(m[v]), pa.array(o[v])], names=["replicate", "v", "m", "o"])
+
+    # units are few bytes and much work: dealt by number, else adaptive execution puts them into few tasks
+    tasks = 4 * units.sparkSession.sparkContext.defaultParallelism
+    return units.repartition(tasks).mapInArrow(run, f"replicate bigint, v {kind}, m double, o double")
+
+
+def _taken(coefficients: np.ndarray, k1: np.ndarray, k2: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """How often each unit is taken in each replicate: ``drawn`` and ``poisson`` on arrays."""
+
+    def fold(x: np.ndarray) -> np.ndarray:
+        """Equal modulo P = 2^31 - 1 and below 2^32, for x below 2^63; in place."""
+        high = x >> 31
+        x &= P
+        x += high
+        return x
+
+    ca, cb, cc, cd = coefficients
+    z = fold(fold(ca * k1 + cb) * k1)
+    z += fold(cc * k2 + cd)
+    z = fold(z)
+    z -= P * (z >= P)
+    z = z.astype(np.int32)
+    w = np.zeros(z.shape, dtype=np.uint8)
+    for limit in limits:
+        w += (z >= limit).view(np.uint8)
+    return w.astype(np.float64)
+
+
 def alpha_bootstrap(ratings: DataFrame, value: str, distance: Callable[[Column, Column], Column] = differ, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """replicate, alpha: Krippendorff's alpha over resampled units, 1 where no disagreement is expected.
 
@@ -67,9 +139,10 @@ def alpha_bootstrap(ratings: DataFrame, value: str, distance: Callable[[Column,
         x["v"].alias("v"), x["c"].alias("c"),
         (F.aggregate("vs", F.lit(0.0), lambda s, y: s + x["c"] * y["c"] * distance(x["v"], y["v"])) / (F.col("n") - 1)).alias("o"),
     ))
-    taken = drawn(units.select("unit", dealt.alias("parts")), ["unit"], iterations, seed).withColumn("w", poisson("z")).where("w > 0")
-    part = taken.select("replicate", "w", F.inline("parts"))
-    margins = part.groupBy("replicate", "v").agg(F.sum(F.col("w") * F.col("c")).alias("m"), F.sum(F.col("w") * F.col("o")).alias("o"))
+    # units whose values are the same add up alike, whatever they are called: a task needs one column of weights for each kind
+    flat = units.select(F.col("unit"), dealt.alias("parts")).select(*item_keys("unit"), F.sort_array("parts").alias("parts"))
+    sums = _weighted(flat, dict(ratings.dtypes)[value], iterations, seed)
+    margins = sums.groupBy("replicate", "v").agg(F.sum("m").alias("m"), F.sum("o").alias("o")).where("m > 0")
     total = margins.groupBy("replicate").agg(F.sum("m").alias("n"), F.sum("o").alias("o"), F.collect_list(F.struct("v", "m")).alias("ms"))
     expected = F.aggregate("ms", F.lit(0.0), lambda s, x: s + F.aggregate("ms", F.lit(0.0), lambda t, y: t + x["m"] * y["m"] * distance(x["v"], y["v"])))
     alpha = 1 - F.try_divide(F.col("o") / F.col("n"), expected / (F.col("n") * (F.col("n") - 1)))
