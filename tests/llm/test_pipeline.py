@@ -143,3 +143,23 @@ def test_sql_of_corpus_queries(spark, folder):
         ours = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
         at = [want.columns.index(c) for c in columns]
         assert ours == sorted((tuple(plain(r[k]) for k in at) for r in want.fetchall()), key=repr), name
+
+
+def test_tables_of_ids_are_never_broadcast(spark, monkeypatch):
+    """However small a table of ids is on disk, the n-gram join shuffles it: its size as a broadcast has no bound."""
+    from veridict.llm import ngram_join
+
+    rng, plans, write = random.Random(3), [], tables.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(tables, "written", noted)
+    monkeypatch.setattr(ngram_join, "written", noted)
+    texts = [prose(rng, 60) for _ in range(20)]
+    texts += [f"{t} changed" for t in texts[:8]] + [f"{t} changed again" for t in texts[:4]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    kept = noted(ngram_join.keep_one(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p]

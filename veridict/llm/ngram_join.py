@@ -296,10 +296,12 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
     if stars.isEmpty():
         return None
     family = connected_components(stars).withColumnRenamed("node", "doc_id")
-    family = written(family.join(reps, "doc_id"))
+    # joins are shuffled at every size: nothing bounds the number of ids, and a table that is small as Parquet may be
+    # broadcast by its size on disk and be many times that on the driver
+    family = written(family.join(reps.hint("merge"), "doc_id"))
     sizes = family.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = family.join(sizes.where("rows > 1").select("component", parts.alias("parts")), "component")
+    members = family.join(sizes.where("rows > 1").select("component", parts.alias("parts")).hint("merge"), "component")
     block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     # a row block meets every row block of its family: as many copies of a row as the family has blocks
     tasks = members.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -307,10 +309,9 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
         "doc_id", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("task"),
         (F.col("i") > F.col("j")).cast("tinyint").alias("side"),
     )
-    # shuffled at every size: nothing bounds the number of ids, and what runs on little data should be what runs on much
     wanted = members.select("doc_id").hint("merge")
     sets = _sets(docs.join(wanted, "doc_id", "left_semi"), size)
-    joined = tasks.join(sets, "doc_id").repartition("task").sortWithinPartitions("task")
+    joined = tasks.join(sets.hint("merge"), "doc_id").repartition("task").sortWithinPartitions("task")
     links = _product(joined, percent)
     return connected_components(links).withColumnRenamed("node", "doc_id")
 
@@ -334,9 +335,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "do
     classes = written(classes)
     linked = _links(slim, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), size, percent)
     if linked is not None:
-        named = classes.join(linked.withColumnRenamed("doc_id", "rep"), "rep", "left")
+        named = classes.join(linked.withColumnRenamed("doc_id", "rep").hint("merge"), "rep", "left")
         classes = named.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("rep"))
-    joined = profiles.alias("p").join(classes.alias("c"), ["d1", "d2", "n_shingles"], "left")
+    joined = profiles.alias("p").join(classes.alias("c").hint("merge"), ["d1", "d2", "n_shingles"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
 
 
@@ -347,7 +348,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_
     stay; see ``components`` for everything else.
     """
     parts = components(docs, size, percent, doc, text).where("doc_id <> component_id").select(F.col("doc_id").alias(doc))
-    return docs.join(parts.distinct(), doc, "left_anti").select(*docs.columns)
+    return docs.join(parts.distinct().hint("merge"), doc, "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
