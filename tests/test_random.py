@@ -82,6 +82,20 @@ def test_ranks_in_buckets(spark, monkeypatch):
     assert resample.topic_permutation(items.repartition(5), 60).first() == whole
 
 
+def test_permutation_in_arrays(spark, monkeypatch):
+    """Strata held as arrays and strata ranked as rows give the same p, also with nulls; arrays never multiply rows by replicates."""
+    rows = [(i if i % 50 else None, f"t{i % 3}" if i % 11 else None, "rare" if i % 10 else None, float(i % 7) if i % 13 else None) for i in range(400)]
+    items = spark.createDataFrame(rows, "item long, topic string, stratum string, value double")
+    calls, plain = [], resample.drawn
+    monkeypatch.setattr(resample, "drawn", lambda *a, **b: calls.append(a) or plain(*a, **b))
+    whole = resample.topic_permutation(items, 60).first()
+    assert not calls
+    for held in (100, 0):  # one stratum as rows, then both
+        monkeypatch.setattr(resample, "ITEMS_HELD", held)
+        assert resample.topic_permutation(items.repartition(3), 60).first() == whole
+    assert calls
+
+
 def test_undefined_resampling(spark):
     items = spark.createDataFrame([(1, "a", "s", 1.0), (2, "a", "s", 1.0)], "item long, topic string, stratum string, value double")
     got = resample.topic_permutation(items, 10).first()

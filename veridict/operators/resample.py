@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridict.functions.random import POISSON, P, drawn, item_keys, poisson, replicates
@@ -24,6 +25,8 @@ from veridict.operators.reliability import nominal as differ
 
 #: Rows that one sorting task should get.
 ROWS_A_BUCKET = 50_000
+#: Items of a stratum that a task holds as arrays (a larger one is ranked as rows), and the shares its replicates are dealt to.
+ITEMS_HELD, SHARES = 1_000_000, 8
 
 
 def paired_bootstrap(attempts: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
@@ -62,15 +65,20 @@ def pairwise_differences(replicates: DataFrame, delta: float = 0.02) -> DataFram
 DRAWS = 1 << 16
 
 
+def _coefficients(spark: SparkSession, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates and their coefficients, the table that ``drawn`` broadcasts."""
+    rows = replicates(spark, iterations, seed).orderBy("replicate").collect()
+    names = np.array([r["replicate"] for r in rows], dtype=np.int64)
+    return names, np.array([[r[c] for r in rows] for c in ("ca", "cb", "cc", "cd")], dtype=np.int64).reshape(4, -1, 1)
+
+
 def _weighted(units: DataFrame, kind: str, iterations: int, seed: int) -> DataFrame:
     """replicate, v, m, o: a task's sums over its units of w * c and w * o of their parts, where w is how often a unit is taken.
 
     ``units`` has k1, k2 and parts (v, c, o).  A task holds one number for
     every replicate and value, and draws for a bounded number of units at once.
     """
-    rows = replicates(units.sparkSession, iterations, seed).orderBy("replicate").collect()  # the table that ``drawn`` broadcasts
-    coefficients = np.array([[r[c] for r in rows] for c in ("ca", "cb", "cc", "cd")], dtype=np.int64)[:, :, None]
-    names = np.array([r["replicate"] for r in rows], dtype=np.int64)
+    names, coefficients = _coefficients(units.sparkSession, iterations, seed)
     limits = np.array(POISSON, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +113,8 @@ def _weighted(units: DataFrame, kind: str, iterations: int, seed: int) -> DataFr
     return units.repartition(tasks).mapInArrow(run, f"replicate bigint, v {kind}, m double, o double")
 
 
-def _taken(coefficients: np.ndarray, k1: np.ndarray, k2: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """How often each unit is taken in each replicate: ``drawn`` and ``poisson`` on arrays."""
+def _draws(coefficients: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Each unit's draw in each replicate: ``drawn`` on arrays."""
 
     def fold(x: np.ndarray) -> np.ndarray:
         """Equal modulo P = 2^31 - 1 and below 2^32, for x below 2^63; in place."""
@@ -120,7 +128,12 @@ def _taken(coefficients: np.ndarray, k1: np.ndarray, k2: np.ndarray, limits: np.
     z += fold(cc * k2 + cd)
     z = fold(z)
     z -= P * (z >= P)
-    z = z.astype(np.int32)
+    return z.astype(np.int32)
+
+
+def _taken(coefficients: np.ndarray, k1: np.ndarray, k2: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """How often each unit is taken in each replicate: ``drawn`` and ``poisson`` on arrays."""
+    z = _draws(coefficients, k1, k2)
     w = np.zeros(z.shape, dtype=np.uint8)
     for limit in limits:
         w += (z >= limit).view(np.uint8)
@@ -192,22 +205,69 @@ def _ranked(rows: DataFrame, within: list[str], order: list[str], name: str) ->
     return rows.withColumn("_inner", inner).join(starts, [*within, "_bucket"]).withColumn(name, F.col("_inner") + F.col("_start")).drop("_inner", "_start", "_bucket")
 
 
+def _dealt_in_tasks(rows: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """replicate, stratum, part, total: sums of the values that a permutation within strata deals to each part of a stratum.
+
+    ``rows`` has stratum, item, value and part (0, 1, ... in the order in which
+    parts take ranks).  A task holds one stratum and sorts its draws, a
+    replicate at a time; an item is moved once for each of SHARES shares of the
+    replicates, not once a replicate.
+    """
+    names, coefficients = _coefficients(rows.sparkSession, iterations, seed)
+
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        order = pc.sort_indices(held, sort_keys=[("item", "ascending")], null_placement="at_start")  # decides between equal draws
+        own = held.select(["k1", "k2", "value", "part"]).take(order)
+        k1, k2, value, part = (own.column(c).to_numpy() for c in own.column_names)
+        starts, place = np.cumsum(counts := np.bincount(part)) - counts, np.arange(len(k1))
+        mine = np.flatnonzero(names % SHARES == key[1].as_py())
+        out = np.zeros((len(mine), len(counts)))
+        for i, r in enumerate(mine):
+            ranked = np.sort((_draws(coefficients[:, r], k1, k2).astype(np.int64) << 32) + place) & 0xFFFFFFFF
+            out[i] = np.add.reduceat(value[ranked], starts)
+        return pa.table({
+            "replicate": np.repeat(names[mine], len(counts)), "stratum": pa.array([key[0].as_py()] * out.size, pa.string()),
+            "part": np.tile(np.arange(len(counts)), len(mine)), "total": out.ravel(),
+        })
+
+    slim = rows.select("stratum", "item", *item_keys("item"), F.coalesce("value", F.lit(0.0)).alias("value"), F.col("part").cast("long").alias("part"))
+    # few bytes and much work: dealt by number, else adaptive execution puts them into few tasks
+    tasks = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    each = slim.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(tasks, "stratum", "share")
+    return each.groupBy("stratum", "share").applyInArrow(run, "replicate bigint, stratum string, part bigint, total double")
+
+
+def _dealt_as_rows(rows: DataFrame, cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """What ``_dealt_in_tasks`` returns, for strata of any size: every item is a row in every replicate."""
+    ends = cells.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("end", "part"))).alias("ends"))  # a topic each
+    ranked = _ranked(drawn(rows, ["item"], iterations, seed).drop("part"), ["replicate", "stratum"], ["z", "item"], "place")
+    dealt = ranked.join(ends, "stratum").withColumn("part", F.filter("ends", lambda e: e["end"] >= F.col("place"))[0]["part"])
+    return dealt.groupBy("replicate", "stratum", F.col("part").cast("long").alias("part")).agg(F.sum("value").alias("total"))
+
+
 def topic_permutation(items: DataFrame, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """F of the one-way analysis of item values by topic, and p by permuting topics within strata.
 
     ``items`` has item, value, topic and stratum.  p = (1 + permutations with
     at least the observed F) / (1 + permutations).  A permutation ranks a
     stratum's items by their draws and deals the ranks to its topics, each as
-    many as it has items; a null stratum is one of its own.
+    many as it has items; a null stratum is one of its own.  Strata of up to
+    ITEMS_HELD items are ranked as arrays inside tasks, larger ones as rows.
     """
     slim = items.select("item", F.col("value").cast("double").alias("value"), "topic", F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum"))
     cells = slim.groupBy("stratum", "topic").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("stratum").orderBy("topic"))
-    ends = cells.withColumn("end", upto).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("end", "topic"))).alias("ends"))  # a topic each
-    ranked = _ranked(drawn(slim, ["item"], iterations, seed), ["replicate", "stratum"], ["z", "item"], "place")
-    dealt = ranked.join(ends, "stratum").withColumn("to", F.filter("ends", lambda e: e["end"] >= F.col("place"))[0]["topic"])
+    along = Window.partitionBy("stratum").orderBy("topic")
+    cells = cells.withColumns({"end": F.sum("c").over(along), "part": F.row_number().over(along) - 1, "n": F.sum("c").over(Window.partitionBy("stratum"))})
+    known = cells.withColumnsRenamed({"stratum": "_stratum", "topic": "_topic"})
+    same = (F.col("stratum") == F.col("_stratum")) & F.col("topic").eqNullSafe(F.col("_topic"))
+    placed = slim.join(known.select("_stratum", "_topic", "part", "n"), same).select("stratum", "item", "value", "part", "n")
+    large = F.col("n") > ITEMS_HELD
+    dealt = _dealt_in_tasks(placed.where(~large), iterations, seed)
+    if not cells.where(large).isEmpty():
+        dealt = dealt.unionByName(_dealt_as_rows(placed.where(large).drop("n"), cells.where(large), iterations, seed))
+    named = dealt.join(cells.select("stratum", "part", "topic"), ["stratum", "part"])
     sums = slim.groupBy("topic").agg(F.count("*").alias("size"), F.sum("value").alias("t"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    totals = dealt.groupBy("replicate", F.col("to").alias("topic")).agg(F.sum("value").alias("total")).join(sums.select("topic", "size"), "topic")
+    totals = named.groupBy("replicate", "topic").agg(F.sum("total").alias("total")).join(sums.select("topic", "size"), "topic")
     inner = totals.groupBy("replicate").agg(F.sum(F.col("total") * F.col("total") / F.col("size")).alias("inner"))
     whole = sums.agg(
         F.count("*").alias("k"), F.sum("size").alias("n"), F.sum("t").alias("grand"), F.sum("q").alias("squares"),
