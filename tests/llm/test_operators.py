@@ -830,3 +830,29 @@ def test_meetings_across_batches():
     for size in (1, 2, 7, 300):
         got = [(r["doc_id"], r["centre"], r["first_doc"], r["centre0"], r["before_doc"], r["centre1"]) for r in passages._meet(Windows(size))]
         assert got == want
+
+
+def test_near_passages_between_fragments(spark, monkeypatch):
+    """Near copies are found though the earliest document and the one just before both hold fragments only."""
+    rng, sizes = random.Random(101), (20, 30, 40, 49)
+    rows, pairs = [], {size: set() for size in sizes}
+    for size in sizes:
+        for k in range(20):
+            p, own = prose(rng, 60).split(), 100 * size + k
+            ats = [min(60 - size, 31) if k % 2 else 0] * 2  # the fragment in both
+            changed = [*p[:30], "changed", *p[31:]]
+            fragment = lambda at: f"{prose(rng, 40)} {' '.join(p[at : at + size])} {prose(rng, 40)}"  # noqa: B023, E731
+            rows.append((own, fragment(ats[0])))
+            rows.append((10_000 + own, f"{prose(rng, 50)} {' '.join(p)} {prose(rng, 50)}"))
+            rows += [(20_000 + own + 1000 * i, fragment(ats[1])) for i in range(1, 4)]
+            rows.append((30_000 + own, f"{prose(rng, 30)} {' '.join(changed)} {prose(rng, 70)}"))
+            pairs[size].add((30_000 + own, 10_000 + own))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every = None
+    for few in (passages.FEW, 1):  # the groups as a whole, and by what they have in common
+        monkeypatch.setattr(passages, "FEW", few)
+        got = {(r.doc_id, r.first_doc) for r in passages.repeated_passages(table).collect()}
+        print(few, [len(got & pairs[size]) for size in sizes])
+        every = got & set().union(*pairs.values()) if every is None else every
+        assert all(len(got & pairs[size]) >= 18 for size in sizes)
+        assert every <= got
