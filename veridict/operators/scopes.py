@@ -51,7 +51,8 @@ def by_judges(rows: DataFrame, judges: DataFrame, column: str = "generator") ->
 
 def default_models(rows: DataFrame, model: str = "model", generator: str = "generator") -> DataFrame:
     """Rows of answering models that are generators, too; all rows if none is."""
-    both = rows.select(F.col(model).alias("_m")).intersect(rows.select(F.col(generator).alias("_m")))
+    # names once each before they meet, or all rows of a name would go to one task
+    both = rows.select(F.col(model).alias("_m")).distinct().intersect(rows.select(F.col(generator).alias("_m")).distinct())
     some = both.agg((F.count("*") > 0).alias("_any"))
     kept = rows.join(both.withColumn("_known", F.lit(True)), F.col(model) == F.col("_m"), "left").join(F.broadcast(some), how="cross")  # one flag
     return kept.where(F.col("_known") | ~F.col("_any")).select(*rows.columns)
