@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -856,3 +858,31 @@ def test_near_passages_between_fragments(spark, monkeypatch):
         every = got & set().union(*pairs.values()) if every is None else every
         assert all(len(got & pairs[size]) >= 18 for size in sizes)
         assert every <= got
+
+
+def test_passages_leave_one_table(spark):
+    """What is written on the way is deleted, so disk does not add up over the steps; only the result stays."""
+    rng = random.Random(102)
+    p = prose(rng, 80).split()
+    rows = [(1, " ".join(p)), (2, " ".join([*p[:60], *prose(rng, 10).split()])), (3, prose(rng, 90))]
+    folder = tables.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({f for f in os.listdir(folder) if not f.startswith(".")} - before) == 1
+    assert [tuple(r) for r in found.collect()] == [(2, 1, 0, 60)]
+
+
+def test_pairs_without_a_similar_stretch_are_told_beforehand():
+    """The quick test of a batch lets every pair with a similar stretch pass, and few others."""
+    rng, passed, found = np.random.default_rng(5), 0, 0
+    for _ in range(400):
+        x = rng.integers(0, rng.choice([8, 60, 10**6]), int(rng.integers(20, 160))).astype(np.uint32)
+        y = x.copy()
+        for _ in range(int(rng.integers(0, 10))):
+            k = int(rng.integers(0, len(y)))
+            y = np.concatenate([y[:k], rng.integers(0, 10**6, int(rng.integers(0, 6))).astype(np.uint32), y[k + int(rng.integers(0, 6)) :]])
+        may = bool(passages._possible(pa.array([b"", x.tobytes()], pa.binary()), pa.array([b"", y.tobytes()], pa.binary()), 0.8 * 46)[1])
+        got = passages.common_stretches(x, y, 46, 0.8)
+        assert may or not got
+        passed, found = passed + may, found + bool(got)
+    assert found > 100 and passed < 400
