@@ -83,6 +83,27 @@ def test_no_effects_of_quizzes_and_items(spark):
         assert model.log_likelihood == pytest.approx(plain, abs=1e-3)
 
 
+def test_attempts_are_read_once(spark):
+    """However many steps the search takes, the attempts are made once."""
+    rows = simulated(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    model = M.mixed_logistic(table(spark, rows).mapInArrow(counted, "quiz string, item long, llm int, y int"))
+    assert read.value == len(rows) and model.llms == [0, 1, 2]
+
+
+def test_outcomes_with_repeats_and_gaps(spark):
+    """Of repeated attempts the greatest counts; a missing llm is -1, one without a name counts for none."""
+    rows = [("q", 1, 0, 0), ("q", 1, 0, 1), ("q", 1, 1, 0), ("q", 2, 0, 1), ("q", 2, 1, 0), ("q", 3, 1, 1), ("q", 3, None, 1), (None, 1, 1, 1), ("q", 4, 0, None)]
+    found = {r.quiz: [(list(p.y), p.n) for p in r.patterns] for r in M.pattern_counts(table(spark, rows), [0, 1]).collect()}
+    assert found == {"q": [([-1, 1], 1), ([1, 0], 2)], "": [([-1, 1], 1)]}
+
+
 def pooled_directly(cells, rounds):
     """The same expectation-maximisation with a fine grid instead of quadrature."""
     grid = np.linspace(-12, 12, 24001)

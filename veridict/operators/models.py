@@ -24,15 +24,27 @@ from veridict.operators.stats import Z, chi_square_tail
 LEAST_LOG, MOST_LOG = -6.0, 3.0
 
 
-def pattern_counts(attempts: DataFrame, llms: list) -> DataFrame:
-    """quiz, patterns: for each quiz its questions' outcomes by llm (1, 0, or -1 where there is none) with their numbers.
+def outcome_counts(attempts: DataFrame) -> DataFrame:
+    """quiz, seen, n: the outcomes (llm, y) of a quiz's questions, each with the number of questions that have them.
 
     ``attempts`` has quiz, item, llm, y; of repeated attempts the greatest y
-    counts, a null quiz is one of its own.
+    counts, a null quiz is one of its own.  At most 3^llms rows a quiz, however
+    many attempts there are.
     """
-    own = attempts.where(F.col("y").isNotNull()).groupBy(F.coalesce(F.col("quiz").cast("string"), F.lit("")).alias("quiz"), "item")
-    cells = [F.coalesce(F.max(F.when(F.col("llm") == v, F.col("y"))), F.lit(-1)).cast("int") for v in llms]
-    counts = own.agg(F.array(*cells).alias("y")).groupBy("quiz", "y").agg(F.count("*").alias("n"))
+    quiz = F.coalesce(F.col("quiz").cast("string"), F.lit("")).alias("quiz")
+    own = attempts.where(F.col("y").isNotNull()).groupBy(quiz, "item", "llm").agg(F.max("y").cast("int").alias("y"))
+    seen = F.sort_array(F.collect_list(F.struct("llm", "y"))).alias("seen")
+    return own.groupBy("quiz", "item").agg(seen).groupBy("quiz", "seen").agg(F.count("*").alias("n"))
+
+
+def pattern_counts(attempts: DataFrame, llms: list) -> DataFrame:
+    """quiz, patterns: for each quiz its questions' outcomes by llm (1, 0, or -1 where there is none) with their numbers."""
+    return _patterns(outcome_counts(attempts), llms)
+
+
+def _patterns(outcomes: DataFrame, llms: list) -> DataFrame:
+    cell = lambda v: F.coalesce(F.get(F.filter("seen", lambda e: e["llm"] == v), F.lit(0))["y"], F.lit(-1))
+    counts = outcomes.groupBy("quiz", F.array(*map(cell, llms)).alias("y")).agg(F.sum("n").alias("n"))
     return counts.groupBy("quiz").agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("patterns"))  # at most 3^llms entries
 
 
@@ -166,12 +178,15 @@ def mixed_logistic(attempts: DataFrame) -> MixedLogistic:
     ``attempts`` has quiz, item, llm and y (0 or 1); rows without y are left
     out.  Llms are few: they become columns of the patterns.
     """
-    llms = sorted(r[0] for r in attempts.where("y is not null and llm is not null").select("llm").distinct().collect())
-    if not llms:
-        raise ValueError("no attempts")
-    patterns = pattern_counts(attempts, llms).cache()
-    try:
-        shares = {r["llm"]: r["m"] for r in attempts.where("y is not null").groupBy("llm").agg(F.avg("y").alias("m")).collect()}
+    outcomes, patterns = outcome_counts(attempts).cache(), None
+    try:  # the attempts are read once
+        each = outcomes.select(F.explode("seen").alias("e"), "n").where("e.llm is not null")
+        shares = {r["llm"]: r["m"] for r in each.groupBy("e.llm").agg((F.sum(F.col("e.y") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+        if not shares:
+            raise ValueError("no attempts")
+        llms = sorted(shares)
+        # quizzes lie in tasks of their own; adaptive execution would put the few rows into one
+        patterns = _patterns(outcomes, llms).repartition(attempts.sparkSession.sparkContext.defaultParallelism).cache()
         logit = lambda m: math.log((m + 0.01) / (1.01 - m))
         m = len(llms)
         null, null_at, _ = _search(patterns, np.array([logit(sum(shares[v] for v in llms) / m), -0.5, 0.0]), m)
@@ -180,7 +195,9 @@ def mixed_logistic(attempts: DataFrame) -> MixedLogistic:
         if curve is None:
             _, _, curve = _search(patterns, null, m, 3)
     finally:
-        patterns.unpersist()
+        for table in (outcomes, patterns):
+            if table is not None:
+                table.unpersist()
     keep = [k for k in range(len(full)) if k < m or full[k] > LEAST_LOG + 0.01]
     covariance = np.linalg.inv(-curve[np.ix_(keep, keep)])[:m, :m]
     sd = [0.0 if v <= LEAST_LOG + 0.01 else math.exp(v) for v in full[-2:]]
