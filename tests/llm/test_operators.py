@@ -886,3 +886,47 @@ def test_pairs_without_a_similar_stretch_are_told_beforehand():
         assert may or not got
         passed, found = passed + may, found + bool(got)
     assert found > 100 and passed < 400
+
+
+def test_pairs_that_share_too_little_in_one_place_are_told_beforehand():
+    """Of a batch, every pair with a similar stretch passes the second quick test, too; shared tokens far apart do not."""
+    rng, xs, ys = np.random.default_rng(6), [], []
+    for _ in range(400):
+        x = rng.integers(0, rng.choice([8, 60, 10**6]), int(rng.integers(0, 160))).astype(np.uint32)
+        y = x.copy()
+        for _ in range(int(rng.integers(0, 14))):
+            k = int(rng.integers(0, len(y) + 1))
+            y = np.concatenate([y[:k], rng.integers(0, 10**6, int(rng.integers(0, 6))).astype(np.uint32), y[k + int(rng.integers(0, 6)) :]])
+        xs.append(x)
+        ys.append(y)
+    xs.append(np.arange(160, dtype=np.uint32))  # 60 of 160 tokens, never 37 of 46
+    ys.append(np.concatenate([xs[-1][:30], xs[-1][130:]]))
+    column = lambda arrays: pa.array([a.tobytes() for a in arrays], pa.binary())
+    may = passages._reaching(column(xs), column(ys), 46, 0.8)
+    first = passages._possible(column(xs), column(ys), 0.8 * 46)
+    got = np.array([bool(f and passages.common_stretches(x, y, 46, 0.8)) for f, x, y in zip(first, xs, ys, strict=True)])
+    assert may[got].all() and got.sum() > 100 and first[-1] and not may[-1]
+    assert not passages._reaching(column(xs[:0]), column(ys[:0]), 46, 0.8).size
+
+
+def test_pairs_of_places_are_one_row(spark):
+    """A pair of places is one row for both windows and makes the same candidates as one row a window; on two diagonals it is two."""
+    rng, pairs, edges = random.Random(103), [], []
+    window = lambda at: (at, at + rng.randrange(46), at + 45 + rng.randrange(20))
+    for k in range(400):
+        doc, first, at, at0 = rng.randrange(4, 8), rng.randrange(4), 300 * rng.randrange(4), 300 * rng.randrange(4)
+        met, met0 = [], []
+        for h in sorted(rng.sample(range(4), 2)):
+            a, c, b = window(at + rng.randrange(5))
+            jump = rng.choice([0, 3, 200]) if k % 5 == 0 else 0
+            met.append((h, a, c, b))
+            met0.append((h, a + at0 - at + jump, c + at0 - at + jump, b + at0 - at + jump))
+            edges.append((doc, first, h, c, met0[-1][2], a, b, met0[-1][1], met0[-1][3]))
+        pairs.append((doc, first, (*met[0], *met[1]), (*met0[0], *met0[1])))
+    struct = "struct<h: int, first: int, centre: int, last: int, h_: int, first_: int, centre_: int, last_: int>"
+    both = passages._meetings(spark.createDataFrame(pairs, f"doc_id long, first_doc long, met {struct}, met0 {struct}"), 46)
+    far = sum(abs((p[3][2] - p[2][2]) - (p[3][6] - p[2][6])) > 46 for p in pairs)
+    assert far > 5 and both.count() == 400 + far
+    each = spark.createDataFrame(edges, "doc_id long, first_doc long, h int, centre int, centre0 int, first int, last int, first0 int, last0 int")
+    result = lambda cut: sorted(map(tuple, passages._candidates(cut, 46, 2).collect()))
+    assert result(both) == result(passages._intervals(each)) != []
