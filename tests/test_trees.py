@@ -163,3 +163,34 @@ def test_files_are_parsed_once(spark, tmp_path):
     (tmp_path / "g/r/a_judge_result.json").write_text('[{"question_id": "1"}, 7]')
     plan = J.read_ratings(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1 and plan.count("from_json") <= 1
+
+
+def test_scan_is_what_readers_read(spark, root, tmp_path):
+    """One pass over all files, listed and read by tasks, has the rows of Spark's reader; readers of JSON files take it as they take a root."""
+    odd = {"g 1/r#1/ä b%_summary.json": "{}", "g 1/r#1/_x_summary.json": "{}", "g 1/.h/a_summary.json": "{}", "g 1/k=1/[a]_summary.json": '{"acc": "é"}\n', "top_summary.json": "7", "g 1/r/s/t/u_summary.json": "[]"}
+    for path, value in odd.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(value, encoding="utf-8")
+    (tmp_path / "g 1/r/raw_summary.json").write_bytes(b'{"model": "\xff"}')
+    meta = [F.col(v).alias(k) for k, v in J._META.items()]
+    for folder in (str(tmp_path), root):
+        reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        # a line's end at the end of a file, which Spark's reader leaves out, is nothing to JSON
+        texts = lambda df: sorted((*r[:3], bytes(r[3]).removesuffix(b"\n")) for r in df.withColumn("value", F.col("value").cast("binary")).collect())
+        assert texts(J.scan(spark, folder)) == texts(reader.text(folder).select(*meta, "value"))
+    J.scan(spark, root).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    for read in (J.read_ratings, J.read_answers, J.read_answer_summaries, J.read_judge_summaries, J.items_per_run, J.run_sizes, J.read_manifest_quizzes, J.read_topics, J.read_selection):
+        rows = lambda at: sorted(r.cast for r in read(spark, at).select(F.to_json(F.struct("*")).alias("cast")).collect())  # noqa: B023, E731
+        assert rows(kept) == rows(root) != []
+    name = F.regexp_extract("run_dir", "([^/]*)$", 1)
+    for more in ({}, {"pattern": "q2*"}, {"artifacts": J.ARTIFACTS, "containing": "seed"}):
+        assert sorted(map(tuple, J.run_dirs(spark, kept, **more).select(name, "run").collect())) == sorted(map(tuple, J.run_dirs(spark, root, **more).select(name, "run").collect()))
+
+
+def test_runs_are_read_once(spark):
+    """tree_runs opens no file of its tree and no order line again when its parts are read."""
+    from veridict import catalog
+
+    files = catalog.QUERIES["tree_runs"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert all(f.endswith(".parquet") and "/tree-" in f for f in files)

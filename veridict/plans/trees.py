@@ -32,6 +32,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}"
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """What several readers need, written once."""
+    where = _folder(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def _bars(reader: str, rows: DataFrame, *columns: str | Column) -> DataFrame:
     """Rows as texts: fields between bars, a dash for a missing one."""
     text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in columns]
@@ -149,7 +156,7 @@ def tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of takers and judges, manifests and sizes of runs, what is missing and what is left half-done."""
     given = _runs(answers(spark, sf_dir))
     right = F.count_if(F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)))
-    own = given.groupBy("gen", "run", "r", "model").agg(right.alias("c"), F.count("*").alias("n"))
+    own = _stored(given.groupBy("gen", "run", "r", "model").agg(right.alias("c"), F.count("*").alias("n")))
     per = own.groupBy("gen", "run", "r").agg(F.max("n").alias("n"))
     folder = F.concat_ws("/", "gen", "run")
     file = lambda df, name, value: df.select(F.concat(folder, F.lit("/"), name).alias("path"), value.alias("value"))
@@ -166,18 +173,19 @@ def tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         file(per.where("gen = 'g1'"), F.lit("j1_judge_summary.json"), judge("j1", F.col("n"), fail_reason_counts=counts)),
         file(per, F.lit("summary_all_judges.json"), both),
     ), root)
-    summaries, results = J.read_answer_summaries(spark, root).where("total_corr is not null"), J.read_answers(spark, root)
-    judges = J.read_judge_summaries(spark, root)
+    tree = _stored(J.scan(spark, root))  # the files outnumber all that is in them, so each is opened once
+    summaries, results = J.read_answer_summaries(spark, tree).where("total_corr is not null"), J.read_answers(spark, tree)
+    judges = J.read_judge_summaries(spark, tree)
     gen = lambda c: F.regexp_extract(c, "([^/]*)/[^/]*/*$", 1)
     wanted = own.where("model = 'm7'").groupBy(F.col("run").alias("quiz_id")).agg(F.lit(None).cast("long").alias("n_items"))
-    dirs = lambda *a, **k: J.run_dirs(spark, root, *a, **k)
+    dirs = lambda *a, **k: J.run_dirs(spark, tree, *a, **k)
     return _union(
         _bars("summaries", summaries, "generator", "run", "model", "total_corr", "total_wrong", "n_items", F.round(F.col("acc") * 10000).cast("long")),
         _bars("consistent", J.consistent_summaries(summaries), "generator", "run", "model"),
         _bars("partial", J.partial_runs(results, summaries), gen("run_dir"), _name("run_dir"), "model", "state"),
         _bars("missing", J.missing_work(wanted, summaries, "m7"), "quiz_id"),
         _bars("judges", judges, "generator", "run", "model", "n_items", F.map_keys("fail_reason_counts")[0], F.map_values("fail_reason_counts")[0]),
-        _bars("sizes", J.run_sizes(spark, root), gen("run_dir"), _name("run_dir"), "n_items"),
+        _bars("sizes", J.run_sizes(spark, tree), gen("run_dir"), _name("run_dir"), "n_items"),
         _bars("runs", dirs(), gen("run_dir"), "run"), _bars("runs_of_q1", dirs("q1*"), gen("run_dir"), "run"),
         _bars("runs_with_manifest", dirs(artifacts=("manifest.json",), containing="seed"), gen("run_dir"), "run"),
     )
