@@ -930,3 +930,19 @@ def test_pairs_of_places_are_one_row(spark):
     each = spark.createDataFrame(edges, "doc_id long, first_doc long, h int, centre int, centre0 int, first int, last int, first0 int, last0 int")
     result = lambda cut: sorted(map(tuple, passages._candidates(cut, 46, 2).collect()))
     assert result(both) == result(passages._intervals(each)) != []
+
+
+def test_pairs_of_a_large_group_are_dealt(spark, monkeypatch):
+    """All pairs of a group are made once, by several tasks where they are many."""
+    monkeypatch.setattr(passages, "PAIRS", 500)
+    left = spark.createDataFrame([(k, d) for k, n in ((1, 100), (2, 3), (3, 5)) for d in range(n)], "k long, doc_id long")
+    right = spark.createDataFrame([(k, d) for k, n in ((1, 90), (2, 2), (4, 5)) for d in range(n)], "k long, first_doc long")
+    made = passages._dealt_pairs(tables.written(left), tables.written(right))
+    assert sorted(map(tuple, made.collect())) == sorted((k, a, b) for k, n, m in ((1, 100, 90), (2, 3, 2)) for a in range(n) for b in range(m))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = passages._dealt_pairs(tables.written(left), tables.written(right))
+        tasks = made.where("k = 1").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) > 1
